@@ -82,3 +82,260 @@ FROM ({_sql_column_stats(DOCS_LABELS_SQL, DOCS_LABELS_COLS, 'quality')})
 """)
 def q_overview(spark, sf):
     return P.overview(docs_labels(spark, sf), target="quality")
+
+
+def _stats_sql(table: str, cols, target=None) -> str:
+    return f"({_sql_column_stats(table, cols, target)})"
+
+
+DOCS_COLS = [c for c in DOCS_LABELS_COLS if c[0] in ("text", "lang", "source", "n_chars")]
+DOCS_NOKEY_SQL = "(SELECT text, lang, source, n_chars FROM documents)"
+
+
+# ============================================================================ A2 info_summary
+@register("info_summary", f"""
+WITH s AS {_stats_sql(DOCS_NOKEY_SQL, DOCS_COLS)},
+d AS (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS dup
+      FROM (SELECT count(*) AS n FROM {DOCS_NOKEY_SQL} GROUP BY text, lang, source, n_chars))
+SELECT max(n_rows) AS rows, 4 AS columns, CAST(max(n_rows) * 4 AS BIGINT) AS total_cells,
+       CAST(sum(n_missing) AS BIGINT) AS total_missing,
+       round(sum(n_missing) / (max(n_rows) * 4) * 100, 2) AS pct_missing,
+       max(d.dup) AS duplicated_rows, CAST(NULL AS VARCHAR) AS target,
+       count(*) FILTER (WHERE logical_type = 'numeric') AS n_numeric,
+       count(*) FILTER (WHERE logical_type = 'categorical') AS n_categorical,
+       count(*) FILTER (WHERE logical_type = 'high_cardinality') AS n_high_cardinality,
+       count(*) FILTER (WHERE logical_type = 'boolean') AS n_boolean,
+       count(*) FILTER (WHERE logical_type = 'datetime') AS n_datetime,
+       count(*) FILTER (WHERE logical_type = 'unknown') AS n_unknown
+FROM s, d
+""")
+def q_info_summary(spark, sf):
+    return P.info_summary(read_table(spark, sf, "documents").drop("doc_id"))
+
+
+# ============================================================================ A3 / A4 duplicates
+_DUP_SQL = """
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars
+FROM documents d JOIN (SELECT text, count(*) AS n, min(doc_id) AS f, max(doc_id) AS l
+                       FROM documents GROUP BY text) g
+  ON d.text IS NOT DISTINCT FROM g.text
+WHERE g.n > 1 AND {cond}
+"""
+
+
+@register("duplicates_first", _DUP_SQL.format(cond="d.doc_id <> g.f"))
+def q_duplicates_first(spark, sf):
+    return P.check_duplicates(read_table(spark, sf, "documents"), ["text"], "first", "doc_id")
+
+
+@register("duplicates_last", _DUP_SQL.format(cond="d.doc_id <> g.l"))
+def q_duplicates_last(spark, sf):
+    return P.check_duplicates(read_table(spark, sf, "documents"), ["text"], "last", "doc_id")
+
+
+@register("duplicates_all", _DUP_SQL.format(cond="true"))
+def q_duplicates_all(spark, sf):
+    return P.check_duplicates(read_table(spark, sf, "documents"), ["text"], False)
+
+
+@register("duplicates_summary", """
+SELECT CAST(sum(n - 1) AS BIGINT) AS n_duplicates, CAST(sum(n) AS BIGINT) AS n_rows,
+       round(sum(n - 1) / sum(n) * 100, 2) AS pct_duplicates
+FROM (SELECT count(*) AS n FROM documents GROUP BY text)
+""")
+def q_duplicates_summary(spark, sf):
+    return P.duplicates_summary(read_table(spark, sf, "documents"), ["text"])
+
+
+# ============================================================================ A5 / A19 missing
+@register("missing_summary", f"""
+SELECT column_name, n_missing, round(n_missing / n_rows * 100, 2) AS pct_missing
+FROM {_stats_sql(DOCS_LABELS_SQL, DOCS_LABELS_COLS, 'quality')} WHERE n_missing > 0
+""")
+def q_missing_summary(spark, sf):
+    return P.missing_summary(docs_labels(spark, sf), target="quality")
+
+
+@register("missing_top", f"""
+SELECT column_name, n_missing, round(n_missing / n_rows * 100, 2) AS pct_missing
+FROM {_stats_sql(DOCS_LABELS_SQL, DOCS_LABELS_COLS, 'quality')} WHERE n_missing > 0
+ORDER BY pct_missing DESC, column_name LIMIT 1
+""")
+def q_missing_top(spark, sf):
+    return P.missing_summary(docs_labels(spark, sf), target="quality", top_n=1)
+
+
+# ============================================================================ A6 describe_numeric
+def _sql_numeric(table: str, cols) -> str:
+    parts = []
+    for c in cols:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f"SELECT '{c}' AS column_name, count({x}) AS count, round(avg({x}), 6) AS mean, "
+            f"round(stddev_samp({x}), 6) AS std, round(min({x}), 6) AS min, "
+            f"round(quantile_cont({x}, 0.25), 6) AS q25, round(quantile_cont({x}, 0.5), 6) AS q50, "
+            f"round(quantile_cont({x}, 0.75), 6) AS q75, round(max({x}), 6) AS max, "
+            f"round(skewness({x}), 6) AS skew, round(kurtosis({x}), 6) AS kurtosis, "
+            f"CAST(count(*) - count({x}) AS BIGINT) AS missing, "
+            f"round((count(*) - count({x})) / count(*) * 100, 2) AS pct_missing FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+LINEITEM_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("describe_numeric", _sql_numeric("lineitem", LINEITEM_NUM))
+def q_describe_numeric(spark, sf):
+    return rounded(P.describe_numeric(read_table(spark, sf, "lineitem")))
+
+
+@register("describe_numeric_events", _sql_numeric("events", ["event_id", "user_id", "value"]))
+def q_describe_numeric_events(spark, sf):
+    return rounded(P.describe_numeric(read_table(spark, sf, "events")))
+
+
+# ============================================================================ A7 / A8 categorical
+def _sql_top(table: str, c: str) -> str:
+    return f"""SELECT '{c}' AS column_name, count(value) AS n_unique,
+        first(value ORDER BY n DESC, value ASC) FILTER (WHERE value IS NOT NULL) AS top,
+        CAST(coalesce(max(n) FILTER (WHERE value IS NOT NULL), 0) AS BIGINT) AS top_freq,
+        CAST(coalesce(sum(n) FILTER (WHERE value IS NULL), 0) AS BIGINT) AS missing,
+        CAST(sum(n) AS BIGINT) AS n_rows
+      FROM (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {table} GROUP BY 1)"""
+
+
+@register("describe_categorical", " UNION ALL ".join(
+    f"""SELECT column_name, n_unique, top, top_freq,
+        coalesce(round(top_freq / (n_rows - missing) * 100, 2), 0.0) AS top_pct, missing,
+        round(missing / n_rows * 100, 2) AS pct_missing FROM ({_sql_top('orders', c)})"""
+    for c in ["o_orderstatus", "o_orderpriority"]))
+def q_describe_categorical(spark, sf):
+    return P.describe_categorical(read_table(spark, sf, "orders"))
+
+
+@register("describe_categorical_target", " UNION ALL ".join(
+    f"""SELECT column_name, n_unique, top, top_freq,
+        coalesce(round(top_freq / (n_rows - missing) * 100, 2), 0.0) AS top_pct, missing,
+        round(missing / n_rows * 100, 2) AS pct_missing FROM ({_sql_top(DOCS_LABELS_SQL, c)})"""
+    for c in ["text", "lang", "source", "quality"]))
+def q_describe_categorical_target(spark, sf):
+    return P.describe_categorical(docs_labels(spark, sf), target="quality")
+
+
+@register("cardinality", " UNION ALL ".join(
+    f"""SELECT column_name, n_unique AS nunique, missing AS n_missing, top AS top_value,
+        top_freq FROM ({_sql_top('part', c)})"""
+    for c in ["p_name", "p_brand", "p_type"]))
+def q_cardinality(spark, sf):
+    return P.cardinality_summary(read_table(spark, sf, "part"))
+
+
+# ============================================================================ A9 - A11
+def lineitem_with_constant(spark, sf):
+    """lineitem plus floor(l_discount) (always 0: a constant column derived from the data)."""
+    li = read_table(spark, sf, "lineitem")
+    return li.withColumn("l_discount_floor", F.floor("l_discount").cast("double"))
+
+
+LINEITEM_ALL = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+                "l_shipdate", "l_discount_floor"]
+LINEITEM_CONST_SQL = "(SELECT *, CAST(floor(l_discount) AS DOUBLE) AS l_discount_floor FROM lineitem)"
+
+
+@register("constant_cols", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name FROM {LINEITEM_CONST_SQL} HAVING count(DISTINCT {c}) <= 1"
+    for c in LINEITEM_ALL))
+def q_constant_cols(spark, sf):
+    return P.constant_columns(lineitem_with_constant(spark, sf))
+
+
+@register("low_variance_cols", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, round(var_samp(CAST({c} AS DOUBLE)), 9) AS variance "
+    f"FROM {LINEITEM_CONST_SQL} HAVING var_samp(CAST({c} AS DOUBLE)) <= 0.01"
+    for c in LINEITEM_NUM + ["l_discount_floor"]))
+def q_low_variance_cols(spark, sf):
+    return rounded(P.low_variance_columns(lineitem_with_constant(spark, sf)), 9)
+
+
+@register("quasi_constant_cols", " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, round(max(n) / sum(n), 6) AS top_share
+        FROM (SELECT {c}, count(*) AS n FROM {LINEITEM_CONST_SQL} GROUP BY 1)
+        HAVING max(n) / sum(n) >= 0.99"""
+    for c in LINEITEM_ALL))
+def q_quasi_constant_cols(spark, sf):
+    return P.quasi_constant_columns(lineitem_with_constant(spark, sf))
+
+
+# ============================================================================ A12 target summary
+@register("target_summary", f"""
+SELECT CAST(quality AS VARCHAR) AS value, count(*) AS count,
+       round(count(*) / sum(count(*)) OVER (), 4) AS ratio
+FROM {DOCS_LABELS_SQL} GROUP BY 1
+""")
+def q_target_summary(spark, sf):
+    return P.target_summary(docs_labels(spark, sf), "quality")
+
+
+@register("target_summary_numeric", """
+SELECT 'o_totalprice' AS column_name, count(o_totalprice) AS count, round(avg(o_totalprice), 6) AS mean,
+       round(stddev_samp(o_totalprice), 6) AS std, round(min(o_totalprice), 6) AS min,
+       round(quantile_cont(o_totalprice, 0.25), 6) AS q25, round(quantile_cont(o_totalprice, 0.5), 6) AS q50,
+       round(quantile_cont(o_totalprice, 0.75), 6) AS q75, round(max(o_totalprice), 6) AS max
+FROM orders
+""")
+def q_target_summary_numeric(spark, sf):
+    return rounded(P.target_summary(read_table(spark, sf, "orders"), "o_totalprice"))
+
+
+# ============================================================================ A13 / A14 outliers
+@register("outliers_mask", """
+WITH b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
+SELECT event_id, value,
+       coalesce(value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1), false) AS is_outlier
+FROM events, b
+""")
+def q_outliers_mask(spark, sf):
+    ev = read_table(spark, sf, "events")
+    return P.detect_outliers_iqr(ev, "value").select("event_id", "value", "is_outlier")
+
+
+@register("outliers_summary", """
+WITH b AS (SELECT quantile_cont(CAST(n_chars AS DOUBLE), 0.25) AS q1,
+                  quantile_cont(CAST(n_chars AS DOUBLE), 0.75) AS q3 FROM documents),
+f AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM b)
+SELECT 'n_chars' AS column_name, count(*) FILTER (WHERE n_chars < lo OR n_chars > hi) AS n_outliers,
+       round(count(*) FILTER (WHERE n_chars < lo OR n_chars > hi) / count(*) * 100, 2) AS pct_outliers,
+       round(max(lo), 4) AS lower_bound, round(max(hi), 4) AS upper_bound
+FROM documents, f
+""")
+def q_outliers_summary(spark, sf):
+    return P.outliers_summary_iqr(read_table(spark, sf, "documents"), "n_chars")
+
+
+# ============================================================================ A17 / A18
+@register("group_stats", """
+SELECT l_orderkey, count(*) AS size, round(avg(l_quantity), 6) AS mean,
+       count(DISTINCT l_quantity) AS nunique
+FROM lineitem GROUP BY l_orderkey
+""")
+def q_group_stats(spark, sf):
+    return rounded(P.group_stats(read_table(spark, sf, "lineitem"), "l_orderkey", "l_quantity")
+                   .select("l_orderkey", "size", "mean", "nunique"))
+
+
+@register("value_counts_topn", """
+SELECT event_type AS value, count(*) AS count FROM events GROUP BY 1
+ORDER BY count DESC, value ASC NULLS FIRST LIMIT 3
+""")
+def q_value_counts_topn(spark, sf):
+    return P.value_counts(read_table(spark, sf, "events"), "event_type", top_n=3)
+
+
+@register("value_counts_share", """
+SELECT p_name AS value, count(*) AS count, round(count(*) / sum(count(*)) OVER (), 6) AS share
+FROM part GROUP BY 1 ORDER BY count DESC, value ASC NULLS FIRST LIMIT 10
+""")
+def q_value_counts_share(spark, sf):
+    return P.value_counts(read_table(spark, sf, "part"), "p_name", top_n=10, normalize=True)
