@@ -339,3 +339,202 @@ FROM part GROUP BY 1 ORDER BY count DESC, value ASC NULLS FIRST LIMIT 10
 """)
 def q_value_counts_share(spark, sf):
     return P.value_counts(read_table(spark, sf, "part"), "p_name", top_n=10, normalize=True)
+
+
+# ============================================================================ C1 - C3 correlation
+from tabsight.operators import assoc as A  # noqa: E402
+
+
+def _sql_pearson(table: str, cols, full: bool = True, digits: int = 6) -> str:
+    parts = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if not full and j <= i:
+                continue
+            xa, xb = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
+            parts.append(
+                f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, "
+                f"CASE WHEN stddev_pop({xa}) FILTER (WHERE {b} IS NOT NULL) = 0 "
+                f"OR stddev_pop({xb}) FILTER (WHERE {a} IS NOT NULL) = 0 THEN NULL "
+                f"ELSE round(corr({xa}, {xb}), {digits}) END AS correlation FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+@register("corr_pearson", _sql_pearson("lineitem", LINEITEM_NUM))
+def q_corr_pearson(spark, sf):
+    return rounded(A.correlation_matrix(read_table(spark, sf, "lineitem")))
+
+
+DL_NUM = ["doc_id", "n_chars", "quality", "toxic"]
+
+
+@register("corr_pearson_nulls", _sql_pearson(DOCS_LABELS_SQL, DL_NUM))
+def q_corr_pearson_nulls(spark, sf):
+    return rounded(A.correlation_matrix(docs_labels(spark, sf)))
+
+
+def _sql_spearman(table: str, cols) -> str:
+    parts = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            r = (f"(SELECT corr(ra, rb) AS r, stddev_pop(ra) AS sa, stddev_pop(rb) AS sb FROM ("
+                 f"SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS ra, "
+                 f"rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS rb "
+                 f"FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL))")
+            parts.append(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, "
+                         f"CASE WHEN sa = 0 OR sb = 0 THEN NULL ELSE round(r, 6) END AS correlation "
+                         f"FROM {r}")
+    return " UNION ALL ".join(parts)
+
+
+SPEAR_COLS = ["l_quantity", "l_discount", "l_tax"]
+
+
+@register("corr_spearman", _sql_spearman("lineitem", SPEAR_COLS))
+def q_corr_spearman(spark, sf):
+    li = read_table(spark, sf, "lineitem").select(*SPEAR_COLS)
+    return rounded(A.correlation_matrix(li, method="spearman"))
+
+
+@register("corr_spearman_nulls", _sql_spearman(DOCS_LABELS_SQL, ["n_chars", "quality", "toxic"]))
+def q_corr_spearman_nulls(spark, sf):
+    dl = docs_labels(spark, sf).select("n_chars", "quality", "toxic")
+    return rounded(A.correlation_matrix(dl, method="spearman"))
+
+
+def _sql_kendall(table: str, cols) -> str:
+    """Oracle: tau-b from the contingency cells, brute force over pairs of cells."""
+    parts = []
+    for a in cols:
+        for b in cols:
+            cells = (f"(SELECT CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y, count(*) AS n "
+                     f"FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2)")
+            parts.append(f"""SELECT '{a}' AS feature_1, '{b}' AS feature_2,
+  CASE WHEN (t.n0 - t.n1) * (t.n0 - t.n2) = 0 THEN NULL
+       ELSE round(s.s / sqrt((t.n0 - t.n1) * (t.n0 - t.n2)), 6) END AS correlation
+FROM (SELECT sum(sign(c1.x - c2.x) * sign(c1.y - c2.y) * c1.n * c2.n) / 2.0 AS s
+      FROM {cells} c1, {cells} c2) s,
+     (SELECT sum(n) * (sum(n) - 1) / 2.0 AS n0,
+             (SELECT sum(t * (t - 1) / 2.0) FROM (SELECT sum(n) AS t FROM {cells} GROUP BY x)) AS n1,
+             (SELECT sum(t * (t - 1) / 2.0) FROM (SELECT sum(n) AS t FROM {cells} GROUP BY y)) AS n2
+      FROM {cells}) t""")
+    return " UNION ALL ".join(parts)
+
+
+@register("corr_kendall", _sql_kendall("lineitem", SPEAR_COLS))
+def q_corr_kendall(spark, sf):
+    li = read_table(spark, sf, "lineitem").select(*SPEAR_COLS)
+    return rounded(A.correlation_matrix(li, method="kendall"))
+
+
+@register("corr_kendall_nulls", _sql_kendall(DOCS_LABELS_SQL, ["n_chars", "quality", "toxic"]))
+def q_corr_kendall_nulls(spark, sf):
+    dl = docs_labels(spark, sf).select("n_chars", "quality", "toxic")
+    return rounded(A.correlation_matrix(dl, method="kendall"))
+
+
+# ============================================================================ C5 - C7
+@register("multicollinearity", f"""
+SELECT feature_1, feature_2, round(correlation, 4) AS correlation
+FROM ({_sql_pearson('part', ['p_partkey', 'p_size', 'p_retailprice'], full=False, digits=15)})
+WHERE abs(correlation) >= 0.4
+""")
+def q_multicollinearity(spark, sf):
+    return A.multicollinearity(read_table(spark, sf, "part"), threshold=0.4)
+
+
+@register("target_corr", f"""
+SELECT feature_1 AS feature, correlation AS correlation_with_target
+FROM ({_sql_pearson(DOCS_LABELS_SQL, ['doc_id', 'n_chars', 'toxic', 'quality'])})
+WHERE feature_2 = 'quality' AND feature_1 <> 'quality'
+""")
+def q_target_corr(spark, sf):
+    return rounded(A.target_correlation(docs_labels(spark, sf), "quality"))
+
+
+@register("target_corr_summary", f"""
+SELECT feature_1 AS feature, correlation AS correlation_with_target
+FROM ({_sql_pearson('lineitem', LINEITEM_NUM)})
+WHERE feature_2 = 'l_extendedprice' AND feature_1 <> 'l_extendedprice'
+""")
+def q_target_corr_summary(spark, sf):
+    return rounded(A.target_correlation(read_table(spark, sf, "lineitem"), "l_extendedprice",
+                                        numeric_only=True))
+
+
+# ============================================================================ C8 crosstab
+_STATUSES = ["F", "O", "P"]
+_CT_COUNTS = ", ".join(f"count(*) FILTER (WHERE o_orderstatus = '{s}') AS \"{s}\"" for s in _STATUSES)
+
+
+@register("crosstab_counts", f"""
+SELECT o_orderpriority, {_CT_COUNTS} FROM orders
+WHERE o_orderpriority IS NOT NULL AND o_orderstatus IS NOT NULL GROUP BY o_orderpriority
+""")
+def q_crosstab_counts(spark, sf):
+    return A.crosstab(read_table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus")
+
+
+@register("crosstab_index", f"""
+SELECT o_orderpriority, {', '.join(f'round("{s}" / ("F" + "O" + "P"), 6) AS "{s}"' for s in _STATUSES)}
+FROM (SELECT o_orderpriority, {_CT_COUNTS} FROM orders GROUP BY o_orderpriority)
+""")
+def q_crosstab_index(spark, sf):
+    return rounded(A.crosstab(read_table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus",
+                              normalize="index"))
+
+
+@register("crosstab_columns", f"""
+SELECT o_orderpriority, {', '.join(f'round("{s}" / sum("{s}") OVER (), 6) AS "{s}"' for s in _STATUSES)}
+FROM (SELECT o_orderpriority, {_CT_COUNTS} FROM orders GROUP BY o_orderpriority)
+""")
+def q_crosstab_columns(spark, sf):
+    return rounded(A.crosstab(read_table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus",
+                              normalize="columns"))
+
+
+@register("crosstab_all", f"""
+SELECT o_orderpriority, {', '.join(f'round("{s}" / sum("F" + "O" + "P") OVER (), 6) AS "{s}"' for s in _STATUSES)}
+FROM (SELECT o_orderpriority, {_CT_COUNTS} FROM orders GROUP BY o_orderpriority)
+""")
+def q_crosstab_all(spark, sf):
+    return rounded(A.crosstab(read_table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus",
+                              normalize="all"))
+
+
+@register("crosstab_multikey", f"""
+WITH t AS (SELECT lang, source, CAST(quality AS VARCHAR) AS q FROM {DOCS_LABELS_SQL}
+           WHERE lang IS NOT NULL AND source IS NOT NULL AND quality IS NOT NULL),
+r AS (SELECT DISTINCT lang, source FROM t), c AS (SELECT DISTINCT q FROM t),
+n AS (SELECT lang, source, q, count(*) AS n FROM t GROUP BY ALL)
+SELECT r.lang, r.source, c.q AS col_value, coalesce(n.n, 0) AS value
+FROM r CROSS JOIN c LEFT JOIN n ON n.lang = r.lang AND n.source = r.source AND n.q = c.q
+""")
+def q_crosstab_multikey(spark, sf):
+    return A.crosstab_long(docs_labels(spark, sf), ["lang", "source"], "quality")
+
+
+# ============================================================================ F1 mutual information
+_MI_BASE = "(SELECT d.lang, d.source, d.n_chars, l.quality FROM documents d JOIN labels l USING (doc_id))"
+
+
+@register("mutual_info", f"""
+WITH base AS {_MI_BASE},
+e AS (SELECT quantile_cont(CAST(n_chars AS DOUBLE), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges
+      FROM base),
+long AS (SELECT 'lang' AS feature, lang AS x, CAST(quality AS VARCHAR) AS y FROM base
+         UNION ALL SELECT 'source', source, CAST(quality AS VARCHAR) FROM base
+         UNION ALL SELECT 'n_chars', CAST(len(list_filter(list_distinct(edges), lambda v: v < n_chars)) AS VARCHAR),
+                          CAST(quality AS VARCHAR) FROM base, e),
+cells AS (SELECT feature, x, y, count(*) AS n FROM long GROUP BY ALL),
+nx AS (SELECT feature, x, sum(n) AS nx FROM cells GROUP BY ALL),
+ny AS (SELECT feature, y, sum(n) AS ny FROM cells GROUP BY ALL),
+nt AS (SELECT feature, sum(n) AS nt FROM cells GROUP BY ALL)
+SELECT feature, round(greatest(sum(n / nt * ln(n * nt / (nx * ny))), 0.0), 9) AS mi
+FROM cells JOIN nx USING (feature, x) JOIN ny USING (feature, y) JOIN nt USING (feature)
+GROUP BY feature
+""")
+def q_mutual_info(spark, sf):
+    base = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id")
+    return rounded(A.mutual_info(base, ["lang", "source", "n_chars"], "quality",
+                                 discrete={"lang": True, "source": True, "n_chars": False}), 9)
