@@ -538,3 +538,268 @@ def q_mutual_info(spark, sf):
     base = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id")
     return rounded(A.mutual_info(base, ["lang", "source", "n_chars"], "quality",
                                  discrete={"lang": True, "source": True, "n_chars": False}), 9)
+
+
+# ============================================================================ X1 - X12 features
+from tabsight.operators import features as X  # noqa: E402
+
+
+@register("regex_category", r"""
+SELECT p_partkey,
+  CASE WHEN w IN ('red', 'blue', 'cold') THEN 'Rare' ELSE w END AS category
+FROM (SELECT p_partkey,
+        coalesce(CASE nullif(regexp_extract(p_name, '^(\S+)\s', 1), '')
+                   WHEN 'small' THEN 'little' WHEN 'large' THEN 'big' END,
+                 nullif(regexp_extract(p_name, '^(\S+)\s', 1), '')) AS w
+      FROM part)
+""")
+def q_regex_category(spark, sf):
+    part = read_table(spark, sf, "part")
+    out = X.regex_category(part, "p_name", r"^(\S+)\s", "category",
+                           rename={"small": "little", "large": "big"}, rare=["red", "blue", "cold"])
+    return out.select("p_partkey", "category")
+
+
+@register("family_size", """
+SELECT l_orderkey, l_linenumber, l_linenumber + l_quantity + 1 AS family_size,
+       CAST(coalesce(l_linenumber = 1, false) AS INTEGER) AS is_single
+FROM lineitem
+""")
+def q_family_size(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    out = X.is_single(X.count_sum(li, ["l_linenumber", "l_quantity"], "family_size"),
+                      "l_linenumber", "is_single")
+    return out.select("l_orderkey", "l_linenumber", "family_size", "is_single")
+
+
+@register("group_size", """
+SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey) AS group_size FROM lineitem
+""")
+def q_group_size(spark, sf):
+    li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    return X.group_size(li, "l_orderkey", "group_size")
+
+
+@register("strip_prefix", """
+SELECT c_custkey, coalesce(nullif(trim(regexp_replace(regexp_replace(c_name, '[./]', ' ', 'g'),
+                                                   '[0-9]+', '', 'g')), ''), 'NONE') AS prefix
+FROM customer
+""")
+def q_strip_prefix(spark, sf):
+    cu = read_table(spark, sf, "customer")
+    return X.strip_digits_prefix(cu, "c_name", "prefix").select("c_custkey", "prefix")
+
+
+@register("first_char", """
+SELECT p_partkey, coalesce(nullif(substring(p_type, 1, 1), ''), 'Unknown') AS deck FROM part
+""")
+def q_first_char(spark, sf):
+    return X.first_char(read_table(spark, sf, "part"), "p_type", "deck").select("p_partkey", "deck")
+
+
+@register("map_encode", """
+SELECT l_orderkey, l_linenumber, CASE l_linestatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 END AS status_code
+FROM lineitem
+""")
+def q_map_encode(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    return (X.map_encode(li, "l_linestatus", {"O": 0, "F": 1}, "status_code")
+             .select("l_orderkey", "l_linenumber", "status_code"))
+
+
+@register("interaction", """
+SELECT p_partkey, round(p_size * p_retailprice, 6) AS size_price FROM part
+""")
+def q_interaction(spark, sf):
+    part = read_table(spark, sf, "part")
+    return rounded(X.interaction(part, "p_size", "p_retailprice", "size_price")
+                   .select("p_partkey", "size_price"))
+
+
+@register("log1p", """
+SELECT o_orderkey, round(ln(1 + o_totalprice), 9) AS o_totalprice FROM orders
+""")
+def q_log1p(spark, sf):
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return rounded(X.log1p(orders, "o_totalprice"), 9)
+
+
+CUT_EDGES = [0, 12, 18, 40, 45]
+
+
+@register("cut", """
+SELECT l_orderkey, l_linenumber, l_quantity,
+  CASE WHEN l_quantity > 0 AND l_quantity <= 12 THEN 0 WHEN l_quantity > 12 AND l_quantity <= 18 THEN 1
+       WHEN l_quantity > 18 AND l_quantity <= 40 THEN 2 WHEN l_quantity > 40 AND l_quantity <= 45 THEN 3
+  END AS qty_bin
+FROM lineitem
+""")
+def q_cut(spark, sf):
+    li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return X.cut(li, "l_quantity", CUT_EDGES, "qty_bin")
+
+
+_QCUT_SQL = """
+WITH e AS (SELECT quantile_cont(CAST({col} AS DOUBLE), [0.0, 0.25, 0.5, 0.75, 1.0]) AS edges FROM {table})
+SELECT {key}, CAST(len(list_filter(edges[2:4], lambda v: v < CAST({col} AS DOUBLE))) AS INTEGER) AS {out}
+FROM {table}, e
+"""
+
+
+@register("qcut", _QCUT_SQL.format(col="value", table="events", key="event_id", out="value_bin"))
+def q_qcut(spark, sf):
+    ev = read_table(spark, sf, "events").select("event_id", "value")
+    return X.qcut(ev, "value", 4, "value_bin").select("event_id", "value_bin")
+
+
+def lineitem_feature_plan() -> "X.FeaturePlan":
+    """A fixed sequence of steps over lineitem (the order matters: edges after log1p)."""
+    return (X.FeaturePlan()
+            .add("log_price", lambda d: X.log1p(d, "l_extendedprice"))
+            .add("price_bin", lambda d: X.qcut(d, "l_extendedprice", 4, "price_bin"))
+            .add("drop_price", lambda d: X.drop_required(d, ["l_extendedprice"]))
+            .add("qty_bin", lambda d: X.cut(d, "l_quantity", CUT_EDGES, "qty_bin"))
+            .add("drop_qty", lambda d: X.drop_required(d, ["l_quantity"]))
+            .add("status", lambda d: X.map_encode(d, "l_linestatus", {"O": 0, "F": 1}))
+            .add("order_size", lambda d: X.group_size(d, "l_orderkey", "order_size"))
+            .add("single", lambda d: X.is_single(d, "order_size", "single_line"))
+            .add("line_tax", lambda d: X.interaction(d, "l_linenumber", "l_linestatus", "line_status"))
+            .add("drop_noise", lambda d: X.drop_if_present(
+                d, ["l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_tax", "l_discount"])))
+
+
+@register("feature_plan", """
+WITH t AS (SELECT l_orderkey, l_linenumber, ln(1 + l_extendedprice) AS lp, l_quantity,
+                  CASE l_linestatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 END AS st,
+                  count(*) OVER (PARTITION BY l_orderkey) AS order_size FROM lineitem),
+e AS (SELECT quantile_cont(lp, [0.0, 0.25, 0.5, 0.75, 1.0]) AS edges FROM t)
+SELECT l_orderkey, l_linenumber, st AS l_linestatus,
+       CAST(len(list_filter(edges[2:4], lambda v: v < lp)) AS INTEGER) AS price_bin,
+       CASE WHEN l_quantity > 0 AND l_quantity <= 12 THEN 0 WHEN l_quantity > 12 AND l_quantity <= 18 THEN 1
+            WHEN l_quantity > 18 AND l_quantity <= 40 THEN 2 WHEN l_quantity > 40 AND l_quantity <= 45 THEN 3
+       END AS qty_bin,
+       order_size, CAST(order_size = 1 AS INTEGER) AS single_line, l_linenumber * st AS line_status
+FROM t, e
+""")
+def q_feature_plan(spark, sf):
+    return lineitem_feature_plan().transform(read_table(spark, sf, "lineitem"))
+
+
+# ============================================================================ G1 - G11 plot data
+from tabsight.operators import plotdata as G  # noqa: E402
+
+
+def _sql_hist(table: str, col: str, bins: int) -> str:
+    return f"""SELECT '{col}' AS column_name, g.bin, round(mn + g.bin * ((mx - mn) / {bins}), 6) AS lower,
+       round(CASE WHEN g.bin = {bins - 1} THEN mx ELSE mn + (g.bin + 1) * ((mx - mn) / {bins}) END, 6) AS upper,
+       coalesce(b.n, 0) AS count
+FROM (SELECT range::INTEGER AS bin FROM range({bins})) g
+CROSS JOIN (SELECT min(CAST({col} AS DOUBLE)) AS mn, max(CAST({col} AS DOUBLE)) AS mx FROM {table}) r
+LEFT JOIN (SELECT CASE WHEN mx = mn THEN 0 ELSE
+                    least(CAST(floor((x - mn) / ((mx - mn) / {bins})) AS INTEGER), {bins - 1}) END AS bin,
+                  count(*) AS n
+           FROM (SELECT CAST({col} AS DOUBLE) AS x FROM {table} WHERE {col} IS NOT NULL),
+                (SELECT min(CAST({col} AS DOUBLE)) AS mn, max(CAST({col} AS DOUBLE)) AS mx FROM {table})
+           GROUP BY 1) b ON b.bin = g.bin"""
+
+
+@register("hist", _sql_hist("orders", "o_totalprice", 30))
+def q_hist(spark, sf):
+    return rounded(G.histogram(read_table(spark, sf, "orders"), "o_totalprice", 30))
+
+
+@register("hist_all", " UNION ALL ".join(_sql_hist("events", c, 20)
+                                         for c in ["event_id", "user_id", "value"]))
+def q_hist_all(spark, sf):
+    return rounded(G.all_histograms(read_table(spark, sf, "events"), bins=20))
+
+
+@register("hist_by_target", """
+WITH base AS (SELECT CAST(d.n_chars AS DOUBLE) AS x, CAST(l.quality AS VARCHAR) AS target
+              FROM documents d JOIN labels l USING (doc_id)),
+r AS (SELECT min(x) AS mn, max(x) AS mx FROM base),
+c AS (SELECT target, least(CAST(floor((x - mn) / ((mx - mn) / 20)) AS INTEGER), 19) AS bin, count(*) AS n
+      FROM base, r GROUP BY ALL)
+SELECT target, bin, round(mn + bin * ((mx - mn) / 20), 6) AS lower, n AS count,
+       round(n / (sum(n) OVER (PARTITION BY target) * ((mx - mn) / 20)), 9) AS density
+FROM c, r
+""")
+def q_hist_by_target(spark, sf):
+    base = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id")
+    return rounded(G.histogram_by_target(base, "n_chars", "quality", 20), 6).withColumn(
+        "density", F.round("density", 9))
+
+
+@register("kde", """
+WITH base AS (SELECT value AS x FROM events WHERE value IS NOT NULL),
+s AS (SELECT min(x) AS mn, max(x) AS mx, stddev_samp(x) * pow(count(*), -0.2) AS h, count(*) AS n FROM base),
+g AS (SELECT CAST(range AS INTEGER) AS i FROM range(200))
+SELECT g.i, round(mn + g.i * ((mx - mn) / 199), 6) AS x,
+       round(sum(exp(-0.5 * pow(((mn + g.i * ((mx - mn) / 199)) - base.x) / h, 2))) / (n * h * sqrt(2 * pi())), 9)
+         AS density
+FROM g, s, base GROUP BY g.i, mn, mx, h, n
+""")
+def q_kde(spark, sf):
+    k = G.kde(read_table(spark, sf, "events"), "value", 200)
+    return k.select("i", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
+def _sql_box(table: str, col: str, by: str | None) -> str:
+    g = f"CAST({by} AS VARCHAR)" if by else None
+    gsel = f"{g} AS \"group\", " if by else ""
+    gby = "GROUP BY 1" if by else ""
+    join = 'ON t."group" = q."group"' if by else "ON true"
+    return f"""WITH t AS (SELECT {gsel}CAST({col} AS DOUBLE) AS x FROM {table}
+           WHERE {col} IS NOT NULL {f'AND {by} IS NOT NULL' if by else ''}),
+q AS (SELECT {'"group", ' if by else ''}quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+             quantile_cont(x, 0.75) AS q3 FROM t {gby})
+SELECT '{col}' AS column_name, {'q."group", ' if by else ''}round(q1, 6) AS q1, round(median, 6) AS median,
+       round(q3, 6) AS q3,
+       round(min(x) FILTER (WHERE x >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low,
+       round(max(x) FILTER (WHERE x <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,
+       count(*) FILTER (WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS n_outliers,
+       count(*) AS n
+FROM t JOIN q {join} GROUP BY {'q."group", ' if by else ''}q1, median, q3"""
+
+
+@register("boxplot_by", _sql_box("events", "value", "event_type"))
+def q_boxplot_by(spark, sf):
+    return rounded(G.boxplot(read_table(spark, sf, "events"), "value", by="event_type"))
+
+
+@register("boxplot_all", " UNION ALL ".join(f"SELECT * FROM ({_sql_box('orders', c, None)})"
+                                            for c in ["o_orderkey", "o_custkey", "o_totalprice"]))
+def q_boxplot_all(spark, sf):
+    return rounded(G.all_boxplots(read_table(spark, sf, "orders")))
+
+
+@register("feature_vs_target", _sql_box(DOCS_LABELS_SQL, "n_chars", "quality"))
+def q_feature_vs_target(spark, sf):
+    specs = G.feature_vs_target(docs_labels(spark, sf), "n_chars", "quality",
+                                {"numeric"}, {"categorical"})
+    return rounded(specs["numeric_categorical"])
+
+
+@register("category_counts", """
+SELECT CAST(p_brand AS VARCHAR) AS value, count(*) AS count FROM part WHERE p_brand IS NOT NULL GROUP BY 1
+""")
+def q_category_counts(spark, sf):
+    return G.category_counts(read_table(spark, sf, "part"), "p_brand")
+
+
+@register("column_summary", " UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, rank, value, count, round(count / n_rows * 100, 1) AS pct FROM (
+  SELECT value, n AS count, sum(n) OVER () AS n_rows,
+         row_number() OVER (ORDER BY (CASE WHEN value IS NULL THEN NULL ELSE n END) DESC NULLS LAST, value) AS rank,
+         value IS NULL AS is_null_value
+  FROM (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {DOCS_LABELS_SQL} GROUP BY 1))
+WHERE NOT is_null_value AND rank <= 5""" for c in ["lang", "source", "quality"]))
+def q_column_summary(spark, sf):
+    return G.top_k_values(docs_labels(spark, sf), ["lang", "source", "quality"], 5).withColumn(
+        "rank", F.col("rank").cast("long"))
+
+
+@register("pair_sample")
+def q_pair_sample(spark, sf):
+    return G.pair_sample(read_table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
+                         hue="l_returnflag", n=500)
