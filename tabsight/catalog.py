@@ -803,3 +803,106 @@ def q_column_summary(spark, sf):
 def q_pair_sample(spark, sf):
     return G.pair_sample(read_table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
                          hue="l_returnflag", n=500)
+
+
+# ============================================================================ M1 - M5 preparation, E1 folds
+from tabsight.operators import prep as M  # noqa: E402
+from tabsight.operators import evaluate as E  # noqa: E402
+
+
+@register("impute_median", f"""
+WITH t AS {DOCS_LABELS_SQL}
+SELECT doc_id, coalesce(CAST(quality AS DOUBLE), (SELECT quantile_cont(quality, 0.5) FROM t)) AS quality,
+       coalesce(CAST(toxic AS DOUBLE), (SELECT quantile_cont(toxic, 0.5) FROM t)) AS toxic
+FROM t
+""")
+def q_impute_median(spark, sf):
+    dl = docs_labels(spark, sf).select("doc_id", "quality", "toxic")
+    return M.ExactImputer(inputCols=["quality", "toxic"], strategy="median").fit(dl).transform(dl)
+
+
+@register("impute_mode", f"""
+WITH t AS {DOCS_LABELS_SQL}
+SELECT doc_id,
+  coalesce(quality, (SELECT quality FROM t WHERE quality IS NOT NULL GROUP BY quality
+                     ORDER BY count(*) DESC, quality LIMIT 1)) AS quality,
+  coalesce(toxic, (SELECT toxic FROM t WHERE toxic IS NOT NULL GROUP BY toxic
+                   ORDER BY count(*) DESC, toxic LIMIT 1)) AS toxic
+FROM t
+""")
+def q_impute_mode(spark, sf):
+    dl = docs_labels(spark, sf).select("doc_id", "quality", "toxic")
+    return M.ExactImputer(inputCols=["quality", "toxic"], strategy="most_frequent").fit(dl).transform(dl)
+
+
+@register("scale", """
+SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders))
+                         / (SELECT stddev_pop(o_totalprice) FROM orders), 9) AS o_totalprice
+FROM orders
+""")
+def q_scale(spark, sf):
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return rounded(M.PopulationScaler(inputCols=["o_totalprice"]).fit(o).transform(o), 9)
+
+
+@register("one_hot", """
+WITH cats AS (SELECT list_sort(list(DISTINCT lang)) AS c FROM documents WHERE lang <> 'de')
+SELECT doc_id, lang,
+  CAST(CASE WHEN lang = c[1] THEN 1 ELSE 0 END AS DOUBLE) AS oh_0,
+  CAST(CASE WHEN lang = c[2] THEN 1 ELSE 0 END AS DOUBLE) AS oh_1,
+  CAST(CASE WHEN lang = c[3] THEN 1 ELSE 0 END AS DOUBLE) AS oh_2
+FROM documents, cats
+""")
+def q_one_hot(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang")
+    model = Pipeline(stages=M.one_hot_stages(["lang"])).fit(docs.where(F.col("lang") != "de"))
+    arr = vector_to_array(F.col("lang__oh"))
+    return model.transform(docs).select("doc_id", "lang", *[arr[i].alias(f"oh_{i}") for i in range(3)])
+
+
+@register("ordinal", """
+WITH cats AS (SELECT list_sort(list(DISTINCT lang)) AS c FROM documents WHERE lang <> 'de')
+SELECT doc_id, lang, CAST(coalesce(list_position(c, lang), 0) - 1 AS INTEGER) AS lang_ord
+FROM documents, cats
+""")
+def q_ordinal(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang")
+    m = M.CategoryIndexer(inputCols=["lang"], outputCols=["lang_ord"]).fit(docs.where(F.col("lang") != "de"))
+    return m.transform(docs)
+
+
+@register("stratified_folds", """
+SELECT doc_id, quality,
+       CAST((row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1)
+            % 5 AS INTEGER) AS fold
+FROM labels
+""")
+def q_stratified_folds(spark, sf):
+    lab = read_table(spark, sf, "labels").select("doc_id", "quality")
+    return E.stratified_folds(lab, "quality", "doc_id", k=5, seed=42)
+
+
+# ============================================================================ M9 neighbours
+from tabsight.operators import models as MD  # noqa: E402
+
+
+@register("knn", """
+WITH f AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
+                  (row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) - 1)
+                  % 5 AS fold
+           FROM embeddings),
+d AS (SELECT q.vec_id AS qid, t.vec_id AS tid, list_distance(q.v, t.v) AS dist
+      FROM f q JOIN f t ON q.fold = 0 AND t.fold <> 0)
+SELECT qid, CAST(rank AS INTEGER) AS rank, tid, round(dist, 6) AS dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rank FROM d) WHERE rank <= 5
+""")
+def q_knn(spark, sf):
+    emb = E.stratified_folds(read_table(spark, sf, "embeddings"), "label", "vec_id", k=5, seed=42)
+    vec = F.col("embedding").cast("array<double>")
+    query = emb.where(F.col("fold") == 0).select(F.col("vec_id").alias("qid"), vec.alias("qv"))
+    train = emb.where(F.col("fold") != 0).select(F.col("vec_id").alias("tid"), vec.alias("tv"),
+                                                 F.col("label").cast("double").alias("tlabel"))
+    nb = MD.knn_neighbours(query, train, k=5, p=2)
+    return nb.select("qid", "rank", "tid", F.round("dist", 6).alias("dist"))

@@ -28,16 +28,21 @@ DEFAULT_BUCKETS = 256
 
 
 def ordered_prefix(df: DataFrame, groups: list[str], order_col: str, weight_col: str,
-                   n_buckets: int = DEFAULT_BUCKETS, out_col: str = "before") -> DataFrame:
+                   n_buckets: int = DEFAULT_BUCKETS, out_col: str = "before",
+                   bucket_col: str | None = None, tiebreak: list[str] | None = None) -> DataFrame:
+    """``bucket_col`` (numeric, monotone in the order) picks the buckets when
+    ``order_col`` is not numeric; ``tiebreak`` columns order rows with equal
+    ``order_col`` (rows must then be unique on (order_col, tiebreak))."""
     probs = [round(i / n_buckets, 10) for i in range(1, n_buckets)]
     gkeys = list(groups)
+    bcol = bucket_col or order_col
     cuts = (df.groupBy(*gkeys)
-              .agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10 * n_buckets)
+              .agg(F.percentile_approx(F.col(bcol).cast("double"), probs, 10 * n_buckets)
                    .alias("__cuts")))
     # cut points: one bounded array per group -> safe to broadcast (groups x buckets doubles)
     with_b = (df.join(F.broadcast(cuts), gkeys, "left") if gkeys
               else df.crossJoin(F.broadcast(cuts)))
-    x = F.col(order_col).cast("double")
+    x = F.col(bcol).cast("double")
     with_b = with_b.withColumn(
         "__bucket", F.size(F.filter(F.array_distinct("__cuts"), lambda c: c < x))).drop("__cuts")
     totals = with_b.groupBy(*gkeys, "__bucket").agg(F.sum(weight_col).alias("__bt"))
@@ -45,8 +50,12 @@ def ordered_prefix(df: DataFrame, groups: list[str], order_col: str, weight_col:
     offsets = totals.withColumn(
         "__off", F.coalesce(F.sum("__bt").over(w_off.rowsBetween(Window.unboundedPreceding, -1)),
                             F.lit(0))).drop("__bt")
-    w_in = (Window.partitionBy(*gkeys, "__bucket").orderBy(F.col(order_col))
-            .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    if tiebreak:
+        w_in = (Window.partitionBy(*gkeys, "__bucket").orderBy(F.col(order_col), *tiebreak)
+                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    else:
+        w_in = (Window.partitionBy(*gkeys, "__bucket").orderBy(F.col(order_col))
+                .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     inside = with_b.withColumn("__cum", F.sum(weight_col).over(w_in))
     out = (inside.join(F.broadcast(offsets), gkeys + ["__bucket"], "left")
                  .withColumn(out_col, F.col("__off") + F.col("__cum") - F.col(weight_col))
