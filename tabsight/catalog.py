@@ -906,3 +906,218 @@ def q_knn(spark, sf):
                                                  F.col("label").cast("double").alias("tlabel"))
     nb = MD.knn_neighbours(query, train, k=5, p=2)
     return nb.select("qid", "rank", "tid", F.round("dist", 6).alias("dist"))
+
+
+# ============================================================================ M8 - M16, E2 - E4 (rows checks)
+from tabsight.operators import select as SL  # noqa: E402
+from tabsight.operators import candidates as CD  # noqa: E402
+from tabsight.operators import tune as TN  # noqa: E402
+
+MODEL_NUM = ["n_chars"]
+MODEL_CAT = ["lang", "source"]
+
+
+def model_frame(spark, sf):
+    """documents JOIN labels with a double label and stratified folds (seed 42, k 5)."""
+    d = (read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id")
+         .select("doc_id", "n_chars", "lang", "source", F.col("quality").cast("double").alias("quality")))
+    return E.stratified_folds(d, "quality", "doc_id", k=5, seed=42)
+
+
+def _builder(name, **params):
+    def build(cols):
+        num = [c for c in cols if c in MODEL_NUM or c.startswith(("log", "freq", "groupby"))]
+        cat = [c for c in cols if c not in num]
+        return MD.make_classifier(name, num, cat, label="quality", id_col="doc_id", **params)
+    return build
+
+
+@register("cv_logreg")
+def q_cv_logreg(spark, sf):
+    data = model_frame(spark, sf)
+    m, s, sc = E.cv_scores(_builder("logreg", C=100.0, max_iter=100)(MODEL_NUM + MODEL_CAT), data, "quality")
+    return E.cv_frame(spark, "logreg", m, s, sc)
+
+
+@register("compare_models")
+def q_compare_models(spark, sf):
+    data = model_frame(spark, sf)
+    cols = MODEL_NUM + MODEL_CAT
+    builders = {"logreg": lambda: _builder("logreg", C=100.0, max_iter=100)(cols),
+                "tree": lambda: _builder("tree")(cols),
+                "rf": lambda: _builder("rf", n_estimators=50)(cols),
+                "gb": lambda: _builder("gb", n_estimators=20)(cols)}
+    return E.compare_models(builders, data, "quality")
+
+
+@register("coef_report")
+def q_coef_report(spark, sf):
+    data = model_frame(spark, sf)
+    fitted = _builder("logreg", C=100.0, max_iter=100)(MODEL_NUM + MODEL_CAT).fit(data)
+    return MD.coefficient_report(fitted, MD.feature_names(fitted, data))
+
+
+@register("knn_classify")
+def q_knn_classify(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+    emb = E.stratified_folds(read_table(spark, sf, "embeddings"), "label", "vec_id", k=5, seed=42)
+    data = emb.select("vec_id", "fold", F.col("label").cast("double").alias("label"),
+                      array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    knn = MD.KNNClassifier(k=14, p=2, weights="distance", idCol="vec_id", labelCol="label")
+    m, s, sc = E.cv_scores(knn, data, "label")
+    return E.cv_frame(spark, "knn", m, s, sc)
+
+
+@register("tree")
+def q_tree(spark, sf):
+    data = model_frame(spark, sf)
+    m, s, sc = E.cv_scores(_builder("tree")(MODEL_NUM + MODEL_CAT), data, "quality")
+    return E.cv_frame(spark, "tree", m, s, sc)
+
+
+@register("forest")
+def q_forest(spark, sf):
+    data = model_frame(spark, sf)
+    m, s, sc = E.cv_scores(_builder("rf", n_estimators=100)(MODEL_NUM + MODEL_CAT), data, "quality")
+    return E.cv_frame(spark, "rf", m, s, sc)
+
+
+@register("boosted")
+def q_boosted(spark, sf):
+    data = model_frame(spark, sf)
+    m, s, sc = E.cv_scores(_builder("xgb", n_estimators=20)(MODEL_NUM + MODEL_CAT), data, "quality")
+    return E.cv_frame(spark, "xgb", m, s, sc)
+
+
+# ============================================================================ F2 - F12, F17 (rows checks)
+@register("ablation")
+def q_ablation(spark, sf):
+    return SL.feature_ablation_all(_builder("logreg", max_iter=100), model_frame(spark, sf),
+                                   MODEL_NUM + MODEL_CAT, "quality")
+
+
+@register("permutation")
+def q_permutation(spark, sf):
+    data = model_frame(spark, sf)
+    model = _builder("logreg", max_iter=100)(MODEL_NUM + MODEL_CAT).fit(data.where(F.col("fold") != 0))
+    return SL.permutation_importance(model, data.where(F.col("fold") == 0), MODEL_NUM + MODEL_CAT,
+                                     "quality", key="doc_id", n_repeats=3)
+
+
+@register("removal_sets")
+def q_removal_sets(spark, sf):
+    return SL.removal_combinations(_builder("logreg", max_iter=100), model_frame(spark, sf), MODEL_NUM + MODEL_CAT,
+                                   ["lang", "source"], "quality")
+
+
+@register("snr_rank")
+def q_snr_rank(spark, sf):
+    data = model_frame(spark, sf)
+    base, gains = SL.single_gains(_builder("logreg", max_iter=100), data, ["lang"], ["n_chars", "source"], "quality")
+    df = spark.createDataFrame(gains, "col string, mean double, std double, delta double")
+    return SL.signal_to_noise(df)
+
+
+LI_CANDIDATE_REGISTRY = [
+    ("log(l_extendedprice)", "log", ["l_extendedprice"], "ln(abs(`l_extendedprice`) + 1)"),
+    ("l_extendedprice/l_quantity", "/", ["l_extendedprice", "l_quantity"],
+     "try_divide(`l_extendedprice`, `l_quantity`)"),
+    ("l_quantity*l_discount", "*", ["l_quantity", "l_discount"], "(`l_quantity` * `l_discount`)"),
+    ("freq(l_returnflag)", "freq", ["l_returnflag"], None),
+    ("groupby_then_mean(l_returnflag,l_extendedprice)", "groupby_then_mean",
+     ["l_returnflag", "l_extendedprice"], None),
+    ("groupby_then_rank(l_returnflag,l_quantity)", "groupby_then_rank", ["l_returnflag", "l_quantity"], None),
+]
+LI_CAND_NAMES = [r[0] for r in LI_CANDIDATE_REGISTRY]
+
+_LI_CAND_SQL = """
+SELECT l_orderkey, l_linenumber{extra},
+  round(ln(abs(l_extendedprice) + 1), 9) AS "log(l_extendedprice)",
+  round(CASE WHEN l_quantity = 0 THEN NULL ELSE l_extendedprice / l_quantity END, 9) AS "l_extendedprice/l_quantity",
+  round(l_quantity * l_discount, 9) AS "l_quantity*l_discount",
+  count(*) OVER (PARTITION BY l_returnflag) AS "freq(l_returnflag)",
+  round(avg(l_extendedprice) OVER (PARTITION BY l_returnflag), 9) AS "groupby_then_mean(l_returnflag,l_extendedprice)",
+  round(((rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1)
+         + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) + 1) / 2.0)
+        / count(*) OVER (PARTITION BY l_returnflag), 9) AS "groupby_then_rank(l_returnflag,l_quantity)"
+FROM lineitem
+"""
+
+
+@register("apply_candidates", _LI_CAND_SQL.format(extra=""))
+def q_apply_candidates(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    out = CD.apply_candidates(li, LI_CANDIDATE_REGISTRY)
+    return rounded(out.select("l_orderkey", "l_linenumber", *[F.col(f"`{n}`") for n in LI_CAND_NAMES]), 9)
+
+
+@register("corr_filter", f"""
+WITH j AS ({_LI_CAND_SQL.format(extra=", l_quantity, l_extendedprice, l_discount, l_tax")}),
+long AS ({" UNION ALL ".join(
+    f"SELECT '{c}' AS candidate, '{b}' AS base, abs(corr(\"{c}\", CAST({b} AS DOUBLE))) AS r FROM j"
+    for c in LI_CAND_NAMES for b in ['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'])})
+SELECT candidate, arg_max(base, r) AS correlated_with, round(max(r), 4) AS corr,
+       coalesce(max(r) >= 0.95, false) AS dropped
+FROM long GROUP BY candidate
+""")
+def q_corr_filter(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    out = CD.apply_candidates(li, LI_CANDIDATE_REGISTRY)
+    return SL.correlation_filter(out, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+                                 LI_CAND_NAMES, threshold=0.95)
+
+
+DOC_CANDIDATES = [
+    ("log(n_chars)", "log", ["n_chars"], "ln(abs(`n_chars`) + 1)"),
+    ("freq(source)", "freq", ["source"], None),
+    ("groupby_then_mean(lang,n_chars)", "groupby_then_mean", ["lang", "n_chars"], None),
+]
+
+
+@register("greedy")
+def q_greedy(spark, sf):
+    data = CD.apply_candidates(model_frame(spark, sf), DOC_CANDIDATES)
+    _, hist = SL.greedy_select(_builder("logreg", max_iter=100), data, MODEL_NUM + MODEL_CAT,
+                               [r[0] for r in DOC_CANDIDATES], "quality", threshold=0.001)
+    return hist
+
+
+@register("batch_ablation")
+def q_batch_ablation(spark, sf):
+    data = CD.apply_candidates(model_frame(spark, sf), DOC_CANDIDATES)
+    return SL.batch_ablation(_builder("logreg", max_iter=100), data, MODEL_NUM + MODEL_CAT,
+                             [r[0] for r in DOC_CANDIDATES], "quality", step=1)
+
+
+@register("registry")
+def q_registry(spark, sf):
+    data = CD.apply_candidates(model_frame(spark, sf), DOC_CANDIDATES)
+    names = [r[0] for r in DOC_CANDIDATES]
+    _, hist = SL.greedy_select(_builder("logreg", max_iter=100), data, MODEL_NUM + MODEL_CAT, names, "quality")
+    drops = SL.correlation_filter(data, MODEL_NUM, names)
+    reg = spark.createDataFrame(DOC_CANDIDATES, CD.REGISTRY_SCHEMA)
+    return SL.feature_registry(reg, hist, drops)
+
+
+@register("feature_sets")
+def q_feature_sets(spark, sf):
+    sets = {"all": MODEL_NUM + MODEL_CAT, "no_source": ["n_chars", "lang"], "only_lang": ["lang"]}
+    return SL.compare_feature_sets(_builder("logreg", max_iter=100), model_frame(spark, sf), sets, "quality")
+
+
+@register("candidates")
+def q_candidates(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    reg = CD.generate_candidates(spark, ["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag"],
+                                 unary=["log", "freq"], binary=["/"], group=["mean", "rank"])
+    scored = CD.score_candidates(CD.apply_candidates(li, reg), reg, "l_linestatus")
+    return CD.importance_report(CD.top_candidates(scored, 10), 10)
+
+
+# ============================================================================ T1 - T3 (rows checks)
+@register("random_search")
+def q_random_search(spark, sf):
+    data = model_frame(spark, sf)
+    trials, best, _ = TN.search(lambda p: _builder("logreg", max_iter=100, **p)(MODEL_NUM + MODEL_CAT), "logreg",
+                                data, "quality", n_iter=4, refit=False)
+    return trials

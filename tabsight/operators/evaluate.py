@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,22 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = N_SPLITS, see
                .drop("__h", "__hb", "__one", "__pos"))
 
 
+class cached_frame:
+    """Context manager: persist a frame for a block of CV runs unless already cached."""
+
+    def __init__(self, data: DataFrame):
+        self.data = data
+        self.own = not data.storageLevel.useMemory and not data.storageLevel.useDisk
+
+    def __enter__(self) -> DataFrame:
+        return self.data.persist(StorageLevel.MEMORY_AND_DISK) if self.own else self.data
+
+    def __exit__(self, *exc):
+        if self.own:
+            self.data.unpersist()
+        return False
+
+
 def accuracy(pred: DataFrame, label: str, pred_col: str = "prediction") -> DataFrame:
     return pred.agg(F.avg((F.col(pred_col) == F.col(label).cast("double")).cast("double"))
                     .alias("accuracy"))
@@ -61,11 +78,22 @@ def _fold_score(estimator, data: DataFrame, label: str, fold_col: str, f: int,
 
 def cv_scores(estimator, data: DataFrame, label: str, fold_col: str = "fold",
               k: int = N_SPLITS, scoring: str = "accuracy",
-              parallelism: int = 2) -> tuple[float, float, list[float]]:
-    """(mean, population std, per-fold scores) of ``estimator`` over the folds."""
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        scores = list(ex.map(lambda f: _fold_score(estimator, data, label, fold_col, f, scoring),
-                             range(k)))
+              parallelism: int = 5) -> tuple[float, float, list[float]]:
+    """(mean, population std, per-fold scores) of ``estimator`` over the folds.
+
+    The folded frame is cached for the k fits (each fit makes several passes)
+    unless the caller already cached it.
+    """
+    own = not data.storageLevel.useMemory and not data.storageLevel.useDisk
+    if own:
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+            scores = list(ex.map(lambda f: _fold_score(estimator, data, label, fold_col, f, scoring),
+                                 range(k)))
+    finally:
+        if own:
+            data.unpersist()
     mean = sum(scores) / len(scores)
     std = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
     return mean, std, scores
