@@ -726,8 +726,9 @@ FROM c, r
 """)
 def q_hist_by_target(spark, sf):
     base = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id")
-    return rounded(G.histogram_by_target(base, "n_chars", "quality", 20), 6).withColumn(
-        "density", F.round("density", 9))
+    h = G.histogram_by_target(base, "n_chars", "quality", 20)
+    return h.select("target", "bin", F.round("lower", 6).alias("lower"), "count",
+                    F.round("density", 9).alias("density"))
 
 
 @register("kde", """
