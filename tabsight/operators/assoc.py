@@ -37,46 +37,74 @@ def _num(df: DataFrame, c: str):
 
 
 # ----------------------------------------------------------------------------- pearson
+def _pair_long(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(pair, x, y) for every pair, restricted to pairwise-complete rows.
+
+    Unpivoting inside the task keeps each aggregate small and codegen-friendly
+    (one wide aggregate with three moments per pair compiles poorly); partial
+    aggregation sends one row per pair and partition to the shuffle.
+    """
+    structs = [F.struct(F.lit(i).alias("pair"), _num(df, a).alias("x"), _num(df, b).alias("y"))
+               for i, (a, b) in enumerate(pairs)]
+    return (df.select(F.inline(F.array(*structs)))
+              .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
+
+
+def _clamp(r):
+    """Into [-1, 1] against rounding; NULL stays NULL (greatest/least skip NULLs)."""
+    return F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+
+
+def _pearson_by_pair(long: DataFrame) -> DataFrame:
+    r = F.covar_pop("x", "y") / F.sqrt(F.nullif(F.var_pop("x") * F.var_pop("y"), F.lit(0.0)))
+    return long.groupBy("pair").agg(_clamp(r).alias("correlation"))
+
+
 def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(feature_1, feature_2, correlation) for the given pairs, one aggregate."""
+    """(feature_1, feature_2, correlation) for the given pairs, one scan."""
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    structs = [F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"),
-                        pairwise_corr(_num(df, a), _num(df, b)).alias("correlation"))
-               for a, b in pairs]
-    return df.agg(F.array(*structs).alias("s")).select(F.inline("s"))
+    res = _pearson_by_pair(_pair_long(df, pairs))
+    return _pair_names(df, pairs).join(F.broadcast(res), "pair", "left").select(
+        "feature_1", "feature_2", "correlation")
 
 
-def _mirror(upper: DataFrame, cols: list[str], diag: DataFrame) -> DataFrame:
-    lower = upper.select(F.col("feature_2").alias("feature_1"),
-                         F.col("feature_1").alias("feature_2"), "correlation")
-    return upper.unionByName(lower).unionByName(diag)
+def _full_matrix(upper_and_diag: DataFrame) -> DataFrame:
+    """Mirror the upper triangle (diagonal rows have feature_1 == feature_2)."""
+    both = F.array(F.struct(F.col("feature_1").alias("f1"), F.col("feature_2").alias("f2")),
+                   F.struct(F.col("feature_2").alias("f1"), F.col("feature_1").alias("f2")))
+    r = F.when((F.col("feature_1") == F.col("feature_2")) & F.col("correlation").isNotNull(),
+               F.lit(1.0)).otherwise(F.col("correlation"))
+    return (upper_and_diag.select(F.explode(F.array_distinct(both)).alias("p"), r.alias("correlation"))
+                          .select(F.col("p.f1").alias("feature_1"), F.col("p.f2").alias("feature_2"),
+                                  "correlation"))
 
 
-def _diag(df: DataFrame, cols: list[str]) -> DataFrame:
-    """r(x, x): 1 where x has a non-zero variance, else NULL."""
-    structs = [F.struct(F.lit(c).alias("feature_1"), F.lit(c).alias("feature_2"),
-                        F.when(F.stddev_pop(_num(df, c)) > 0, F.lit(1.0)).alias("correlation"))
-               for c in cols]
-    return df.agg(F.array(*structs).alias("s")).select(F.inline("s"))
+def _diag_pairs(cols: list[str]) -> list[tuple[str, str]]:
+    return [(c, c) for c in cols]
 
 
 def correlation_matrix(df: DataFrame, target: str | None = None, include_target: bool = True,
                        method: str = "pearson", columns: list[str] | None = None) -> DataFrame:
-    """Full k x k matrix in long form (feature_1, feature_2, correlation)."""
+    """Full k x k matrix in long form (feature_1, feature_2, correlation).
+
+    Pearson: the upper triangle and the diagonal come from one scan (r(x, x) is 1
+    where x varies, NULL where it is constant); ranks methods add the diagonal
+    from the same Pearson pass.
+    """
     cols = columns if columns is not None else corr_columns(df, target, include_target)
     if not cols:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     pairs = list(combinations(cols, 2))
     if method == "pearson":
-        upper = pearson_pairs(df, pairs)
-    elif method == "spearman":
+        return _full_matrix(pearson_pairs(df, pairs + _diag_pairs(cols)))
+    if method == "spearman":
         upper = spearman_pairs(df, pairs)
     elif method == "kendall":
         upper = kendall_pairs(df, pairs)
     else:
         raise ValueError("method must be 'pearson', 'spearman' or 'kendall'")
-    return _mirror(upper, cols, _diag(df, cols))
+    return _full_matrix(upper.unionByName(pearson_pairs(df, _diag_pairs(cols))))
 
 
 def correlation_wide(long: DataFrame, cols: list[str]) -> DataFrame:
@@ -122,8 +150,7 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         .alias("correlation"))
     names = _pair_names(df, pairs)
     return names.join(agg, "pair", "left").select("feature_1", "feature_2",
-                                                  F.least(F.greatest("correlation", F.lit(-1.0)),
-                                                          F.lit(1.0)).alias("correlation"))
+                                                  _clamp(F.col("correlation")).alias("correlation"))
 
 
 # ----------------------------------------------------------------------------- kendall

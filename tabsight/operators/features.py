@@ -138,11 +138,11 @@ def cut(df: DataFrame, col: str, edges: list[float], out_col: str | None = None)
     return df.withColumn(out_col or f"{col}_bin", cut_expr(_c(col).cast("double"), edges))
 
 
-def quantile_edges(df: DataFrame, col: str, q: int) -> DataFrame:
+def quantile_edges(df: DataFrame, col: str, q: int, method: str = "auto") -> DataFrame:
     """One row ``__edges``: the q+1 linear-interpolated quantile edges (exact)."""
+    from tabsight.operators.quantiles import quantile_arrays
     probs = [round(i / q, 10) for i in range(q + 1)]
-    return df.agg(F.percentile(_c(col).cast("double"), F.array(*[F.lit(p) for p in probs]))
-                  .alias("__edges"))
+    return quantile_arrays(df, [col], probs, method).select(F.col("q").alias("__edges"))
 
 
 def qbin_expr(x: Column, edges: Column, q: int) -> Column:

@@ -52,11 +52,14 @@ class InverseStrengthLogisticRegression(Estimator, HasFeaturesCol, HasLabelCol):
     C = Param(Params._dummy(), "C", "inverse regularisation strength", TypeConverters.toFloat)
     l1Ratio = Param(Params._dummy(), "l1Ratio", "elastic-net mixing", TypeConverters.toFloat)
     maxIter = Param(Params._dummy(), "maxIter", "iterations", TypeConverters.toInt)
+    tol = Param(Params._dummy(), "tol", "convergence tolerance", TypeConverters.toFloat)
 
     @keyword_only
-    def __init__(self, featuresCol="features", labelCol="label", C=1.0, l1Ratio=0.0, maxIter=100):
+    def __init__(self, featuresCol="features", labelCol="label", C=1.0, l1Ratio=0.0, maxIter=100,
+                 tol=1e-4):
         super().__init__()
-        self._setDefault(featuresCol="features", labelCol="label", C=1.0, l1Ratio=0.0, maxIter=100)
+        self._setDefault(featuresCol="features", labelCol="label", C=1.0, l1Ratio=0.0, maxIter=100,
+                         tol=1e-4)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame):
@@ -65,7 +68,8 @@ class InverseStrengthLogisticRegression(Estimator, HasFeaturesCol, HasLabelCol):
         lr = LogisticRegression(featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol(),
                                 regParam=1.0 / (c * max(n, 1)),
                                 elasticNetParam=self.getOrDefault(self.l1Ratio),
-                                maxIter=self.getOrDefault(self.maxIter), standardization=False)
+                                maxIter=self.getOrDefault(self.maxIter), standardization=False,
+                                tol=self.getOrDefault(self.tol))
         return lr.fit(df)
 
 
@@ -197,7 +201,8 @@ def classifier_stage(name: str, label: str = "label", features: str = "features"
     if name == "logreg":
         return InverseStrengthLogisticRegression(C=float(p.get("C", 1.0)),
                                                  l1Ratio=float(p.get("l1_ratio") or 0.0),
-                                                 maxIter=int(p.get("max_iter", 100)), **common)
+                                                 maxIter=int(p.get("max_iter", 100)),
+                                                 tol=float(p.get("tol", 1e-4)), **common)
     if name == "knn":
         return KNNClassifier(k=int(p["n_neighbors"]), p=int(p.get("p", 2)),
                              weights=p.get("weights", "uniform"), idCol=id_col, **common)

@@ -19,7 +19,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsight.functions.stats import pct, quantiles
+from tabsight.functions.stats import pct
+from tabsight.operators.quantiles import grouped_quantile_arrays
 from tabsight.functions.types import check_col, numeric_cols
 
 HIST_SCHEMA = "column_name string, bin int, lower double, upper double, count bigint"
@@ -95,8 +96,7 @@ def boxplot_long(df: DataFrame, cols: list[str], by: str | None = None,
         # rows without a group level are not drawn
         long = long.where(F.col("group").isNotNull())
         keys.append("group")
-    q = (long.groupBy(*keys)
-             .agg(quantiles("x", [0.25, 0.5, 0.75], approx=approx).alias("q"))
+    q = (grouped_quantile_arrays(long, keys, "x", [0.25, 0.5, 0.75], "approx" if approx else "auto")
              .select(*[F.col(k).alias(f"__{k}") for k in keys],
                      F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                      F.col("q")[2].alias("q3")))

@@ -97,3 +97,22 @@ def test_value_counts_null_is_a_value(spark):
     df = spark.createDataFrame([("a",), (None,), (None,), ("b",)], "s string")
     rows = P.value_counts(df, "s", top_n=2).collect()
     assert rows[0].value is None and rows[0]["count"] == 2
+
+
+def test_quantile_methods_agree(spark):
+    import random
+    from tabsight.operators.quantiles import grouped_quantile_arrays, quantile_arrays
+    rnd = random.Random(11)
+    rows = [(rnd.choice("abc"), float(rnd.randint(0, 30)) if rnd.random() < 0.8 else rnd.random())
+            for _ in range(3000)] + [("a", None), ("d", 5.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    a = quantile_arrays(df, ["x"], probs, "map").first().q
+    b = quantile_arrays(df, ["x"], probs, "select").first().q
+    assert list(a) == list(b)
+    ga = {r.g: list(r.q) for r in grouped_quantile_arrays(df, ["g"], "x", probs, "map").collect()}
+    gb = {r.g: list(r.q) for r in grouped_quantile_arrays(df, ["g"], "x", probs, "select").collect()}
+    assert ga == gb
+    m1 = P.numeric_moments(df, ["x"], method="map").first()
+    m2 = P.numeric_moments(df, ["x"], method="select").first()
+    assert (m1.q25, m1.q50, m1.q75, m1["count"]) == (m2.q25, m2.q50, m2.q75, m2["count"])
