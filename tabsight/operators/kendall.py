@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+DEFAULT_BUCKETS = 32
 
 
 def _dominance(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -71,24 +71,27 @@ def _in_ybucket(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _bucket(df: DataFrame, col: str, out: str, n_buckets: int) -> DataFrame:
-    probs = [round(i / n_buckets, 10) for i in range(1, n_buckets)]
-    cuts = df.groupBy("pair").agg(
-        F.array_distinct(F.percentile_approx(F.col(col), probs, 10 * n_buckets)).alias(f"__c_{out}"))
-    # one bounded array per pair (pairs x buckets doubles)
-    v = F.col(col)
-    return (df.join(F.broadcast(cuts), "pair")
-              .withColumn(out, F.size(F.filter(F.col(f"__c_{out}"), lambda c: c < v)))
-              .drop(f"__c_{out}"))
-
-
-def kendall_tau_b_cells(cells: DataFrame, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """(pair, correlation) with Kendall tau-b for every pair present in ``cells``."""
+    from tabsight.operators.quantiles import bucketize
+    # cut points per pair from the cells; buckets in value order (dense ranks not needed)
+    return bucketize(df, ["pair"], col, n_buckets, out)
+
+
+def kendall_tau_b_cells(cells: DataFrame, n_buckets: int | None = None) -> DataFrame:
+    """(pair, correlation) with Kendall tau-b for every pair present in ``cells``.
+
+    ``n_buckets`` per axis defaults from the estimated input size: 2 for small
+    inputs (the in-bucket pandas sweeps then see everything), ``DEFAULT_BUCKETS``
+    beyond.
+    """
+    if n_buckets is None:
+        from tabsight.operators.ranks import prefix_levels
+        n_buckets = DEFAULT_BUCKETS if prefix_levels(cells) > 0 else 2
     b = _bucket(_bucket(cells, "x", "xb", n_buckets), "y", "yb", n_buckets)
 
     # grid term: dense pairs x buckets x buckets table, two running sums
     grid = b.groupBy("pair", "xb", "yb").agg(F.sum("n").alias("t"))
     # every (xb, yb) of a pair, generated from a sequence (pairs x buckets^2 rows)
-    seq = F.sequence(F.lit(0), F.lit(n_buckets - 1))
+    seq = F.sequence(F.lit(0), F.lit(2 * n_buckets - 1))  # interval and point buckets
     dense = (cells.select("pair").distinct()
                   .select("pair", F.explode(seq).alias("xb"))
                   .select("pair", "xb", F.explode(seq).alias("yb"))

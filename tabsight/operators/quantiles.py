@@ -40,20 +40,27 @@ def _count_below(arr: Column, x: Column, lo: int, hi: int) -> Column:
         _count_below(arr, x, lo, mid))
 
 
-def _bucketize(data: DataFrame, keys: list[str], n_buckets: int, small_keys: bool,
-               out: str) -> DataFrame:
-    """Adds bucket ``out``: 2k for the open interval below cut k, 2k+1 for x == cut k."""
+def bucketize(data: DataFrame, keys: list[str], value: str, n_buckets: int, out: str,
+              small_keys: bool = True) -> DataFrame:
+    """Adds bucket ``out`` of numeric ``value`` within each ``keys`` group, in value order:
+    2k for the open interval below cut k, 2k+1 for value == cut k (a point bucket).
+
+    Cut points: ``percentile_approx`` per group (one bounded array per group,
+    broadcast when ``small_keys``).  The bucket is found by a fixed-depth binary
+    search expression, so the per-row cost is log2(n_buckets) comparisons.
+    """
     m = n_buckets - 1
     probs = [round(i / n_buckets, 10) for i in range(1, n_buckets)]
+    v = F.col(value).cast("double")
     cuts = (data.groupBy(*keys).agg(
-        F.array_sort(F.array_distinct(F.percentile_approx("__x", probs, 20 * n_buckets))).alias("__c")))
+        F.array_sort(F.array_distinct(F.percentile_approx(v, probs, 20 * n_buckets))).alias("__c")))
     # pad to a fixed length with +inf so every index exists
     cuts = cuts.withColumn("__c", F.concat("__c", F.array_repeat(F.lit(_INF), F.lit(m) - F.size("__c"))))
     if keys:
         b = data.join(F.broadcast(cuts) if small_keys else cuts, keys)
     else:
         b = data.crossJoin(F.broadcast(cuts))  # one row
-    x = F.col("__x")
+    x = v
     below = _count_below(F.col("__c"), x, 0, m)
     at_cut = F.when(below < m, F.try_element_at(F.col("__c"), F.least(below, F.lit(m - 1)) + 1) == x) \
               .otherwise(False)
@@ -77,14 +84,14 @@ def _locate(data: DataFrame, keys: list[str], bcol: str, targets: DataFrame) ->
 def select_ranks(data: DataFrame, keys: list[str], targets: DataFrame, n_buckets: int = DEFAULT_BUCKETS,
                  small_keys: bool = True) -> DataFrame:
     """(keys, __r, __v): the value of 0-based rank __r of ``__x`` within each group."""
-    b1 = _bucketize(data, keys, n_buckets, small_keys, "__b1")
+    b1 = bucketize(data, keys, "__x", n_buckets, "__b1", small_keys)
     direct1, refine1 = _locate(b1, keys, "__b1", targets)
     need1 = refine1.select(*keys, "__b1").distinct()
     rows1 = b1.join(F.broadcast(need1) if small_keys else need1, keys + ["__b1"])
     # level 2: inside each needed level-1 bucket, ranks relative to the bucket start
     k2 = keys + ["__b1"]
     t2 = refine1.select(*k2, (F.col("__r") - F.col("__start")).alias("__r"), F.col("__r").alias("__r0"))
-    b2 = _bucketize(rows1, k2, n_buckets, small_keys, "__b2")
+    b2 = bucketize(rows1, k2, "__x", n_buckets, "__b2", small_keys)
     direct2, refine2 = _locate(b2, k2, "__b2", t2.select(*k2, "__r"))
     need2 = refine2.select(*k2, "__b2").distinct()
     rows2 = b2.join(F.broadcast(need2) if small_keys else need2, k2 + ["__b2"])

@@ -8,13 +8,13 @@
 A window ``sum() over (partition by group order by value)`` would send every
 distinct value of a group to one task.  Instead:
 
-1. ``percentile_approx`` per group picks ``n_buckets`` cut points over the
-   distinct values (a bounded array per group: groups x buckets values);
-2. each row gets its bucket (count of cut points below the value);
-3. bucket totals (groups x buckets rows) get their offsets from a window over
+1. ``percentile_approx`` per group picks cut points over the distinct values
+   (a bounded array per group), and again per (group, bucket): two levels of
+   buckets found by binary search (``operators.quantiles.bucketize``);
+2. bucket totals (groups x buckets rows) get their offsets from a window over
    that small table;
-4. the running sum inside a bucket is a window partitioned by (group, bucket),
-   so each task sees about 1/n_buckets of the distinct values.
+3. the running sum inside a bucket is a window partitioned by
+   (group, bucket, sub-bucket), so each task sees a small slice of the values.
 
 The cut points only balance the work; the result is exact for any cut points.
 """
@@ -24,48 +24,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+DEFAULT_BUCKETS = 128
+
+
+# Estimated input sizes (Catalyst statistics, no job) for 0 / 1 / 2 bucket levels.
+ONE_LEVEL_BYTES = 256 << 20
+TWO_LEVEL_BYTES = 64 << 30
+
+
+def prefix_levels(df: DataFrame) -> int:
+    """0: a window per group is small enough; 1 or 2 bucket levels beyond that.
+
+    Sources without statistics (Long.MaxValue estimate) count as small.
+    """
+    from tabsight.operators.quantiles import plan_size_bytes
+    size = plan_size_bytes(df)
+    if size < ONE_LEVEL_BYTES or size >= (1 << 62):
+        return 0
+    return 1 if size < TWO_LEVEL_BYTES else 2
 
 
 def ordered_prefix(df: DataFrame, groups: list[str], order_col: str, weight_col: str,
                    n_buckets: int = DEFAULT_BUCKETS, out_col: str = "before",
-                   bucket_col: str | None = None, tiebreak: list[str] | None = None) -> DataFrame:
+                   bucket_col: str | None = None, tiebreak: list[str] | None = None,
+                   levels: int | None = None) -> DataFrame:
     """``bucket_col`` (numeric, monotone in the order) picks the buckets when
     ``order_col`` is not numeric; ``tiebreak`` columns order rows with equal
-    ``order_col`` (rows must then be unique on (order_col, tiebreak))."""
-    probs = [round(i / n_buckets, 10) for i in range(1, n_buckets)]
+    ``order_col`` (rows must then be unique on (order_col, tiebreak)).
+
+    ``levels`` bucket levels (``n_buckets`` each; default from the estimated
+    input size) keep every in-bucket window small; bucket totals and their
+    offsets live in a table of groups x buckets rows.
+    """
+    from tabsight.operators.quantiles import bucketize
     gkeys = list(groups)
     bcol = bucket_col or order_col
-    cuts = (df.groupBy(*gkeys)
-              .agg(F.percentile_approx(F.col(bcol).cast("double"), probs, 10 * n_buckets)
-                   .alias("__cuts")))
-    # cut points: one bounded array per group -> safe to broadcast (groups x buckets doubles)
-    with_b = (df.join(F.broadcast(cuts), gkeys, "left") if gkeys
-              else df.crossJoin(F.broadcast(cuts)))
-    x = F.col(bcol).cast("double")
-    with_b = with_b.withColumn(
-        "__bucket", F.size(F.filter(F.array_distinct("__cuts"), lambda c: c < x))).drop("__cuts")
-    totals = with_b.groupBy(*gkeys, "__bucket").agg(F.sum(weight_col).alias("__bt"))
-    w_off = Window.partitionBy(*gkeys).orderBy("__bucket") if gkeys else Window.orderBy("__bucket")
-    offsets = totals.withColumn(
-        "__off", F.coalesce(F.sum("__bt").over(w_off.rowsBetween(Window.unboundedPreceding, -1)),
-                            F.lit(0))).drop("__bt")
+    lv = prefix_levels(df) if levels is None else levels
+    bks = [f"__b{i + 1}" for i in range(lv)]
+    b = df
+    for i, bk in enumerate(bks):
+        b = bucketize(b, gkeys + bks[:i], bcol, n_buckets, bk, small_keys=(i == 0))
+    if bks:
+        totals = b.groupBy(*gkeys, *bks).agg(F.sum(weight_col).alias("__bt"))
+        w_off = (Window.partitionBy(*gkeys) if gkeys else Window).orderBy(*bks)
+        offsets = totals.withColumn(
+            "__off", F.coalesce(F.sum("__bt").over(w_off.rowsBetween(Window.unboundedPreceding, -1)),
+                                F.lit(0))).drop("__bt")
+    part = Window.partitionBy(*gkeys, *bks) if (gkeys or bks) else Window
     if tiebreak:
-        w_in = (Window.partitionBy(*gkeys, "__bucket").orderBy(F.col(order_col), *tiebreak)
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        w_in = part.orderBy(F.col(order_col), *tiebreak).rowsBetween(Window.unboundedPreceding,
+                                                                     Window.currentRow)
     else:
-        w_in = (Window.partitionBy(*gkeys, "__bucket").orderBy(F.col(order_col))
-                .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = with_b.withColumn("__cum", F.sum(weight_col).over(w_in))
-    out = (inside.join(F.broadcast(offsets), gkeys + ["__bucket"], "left")
-                 .withColumn(out_col, F.col("__off") + F.col("__cum") - F.col(weight_col))
-                 .drop("__bucket", "__cum", "__off"))
-    return out
+        w_in = part.orderBy(F.col(order_col)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = b.withColumn("__cum", F.sum(weight_col).over(w_in))
+    if not bks:
+        return inside.withColumn(out_col, F.col("__cum") - F.col(weight_col)).drop("__cum")
+    return (inside.join(offsets, gkeys + bks, "left")
+                  .withColumn(out_col, F.col("__off") + F.col("__cum") - F.col(weight_col))
+                  .drop(*bks, "__cum", "__off"))
 
 
 def average_ranks(counts: DataFrame, groups: list[str], value_col: str, n_col: str,
-                  out_col: str = "rank", n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                  out_col: str = "rank", n_buckets: int = DEFAULT_BUCKETS,
+                  levels: int | None = None) -> DataFrame:
     """1-based average rank of each distinct value (ties share the mean rank)."""
-    pre = ordered_prefix(counts, groups, value_col, n_col, n_buckets=n_buckets, out_col="__before")
+    pre = ordered_prefix(counts, groups, value_col, n_col, n_buckets=n_buckets, out_col="__before",
+                         levels=levels)
     return (pre.withColumn(out_col, F.col("__before") + (F.col(n_col) + 1) / 2.0)
                .drop("__before"))

@@ -98,3 +98,18 @@ def test_mutual_info_identity_is_entropy(spark):
     mi = A.mutual_info(df, ["x"], "y").first().mi
     h = -sum((ys.count(v) / 6) * math.log(ys.count(v) / 6) for v in set(ys))
     assert mi == pytest.approx(h, abs=1e-12)
+
+
+@pytest.mark.parametrize("levels", [0, 1, 2])
+def test_ordered_prefix_levels_agree(spark, levels):
+    from pyspark.sql import functions as F
+    from tabsight.operators.ranks import ordered_prefix
+    rnd = random.Random(levels)
+    rows = [(rnd.choice("ab"), float(rnd.randint(0, 40)) if rnd.random() < 0.7 else rnd.random(), i)
+            for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v double, k long").withColumn("w", F.lit(1))
+    got = {r.k: r.before for r in ordered_prefix(df, ["g"], "v", "w", n_buckets=8, tiebreak=["k"],
+                                                 levels=levels).collect()}
+    for g, v, k in rows:
+        expect = sum(1 for g2, v2, k2 in rows if g2 == g and (v2, k2) < (v, k))
+        assert got[k] == expect
