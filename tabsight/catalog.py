@@ -1122,3 +1122,109 @@ def q_random_search(spark, sf):
     trials, best, _ = TN.search(lambda p: _builder("logreg", max_iter=100, **p)(MODEL_NUM + MODEL_CAT), "logreg",
                                 data, "quality", n_iter=4, refit=False)
     return trials
+
+
+# ============================================================================ P3 / P4 roles, P9, P11, P12
+from tabsight.operators.freq import column_stats as _column_stats  # noqa: E402
+
+
+@register("col_roles", f"""
+SELECT column_name, logical_type,
+  CASE WHEN logical_type = 'numeric' THEN 'numeric'
+       WHEN logical_type IN ('categorical', 'boolean', 'high_cardinality') THEN 'categorical'
+       ELSE logical_type END AS pair_type,
+  list_sort(list_filter([CASE WHEN logical_type = 'numeric' THEN 'numeric' END,
+                         CASE WHEN logical_type IN ('categorical', 'boolean', 'high_cardinality')
+                                   OR (kind = 'numeric' AND n_unique <= 10) THEN 'categorical' END],
+                        lambda r: r IS NOT NULL)) AS roles
+FROM (SELECT *, CASE WHEN dtype IN ('bigint', 'int', 'double') THEN 'numeric' ELSE 'text' END AS kind
+      FROM {_stats_sql(DOCS_LABELS_SQL, DOCS_LABELS_COLS, 'quality')})
+""")
+def q_col_roles(spark, sf):
+    from tabsight.functions.types import roles_expr, simplify_expr
+    st = _column_stats(docs_labels(spark, sf), "quality")
+    return st.select("column_name", "logical_type", simplify_expr(F.col("logical_type")).alias("pair_type"),
+                     roles_expr(F.col("logical_type"), F.col("kind"), F.col("n_unique")).alias("roles"))
+
+
+@register("flag_below", """
+SELECT l_orderkey, l_linenumber, CAST(coalesce(l_quantity < 16, false) AS INTEGER) AS is_small FROM lineitem
+""")
+def q_flag_below(spark, sf):
+    li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return X.flag_below(li, "l_quantity", 16, "is_small").select("l_orderkey", "l_linenumber", "is_small")
+
+
+@register("outlier_rows", """
+WITH b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
+SELECT event_id, value FROM events, b WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)
+""")
+def q_outlier_rows(spark, sf):
+    ev = read_table(spark, sf, "events")
+    return P.detect_outliers_iqr(ev, "value").where("is_outlier").select("event_id", "value")
+
+
+@register("box_outliers", """
+WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
+           FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL GROUP BY event_type)
+SELECT e.event_id, e.event_type, e.value FROM events e JOIN q USING (event_type)
+WHERE e.value < q1 - 1.5 * (q3 - q1) OR e.value > q3 + 1.5 * (q3 - q1)
+""")
+def q_box_outliers(spark, sf):
+    ev = read_table(spark, sf, "events").select("event_id", "event_type", "value")
+    return G.box_outlier_rows(ev, "value", by="event_type")
+
+
+@register("regression_line", """
+SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope,
+       round(regr_intercept(l_extendedprice, l_quantity), 6) AS intercept,
+       round(regr_r2(l_extendedprice, l_quantity), 6) AS r2,
+       regr_count(l_extendedprice, l_quantity) AS n
+FROM lineitem
+""")
+def q_regression_line(spark, sf):
+    return rounded(G.regression_line(read_table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice"))
+
+
+@register("qcut_learned", """
+WITH e AS (SELECT quantile_cont(o_totalprice, [0.0, 0.25, 0.5, 0.75, 1.0]) AS edges FROM orders
+           WHERE o_orderstatus = 'F')
+SELECT o_orderkey, CAST(len(list_filter(edges[2:4], lambda v: v < o_totalprice)) AS INTEGER) AS price_bin
+FROM orders, e
+""")
+def q_qcut_learned(spark, sf):
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    m = X.QuantileBinner(inputCol="o_totalprice", outputCol="price_bin", numBins=4).fit(
+        o.where(F.col("o_orderstatus") == "F"))
+    return m.transform(o).select("o_orderkey", "price_bin")
+
+
+@register("score_bands", f"""
+WITH s AS ({ORACLE_SQL['mutual_info']})
+SELECT feature, mi, '>=0.005' AS band FROM s WHERE mi >= 0.005
+UNION ALL SELECT feature, mi, '>=0.002' FROM s WHERE mi >= 0.002
+UNION ALL SELECT feature, mi, '>=0.001' FROM s WHERE mi >= 0.001
+UNION ALL SELECT feature, mi, '>0.0' FROM s WHERE mi > 0.0
+""")
+def q_score_bands(spark, sf):
+    mi = QUERIES["mutual_info"](spark, sf)
+    return SL.threshold_bands(mi, "mi", [0.005, 0.002, 0.001, 0.0])
+
+
+# ============================================================================ E5, F16 (rows checks)
+@register("experiment")
+def q_experiment(spark, sf):
+    from tabsight.plans.experiment import run_experiment
+    d = (read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id")
+         .select("doc_id", "n_chars", "lang", "source", "quality"))
+    scores, _ = run_experiment(d, "quality", "doc_id", MODEL_NUM, MODEL_CAT, model="logreg",
+                               params={"C": 100.0, "max_iter": 100})
+    return scores
+
+
+@register("candidate_stage")
+def q_candidate_stage(spark, sf):
+    stage = CD.CandidateFeatureStage(_builder("logreg", max_iter=100), MODEL_NUM, MODEL_CAT, "quality",
+                                     n_features=2, ablation_step=1, unary=["log"], binary=[],
+                                     group=["mean"])
+    return stage.fit(model_frame(spark, sf)).registry_

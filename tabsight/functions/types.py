@@ -125,3 +125,18 @@ def plot_roles(logical_type: str, is_numeric_storage: bool, n_unique: int) -> se
     if is_numeric_storage and n_unique <= NUMERIC_AS_CATEGORICAL_MAX_UNIQUE:
         roles.add("categorical")
     return roles
+
+
+def simplify_expr(logical_type: Column) -> Column:
+    """Pair typing as a column expression (see ``simplify_type``)."""
+    return (F.when(logical_type == "numeric", "numeric")
+             .when(logical_type.isin("categorical", "boolean", "high_cardinality"), "categorical")
+             .otherwise(logical_type))
+
+
+def roles_expr(logical_type: Column, kind: Column, n_unique: Column) -> Column:
+    """Sorted role set as array<string> (see ``plot_roles``)."""
+    cat = (logical_type.isin("categorical", "boolean", "high_cardinality")
+           | ((kind == "numeric") & (n_unique <= NUMERIC_AS_CATEGORICAL_MAX_UNIQUE)))
+    return F.array_sort(F.array_compact(F.array(
+        F.when(logical_type == "numeric", F.lit("numeric")), F.when(cat, F.lit("categorical")))))

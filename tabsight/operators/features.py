@@ -181,3 +181,54 @@ class FeaturePlan:
         for _, fn in self.steps:
             df = fn(df)
         return df
+
+
+# ----------------------------------------------------------------------------- X13
+from pyspark import keyword_only  # noqa: E402
+from pyspark.ml import Estimator, Model  # noqa: E402
+from pyspark.ml.param import Param, Params, TypeConverters  # noqa: E402
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol  # noqa: E402
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable  # noqa: E402
+
+
+class QuantileBinner(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Quantile bins learned at ``fit`` (exact edges) and reused at ``transform``.
+
+    ``refit=True`` recomputes the edges on every transformed frame instead (the
+    per-frame behaviour).
+    """
+
+    numBins = Param(Params._dummy(), "numBins", "number of quantile bins", TypeConverters.toInt)
+    refit = Param(Params._dummy(), "refit", "recompute edges per frame", TypeConverters.toBoolean)
+
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None, numBins=4, refit=False):
+        super().__init__()
+        self._setDefault(numBins=4, refit=False)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame):
+        q = self.getOrDefault(self.numBins)
+        edges = list(quantile_edges(df, self.getInputCol(), q).first()[0])  # q+1 numbers
+        return QuantileBinnerModel(inputCol=self.getInputCol(), outputCol=self.getOutputCol(),
+                                   numBins=q, edges=edges, refit=self.getOrDefault(self.refit))
+
+
+class QuantileBinnerModel(Model, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    numBins = QuantileBinner.numBins
+    refit = QuantileBinner.refit
+    edges = Param(Params._dummy(), "edges", "learned bin edges", TypeConverters.toListFloat)
+
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None, numBins=4, edges=None, refit=False):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        q = self.getOrDefault(self.numBins)
+        if self.getOrDefault(self.refit):
+            return qcut(df, self.getInputCol(), q, self.getOutputCol())
+        e = F.array(*[F.lit(float(v)) for v in self.getOrDefault(self.edges)])
+        x = _c(self.getInputCol()).cast("double")
+        # outside the learned range: below -> bin 0, above -> last bin (edges clip)
+        return df.withColumn(self.getOutputCol(), qbin_expr(x, e, q))

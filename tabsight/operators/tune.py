@@ -68,7 +68,7 @@ def search(build, space: dict | str, data: DataFrame, label: str, n_iter: int =
     draws = [draw(space, rng) for _ in range(n_iter)]
 
     def run(i):
-        m, s, _ = cv_scores(build(dict(draws[i])), cached, label, fold_col, k, parallelism=1)
+        m, s, _ = cv_scores(build(dict(draws[i])), cached, label, fold_col, k, parallelism=k)
         return i, json.dumps(draws[i], sort_keys=True), float(m), float(s)
 
     with cached_frame(data) as cached, ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
