@@ -18,7 +18,6 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.functions.stats import pairwise_corr
 from tabsight.functions.types import check_col, is_corr_compatible, numeric_cols
 from tabsight.operators.ranks import average_ranks
 

@@ -172,15 +172,13 @@ def quantile_arrays(df: DataFrame, cols: list[str], probs: list[float], method:
     """(column_name, q array<double>) with q[i] the ``probs[i]`` quantile of each column."""
     probs = [float(p) for p in probs]
     m = resolve_method(df, method)
-    if m in ("map", "approx"):
-        def one(c):
-            x = F.col(f"`{c}`").cast("double")
-            q = (F.percentile_approx(x, probs, 10000) if m == "approx"
-                 else F.percentile(x, F.array(*[F.lit(p) for p in probs])))
-            return F.struct(F.lit(c).alias("column_name"), q.alias("q"))
-        return df.agg(F.array(*[one(c) for c in cols]).alias("s")).select(F.inline("s"))
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols])))
+    if m in ("map", "approx"):
+        x = F.col("x")
+        q = (F.percentile_approx(x, probs, 10000) if m == "approx"
+             else F.percentile(x, F.array(*[F.lit(p) for p in probs])))
+        return long.groupBy("column_name").agg(q.alias("q"))
     q = exact_quantiles(long, ["column_name"], "x", probs)
     return (q.groupBy("column_name")
              .agg(F.transform(F.array_sort(F.collect_list(F.struct("prob", "value"))), lambda s: s["value"])
