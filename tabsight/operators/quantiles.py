@@ -148,10 +148,22 @@ def quantile_columns(df: DataFrame, cols: list[str], probs: list[float], names:
 SELECT_THRESHOLD_BYTES = 8 << 30
 
 
+UNKNOWN_SIZE = 1 << 62
+
+
 def plan_size_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (no job is run)."""
+    """Input size of a plan: the summed size estimates of its leaf relations (no job).
+
+    The root estimate is not used: without column statistics Catalyst sizes a
+    join as the product of its inputs.  Leaves without statistics (e.g. RDD-based
+    frames) report Long.MaxValue; the result is then >= UNKNOWN_SIZE.
+    """
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total = 0
+        for i in range(leaves.size()):
+            total += int(str(leaves.apply(i).stats().sizeInBytes()))
+        return total
     except Exception:  # noqa: BLE001 - e.g. Spark Connect: no JVM handle
         return 0
 
@@ -165,7 +177,7 @@ def resolve_method(df: DataFrame, method: str = "auto") -> str:
     if method in ("map", "select", "approx"):
         return method
     size = plan_size_bytes(df)
-    return "select" if SELECT_THRESHOLD_BYTES < size < (1 << 62) else "map"
+    return "select" if SELECT_THRESHOLD_BYTES < size < UNKNOWN_SIZE else "map"
 
 
 def quantile_arrays(df: DataFrame, cols: list[str], probs: list[float], method: str = "auto") -> DataFrame:

@@ -39,7 +39,7 @@ def prefix_levels(df: DataFrame) -> int:
     """
     from tabsight.operators.quantiles import plan_size_bytes
     size = plan_size_bytes(df)
-    if size < ONE_LEVEL_BYTES or size >= (1 << 62):
+    if size < ONE_LEVEL_BYTES or size >= (1 << 62):  # small, or no statistics
         return 0
     return 1 if size < TWO_LEVEL_BYTES else 2
 
