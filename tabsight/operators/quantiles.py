@@ -31,6 +31,20 @@ DEFAULT_BUCKETS = 128
 _INF = float("inf")
 
 
+def materialize_cuts(cuts: DataFrame) -> DataFrame:
+    """Write the cut table once (reliable checkpoint in ``spark.checkpoint.dir``).
+
+    ``percentile_approx`` depends on the order in which partial sketches merge,
+    and the bucketed frame is read twice downstream (bucket totals and in-bucket
+    ranks).  If a lost executor forced a partial recomputation, the two readers
+    could see different cuts; reading one written table keeps them consistent.
+    The table is small: one array per group.
+    """
+    from tabsight.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(cuts.sparkSession)
+    return cuts.checkpoint(eager=True)
+
+
 def _count_below(arr: Column, x: Column, lo: int, hi: int) -> Column:
     """Number of elements < x in the sorted array slice [lo, hi) (binary search tree)."""
     if lo == hi:
@@ -56,6 +70,7 @@ def bucketize(data: DataFrame, keys: list[str], value: str, n_buckets: int, out:
         F.array_sort(F.array_distinct(F.percentile_approx(v, probs, 20 * n_buckets))).alias("__c")))
     # pad to a fixed length with +inf so every index exists
     cuts = cuts.withColumn("__c", F.concat("__c", F.array_repeat(F.lit(_INF), F.lit(m) - F.size("__c"))))
+    cuts = materialize_cuts(cuts)
     if keys:
         b = data.join(F.broadcast(cuts) if small_keys else cuts, keys)
     else:
