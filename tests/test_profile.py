@@ -125,3 +125,10 @@ def test_quasi_constant_paths_agree(spark):
     slow = {r.column_name: r.top_share
             for r in P._quasi_constant_by_freq(df, df.columns, 0.99).collect()}
     assert fast == slow == {"s": 0.995, "d": 0.995, "n": 0.998, "b": 0.995}
+
+
+def test_value_counts_requires_categorical_like(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(30)], "x double")
+    with pytest.raises(ValueError):
+        P.value_counts(df, "x")
+    assert P.value_counts(df, "x", col_type="any", top_n=3).count() == 3
