@@ -60,3 +60,15 @@ def test_first_char_and_flags(spark):
 def test_log1p_in_place(spark):
     df = spark.createDataFrame([(0.0,), (1.0,)], "f double")
     assert [round(r.f, 9) for r in X.log1p(df, "f").collect()] == [0.0, 0.693147181]
+
+
+def test_pair_plot_data(spark):
+    from tabsight.operators import plotdata as G
+    df = spark.createDataFrame([(float(i), float(i % 5), "a" if i % 2 else "b", None if i == 3 else 1.0)
+                                for i in range(40)], "x double, y double, h string, z double")
+    out = G.pair_plot_data(df, ["x", "y", "nope"], hue="h", bins=4)
+    assert set(out) == {"points", "hist_x", "hist_y"}
+    assert out["points"].count() == 40
+    assert sum(r["count"] for r in out["hist_x"].collect()) == 40
+    with pytest.raises(ValueError):
+        G.pair_plot_data(df, ["x"])
