@@ -61,7 +61,9 @@ class ExactImputer(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable
             else:
                 aggs = [F.percentile(_c(c).cast("double"), F.lit(0.5)).alias(c) for c in cols]
         elif strat == "most_frequent":
-            aggs = [F.mode(_c(c), True).alias(c) for c in cols]
+            values = most_frequent_values(df, cols)
+            outs = self.getOutputCols() if self.isSet(self.outputCols) else cols
+            return ExactImputerModel(inputCols=cols, outputCols=outs, state=json.dumps(values))
         else:
             raise ValueError("strategy must be 'median' or 'most_frequent'")
         row = df.agg(*aggs).first()  # one row: one value per column
@@ -70,6 +72,39 @@ class ExactImputer(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable
         return ExactImputerModel(inputCols=cols, outputCols=outs, state=json.dumps(values))
 
 
+def most_frequent_values(df: DataFrame, cols: list[str]) -> dict:
+    """Most frequent non-null value per column, lowest value on ties.
+
+    Value counts are one shuffle combined map-side (a hot value is one row per
+    partition); the winner per column is a ``min_by`` over (-count, value), with
+    numbers compared as numbers.  Returns one Python value per column.
+    """
+    kinds = {f.name: storage_kind(f.dataType) for f in df.schema.fields}
+    structs = [F.struct(F.lit(c).alias("column_name"),
+                        _c(c).cast("string").alias("sv"),
+                        (_c(c).cast("double") if kinds[c] in ("numeric", "boolean") else F.lit(None).cast("double"))
+                        .alias("dv"))
+               for c in cols]
+    counts = (df.select(F.inline(F.array(*structs))).where(F.col("sv").isNotNull())
+                .groupBy("column_name", "sv", "dv").agg(F.count(F.lit(1)).alias("n")))
+    best = counts.groupBy("column_name").agg(
+        F.min_by("sv", F.struct((-F.col("n")).alias("negn"), F.col("dv"), F.col("sv"))).alias("sv"))
+    found = {r.column_name: r.sv for r in best.collect()}  # one row per column
+    types = {f.name: f.dataType for f in df.schema.fields}
+    out = {}
+    for c in cols:
+        v = found.get(c)
+        if v is None:
+            out[c] = None
+        elif kinds[c] == "numeric":
+            out[c] = int(v) if types[c].typeName() in ("integer", "long", "short", "byte") else float(v)
+        elif kinds[c] == "boolean":
+            out[c] = v == "true"
+        else:
+            out[c] = v
+    return out
+
+
 class ExactImputerModel(Model, HasInputCols, HasOutputCols, _HasState,
                         DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only

@@ -65,3 +65,8 @@ def test_cv_logreg_beats_majority(spark):
     mean, std, scores = E.cv_scores(est, df, "y")
     majority = max(sum(r[3] for r in rows), 400 - sum(r[3] for r in rows)) / 400
     assert len(scores) == 5 and mean > majority and std >= 0
+
+
+def test_most_frequent_ties_numeric_order(spark):
+    df = spark.createDataFrame([(10, "b"), (9, "a"), (10, "a"), (9, "b"), (None, None)], "n int, s string")
+    assert M.most_frequent_values(df, ["n", "s"]) == {"n": 9, "s": "a"}
