@@ -72,3 +72,14 @@ def test_pair_plot_data(spark):
     assert sum(r["count"] for r in out["hist_x"].collect()) == 40
     with pytest.raises(ValueError):
         G.pair_plot_data(df, ["x"])
+
+
+def test_group_then_candidates(spark):
+    from tabsight.operators import candidates as CD
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", 10.0), ("b", 2.0), (None, 5.0)], "g string, v double")
+    rows = [("m", "groupby_then_median", ["g", "v"], None), ("mu", "groupby_then_mean", ["g", "v"], None),
+            ("f", "freq", ["g"], None), ("r", "groupby_then_rank", ["g", "v"], None)]
+    out = {(r.g, r.v): (r.m, r.mu, r.f, r.r) for r in CD.apply_candidates(df, rows).collect()}
+    assert out[("a", 3.0)] == (3.0, 14.0 / 3, 3, 2 / 3)
+    assert out[("b", 2.0)] == (2.0, 2.0, 1, 1.0)
+    assert out[(None, 5.0)] == (None, None, None, None)
