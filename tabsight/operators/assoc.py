@@ -262,9 +262,11 @@ def mutual_info(df: DataFrame, features: list[str], target: str,
     cont = [c for c in features if discrete.get(c) is False]
     base = df
     if cont:
+        from tabsight.operators.quantiles import quantile_arrays
         probs = [round(i / bins, 10) for i in range(1, bins)]
-        edges = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), probs).alias(f"__e{i}")
-                         for i, c in enumerate(cont)])
+        q = quantile_arrays(df, cont, probs)  # one row per continuous feature
+        edges = q.agg(*[F.max(F.when(F.col("column_name") == c, F.col("q"))).alias(f"__e{i}")
+                        for i, c in enumerate(cont)])
         base = df.crossJoin(F.broadcast(edges))  # one-row side
     vals = []
     for c in features:

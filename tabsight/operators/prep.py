@@ -56,20 +56,17 @@ class ExactImputer(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable
         cols = self.getInputCols()
         strat = self.getOrDefault(self.strategy)
         if strat == "median":
-            if self.getOrDefault(self.approx):
-                aggs = [F.percentile_approx(_c(c).cast("double"), 0.5, 10000).alias(c) for c in cols]
-            else:
-                aggs = [F.percentile(_c(c).cast("double"), F.lit(0.5)).alias(c) for c in cols]
+            from tabsight.operators.quantiles import quantile_arrays
+            method = "approx" if self.getOrDefault(self.approx) else "auto"
+            med = {r.column_name: r.q[0] for r in quantile_arrays(df, cols, [0.5], method).collect()}
+            values = {c: med.get(c) for c in cols}  # one value per column
+            outs = self.getOutputCols() if self.isSet(self.outputCols) else cols
+            return ExactImputerModel(inputCols=cols, outputCols=outs, state=json.dumps(values))
         elif strat == "most_frequent":
             values = most_frequent_values(df, cols)
             outs = self.getOutputCols() if self.isSet(self.outputCols) else cols
             return ExactImputerModel(inputCols=cols, outputCols=outs, state=json.dumps(values))
-        else:
-            raise ValueError("strategy must be 'median' or 'most_frequent'")
-        row = df.agg(*aggs).first()  # one row: one value per column
-        values = {c: row[c] for c in cols}
-        outs = self.getOutputCols() if self.isSet(self.outputCols) else cols
-        return ExactImputerModel(inputCols=cols, outputCols=outs, state=json.dumps(values))
+        raise ValueError("strategy must be 'median' or 'most_frequent'")
 
 
 def most_frequent_values(df: DataFrame, cols: list[str]) -> dict:
