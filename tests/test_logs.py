@@ -5,7 +5,7 @@ LINES = [
     "2026-04-24 16:27:16 | drop_features | score=0.8305 | std=0.0115 | drop=SibSp,Parch",
     '{"ts": "2026-04-25 13:54:09", "run_id": "compare_v1_2", "name": "RandomForest(n=300, depth=5)", '
     '"score": 0.832766, "std": 0.009757, "params": {"n_estimators": 300, "max_depth": 5}, '
-    '"tags": {"model": "rf", "dataset": "titanic"}}',
+    '"tags": {"model": "rf", "dataset": "passengers"}}',
     "2026-04-25 21:34:14 logreg score=0.830525 std=0.011483 params={}",
     "[2026-04-25 16:53:24] INFO    trainer — LogisticRegression(C=100, penalty=l2) | score=0.8305 ± 0.0115 "
     "| params={'max_iter': 2000, 'C': 100} | run_id=logreg_baseline",
