@@ -37,7 +37,7 @@ WITH RECURSIVE d AS (
          coalesce(sum(source_size * 3) OVER (ORDER BY source_size * 3.0 / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
          sum(weight) OVER (ORDER BY source_size * 3.0 / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM w
 ), l AS (
-  SELECT min(CAST(total - held AS DOUBLE) / CAST(open_w AS DOUBLE)) AS level FROM r
+  SELECT arg_min(CAST(total - held AS DOUBLE) / CAST(open_w AS DOUBLE), source_size * 3.0 / weight) AS level FROM r
   WHERE CAST(total - held AS DOUBLE) / CAST(open_w AS DOUBLE) * weight <= source_size * 3
 ), t AS (
   SELECT source, source_size, least(weight * (SELECT level FROM l), CAST(source_size * 3 AS DOUBLE)) AS target FROM w
