@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import mixing, simhash_trie
+from tabsight.llm import mixing, pst_lm, quality_cnn, simhash_trie
 from tabsight.session import read_table
 
 SHINGLE, MAX_BITS = 4, 4
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality classifier over all documents."""
+    return quality_cnn.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights over all documents."""
     return mixing.mix_plan(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -22,7 +27,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op9_simhash)}
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LM scoring by a probabilistic suffix tree over all documents."""
+    return pst_lm.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality, op4_mixing, op9_simhash, op10_lm_scores)}
 
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
