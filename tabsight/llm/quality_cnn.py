@@ -1,9 +1,10 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Bytes
-are embedded, a layer of learned filters slides over each chunk, a chunk keeps
-every filter's maximum, and a document combines the maximum and the mean of its
-chunks' values into one probability.
+are embedded, a layer of learned filters slides over each chunk and a chunk keeps
+every filter's maximum. A dense layer on these maxima sees which patterns a chunk
+has and which it lacks (one that repeats itself has few); a document combines the
+maximum and the mean of its chunks' dense values into one probability.
 
 The network is trained on the driver from a bounded sample of labelled rows: about
 ``max_docs`` rows chosen by a hash of their id, with at most ``train_chunks`` chunks
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from tabsight.llm.common import text_of
 
 CHUNK, STEP = 512, 448
-EMBED, BLOCK, FILTERS = 8, 4, 32
+EMBED, BLOCK, FILTERS, DENSE = 8, 4, 32, 24
 #: Held-out documents: crc32 of the id modulo FOLDS equals HELD.
 FOLDS, HELD = 3, 1
-MAX_DOCS, TRAIN_CHUNKS, EPOCHS, RATE, SEED = 4000, 12, 6, 4e-3, 42
+MAX_DOCS, TRAIN_CHUNKS, EPOCHS, RATE, SEED = 4000, 12, 20, 4e-3, 42
 SLICE = 1024
 
 
@@ -60,7 +61,8 @@ class ByteCNN:
         self.prior = prior
         self.p = {"emb": rng.normal(0, 0.5, (256, EMBED)).astype(f32),
                   "conv": rng.normal(0, 0.2, (2 * BLOCK * EMBED, FILTERS)).astype(f32), "bias": np.zeros(FILTERS, f32),
-                  "out": rng.normal(0, 0.1, 2 * FILTERS).astype(f32), "off": np.zeros(1, f32)}
+                  "dense": rng.normal(0, 0.25, (FILTERS, DENSE)).astype(f32), "shift": np.zeros(DENSE, f32),
+                  "out": rng.normal(0, 0.1, 2 * DENSE).astype(f32), "off": np.zeros(1, f32)}
 
     def _maps(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Embedded bytes and filter values (chunks, places, FILTERS)."""
@@ -71,10 +73,11 @@ class ByteCNN:
         return a, both[:, :-1, :FILTERS] + both[:, 1:, FILTERS:]
 
     def _pooled(self, x: np.ndarray) -> np.ndarray:
+        """Dense values of each chunk."""
         out = np.empty((len(x), FILTERS), np.float32)
         for at in range(0, len(x), SLICE):
             out[at:at + SLICE] = self._maps(x[at:at + SLICE])[1].max(axis=1)
-        return np.maximum(out + self.p["bias"], 0)
+        return np.maximum(np.maximum(out + self.p["bias"], 0) @ self.p["dense"] + self.p["shift"], 0)
 
     def _combine(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = np.diff(np.append(starts, len(h)))[:, None]
@@ -99,7 +102,7 @@ class ByteCNN:
         return np.concatenate(out)
 
     def _scored(self, held: list[np.ndarray], counts: list[int]) -> np.ndarray:
-        h = np.empty((sum(counts), FILTERS), np.float32)
+        h = np.empty((sum(counts), DENSE), np.float32)
         ends = np.cumsum(counts)
         short = [i for i, c in enumerate(held) if c.dtype == np.uint8]
         for i, c in enumerate(held):
@@ -115,20 +118,23 @@ class ByteCNN:
         place = z.argmax(axis=1)
         m = np.take_along_axis(z, place[:, None], 1)[:, 0] + self.p["bias"]
         h = np.maximum(m, 0)
-        f, p = self._combine(h, starts)
-        n = np.diff(np.append(starts, len(h)))
+        u = np.maximum(h @ self.p["dense"] + self.p["shift"], 0)
+        f, p = self._combine(u, starts)
+        n = np.diff(np.append(starts, len(u)))
         doc = np.repeat(np.arange(len(starts)), n)
         d = (p - y) / len(y)
         df = d[:, None] * self.p["out"]
-        top = h == f[doc, :FILTERS]
+        top = u == f[doc, :DENSE]
         ties = np.add.reduceat(top, starts, dtype=np.float64)[doc]
-        dm = (df[doc, :FILTERS] * top / ties + df[doc, FILTERS:] / n[doc][:, None]) * (m > 0)
+        du = (df[doc, :DENSE] * top / ties + df[doc, DENSE:] / n[doc][:, None]) * (u > 0)
+        dm = (du @ self.p["dense"].T) * (m > 0)
         at = place[:, :, None] * BLOCK + np.arange(2 * BLOCK)
         xw = x[np.arange(len(x))[:, None, None], at]
         aw = self.p["emb"][xw].reshape(len(x), FILTERS, -1)
         da = dm[:, :, None] * self.p["conv"].T
         emb = np.stack([np.bincount(xw.ravel(), da.reshape(-1, EMBED)[:, k], 256) for k in range(EMBED)], axis=1)
-        return {"emb": emb, "conv": np.einsum("bf,bfk->kf", dm, aw), "bias": dm.sum(axis=0), "out": d @ f, "off": d.sum(keepdims=True)}
+        return {"emb": emb, "conv": np.einsum("bf,bfk->kf", dm, aw), "bias": dm.sum(axis=0),
+                "dense": h.T @ du, "shift": du.sum(axis=0), "out": d @ f, "off": d.sum(keepdims=True)}
 
     def fit(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> "ByteCNN":
         """Adam over batches of whole documents (their sampled chunks)."""
