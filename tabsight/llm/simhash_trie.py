@@ -59,12 +59,10 @@ def simhash(text: str, shingle: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.fromiter((simhash(t, shingle) for t in pdf["text"]), np.uint64, len(pdf))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)})
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return src.mapInPandas(run, "doc_id long, fp long")
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((simhash(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fp(text_of(text_col)).alias("fp"))
 
 
 def _merge(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
