@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import mixing, pst_lm, quality_cnn, simhash_trie
+from tabsight.llm import line_dedup, mixing, pst_lm, quality_cnn, simhash_trie, sp_tokens
 from tabsight.session import read_table
 
 SHINGLE, MAX_BITS = 4, 4
+#: A public SentencePiece model; the path is a parameter of the operator.
+PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line dedup over all documents: what is left of each text."""
+    left = line_dedup.line_dedup(read_table(spark, sf_dir, "documents"), count="n_removed")
+    return left.select("doc_id", "n_removed", F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +31,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of all documents and the texts decoded from them, as digests."""
+    return sp_tokens.round_trip(read_table(spark, sf_dir, "documents"), PIECES)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-dedup over all documents."""
     found = simhash_trie.simhash_components(read_table(spark, sf_dir, "documents"), SHINGLE, MAX_BITS)
@@ -32,7 +47,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst_lm.lm_scores(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op4_mixing, op9_simhash, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality, op4_mixing, op6_sentencepiece, op9_simhash, op10_lm_scores)}
 
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
