@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import line_dedup, mixing, pst_lm, quality_cnn, simhash_trie, sp_tokens
+from tabsight.llm import line_dedup, mixing, pst_lm, quality_cnn, simhash_trie, sp_tokens, suffix_dedup
 from tabsight.session import read_table
 
 SHINGLE, MAX_BITS = 4, 4
@@ -36,6 +36,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_tokens.round_trip(read_table(spark, sf_dir, "documents"), PIECES)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup of all documents at 400 bytes."""
+    left = suffix_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"), 400)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-dedup over all documents."""
     found = simhash_trie.simhash_components(read_table(spark, sf_dir, "documents"), SHINGLE, MAX_BITS)
@@ -47,7 +53,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst_lm.lm_scores(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality, op4_mixing, op6_sentencepiece, op9_simhash, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality, op4_mixing, op6_sentencepiece, op8_suffix_dedup, op9_simhash, op10_lm_scores)}
 
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
