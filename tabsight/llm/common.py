@@ -6,6 +6,8 @@ Lineage is cut with reliable checkpoints in the shared folder that
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -83,24 +85,55 @@ def _signature(e: DataFrame) -> tuple:
 
 
 def split_hot_groups(df: DataFrame, keys: list[str], salt: str, cap: int) -> DataFrame:
-    """Deal a group of more than ``cap`` rows into chunk pairs: columns ``ci``, ``cj``.
+    """Deal a group of more than ``cap`` rows into chunk pairs: columns ``ci``, ``cj``, ``chunk``.
 
-    A group in at most ``cap`` rows stays one unit (0, 0). A larger one is cut by
-    the hash of ``salt`` into C chunks and each row goes to the C - 1 units of its
-    chunk with another, so any two rows still meet in a unit and no unit holds
-    much more than ``2 * cap`` rows.
+    A group of at most ``cap`` rows stays one unit (0, 0). A larger one is cut by
+    the hash of ``salt`` into C chunks; unit (i, i) has the rows of chunk i, unit
+    (i, j) those of chunks i and j, so any two rows meet and no unit holds much
+    more than ``2 * cap`` rows. ``chunk`` tells a row's own chunk.
     """
     hot = saved(df.groupBy(*keys).count().filter(F.col("count") > cap)
                 .select(*keys, (F.floor(F.col("count") / cap) + 1).cast("int").alias("__c")))
     zero = F.lit(0).cast("int")
     if hot.isEmpty():
-        return df.withColumns({"ci": zero, "cj": zero})
-    dealt = df.join(hot, keys, "left")
-    own = F.pmod(F.xxhash64(F.col(salt)), F.col("__c")).cast("int")
-    others = F.filter(F.sequence(zero, F.col("__c") - 1), lambda j: j != F.col("__own"))
-    pairs = F.transform(others, lambda j: F.struct(F.least(j, F.col("__own")).alias("ci"),
-                                                   F.greatest(j, F.col("__own")).alias("cj")))
-    alone = F.array(F.struct(zero.alias("ci"), zero.alias("cj")))
-    return (dealt.withColumn("__own", own)
-            .withColumn("__u", F.explode(F.when(F.col("__c").isNull(), alone).otherwise(pairs)))
-            .select(*df.columns, "__u.ci", "__u.cj"))
+        return df.withColumns({"ci": zero, "cj": zero, "chunk": zero})
+    own = F.when(F.col("__c").isNull(), zero).otherwise(F.pmod(F.xxhash64(F.col(salt)), F.col("__c")).cast("int"))
+    pairs = F.transform(F.sequence(zero, F.coalesce(F.col("__c"), F.lit(1)) - 1), lambda j: F.struct(
+        F.least(j, F.col("chunk")).alias("ci"), F.greatest(j, F.col("chunk")).alias("cj")))
+    return (df.join(hot, keys, "left").withColumn("chunk", own).withColumn("__u", F.explode(pairs))
+            .select(*df.columns, "__u.ci", "__u.cj", "chunk"))
+
+
+def whole_groups(batches, keys: list[str], size: int):
+    """Frames of about ``size`` rows that never cut a group, from batches sorted by ``keys``."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n < size:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()  # its group may go on in the next batch
+        if not last.all():
+            yield rows[~last]
+        held, n = [rows[last]], int(last.sum())
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def merged_labels(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Component labels after the links i-j; a label is the smallest index of its component."""
+    while True:
+        a, b = comp[i], comp[j]
+        apart = a != b
+        if not apart.any():
+            return comp
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        parent = np.arange(len(comp))
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+        comp = parent[comp]

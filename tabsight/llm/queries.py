@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import line_dedup, mixing, pst_lm, quality_cnn, simhash_trie, sp_tokens, suffix_dedup
+from tabsight.llm import line_dedup, mixing, pivot_index, pst_lm, quality_cnn, simhash_trie, sp_tokens, suffix_dedup
 from tabsight.session import read_table
 
 SHINGLE, MAX_BITS = 4, 4
@@ -31,6 +31,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding near-dedup of all vectors at cosine 0.98."""
+    return pivot_index.embedding_components(read_table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of all documents and the texts decoded from them, as digests."""
     return sp_tokens.round_trip(read_table(spark, sf_dir, "documents"), PIECES)
@@ -53,7 +58,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst_lm.lm_scores(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality, op4_mixing, op6_sentencepiece, op8_suffix_dedup, op9_simhash, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality, op4_mixing, op5_pivot_index, op6_sentencepiece, op8_suffix_dedup, op9_simhash, op10_lm_scores)}
 
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
@@ -82,4 +87,23 @@ SELECT doc_id, size, source_size, target,
 FROM q
 """
 
-ORACLE_SQL = {"op4_mixing": OP4_SQL}
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), e AS (
+  SELECT a.vec_id AS src, b.vec_id AS dst FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), r AS (
+  SELECT vec_id, vec_id AS m FROM embeddings UNION SELECT r.vec_id, e.dst FROM r JOIN e ON r.m = e.src
+), c AS (
+  SELECT vec_id, min(m) AS component_id FROM r GROUP BY vec_id
+), n AS (
+  SELECT src, count(*) AS n FROM e GROUP BY src
+)
+SELECT c.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN n ON c.vec_id = n.src
+"""
+
+ORACLE_SQL = {"op4_mixing": OP4_SQL, "op5_pivot_index": OP5_SQL}

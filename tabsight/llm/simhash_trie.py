@@ -27,7 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import LOWER, connected_components, saved, split_hot_groups, text_of
+from tabsight.llm.common import (LOWER, connected_components, merged_labels, saved, split_hot_groups,
+                                 text_of, whole_groups)
 
 SEED = 42
 #: Fingerprints of one top node that one task unit takes; more are dealt out as chunk pairs.
@@ -65,24 +66,6 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), fp(text_of(text_col)).alias("fp"))
 
 
-def _merge(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Component labels after the links i-j; a label is the smallest index."""
-    while True:
-        a, b = comp[i], comp[j]
-        apart = a != b
-        if not apart.any():
-            return comp
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        parent = np.arange(len(comp))
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-        comp = parent[comp]
-
-
 def trie_components(vals: np.ndarray, bounds: np.ndarray, skip: int, budget: int) -> np.ndarray:
     """Component label of each fingerprint after the self-joins of many tries.
 
@@ -99,7 +82,7 @@ def trie_components(vals: np.ndarray, bounds: np.ndarray, skip: int, budget: int
                 other = sub ^ np.uint64(1 << bit)
                 at = np.minimum(np.searchsorted(sub, other), len(sub) - 1)
                 hit = np.flatnonzero(sub[at] == other)
-                comp = _merge(comp, lo + hit, lo + at[hit])
+                comp = merged_labels(comp, lo + hit, lo + at[hit])
     ones: dict[int, np.ndarray] = {}
     big = bounds[1:] - bounds[:-1] > 1
     lo, hi = bounds[:-1][big], bounds[1:][big]
@@ -118,7 +101,7 @@ def trie_components(vals: np.ndarray, bounds: np.ndarray, skip: int, budget: int
         if leaf.any():
             i, j = alo[leaf], blo[leaf]
             near = np.bitwise_count(vals[i] ^ vals[j]) <= budget
-            comp = _merge(comp, i[near], j[near])
+            comp = merged_labels(comp, i[near], j[near])
         on = ~one & ~leaf
         alo, ahi, blo, bhi, used = (x[on] for x in (alo, ahi, blo, bhi, used))
         if bit < 0 or not len(alo):
@@ -170,21 +153,8 @@ def near_links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
         return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": []}, dtype=np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
-        for pdf in batches:
-            held.append(pdf)
-            size += len(pdf)
-            if size < BATCH:
-                continue
-            rows = pd.concat(held, ignore_index=True)
-            last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()  # its unit may go on in the next batch
-            if not last.all():
-                yield stars(rows[~last])
-            held = [rows[last]]
-            size = int(last.sum())
-        if size:
-            yield stars(pd.concat(held, ignore_index=True))
+        for rows in whole_groups(batches, keys, BATCH):
+            yield stars(rows)
 
     return dealt.mapInPandas(run, "src long, dst long")
 
