@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import line_dedup, mixing, pivot_index, pst_lm, quality_cnn, simhash_trie, sp_tokens, suffix_dedup
+from tabsight.llm import fingerprints, line_dedup, mixing, pivot_index, pst_lm, quality_cnn, simhash_trie, sp_tokens, suffix_dedup
 from tabsight.session import read_table
 
 SHINGLE, MAX_BITS = 4, 4
@@ -15,6 +15,11 @@ SHINGLE, MAX_BITS = 4, 4
 PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts."""
+    return fingerprints.document_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup over all documents: what is left of each text."""
     left = line_dedup.line_dedup(read_table(spark, sf_dir, "documents"), count="n_removed")
@@ -58,7 +63,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst_lm.lm_scores(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality, op4_mixing, op5_pivot_index, op6_sentencepiece, op8_suffix_dedup, op9_simhash, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_quality, op4_mixing, op5_pivot_index, op6_sentencepiece, op8_suffix_dedup, op9_simhash, op10_lm_scores)}
 
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
