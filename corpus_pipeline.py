@@ -9,13 +9,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsight.llm import mixing, simhash_trie
+from tabsight.llm import line_dedup, mixing, quality_cnn, simhash_trie, sp_tokens
+from tabsight.llm.common import saved
+from tabsight.llm.queries import MAX_BITS, PIECES, SHINGLE
 from tabsight.session import read_table
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score of 0.5 or more stay."""
+    return quality_cnn.keep_quality(docs, read_table(spark, sf_dir, "labels"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Aligned common blocks go from the later of two overlapping documents."""
+    return line_dedup.line_dedup(docs)
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays, the one with the smallest doc_id."""
-    return simhash_trie.simhash_dedup(docs, shingle=4, max_bits=4)
+    return simhash_trie.simhash_dedup(docs, shingle=SHINGLE, max_bits=MAX_BITS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +35,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mix_sources(docs)
 
 
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents with their token ids."""
+    return sp_tokens.tokenize(docs, PIECES).select("doc_id", "source", "lang", "n_tokens", "ids")
+
+
 STAGES = [
+    ("quality_classifier", quality_stage),
+    ("line_dedup", line_dedup_stage),
     ("simhash_near_dedup", near_dedup_stage),
     ("mixing", mixing_stage),
+    ("sentencepiece", token_stage),
 ]
 
 #: The classifier's weights and the tokenizer have no SQL form.
@@ -33,8 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, one after another."""
+    """All stages over ``documents``; each one's rows are saved for the next."""
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n + 1 < len(STAGES):
+            docs = saved(docs)
     return docs

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import fingerprints, line_dedup, mixing, pivot_index, pst_lm, quality_cnn, simhash_trie, sp_tokens, suffix_dedup
+from tabsight.llm import fingerprints, html_text, line_dedup, mixing, pivot_index, pst_lm, quality_cnn, simhash_trie, sp_tokens, suffix_dedup
 from tabsight.session import read_table
 
 SHINGLE, MAX_BITS = 4, 4
@@ -46,6 +46,14 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_tokens.round_trip(read_table(spark, sf_dir, "documents"), PIECES)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of all pages, as digests."""
+    pages = html_text.extract_pages(read_table(spark, sf_dir, "pages"))
+    lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1)))
+    return pages.select("page_id", "url", F.char_length("text").cast("long").alias("n_chars"), lines.cast("long").alias("n_lines"),
+                        F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix-array dedup of all documents at 400 bytes."""
     left = suffix_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"), 400)
@@ -63,7 +71,9 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst_lm.lm_scores(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_quality, op4_mixing, op5_pivot_index, op6_sentencepiece, op8_suffix_dedup, op9_simhash, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (
+    op1_fingerprints, op2_line_dedup, op3_quality, op4_mixing, op5_pivot_index, op6_sentencepiece, op7_html_extraction,
+    op8_suffix_dedup, op9_simhash, op10_lm_scores)}
 
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
