@@ -55,24 +55,25 @@ def uniform(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _rated(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], cap: int, seed: str) -> DataFrame:
+    """``rows`` (doc_id, source, ...) with __source_size, __target, __rate and __copies."""
+    t = source_targets(sized, weights, cap).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+    more = (uniform(F.col("doc_id"), seed) < F.col("__rate") - F.floor("__rate")).cast("long")
+    return (rows.join(saved(t), F.col("source").eqNullSafe(F.col("__source"))).withColumn("__rate", rate)
+            .withColumn("__copies", F.floor("__rate").cast("long") + more))
+
+
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: str = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, rate, copies, taken) for every document."""
-    sized = saved(docs.select("doc_id", F.col("source").alias("source"), n_words(text_of()).alias("size")))
-    targets = source_targets(sized, weights, cap)
-    t = saved(targets.select(F.col("source").alias("__source"), "source_size", "target"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    more = (uniform(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
-    return (sized.join(t, F.col("source").eqNullSafe(F.col("__source")))
-            .withColumn("rate", rate).withColumn("copies", F.floor("rate").cast("long") + more)
-            .select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken")))
+    sized = saved(docs.select("doc_id", "source", n_words(text_of()).alias("size")))
+    return _rated(sized, sized, weights, cap, seed).select(
+        "doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__rate").alias("rate"),
+        F.col("__copies").alias("copies"), (F.col("size") * F.col("__copies")).alias("taken"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: str = SEED) -> DataFrame:
-    """The mixed documents: each row of ``docs`` as often as the mix takes it."""
-    sized = docs.select(F.col("source").alias("source"), n_words(text_of()).alias("size"))
-    t = saved(source_targets(sized, weights, cap).select(F.col("source").alias("__source"), "source_size", "target"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    more = (uniform(docs["doc_id"], seed) < F.col("__rate") - F.floor("__rate")).cast("long")
-    times = F.array_repeat(F.lit(0), (F.floor("__rate").cast("long") + more).cast("int"))
-    return (docs.join(t, docs["source"].eqNullSafe(F.col("__source"))).withColumn("__rate", rate)
-            .withColumn("__copy", F.explode(times)).select(*[docs[c] for c in docs.columns]))
+    """The mixed documents: each row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
+    sized = docs.select("source", n_words(text_of()).alias("size"))
+    return (_rated(docs, sized, weights, cap, seed)
+            .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*docs.columns))
