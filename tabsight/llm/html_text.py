@@ -247,6 +247,7 @@ def render(root: Node) -> str:
                 tables[-1][-1].append((w.result() or [""], span))
             elif tag == "table":
                 rows = tables.pop()
+                w.block(2)
                 for line in _table(rows):
                     w.put(line)
                 w.block(2)

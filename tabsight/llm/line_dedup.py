@@ -107,9 +107,9 @@ def line_table(docs: DataFrame) -> DataFrame:
                 k2 += [b] * len(places)
                 keys += [xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in places]
                 chars += map(len, places)
-                at += places.values()
+                at += [np.array(x, np.int32) for x in places.values()]
             h = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"k1": k1, "k2": k2, "h1": h[:, 0], "h2": h[:, 1], "chars": chars, "at": at})
+            yield pd.DataFrame({"k1": k1, "k2": k2, "h1": h[:, 0], "h2": h[:, 1], "chars": chars, "at": pd.Series(at, dtype=object)})
     return _keyed(docs).mapInPandas(run, "k1 long, k2 long, h1 long, h2 long, chars long, at array<int>")
 
 
@@ -125,8 +125,8 @@ def deletions(docs: DataFrame, rare: int = RARE, shared: int = SHARED, min_chars
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            gone = [aligned_blocks([(x["at"], x["first"], x["chars"]) for x in c], min_chars) for c in pdf["common"]]
-            yield pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "gone": gone})
+            gone = [np.array(aligned_blocks([(x["at"], x["first"], x["chars"]) for x in c], min_chars), np.int32) for c in pdf["common"]]
+            yield pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "gone": pd.Series(gone, dtype=object, index=pdf.index)})
     return (pairs.select("k1", "k2", "common").mapInPandas(align, "k1 long, k2 long, gone array<int>").filter(F.size("gone") > 0)
             .groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
 
