@@ -32,12 +32,10 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = N_SPLITS, see
     """Adds ``fold_col`` in 0..k-1, balanced per class."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     base = (df.withColumn("__h", h)
-              .withColumn("__hb", F.conv(F.substring("__h", 1, 15), 16, 10).cast("double"))
               .withColumn("__one", F.lit(1)))
-    pos = ordered_prefix(base, [label], "__h", "__one", out_col="__pos",
-                         bucket_col="__hb", tiebreak=[key])
+    pos = ordered_prefix(base, [label], "__h", "__one", out_col="__pos", tiebreak=[key])
     return (pos.withColumn(fold_col, (F.col("__pos") % k).cast("int"))
-               .drop("__h", "__hb", "__one", "__pos"))
+               .drop("__h", "__one", "__pos"))
 
 
 class cached_frame:
@@ -68,7 +66,10 @@ def _fold_score(estimator, data: DataFrame, label: str, fold_col: str, f: int,
     model = estimator.fit(train)
     pred = model.transform(test)
     if scoring == "accuracy":
-        return float(accuracy(pred, label).first()[0] or 0.0)
+        share = accuracy(pred, label).first()[0]
+        if share is None:
+            raise ValueError(f"fold {f} has no rows to score")
+        return float(share)
     if scoring == "roc_auc":
         from pyspark.ml.evaluation import BinaryClassificationEvaluator
         return float(BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")

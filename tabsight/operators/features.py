@@ -138,7 +138,7 @@ def cut(df: DataFrame, col: str, edges: list[float], out_col: str | None = None)
     return df.withColumn(out_col or f"{col}_bin", cut_expr(_c(col).cast("double"), edges))
 
 
-def quantile_edges(df: DataFrame, col: str, q: int, method: str = "auto") -> DataFrame:
+def quantile_edges(df: DataFrame, col: str, q: int, method: str = "exact") -> DataFrame:
     """One row ``__edges``: the q+1 linear-interpolated quantile edges (exact)."""
     from tabsight.operators.quantiles import quantile_arrays
     probs = [round(i / q, 10) for i in range(q + 1)]

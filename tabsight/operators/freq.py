@@ -30,9 +30,27 @@ def _value_as_string(name: str, dt: T.DataType):
         return F.to_json(c)
     if isinstance(dt, T.BinaryType):
         return F.base64(c)
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        c = c + F.lit(0.0).cast(dt)  # -0.0 is 0.0
     return c.cast("string")
 
 
+def comparable(df: DataFrame, name: str):
+    """A column as something with an order: itself, or its text for nested types."""
+    dt = df.schema[name].dataType
+    if isinstance(dt, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
+        return _value_as_string(name, dt)
+    return F.col(f"`{name}`")
+
+
+def null_counts(df: DataFrame) -> DataFrame:
+    """(column_name, n_missing, n_rows) of every column: one aggregate row, no values shuffled."""
+    n = F.count(F.lit(1))
+    rows = [F.struct(F.lit(c).alias("column_name"), (n - F.count(F.col(f"`{c}`"))).alias("n_missing"), n.alias("n_rows")) for c in df.columns]
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r")) if rows else df.sparkSession.createDataFrame(
+        [], "column_name string, n_missing bigint, n_rows bigint")
+
+
 def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column, value, n)`` for every (column, value) pair; NULL is a value."""
     cols = columns if columns is not None else df.columns

@@ -6,17 +6,17 @@ points strictly below-left of cell c (x' < x and y' < y).  Ties come from
 marginal counts:  D = n0 - n1 - n2 + n3 - C,  S = C - D,
 tau_b = S / sqrt((n0 - n1)(n0 - n2)).
 
-L_c is split over a grid of x-buckets Xb and y-buckets Yb (cut points from
-``percentile_approx`` over the cells, so each bucket holds about
-cells / buckets cells):
+L_c is split over a grid of x-buckets Xb and y-buckets Yb:
 
     L_c = G(Xb' < Xb, Yb' < Yb)                 dense grid prefix, windows on a
                                                  pairs x buckets^2 table
         + #(same Xb,  x' < x,  y' < y)           one pandas task per (pair, Xb)
         + #(Xb' < Xb, same Yb, y' < y)           one pandas task per (pair, Yb)
 
-The two in-bucket terms are offline dominance counts (sort + Fenwick tree)
-inside ``applyInPandas``; each group holds one bucket's cells, never all pairs.
+A bucket holds about ``max(SMALL, 4 * sqrt(cells))`` cells, so both a group and the
+grid (at most about as many entries as cells) stay small beside the input.  A value
+with more cells than that is a bucket of its own, in which no pair counts.  The
+in-bucket terms are dominance counts by bit levels of the rank, in numpy.
 """
 
 from __future__ import annotations
@@ -26,37 +26,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 32
+from tabsight.operators.ranks import ordered_prefix
+
+SMALL = 4096
 
 
 def _dominance(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """For each i: sum of w[j] with a[j] < a[i] and b[j] < b[i] (Fenwick sweep)."""
-    m = len(a)
-    out = np.zeros(m, dtype=np.float64)
-    if m == 0:
+    """For each i: sum of w[j] with a[j] < a[i] and b[j] < b[i].
+
+    Ranks a[j] < a[i] differ first at one bit, where j has 0 and i has 1: a level per
+    bit, within groups of equal higher bits, sums the zeros in the order of b.
+    """
+    out = np.zeros(len(a))
+    if not len(a):
         return out
-    ranks = np.unique(b, return_inverse=True)[1] + 1  # 1-based
-    size = int(ranks.max())
-    tree = np.zeros(size + 1, dtype=np.float64)
-    order = np.lexsort((b, a))
-    a_sorted = a[order]
-    # boundaries of runs of equal a
-    starts = np.flatnonzero(np.r_[True, a_sorted[1:] != a_sorted[:-1]])
-    ends = np.r_[starts[1:], m]
-    for s, e in zip(starts, ends):
-        idx = order[s:e]
-        for i in idx:  # query: prefix sum of ranks < rank(i)
-            r = ranks[i] - 1
-            acc = 0.0
-            while r > 0:
-                acc += tree[r]
-                r -= r & -r
-            out[i] = acc
-        for i in idx:  # insert the run after querying it (strict a' < a)
-            r = ranks[i]
-            while r <= size:
-                tree[r] += w[i]
-                r += r & -r
+    ra, rb = np.unique(a, return_inverse=True)[1], np.unique(b, return_inverse=True)[1]
+    for bit in range(int(ra.max()).bit_length()):
+        group, one = ra >> (bit + 1), ra >> bit & 1
+        order = np.lexsort((rb, group))
+        g, y = group[order], rb[order]
+        zeros = np.concatenate(([0.0], np.cumsum(np.where(one[order] == 0, w[order], 0.0))))
+        at = np.arange(len(a))
+        new_group = np.concatenate(([True], g[1:] != g[:-1]))
+        group_start = np.maximum.accumulate(np.where(new_group, at, 0))
+        tie_start = np.maximum.accumulate(np.where(new_group | np.concatenate(([True], y[1:] != y[:-1])), at, 0))
+        out[order] += np.where(one[order] == 1, zeros[tie_start] - zeros[group_start], 0.0)
     return out
 
 
@@ -70,33 +64,23 @@ def _in_ybucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pair": pdf["pair"], "x": pdf["x"], "y": pdf["y"], "ly": cnt})
 
 
-def _bucket(df: DataFrame, col: str, out: str, n_buckets: int) -> DataFrame:
-    from tabsight.operators.quantiles import bucketize
-    # cut points per pair from the cells; buckets in value order (dense ranks not needed)
-    return bucketize(df, ["pair"], col, n_buckets, out)
+def _bucketed(cells: DataFrame, col: str, out: str, small: int) -> DataFrame:
+    """(pair, col, out): buckets of a column's values in order; odd ones hold a single value."""
+    values = cells.groupBy("pair", col).agg(F.count(F.lit(1)).alias("c"))
+    pre = ordered_prefix(values, ["pair"], col, "c", out_col="before", total_col="total")
+    size = F.greatest(F.lit(float(small)), 4 * F.sqrt(F.col("total")))
+    return pre.select("pair", col, (2 * F.floor(F.col("before") / size) + F.when(F.col("c") >= size, 1).otherwise(0)).cast("int").alias(out))
 
 
-def kendall_tau_b_cells(cells: DataFrame, n_buckets: int | None = None) -> DataFrame:
-    """(pair, correlation) with Kendall tau-b for every pair present in ``cells``.
-
-    ``n_buckets`` per axis defaults from the estimated input size: 2 for small
-    inputs (the in-bucket pandas sweeps then see everything), ``DEFAULT_BUCKETS``
-    beyond.
-    """
-    if n_buckets is None:
-        from tabsight.operators.ranks import prefix_levels
-        n_buckets = DEFAULT_BUCKETS if prefix_levels(cells) > 0 else 2
-    b = _bucket(_bucket(cells, "x", "xb", n_buckets), "y", "yb", n_buckets)
+def kendall_tau_b_cells(cells: DataFrame, small: int = SMALL) -> DataFrame:
+    """(pair, correlation) with Kendall tau-b for every pair present in ``cells``."""
+    xs, ys = _bucketed(cells, "x", "xb", small), _bucketed(cells, "y", "yb", small)
+    b = cells.join(xs, ["pair", "x"]).join(ys, ["pair", "y"])
 
-    # grid term: dense pairs x buckets x buckets table, two running sums
+    # grid term over the buckets in use, two running sums
     grid = b.groupBy("pair", "xb", "yb").agg(F.sum("n").alias("t"))
-    # every (xb, yb) of a pair, generated from a sequence (pairs x buckets^2 rows)
-    seq = F.sequence(F.lit(0), F.lit(2 * n_buckets - 1))  # interval and point buckets
-    dense = (cells.select("pair").distinct()
-                  .select("pair", F.explode(seq).alias("xb"))
-                  .select("pair", "xb", F.explode(seq).alias("yb"))
-                  .join(grid, ["pair", "xb", "yb"], "left")
-                  .na.fill(0, ["t"]))
+    dense = (xs.select("pair", "xb").distinct().join(ys.select("pair", "yb").distinct(), "pair")
+             .join(grid, ["pair", "xb", "yb"], "left").na.fill(0, ["t"]))
     lower = Window.unboundedPreceding
     p1 = dense.withColumn("p1", F.coalesce(F.sum("t").over(
         Window.partitionBy("pair", "yb").orderBy("xb").rowsBetween(lower, -1)), F.lit(0)))
@@ -104,12 +88,13 @@ def kendall_tau_b_cells(cells: DataFrame, n_buckets: int | None = None) -> DataF
         Window.partitionBy("pair", "xb").orderBy("yb").rowsBetween(lower, -1)), F.lit(0)))
     g = g.select("pair", "xb", "yb", F.col("g").cast("double"))
 
-    lx = b.groupBy("pair", "xb").applyInPandas(_in_xbucket, "pair int, x double, y double, lx double")
-    ly = b.groupBy("pair", "yb").applyInPandas(_in_ybucket, "pair int, x double, y double, ly double")
+    # a bucket of one value holds no pair with x' < x (or y' < y)
+    lx = b.where("xb % 2 = 0").groupBy("pair", "xb").applyInPandas(_in_xbucket, "pair int, x double, y double, lx double")
+    ly = b.where("yb % 2 = 0").groupBy("pair", "yb").applyInPandas(_in_ybucket, "pair int, x double, y double, ly double")
 
     full = (b.join(g, ["pair", "xb", "yb"])
-             .join(lx, ["pair", "x", "y"])
-             .join(ly, ["pair", "x", "y"]))
+             .join(lx, ["pair", "x", "y"], "left")
+             .join(ly, ["pair", "x", "y"], "left").na.fill(0.0, ["lx", "ly"]))
     conc = full.groupBy("pair").agg(
         F.sum(F.col("n") * (F.col("g") + F.col("lx") + F.col("ly"))).alias("c"),
         F.sum(F.col("n").cast("double")).alias("nt"),

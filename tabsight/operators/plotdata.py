@@ -96,7 +96,7 @@ def boxplot_long(df: DataFrame, cols: list[str], by: str | None = None,
         # rows without a group level are not drawn
         long = long.where(F.col("group").isNotNull())
         keys.append("group")
-    q = (grouped_quantile_arrays(long, keys, "x", [0.25, 0.5, 0.75], "approx" if approx else "auto")
+    q = (grouped_quantile_arrays(long, keys, "x", [0.25, 0.5, 0.75], "approx" if approx else "exact")
              .select(*[F.col(k).alias(f"__{k}") for k in keys],
                      F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                      F.col("q")[2].alias("q3")))

@@ -57,7 +57,7 @@ class ExactImputer(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable
         strat = self.getOrDefault(self.strategy)
         if strat == "median":
             from tabsight.operators.quantiles import quantile_arrays
-            method = "approx" if self.getOrDefault(self.approx) else "auto"
+            method = "approx" if self.getOrDefault(self.approx) else "exact"
             med = {r.column_name: r.q[0] for r in quantile_arrays(df, cols, [0.5], method).collect()}
             values = {c: med.get(c) for c in cols}  # one value per column
             outs = self.getOutputCols() if self.isSet(self.outputCols) else cols

@@ -1,228 +1,136 @@
-"""Exact quantiles (linear interpolation) by distributed selection.
-
-Spark's exact ``percentile`` keeps a value -> count map per group and merges the
-maps of all partitions in one task: memory grows with the distinct values of a
-column.  Here the needed order statistics are found by selection instead, as one
-lazy plan:
-
-1. ``percentile_approx`` (a bounded sketch) gives up to ``n_buckets - 1`` cut
-   points per group;
-2. each value gets a bucket - an open interval between two cuts, or a cut value
-   itself (a *point* bucket, so a hot value forms a bucket of equal values) -
-   with a fixed-depth binary search written as nested ``CASE WHEN`` over the
-   padded cut array (codegen'd, log2(n_buckets) comparisons per value);
-3. bucket counts (groups x buckets rows) give each bucket's first rank; the
-   ranks needed for each probability - floor and ceil of (n-1)p - are located
-   in that small table; point buckets answer directly;
-4. the rows of the remaining needed buckets (about n / n_buckets each) go
-   through the same step once more with (group, bucket) as the group, then the
-   last buckets are ranked with a window partitioned by (group, bucket, bucket2);
-5. value = v_lo + (h - lo) * (v_hi - v_lo).
-
-The cut points only balance the work; the answer is exact whatever they are.
+"""Exact quantiles (linear interpolation) without a value map or a sort of all values.
+
+Spark's exact ``percentile`` merges a value -> count map per group in one task.  Two
+algorithms take its place, one per question:
+
+* ``quantiles`` - of whole columns, by narrowing.  Every needed order statistic (the
+  ranks below and above (n - 1) p) has a bracket of values that holds it.  One
+  aggregate counts, for each bracket, the values below it, at its ends and inside, and
+  sketches cut points of the inside.  A bracket whose rank falls on an end is
+  answered; one with at most ``limit`` values inside is read and sorted; any other
+  shrinks to three of its ``CUTS`` buckets and the next round counts again.  Nothing is
+  shuffled but partial counts and sketches, and only brackets (columns x ranks) reach
+  the driver.
+* ``grouped_quantile_arrays`` - of many groups, from running counts of each group's
+  distinct values (``operators.ranks``), so a hot group is spread over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-DEFAULT_BUCKETS = 128
-_INF = float("inf")
-
-
-def materialize_cuts(cuts: DataFrame) -> DataFrame:
-    """Write the cut table once (reliable checkpoint in ``spark.checkpoint.dir``).
-
-    ``percentile_approx`` depends on the order in which partial sketches merge,
-    and the bucketed frame is read twice downstream (bucket totals and in-bucket
-    ranks).  If a lost executor forced a partial recomputation, the two readers
-    could see different cuts; reading one written table keeps them consistent.
-    The table is small: one array per group.
-    """
-    from tabsight.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(cuts.sparkSession)
-    return cuts.checkpoint(eager=True)
-
-
-def _count_below(arr: Column, x: Column, lo: int, hi: int) -> Column:
-    """Number of elements < x in the sorted array slice [lo, hi) (binary search tree)."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(arr[mid] < x, _count_below(arr, x, mid + 1, hi)).otherwise(
-        _count_below(arr, x, lo, mid))
-
+from math import ceil, floor
 
-def bucketize(data: DataFrame, keys: list[str], value: str, n_buckets: int, out: str,
-              small_keys: bool = True) -> DataFrame:
-    """Adds bucket ``out`` of numeric ``value`` within each ``keys`` group, in value order:
-    2k for the open interval below cut k, 2k+1 for value == cut k (a point bucket).
-
-    Cut points: ``percentile_approx`` per group (one bounded array per group,
-    broadcast when ``small_keys``).  The bucket is found by a fixed-depth binary
-    search expression, so the per-row cost is log2(n_buckets) comparisons.
-    """
-    m = n_buckets - 1
-    probs = [round(i / n_buckets, 10) for i in range(1, n_buckets)]
-    v = F.col(value).cast("double")
-    cuts = (data.groupBy(*keys).agg(
-        F.array_sort(F.array_distinct(F.percentile_approx(v, probs, 20 * n_buckets))).alias("__c")))
-    # pad to a fixed length with +inf so every index exists
-    cuts = cuts.withColumn("__c", F.concat("__c", F.array_repeat(F.lit(_INF), F.lit(m) - F.size("__c"))))
-    cuts = materialize_cuts(cuts)
-    if keys:
-        b = data.join(F.broadcast(cuts) if small_keys else cuts, keys)
-    else:
-        b = data.crossJoin(F.broadcast(cuts))  # one row
-    x = v
-    below = _count_below(F.col("__c"), x, 0, m)
-    at_cut = F.when(below < m, F.try_element_at(F.col("__c"), F.least(below, F.lit(m - 1)) + 1) == x) \
-              .otherwise(False)
-    return b.withColumn(out, (below * 2 + at_cut.cast("int")).cast("int")).drop("__c")
-
-
-def _locate(data: DataFrame, keys: list[str], bcol: str, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split targets (keys, __r) into direct answers and (keys, bcol, __r, __start) to refine."""
-    stats = data.groupBy(*keys, bcol).agg(F.count(F.lit(1)).alias("__cnt"),
-                                          F.min("__x").alias("__mn"), F.max("__x").alias("__mx"))
-    w = Window.partitionBy(*keys).orderBy(bcol) if keys else Window.orderBy(bcol)
-    stats = stats.withColumn("__start", F.coalesce(
-        F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    located = (targets.join(stats, keys) if keys else targets.crossJoin(stats)).where(
-        (F.col("__r") >= F.col("__start")) & (F.col("__r") < F.col("__start") + F.col("__cnt")))
-    direct = located.where(F.col("__mn") == F.col("__mx")).select(*keys, "__r", F.col("__mn").alias("__v"))
-    refine = located.where(F.col("__mn") < F.col("__mx")).select(*keys, bcol, "__r", "__start")
-    return direct, refine
-
-
-def select_ranks(data: DataFrame, keys: list[str], targets: DataFrame, n_buckets: int = DEFAULT_BUCKETS,
-                 small_keys: bool = True) -> DataFrame:
-    """(keys, __r, __v): the value of 0-based rank __r of ``__x`` within each group."""
-    b1 = bucketize(data, keys, "__x", n_buckets, "__b1", small_keys)
-    direct1, refine1 = _locate(b1, keys, "__b1", targets)
-    need1 = refine1.select(*keys, "__b1").distinct()
-    rows1 = b1.join(F.broadcast(need1) if small_keys else need1, keys + ["__b1"])
-    # level 2: inside each needed level-1 bucket, ranks relative to the bucket start
-    k2 = keys + ["__b1"]
-    t2 = refine1.select(*k2, (F.col("__r") - F.col("__start")).alias("__r"), F.col("__r").alias("__r0"))
-    b2 = bucketize(rows1, k2, "__x", n_buckets, "__b2", small_keys)
-    direct2, refine2 = _locate(b2, k2, "__b2", t2.select(*k2, "__r"))
-    need2 = refine2.select(*k2, "__b2").distinct()
-    rows2 = b2.join(F.broadcast(need2) if small_keys else need2, k2 + ["__b2"])
-    w = Window.partitionBy(*k2, "__b2").orderBy("__x")
-    ranked = rows2.withColumn("__r", F.row_number().over(w) - 1)
-    picked = (ranked.join(refine2.select(*k2, "__b2", (F.col("__r") - F.col("__start")).alias("__r"),
-                                         F.col("__r").alias("__rl1")), k2 + ["__b2", "__r"])
-                    .select(*k2, F.col("__rl1").alias("__r"), F.col("__x").alias("__v")))
-    level2 = direct2.unionByName(picked)  # ranks relative to the level-1 bucket
-    back = (level2.join(t2, k2 + ["__r"]).select(*keys, F.col("__r0").alias("__r"), "__v"))
-    return direct1.unionByName(back).dropDuplicates(keys + ["__r"])
-
-
-def exact_quantiles(long: DataFrame, keys: list[str], x: str, probs: list[float],
-                    n_buckets: int = DEFAULT_BUCKETS, small_keys: bool = True) -> DataFrame:
-    """(keys..., prob, value) for every group of ``keys``; NULL x values are ignored.
-
-    ``small_keys``: the number of groups is small (e.g. one per column), so the
-    per-group cut arrays are broadcast; otherwise a regular join (AQE decides).
-    """
-    keys = list(keys)
-    base = long.select(*keys, F.col(x).cast("double").alias("__x")).where(F.col("__x").isNotNull())
-    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    h = (F.col("__n") - 1) * F.col("prob")
-    targets = (sizes.select(*keys, "__n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-                    .withColumn("__h", h)
-                    .withColumn("__lo", F.floor("__h").cast("long"))
-                    .withColumn("__hi", F.ceil("__h").cast("long")))
-    ranks = targets.select(*keys, F.explode(F.array("__lo", "__hi")).alias("__r")).distinct()
-    vals = select_ranks(base, keys, ranks, n_buckets, small_keys)
-    lo = vals.select(*keys, F.col("__r").alias("__lo"), F.col("__v").alias("__vlo"))
-    hi = vals.select(*keys, F.col("__r").alias("__hi"), F.col("__v").alias("__vhi"))
-    return (targets.join(lo, keys + ["__lo"]).join(hi, keys + ["__hi"])
-                   .select(*keys, "prob",
-                           (F.col("__vlo") + (F.col("__h") - F.col("__lo")) * (F.col("__vhi") - F.col("__vlo")))
-                           .alias("value")))
-
-
-def quantile_columns(df: DataFrame, cols: list[str], probs: list[float], names: list[str],
-                     n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """One row per column: column_name + one quantile column per prob (named ``names``)."""
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols])))
-    q = exact_quantiles(long, ["column_name"], "x", probs, n_buckets)
-    return (q.groupBy("column_name")
-             .pivot("prob", [float(p) for p in probs])
-             .agg(F.first("value"))
-             .toDF("column_name", *names))
-
-
-# ----------------------------------------------------------------------------- method choice
-# Inputs above this estimated size use selection; below it Spark's map-based
-# ``percentile`` (one scan, all distinct values of a group merged in one task).
-SELECT_THRESHOLD_BYTES = 8 << 30
-
-
-UNKNOWN_SIZE = 1 << 62
-
-
-def plan_size_bytes(df: DataFrame) -> int:
-    """Input size of a plan: the summed size estimates of its leaf relations (no job).
-
-    The root estimate is not used: without column statistics Catalyst sizes a
-    join as the product of its inputs.  Leaves without statistics (e.g. RDD-based
-    frames) report Long.MaxValue; the result is then >= UNKNOWN_SIZE.
-    """
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        total = 0
-        for i in range(leaves.size()):
-            total += int(str(leaves.apply(i).stats().sizeInBytes()))
-        return total
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect: no JVM handle
-        return 0
-
-
-def resolve_method(df: DataFrame, method: str = "auto") -> str:
-    """'map' | 'select' | 'approx'; 'auto' picks by the estimated input size.
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-    An unknown size (Catalyst reports spark.sql.defaultSizeInBytes, i.e. Long.MaxValue,
-    for sources without statistics) counts as small.
+#: Buckets a bracket is cut into per round, and values that a bracket may have to be read.
+CUTS, LIMIT = 64, 4096
+
+
+def _number(col: str):
+    """The column as a double without NaN and negative zero."""
+    x = F.col(f"`{col}`").cast("double")
+    return F.nanvl(x, F.lit(None).cast("double")) + F.lit(0.0)
+
+
+def _order_statistics(df: DataFrame, wanted: dict[str, list[int]], limit: int) -> dict[tuple[str, int], float]:
+    """(column, 0-based rank) -> value."""
+    inf = float("inf")
+    found: dict[tuple[str, int], float] = {}
+    # (column, low, high): ranks relative to the open interval (low, high), with their original rank
+    todo = {(c, None, None): [(r, r) for r in sorted(set(ranks))] for c, ranks in wanted.items() if ranks}
+    probs = [i / CUTS for i in range(CUTS + 1)]
+    while todo:
+        keys = list(todo)
+        inside = [(_number(c) > (-inf if lo is None else lo) if lo is not None else _number(c).isNotNull())
+                  & (_number(c) < hi if hi is not None else F.lit(True)) for c, lo, hi in keys]
+        structs = [F.struct(F.lit(k).alias("k"), F.when(on, _number(c)).alias("x")) for k, ((c, _, _), on) in enumerate(zip(keys, inside))]
+        long = df.select(F.inline(F.array(*structs))).where(F.col("x").isNotNull())
+        cuts = {r["k"]: r["cuts"] for r in long.groupBy("k").agg(F.percentile_approx("x", probs, 20 * CUTS).alias("cuts")).collect()}
+        # exact counts between the cut points: a position among them is even on a cut, odd between two
+        edges = {k: sorted(set(v)) for k, v in cuts.items()}
+        table = F.create_map(*[y for k, v in edges.items() for y in (F.lit(k), F.array(*[F.lit(float(z)) for z in v]))])
+        at = F.expr("2 * size(filter(e, z -> z < x)) + CASE WHEN exists(e, z -> z = x) THEN 1 ELSE 0 END")
+        counted = long.withColumn("e", table[F.col("k")]).select("k", "x", at.alias("b")).groupBy("k", "b").agg(F.count(F.lit(1)).alias("n"))
+        counts: dict[int, dict[int, int]] = {}
+        for r in counted.collect():
+            counts.setdefault(r["k"], {})[r["b"]] = r["n"]
+        nxt: dict[tuple, list[tuple[int, int]]] = {}
+        small: dict[tuple, list[tuple[int, int]]] = {}
+        for k, key in enumerate(keys):
+            for rank, original in todo[key]:
+                before = 0
+                for b in sorted(counts[k]):
+                    n = counts[k][b]
+                    if rank < before + n:
+                        if b % 2:  # on a cut point: (b - 1) / 2 points lie below it
+                            found[key[0], original] = edges[k][(b - 1) // 2]
+                        else:
+                            lo = edges[k][b // 2 - 1] if b else key[1]
+                            hi = edges[k][b // 2] if b // 2 < len(edges[k]) else key[2]
+                            (small if n <= limit else nxt).setdefault((key[0], lo, hi), []).append((rank - before, original))
+                        break
+                    before += n
+        if small:
+            keys = list(small)
+            structs = []
+            for k, (c, lo, hi) in enumerate(keys):
+                x = _number(c)
+                on = x.isNotNull() & (F.lit(True) if lo is None else x > lo) & (F.lit(True) if hi is None else x < hi)
+                structs.append(F.struct(F.lit(k).alias("k"), F.when(on, x).alias("x")))
+            rows = (df.select(F.inline(F.array(*structs))).where(F.col("x").isNotNull()).groupBy("k")
+                    .agg(F.sort_array(F.collect_list("x")).alias("x")).select("k", *[
+                        F.transform(F.array(*[F.lit(r) for r, _ in sorted({p for v in small.values() for p in v})]), lambda i: F.get("x", i)).alias("at")]))
+            order = [r for r, _ in sorted({p for v in small.values() for p in v})]
+            for row in rows.collect():
+                values = dict(zip(order, row["at"]))
+                for rank, original in small[keys[row["k"]]]:
+                    found[keys[row["k"]][0], original] = values[rank]
+        todo = nxt
+    return found
+
+
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], limit: int = LIMIT) -> dict[str, list[float | None]]:
+    """Column -> its exact quantiles (None for a column without numbers)."""
+    sizes = df.agg(*[F.count(_number(c)).alias(f"n{k}") for k, c in enumerate(cols)]).first()
+    n = {c: sizes[f"n{k}"] for k, c in enumerate(cols)}
+    places = {c: [(n[c] - 1) * float(p) for p in probs] for c in cols if n[c]}
+    at = _order_statistics(df, {c: [f(h) for h in hs for f in (floor, ceil)] for c, hs in places.items()}, limit)
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    for c, hs in places.items():
+        out[c] = [at[c, floor(h)] + (h - floor(h)) * (at[c, ceil(h)] - at[c, floor(h)]) for h in hs]
+    return out
+
+
+def quantile_arrays(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact") -> DataFrame:
+    """(column_name, q array<double>) with q[i] the ``probs[i]`` quantile of each column.
+
+    ``method="approx"`` asks for ``percentile_approx`` instead.
     """
-    if method in ("map", "select", "approx"):
-        return method
-    size = plan_size_bytes(df)
-    return "select" if SELECT_THRESHOLD_BYTES < size < UNKNOWN_SIZE else "map"
+    probs = [float(p) for p in probs]
+    if method == "approx":
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), _number(c).alias("x")) for c in cols])))
+        return long.groupBy("column_name").agg(F.percentile_approx("x", probs, 10000).alias("q"))
+    if method != "exact":
+        raise ValueError(f"quantiles: unknown method '{method}'")
+    rows = [(c, None if q[0] is None else q) for c, q in quantiles(df, cols, probs).items()] if probs else []
+    return df.sparkSession.createDataFrame(rows, "column_name string, q array<double>")
 
 
-def quantile_arrays(df: DataFrame, cols: list[str], probs: list[float], method: str = "auto") -> DataFrame:
-    """(column_name, q array<double>) with q[i] the ``probs[i]`` quantile of each column."""
-    probs = [float(p) for p in probs]
-    m = resolve_method(df, method)
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols])))
-    if m in ("map", "approx"):
-        x = F.col("x")
-        q = (F.percentile_approx(x, probs, 10000) if m == "approx"
-             else F.percentile(x, F.array(*[F.lit(p) for p in probs])))
-        return long.groupBy("column_name").agg(q.alias("q"))
-    q = exact_quantiles(long, ["column_name"], "x", probs)
-    return (q.groupBy("column_name")
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("prob", "value"))), lambda s: s["value"])
-                  .alias("q")))
-
-
-def grouped_quantile_arrays(long: DataFrame, keys: list[str], x: str, probs: list[float],
-                            method: str = "auto") -> DataFrame:
+def grouped_quantile_arrays(long: DataFrame, keys: list[str], x: str, probs: list[float], method: str = "exact") -> DataFrame:
     """(keys..., q array<double>) per group of ``keys`` (NULL x ignored)."""
+    from tabsight.operators.ranks import ordered_prefix
     probs = [float(p) for p in probs]
-    m = resolve_method(long, method)
-    xx = F.col(x).cast("double")
-    if m in ("map", "approx"):
-        q = (F.percentile_approx(xx, probs, 10000) if m == "approx"
-             else F.percentile(xx, F.array(*[F.lit(p) for p in probs])))
-        return long.groupBy(*keys).agg(q.alias("q"))
-    qq = exact_quantiles(long, keys, x, probs, small_keys=False)
-    return (qq.groupBy(*keys)
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("prob", "value"))), lambda s: s["value"])
-                   .alias("q")))
+    if method == "approx":
+        return long.groupBy(*keys).agg(F.percentile_approx(F.col(x).cast("double"), probs, 10000).alias("q"))
+    counts = (long.select(*keys, _number(x).alias("__x")).where(F.col("__x").isNotNull())
+              .groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n")))
+    pre = ordered_prefix(counts, keys, "__x", "__n", out_col="__before", total_col="__total")
+    aggs, value = [], []
+    for k, p in enumerate(probs):
+        h = (F.col("__total") - 1) * F.lit(p)
+        for side, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            at = (F.col("__before") <= r) & (r < F.col("__before") + F.col("__n"))
+            aggs.append(F.max(F.when(at, F.col("__x"))).alias(f"__{side}{k}"))
+        value.append(F.col(f"__lo{k}") + (h - F.floor(h)) * (F.col(f"__hi{k}") - F.col(f"__lo{k}")))
+    return (pre.groupBy(*keys).agg(F.max("__total").alias("__total"), *aggs)
+            .select(*keys, F.array(*value).alias("q")))

@@ -1,22 +1,16 @@
 """Running sums in value order without a one-task window.
 
 ``ordered_prefix(df, groups, order_col, weight_col)`` adds ``before``: the sum of
-``weight_col`` over rows of the same group with a strictly smaller
-``order_col``.  The input is expected to hold one row per distinct
-(group, value) - e.g. a value-count table - so a hot value is one row.
-
-A window ``sum() over (partition by group order by value)`` would send every
-distinct value of a group to one task.  Instead:
-
-1. ``percentile_approx`` per group picks cut points over the distinct values
-   (a bounded array per group), and again per (group, bucket): two levels of
-   buckets found by binary search (``operators.quantiles.bucketize``);
-2. bucket totals (groups x buckets rows) get their offsets from a window over
-   that small table;
-3. the running sum inside a bucket is a window partitioned by
-   (group, bucket, sub-bucket), so each task sees a small slice of the values.
-
-The cut points only balance the work; the result is exact for any cut points.
+``weight_col`` over rows of the same group with a strictly smaller ``order_col``.  The
+input is expected to hold one row per distinct (group, value) - e.g. a value-count
+table - so a hot value is one row.
+
+Spark range-partitions the rows by (groups, value); equal values stay together, and
+a group goes over as many partitions as it needs.  Each partition sums on its own
+(a window per partition and group); the totals of (partition, group) - groups plus
+partitions rows - give each partition its offset.  The partitioned rows are saved once
+in the shared checkpoint folder, since range bounds come from a sample and must be
+the same for both readers.
 """
 
 from __future__ import annotations
@@ -24,71 +18,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 128
-
-
-# Estimated input sizes (Catalyst statistics, no job) for 0 / 1 / 2 bucket levels.
-ONE_LEVEL_BYTES = 256 << 20
-TWO_LEVEL_BYTES = 64 << 30
-
-
-def prefix_levels(df: DataFrame) -> int:
-    """0: a window per group is small enough; 1 or 2 bucket levels beyond that.
-
-    Sources without statistics (Long.MaxValue estimate) count as small.
-    """
-    from tabsight.operators.quantiles import plan_size_bytes
-    size = plan_size_bytes(df)
-    if size < ONE_LEVEL_BYTES or size >= (1 << 62):  # small, or no statistics
-        return 0
-    return 1 if size < TWO_LEVEL_BYTES else 2
-
-
-def ordered_prefix(df: DataFrame, groups: list[str], order_col: str, weight_col: str,
-                   n_buckets: int = DEFAULT_BUCKETS, out_col: str = "before",
-                   bucket_col: str | None = None, tiebreak: list[str] | None = None,
-                   levels: int | None = None) -> DataFrame:
-    """``bucket_col`` (numeric, monotone in the order) picks the buckets when
-    ``order_col`` is not numeric; ``tiebreak`` columns order rows with equal
-    ``order_col`` (rows must then be unique on (order_col, tiebreak)).
-
-    ``levels`` bucket levels (``n_buckets`` each; default from the estimated
-    input size) keep every in-bucket window small; bucket totals and their
-    offsets live in a table of groups x buckets rows.
-    """
-    from tabsight.operators.quantiles import bucketize
-    gkeys = list(groups)
-    bcol = bucket_col or order_col
-    lv = prefix_levels(df) if levels is None else levels
-    bks = [f"__b{i + 1}" for i in range(lv)]
-    b = df
-    for i, bk in enumerate(bks):
-        b = bucketize(b, gkeys + bks[:i], bcol, n_buckets, bk, small_keys=(i == 0))
-    if bks:
-        totals = b.groupBy(*gkeys, *bks).agg(F.sum(weight_col).alias("__bt"))
-        w_off = (Window.partitionBy(*gkeys) if gkeys else Window).orderBy(*bks)
-        offsets = totals.withColumn(
-            "__off", F.coalesce(F.sum("__bt").over(w_off.rowsBetween(Window.unboundedPreceding, -1)),
-                                F.lit(0))).drop("__bt")
-    part = Window.partitionBy(*gkeys, *bks) if (gkeys or bks) else Window
-    if tiebreak:
-        w_in = part.orderBy(F.col(order_col), *tiebreak).rowsBetween(Window.unboundedPreceding,
-                                                                     Window.currentRow)
-    else:
-        w_in = part.orderBy(F.col(order_col)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = b.withColumn("__cum", F.sum(weight_col).over(w_in))
-    if not bks:
-        return inside.withColumn(out_col, F.col("__cum") - F.col(weight_col)).drop("__cum")
-    return (inside.join(offsets, gkeys + bks, "left")
-                  .withColumn(out_col, F.col("__off") + F.col("__cum") - F.col(weight_col))
-                  .drop(*bks, "__cum", "__off"))
-
-
-def average_ranks(counts: DataFrame, groups: list[str], value_col: str, n_col: str,
-                  out_col: str = "rank", n_buckets: int = DEFAULT_BUCKETS,
-                  levels: int | None = None) -> DataFrame:
+from tabsight.session import ensure_checkpoint_dir
+
+
+def ordered_prefix(df: DataFrame, groups: list[str], order_col: str, weight_col: str, out_col: str = "before",
+                   tiebreak: list[str] | None = None, total_col: str | None = None) -> DataFrame:
+    """``tiebreak`` columns order rows with equal ``order_col`` (rows must then be unique on
+    (order_col, tiebreak)); ``total_col`` names a column for the group's total weight."""
+    groups, tiebreak = list(groups), list(tiebreak or [])
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # rows with equal (groups, order_col) must share a partition unless tiebreaks make them distinct
+    ranged = (df.repartitionByRange(parts, *groups, order_col, *tiebreak)
+              .withColumn("__part", F.spark_partition_id()).checkpoint(eager=True))
+    totals = ranged.groupBy("__part", *groups).agg(F.sum(weight_col).alias("__t"))
+    # one row per (partition, group): a group has one row unless it spans partitions
+    over = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    earlier = over.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__part", *groups, F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__off"),
+                            F.sum("__t").over(over).alias("__all"))
+    inside = Window.partitionBy("__part", *groups).orderBy(F.col(order_col), *tiebreak)
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow) if tiebreak else inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.withColumn("__cum", F.sum(weight_col).over(inside))
+    names = [f"__g{k}" for k in range(len(groups))]
+    offsets = offsets.select(F.col("__part").alias("__p"), *[F.col(g).alias(n) for g, n in zip(groups, names)], "__off", "__all")
+    same = F.col("__part") == F.col("__p")
+    for g, n in zip(groups, names):
+        same = same & F.col(g).eqNullSafe(F.col(n))
+    out = summed.join(offsets, same).withColumn(out_col, F.col("__off") + F.col("__cum") - F.col(weight_col))
+    if total_col:
+        out = out.withColumn(total_col, F.col("__all"))
+    return out.drop("__part", "__p", "__cum", "__off", "__all", *names)
+
+
+def average_ranks(counts: DataFrame, groups: list[str], value_col: str, n_col: str, out_col: str = "rank") -> DataFrame:
     """1-based average rank of each distinct value (ties share the mean rank)."""
-    pre = ordered_prefix(counts, groups, value_col, n_col, n_buckets=n_buckets, out_col="__before",
-                         levels=levels)
-    return (pre.withColumn(out_col, F.col("__before") + (F.col(n_col) + 1) / 2.0)
-               .drop("__before"))
+    pre = ordered_prefix(counts, groups, value_col, n_col, out_col="__before")
+    return pre.withColumn(out_col, F.col("__before") + (F.col(n_col) + 1) / 2.0).drop("__before")

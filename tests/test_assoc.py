@@ -61,7 +61,7 @@ def test_kendall_small_buckets(ties, spark):
     from tabsight.operators.kendall import kendall_tau_b_cells
     rows, df = ties
     cells = A.pair_cells(df, [("x", "z")])
-    got = kendall_tau_b_cells(cells, n_buckets=5).first().correlation
+    got = kendall_tau_b_cells(cells, small=3).first().correlation
     xs, _, zs = zip(*rows)
     assert got == pytest.approx(_tau_b(xs, zs), abs=1e-12)
 
@@ -100,16 +100,20 @@ def test_mutual_info_identity_is_entropy(spark):
     assert mi == pytest.approx(h, abs=1e-12)
 
 
-@pytest.mark.parametrize("levels", [0, 1, 2])
-def test_ordered_prefix_levels_agree(spark, levels):
+@pytest.mark.parametrize("parts", [1, 7])
+def test_ordered_prefix_over_partitions(spark, parts):
     from pyspark.sql import functions as F
     from tabsight.operators.ranks import ordered_prefix
-    rnd = random.Random(levels)
-    rows = [(rnd.choice("ab"), float(rnd.randint(0, 40)) if rnd.random() < 0.7 else rnd.random(), i)
+    rnd = random.Random(parts)
+    rows = [(rnd.choice(["a", "b", None]), float(rnd.randint(0, 40)) if rnd.random() < 0.7 else rnd.random(), i)
             for i in range(2000)]
     df = spark.createDataFrame(rows, "g string, v double, k long").withColumn("w", F.lit(1))
-    got = {r.k: r.before for r in ordered_prefix(df, ["g"], "v", "w", n_buckets=8, tiebreak=["k"],
-                                                 levels=levels).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.k: (r.before, r.all) for r in ordered_prefix(df, ["g"], "v", "w", tiebreak=["k"], total_col="all").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     for g, v, k in rows:
-        expect = sum(1 for g2, v2, k2 in rows if g2 == g and (v2, k2) < (v, k))
-        assert got[k] == expect
+        same = [(v2, k2) for g2, v2, k2 in rows if g2 == g]
+        assert got[k] == (sum(x < (v, k) for x in same), len(same))

@@ -99,32 +99,58 @@ def test_value_counts_null_is_a_value(spark):
     assert rows[0].value is None and rows[0]["count"] == 2
 
 
-def test_quantile_methods_agree(spark):
+@pytest.mark.parametrize("limit", [1, 40, 4096])
+def test_quantiles_by_narrowing_are_exact(spark, limit):
     import random
-    from tabsight.operators.quantiles import grouped_quantile_arrays, quantile_arrays
+    import numpy as np
+    from tabsight.operators.quantiles import quantiles
     rnd = random.Random(11)
-    rows = [(rnd.choice("abc"), float(rnd.randint(0, 30)) if rnd.random() < 0.8 else rnd.random())
-            for _ in range(3000)] + [("a", None), ("d", 5.0)]
+    x = [float(rnd.randint(0, 30)) if rnd.random() < 0.8 else rnd.random() * 100 for _ in range(3000)] + [5.0] * 2000
+    y = [rnd.gauss(0, 1) if k % 3 else None for k in range(5000)]
+    z = [7.0 if k else -3.0 for k in range(5000)]
+    df = spark.createDataFrame(list(zip(x, y, z, [None] * 5000)), "x double, y double, z double, e double")
+    probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = quantiles(df, ["x", "y", "z", "e"], probs, limit)
+    assert got["e"] == [None] * len(probs)
+    for c, v in (("x", x), ("y", [k for k in y if k is not None]), ("z", z)):
+        assert got[c] == pytest.approx(list(np.quantile(v, probs))), c
+
+
+def test_grouped_quantiles_are_exact(spark):
+    import random
+    import numpy as np
+    from tabsight.operators.quantiles import grouped_quantile_arrays
+    rnd = random.Random(12)
+    rows = [(rnd.choice("aaabc"), float(rnd.randint(0, 30)) if rnd.random() < 0.8 else rnd.random())
+            for _ in range(3000)] + [("a", None), ("d", 5.0), (None, 1.0), (None, 2.0)]
     df = spark.createDataFrame(rows, "g string, x double")
-    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    a = quantile_arrays(df, ["x"], probs, "map").first().q
-    b = quantile_arrays(df, ["x"], probs, "select").first().q
-    assert list(a) == list(b)
-    ga = {r.g: list(r.q) for r in grouped_quantile_arrays(df, ["g"], "x", probs, "map").collect()}
-    gb = {r.g: list(r.q) for r in grouped_quantile_arrays(df, ["g"], "x", probs, "select").collect()}
-    assert ga == gb
-    m1 = P.numeric_moments(df, ["x"], method="map").first()
-    m2 = P.numeric_moments(df, ["x"], method="select").first()
-    assert (m1.q25, m1.q50, m1.q75, m1["count"]) == (m2.q25, m2.q50, m2.q75, m2["count"])
-
-
-def test_quasi_constant_paths_agree(spark):
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: list(r.q) for r in grouped_quantile_arrays(df, ["g"], "x", probs).collect()}
+    assert got.keys() == {"a", "b", "c", "d", None}
+    for g, q in got.items():
+        assert q == pytest.approx(list(np.quantile([x for h, x in rows if h == g and x is not None], probs)))
+
+
+def test_quasi_constant_shares(spark):
     rows = ([("x", 1.0, None, True)] * 995 + [("y", 2.0, None, False)] * 3 + [(None, None, 1, None)] * 2)
     df = spark.createDataFrame(rows, "s string, d double, n int, b boolean")
-    fast = {r.column_name: r.top_share for r in P._quasi_constant_by_median(df, df.columns, 0.99).collect()}
-    slow = {r.column_name: r.top_share
-            for r in P._quasi_constant_by_freq(df, df.columns, 0.99).collect()}
-    assert fast == slow == {"s": 0.995, "d": 0.995, "n": 0.998, "b": 0.995}
+    got = {r.column_name: r.top_share for r in P.quasi_constant_columns(df, threshold=0.99).collect()}
+    assert got == {"s": 0.995, "d": 0.995, "n": 0.998, "b": 0.995}
+
+
+def test_negative_zero_is_zero(spark):
+    df = spark.createDataFrame([(0.0, 1), (-0.0, 2)], "x double, y int")
+    assert [r.column_name for r in P.constant_columns(df).collect()] == ["x"]
+    assert {r.column_name: r.n_unique for r in P.overview(df).collect()} == {"x": 1, "y": 2}
+
+
+def test_null_and_constant_tests_move_no_values(spark):
+    df = spark.createDataFrame([(str(k % 3), float(k), None) for k in range(9)], "s string, x double, e int")
+    for out in (P.missing_summary(df), P.constant_columns(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan
+    assert [(r.column_name, r.n_missing) for r in P.missing_summary(df).collect()] == [("e", 9)]
+    assert [r.column_name for r in P.constant_columns(df).collect()] == ["e"]
 
 
 def test_value_counts_requires_categorical_like(spark):
