@@ -1057,8 +1057,8 @@ WITH j AS ({_LI_CAND_SQL.format(extra=", l_quantity, l_extendedprice, l_discount
 long AS ({" UNION ALL ".join(
     f"SELECT '{c}' AS candidate, '{b}' AS base, abs(corr(\"{c}\", CAST({b} AS DOUBLE))) AS r FROM j"
     for c in LI_CAND_NAMES for b in ['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'])})
-SELECT candidate, arg_max(base, r) AS correlated_with, round(max(r), 4) AS corr,
-       coalesce(max(r) >= 0.95, false) AS dropped
+SELECT candidate, arg_max(base, {{'r': coalesce(r, -1), 'p': -list_position(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'], base)}}) AS correlated_with,
+       round(max(r), 4) AS corr, coalesce(max(r) >= 0.95, false) AS dropped
 FROM long GROUP BY candidate
 """)
 def q_corr_filter(spark, sf):

@@ -181,7 +181,7 @@ def target_correlation(df: DataFrame, target: str, method: str = "pearson",
     """
     check_col(df, target)
     if not is_corr_compatible(df, target):
-        raise ValueError("target must be numeric, boolean, or binary encoded")
+        raise ValueError("correlation needs a target of numbers or truth values")
     cols = (numeric_cols(df, target) if numeric_only
             else [c for c in corr_columns(df) if c != target])
     pairs = [(c, target) for c in cols]

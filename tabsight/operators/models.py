@@ -21,7 +21,9 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
                                        RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasWeightCol
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader,
+                             MLWritable, MLWriter)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ DEFAULT_PARAMS = {
 
 
 # ----------------------------------------------------------------------------- M8
-class InverseStrengthLogisticRegression(Estimator, HasFeaturesCol, HasLabelCol):
+class InverseStrengthLogisticRegression(Estimator, HasFeaturesCol, HasLabelCol, HasWeightCol):
     """Logistic regression with an inverse regularisation strength C on the summed loss."""
 
     C = Param(Params._dummy(), "C", "inverse regularisation strength", TypeConverters.toFloat)
@@ -56,7 +58,7 @@ class InverseStrengthLogisticRegression(Estimator, HasFeaturesCol, HasLabelCol):
 
     @keyword_only
     def __init__(self, featuresCol="features", labelCol="label", C=1.0, l1Ratio=0.0, maxIter=100,
-                 tol=1e-4):
+                 tol=1e-4, weightCol=None):
         super().__init__()
         self._setDefault(featuresCol="features", labelCol="label", C=1.0, l1Ratio=0.0, maxIter=100,
                          tol=1e-4)
@@ -70,6 +72,8 @@ class InverseStrengthLogisticRegression(Estimator, HasFeaturesCol, HasLabelCol):
                                 elasticNetParam=self.getOrDefault(self.l1Ratio),
                                 maxIter=self.getOrDefault(self.maxIter), standardization=False,
                                 tol=self.getOrDefault(self.tol))
+        if self.isDefined(self.weightCol):
+            lr = lr.setWeightCol(self.getWeightCol())
         return lr.fit(df)
 
 
@@ -130,7 +134,7 @@ def knn_neighbours(query: DataFrame, train: DataFrame, k: int, p: int = 2,
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-class KNNClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
+class KNNClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
     k = Param(Params._dummy(), "k", "neighbours", TypeConverters.toInt)
     p = Param(Params._dummy(), "p", "Minkowski power (1 or 2)", TypeConverters.toInt)
     weights = Param(Params._dummy(), "weights", "uniform | distance", TypeConverters.toString)
@@ -153,7 +157,28 @@ class KNNClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
         return m
 
 
-class KNNModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol):
+class _KNNWriter(MLWriter):
+    """Parameters as metadata, the training rows as Parquet beside them."""
+
+    def __init__(self, model: "KNNModel"):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.model.train.write.parquet(f"{path}/train")
+
+
+class _KNNReader(MLReader):
+    def load(self, path: str) -> "KNNModel":
+        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = KNNModel(self.sparkSession.read.parquet(f"{path}/train"))
+        model._resetUid(meta["uid"])
+        DefaultParamsReader.getAndSetParams(model, meta)
+        return model
+
+
+class KNNModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, MLReadable, MLWritable):
     k = KNNClassifier.k
     p = KNNClassifier.p
     weights = KNNClassifier.weights
@@ -163,6 +188,13 @@ class KNNModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol):
         super().__init__()
         self.train = train
 
+    def write(self) -> MLWriter:
+        return _KNNWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _KNNReader()
+
     def _copy_from(self, est: KNNClassifier) -> None:
         for prm in ("featuresCol", "labelCol", "predictionCol", "k", "p", "weights", "idCol"):
             self._set(**{prm: est.getOrDefault(prm)})
@@ -187,17 +219,65 @@ class KNNModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol):
 
 
 # ----------------------------------------------------------------------------- M10 - M13
+# Fixed names under which a model or a parameter is also known.
+ALIASES = {"lr": "logreg", "logistic": "logreg", "logistic_regression": "logreg", "kneighbors": "knn", "dt": "tree", "decision_tree": "tree",
+           "random_forest": "rf", "gradient_boosting": "gb", "cat": "catboost", "lightgbm": "lgbm", "xgboost": "xgb"}
+_TREE = ("criterion", "max_depth", "min_samples_split", "min_samples_leaf", "max_features", "class_weight", "random_state")
+_BOOST = ("n_estimators", "iterations", "learning_rate", "max_depth", "depth", "min_samples_leaf", "min_child_samples", "min_samples_split",
+          "subsample", "colsample_bytree", "num_leaves", "class_weight", "random_state")
+KNOWN = {"logreg": ("C", "l1_ratio", "max_iter", "tol", "class_weight", "random_state"), "knn": ("n_neighbors", "weights", "p"),
+         "tree": _TREE, "rf": (*_TREE, "n_estimators"), "gb": _BOOST, "catboost": _BOOST, "lgbm": _BOOST, "xgb": _BOOST}
+WEIGHT = "__class_weight"
+
+
+class BalancedWeights(Estimator, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Adds ``__class_weight`` = rows / (classes * rows of the class), learned at fit."""
+
+    @keyword_only
+    def __init__(self, labelCol="label"):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame):
+        n = {r[0]: r[1] for r in df.groupBy(F.col(self.getLabelCol()).cast("double")).count().collect()}  # a row per class
+        total = sum(n.values())
+        from pyspark.ml.feature import SQLTransformer
+        whens = " ".join(f"WHEN CAST(`{self.getLabelCol()}` AS DOUBLE) = {float(v)!r}D THEN {total / (len(n) * k)!r}D" for v, k in n.items() if v is not None)
+        return SQLTransformer(statement=f"SELECT *, CASE {whens} ELSE 1.0D END AS {WEIGHT} FROM __THIS__")
+
+
+def _subset(value) -> str:
+    """A share or number of features, or sqrt / log2, as Spark's feature subset strategy."""
+    if value in (None, "sqrt", "log2", "auto", "all"):
+        return "all" if value is None else value
+    return str(value)
+
+
 def _impurity(criterion: str | None) -> str:
     return "gini" if criterion in (None, "gini") else "entropy"  # entropy == log_loss
 
 
 def classifier_stage(name: str, label: str = "label", features: str = "features",
                      id_col: str = "id", **params):
-    """The bare Spark classifier for ``name`` with scikit-style ``params`` translated."""
+    """The bare Spark classifier for ``name`` with scikit-style ``params`` translated.
+
+    A parameter without a counterpart raises. ``min_samples_split`` becomes a minimum
+    of half as many rows per leaf (Spark has none per split); ``num_leaves`` bounds the
+    depth; ``class_weight="balanced"`` reads the column that ``BalancedWeights`` adds.
+    """
+    name = ALIASES.get(name, name)
     if name not in DEFAULT_PARAMS:
         raise ValueError(f"unknown model '{name}'")
+    if strange := sorted(set(params) - set(KNOWN[name])):
+        raise ValueError(f"{name} has no counterpart for {', '.join(strange)}")
     p = {**DEFAULT_PARAMS[name], **params}
     common = {"labelCol": label, "featuresCol": features}
+    if p.get("class_weight") not in (None, "balanced"):
+        raise ValueError("class_weight is None or 'balanced'")
+    if p.get("class_weight"):
+        common["weightCol"] = WEIGHT
+    seed = int(p.get("random_state") or SEED)
+    leaf = max(int(p.get("min_samples_leaf", p.get("min_child_samples", 1)) or 1), -(-int(p.get("min_samples_split") or 2) // 2))
     if name == "logreg":
         return InverseStrengthLogisticRegression(C=float(p.get("C", 1.0)),
                                                  l1Ratio=float(p.get("l1_ratio") or 0.0),
@@ -207,33 +287,37 @@ def classifier_stage(name: str, label: str = "label", features: str = "features"
         return KNNClassifier(k=int(p["n_neighbors"]), p=int(p.get("p", 2)),
                              weights=p.get("weights", "uniform"), idCol=id_col, **common)
     if name == "tree":
-        return DecisionTreeClassifier(maxDepth=int(p.get("max_depth") or 30),
-                                      minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
-                                      impurity=_impurity(p.get("criterion")), seed=SEED, **common)
+        if p.get("max_features") is not None:  # a forest of one tree on all rows
+            return RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy=_subset(p["max_features"]), seed=seed,
+                                          maxDepth=int(p.get("max_depth") or 30), minInstancesPerNode=leaf,
+                                          impurity=_impurity(p.get("criterion")), **common)
+        return DecisionTreeClassifier(maxDepth=int(p.get("max_depth") or 30), minInstancesPerNode=leaf,
+                                      impurity=_impurity(p.get("criterion")), seed=seed, **common)
     if name == "rf":
         return RandomForestClassifier(numTrees=int(p["n_estimators"]),
-                                      maxDepth=int(p.get("max_depth") or 30),
-                                      minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
-                                      impurity=_impurity(p.get("criterion")), seed=SEED, **common)
+                                      maxDepth=int(p.get("max_depth") or 30), minInstancesPerNode=leaf,
+                                      featureSubsetStrategy=_subset(p.get("max_features", "auto")),
+                                      impurity=_impurity(p.get("criterion")), seed=seed, **common)
     # boosted trees: gb / catboost / lgbm / xgb
     rounds = int(p.get("n_estimators", p.get("iterations", 100)))
     depth = int(p.get("max_depth", p.get("depth", 3)))
-    frac = p.get("colsample_bytree")
-    return GBTClassifier(maxIter=rounds, stepSize=float(p.get("learning_rate", 0.1)), maxDepth=depth,
-                         minInstancesPerNode=int(p.get("min_samples_leaf", p.get("min_child_samples", 1))),
-                         subsamplingRate=float(p.get("subsample", 1.0)),
-                         featureSubsetStrategy=str(frac) if frac else "all", seed=SEED, **common)
+    if p.get("num_leaves"):
+        depth = min(depth, max(1, math.ceil(math.log2(int(p["num_leaves"])))))
+    return GBTClassifier(maxIter=rounds, stepSize=float(p.get("learning_rate", 0.1)), maxDepth=depth, minInstancesPerNode=leaf,
+                         subsamplingRate=float(p.get("subsample", 1.0)), featureSubsetStrategy=_subset(p.get("colsample_bytree")),
+                         seed=seed, **common)
 
 
 def make_classifier(name: str, num_cols: list[str], cat_cols: list[str], label: str = "label",
                     id_col: str = "id", **params) -> Pipeline:
     """Preprocessing + classifier.  Linear/KNN models get scaled one-hot inputs,
     tree models median/mode-imputed ordinal inputs."""
-    if name in ("logreg", "knn"):
+    if ALIASES.get(name, name) in ("logreg", "knn"):
         pre = build_preprocessor(num_cols, cat_cols, encoding="onehot", scale=True)
     else:
         pre = build_preprocessor(num_cols, cat_cols, encoding="ordinal", scale=False)
-    return Pipeline(stages=pre.getStages() + [classifier_stage(name, label, id_col=id_col, **params)])
+    weights = [BalancedWeights(labelCol=label)] if params.get("class_weight") == "balanced" else []
+    return Pipeline(stages=pre.getStages() + weights + [classifier_stage(name, label, id_col=id_col, **params)])
 
 
 # ----------------------------------------------------------------------------- M16

@@ -28,12 +28,11 @@ JSON_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("score", T.DoubleType()),
     T.StructField("std", T.DoubleType()),
-    T.StructField("params", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("params", T.StringType()),
     T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("bad", T.StringType()),  # a line that is no JSON
 ])
 
-OUT_COLS = ["ts", "run_id", "name", "score", "std", "params", "tags", "fmt"]
-
 
 def _g(pattern: str, i: int) -> Column:
     return F.nullif(F.regexp_extract(F.col("value"), pattern, i), F.lit(""))
@@ -50,10 +49,11 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
     is_pipe = F.col("value").rlike(PIPE_RE)
     is_plain = F.col("value").rlike(PLAIN_RE)
     is_trainer = F.col("value").rlike(TRAINER_RE)
-    j = F.from_json(F.when(is_json, F.col("value")), JSON_SCHEMA)
-    j_params = F.regexp_extract(F.col("value"), r'"params":\s*(\{[^}]*\})', 1)
+    j = F.from_json(F.when(is_json, F.col("value")), JSON_SCHEMA, {"columnNameOfCorruptRecord": "bad"})
+    # a flat object as it stands in the line; from_json writes nested ones anew
+    flat_params = F.regexp_extract(F.col("value"), r'"params":\s*(\{[^{}]*\})', 1)
     empty_map = F.create_map().cast("map<string,string>")
-    fmt = (F.when(is_json & j.isNotNull(), "json").when(is_pipe, "pipe")
+    fmt = (F.when(is_json & j.isNotNull() & j["bad"].isNull(), "json").when(is_pipe, "pipe")
             .when(is_trainer, "trainer").when(is_plain, "plain").otherwise("unparsed"))
     b = base.withColumn("fmt", fmt).withColumn("__j", j)
     pick = lambda json_c, pipe_c, trainer_c, plain_c: (
@@ -69,7 +69,7 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
              _g(PLAIN_RE, 3).try_cast("double")).alias("score"),
         pick(F.col("__j.std"), _g(PIPE_RE, 4).try_cast("double"), _g(TRAINER_RE, 6).try_cast("double"),
              _g(PLAIN_RE, 4).try_cast("double")).alias("std"),
-        pick(F.nullif(j_params, F.lit("")), _g(PIPE_RE, 5), _g(TRAINER_RE, 7), _g(PLAIN_RE, 5)).alias("params"),
+        pick(F.coalesce(F.nullif(flat_params, F.lit("")), F.col("__j.params")), _g(PIPE_RE, 5), _g(TRAINER_RE, 7), _g(PLAIN_RE, 5)).alias("params"),
         F.coalesce(F.when(F.col("fmt") == "json", F.col("__j.tags")), empty_map).alias("tags"),
         F.col("fmt"),
         F.when(F.col("fmt") == "unparsed", F.col("value")).alias("raw"))

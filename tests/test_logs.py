@@ -1,4 +1,6 @@
 """The mixed experiment-log formats (line shapes retyped as test strings)."""
+import json
+
 from tabsight.sources.logs import parse_log_lines
 
 LINES = [
@@ -36,3 +38,11 @@ def test_experiment_log_roundtrip(spark, tmpdir_path):
     rows = sorted(io.load_experiments(spark, path).collect(), key=lambda r: r.run_id)
     assert [(r.name, r.score) for r in rows] == [("logreg", 0.830525), ("rf", 0.83)]
     assert io.load_experiments(spark, tmpdir_path + "/missing").count() == 0
+
+
+def test_truncated_and_nested_json(spark):
+    lines = ['{"ts": "2026-04-25 13:54:09", "name": "cut off", "score": 0.8',
+             '{"ts": "2026-04-25 13:54:09", "name": "deep", "score": 0.5, "std": 0.1, "params": {"a": {"b": 1}, "c": 2}}']
+    cut, deep = parse_log_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert (cut.fmt, cut.raw, cut.name) == ("unparsed", lines[0], None)
+    assert (deep.fmt, json.loads(deep.params), deep.raw) == ("json", {"a": {"b": 1}, "c": 2}, None)

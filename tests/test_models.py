@@ -70,3 +70,62 @@ def test_cv_logreg_beats_majority(spark):
 def test_most_frequent_ties_numeric_order(spark):
     df = spark.createDataFrame([(10, "b"), (9, "a"), (10, "a"), (9, "b"), (None, None)], "n int, s string")
     assert M.most_frequent_values(df, ["n", "s"]) == {"n": 9, "s": "a"}
+
+
+def _labelled(spark, n=200):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(n):
+        y = int(i % 5 == 0)
+        rows.append((i, rnd.gauss(y * 2.0, 1.0), rnd.choice("ab"), float(y)))
+    return spark.createDataFrame(rows, "id long, x double, s string, label double")
+
+
+def test_unknown_parameters_raise_and_aliases_work():
+    with pytest.raises(ValueError):
+        MD.classifier_stage("tree", nonsense=1)
+    with pytest.raises(ValueError):
+        MD.classifier_stage("gb", reg_lambda=1.0)
+    with pytest.raises(ValueError):
+        MD.classifier_stage("tree", class_weight={0: 1})
+    for alias, name in MD.ALIASES.items():
+        assert type(MD.classifier_stage(alias)) is type(MD.classifier_stage(name))
+    tree = MD.classifier_stage("dt", max_features="sqrt", random_state=7)
+    assert (tree.getNumTrees(), tree.getFeatureSubsetStrategy(), tree.getBootstrap(), tree.getSeed()) == (1, "sqrt", False, 7)
+    assert MD.classifier_stage("rf", min_samples_split=20, min_samples_leaf=2).getMinInstancesPerNode() == 10
+    assert MD.classifier_stage("lgbm", num_leaves=4, max_depth=9).getMaxDepth() == 2
+
+
+def test_balanced_classes_raise_the_rare_ones_scores(spark):
+    df = _labelled(spark)
+    rate = {}
+    for weight in (None, "balanced"):
+        model = MD.make_classifier("lr", ["x"], ["s"], class_weight=weight).fit(df)
+        rate[weight] = model.transform(df).agg(F.avg("prediction")).first()[0]
+    assert rate["balanced"] > rate[None]
+
+
+def test_knn_pipeline_is_saved_and_loaded(spark, tmpdir_path):
+    from tabsight.sources import io
+    df = _labelled(spark)
+    model = MD.make_classifier("kneighbors", ["x"], ["s"], n_neighbors=5).fit(df)
+    io.save_model(model, f"{tmpdir_path}/knn")
+    again = io.load_model(f"{tmpdir_path}/knn")
+    first = {r.id: r.prediction for r in model.transform(df).collect()}
+    assert {r.id: r.prediction for r in again.transform(df).collect()} == first
+
+
+def test_empty_fold_is_refused(spark):
+    df = _labelled(spark, 20).withColumn("fold", F.lit(0))
+    with pytest.raises(ValueError):
+        E._fold_score(MD.make_classifier("tree", ["x"], []), df, "label", "fold", 3, "accuracy")
+
+
+def test_permuted_column_is_a_permutation_by_the_documented_order(spark):
+    import hashlib
+    from tabsight.operators.select import permute_column
+    df = _labelled(spark, 60)
+    rows = {r.id: r.x for r in df.collect()}
+    order = sorted(rows, key=lambda i: hashlib.md5(f"3:{i}".encode()).hexdigest())
+    want = {i: rows[j] for i, j in zip(sorted(rows), order)}
+    assert {r.id: r.x for r in permute_column(df, "x", "id", 3).collect()} == want
