@@ -387,19 +387,17 @@ def _sql_spearman(table: str, cols) -> str:
     return " UNION ALL ".join(parts)
 
 
-SPEAR_COLS = ["l_quantity", "l_discount", "l_tax"]
+LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@register("corr_spearman", _sql_spearman("lineitem", SPEAR_COLS))
+@register("corr_spearman", _sql_spearman("lineitem", LI_NUM))
 def q_corr_spearman(spark, sf):
-    li = read_table(spark, sf, "lineitem").select(*SPEAR_COLS)
-    return rounded(A.correlation_matrix(li, method="spearman"))
+    return rounded(A.correlation_matrix(read_table(spark, sf, "lineitem"), method="spearman"))
 
 
-@register("corr_spearman_nulls", _sql_spearman(DOCS_LABELS_SQL, ["n_chars", "quality", "toxic"]))
+@register("corr_spearman_nulls", _sql_spearman(DOCS_LABELS_SQL, DL_NUM))
 def q_corr_spearman_nulls(spark, sf):
-    dl = docs_labels(spark, sf).select("n_chars", "quality", "toxic")
-    return rounded(A.correlation_matrix(dl, method="spearman"))
+    return rounded(A.correlation_matrix(docs_labels(spark, sf), method="spearman"))
 
 
 def _sql_kendall(table: str, cols) -> str:
@@ -421,16 +419,20 @@ FROM (SELECT sum(sign(c1.x - c2.x) * sign(c1.y - c2.y) * c1.n * c2.n) / 2.0 AS s
     return " UNION ALL ".join(parts)
 
 
-@register("corr_kendall", _sql_kendall("lineitem", SPEAR_COLS))
+# pairs of rows in SQL are too many for all of lineitem; tests/test_assoc.py checks the operator by brute force
+@register("corr_kendall")
 def q_corr_kendall(spark, sf):
-    li = read_table(spark, sf, "lineitem").select(*SPEAR_COLS)
-    return rounded(A.correlation_matrix(li, method="kendall"))
+    return rounded(A.correlation_matrix(read_table(spark, sf, "lineitem"), method="kendall"))
 
 
-@register("corr_kendall_nulls", _sql_kendall(DOCS_LABELS_SQL, ["n_chars", "quality", "toxic"]))
+@register("corr_kendall_part", _sql_kendall("part", ["p_partkey", "p_size", "p_retailprice"]))
+def q_corr_kendall_part(spark, sf):
+    return rounded(A.correlation_matrix(read_table(spark, sf, "part"), method="kendall"))
+
+
+@register("corr_kendall_nulls", _sql_kendall(DOCS_LABELS_SQL, DL_NUM))
 def q_corr_kendall_nulls(spark, sf):
-    dl = docs_labels(spark, sf).select("n_chars", "quality", "toxic")
-    return rounded(A.correlation_matrix(dl, method="kendall"))
+    return rounded(A.correlation_matrix(docs_labels(spark, sf), method="kendall"))
 
 
 # ============================================================================ C5 - C7
@@ -800,10 +802,14 @@ def q_column_summary(spark, sf):
         "rank", F.col("rank").cast("long"))
 
 
-@register("pair_sample")
+@register("pair_sample", """
+SELECT l_quantity, l_extendedprice, l_discount, l_returnflag FROM lineitem
+WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND l_discount IS NOT NULL
+ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber), 1, 2, 3, 4 LIMIT 500
+""")
 def q_pair_sample(spark, sf):
     return G.pair_sample(read_table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
-                         hue="l_returnflag", n=500)
+                         hue="l_returnflag", n=500, key=["l_orderkey", "l_linenumber"])
 
 
 # ============================================================================ M1 - M5 preparation, E1 folds
@@ -1075,6 +1081,16 @@ DOC_CANDIDATES = [
 ]
 
 
+@register("permuted_column", """
+WITH k AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS pos FROM orders),
+d AS (SELECT o_totalprice AS donor, row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) AS pos FROM orders)
+SELECT k.o_orderkey, k.o_custkey, d.donor AS o_totalprice FROM k JOIN d ON k.pos = d.pos
+""")
+def q_permuted_column(spark, sf):
+    return SL.permute_column(read_table(spark, sf, "orders"), "o_totalprice", "o_orderkey", 42).select(
+        "o_orderkey", "o_custkey", "o_totalprice")
+
+
 @register("greedy")
 def q_greedy(spark, sf):
     data = CD.apply_candidates(model_frame(spark, sf), DOC_CANDIDATES)

@@ -2,9 +2,7 @@
 
 * bias-adjusted sample skewness / excess kurtosis (Spark's built-ins are the
   population moments);
-* a correlation that is defined on constant inputs (NULL instead of a
-  divide-by-zero error under ANSI mode) and uses pairwise-complete rows;
-* quantiles with linear interpolation, exact by default.
+* shares in percent.
 """
 
 from __future__ import annotations
@@ -33,25 +31,6 @@ def adjusted_kurtosis(c) -> Column:
     return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
-def pairwise_corr(a, b) -> Column:
-    """Pearson r over rows where both inputs are non-null; NULL if a variance is 0."""
-    x = _c(a).cast("double")
-    y = _c(b).cast("double")
-    xm = F.when(y.isNotNull(), x)
-    ym = F.when(x.isNotNull(), y)
-    den = F.stddev_pop(xm) * F.stddev_pop(ym)
-    return F.covar_pop(xm, ym) / F.nullif(den, F.lit(0.0))
-
-
-def quantiles(c, probs, approx: bool = False, accuracy: int = 10000) -> Column:
-    """Array of linear-interpolated quantiles (exact ``percentile`` by default)."""
-    x = _c(c).cast("double")
-    probs = [float(p) for p in probs]
-    if approx:
-        return F.percentile_approx(x, probs, accuracy)
-    return F.percentile(x, F.array(*[F.lit(p) for p in probs]))
-
-
 def pct(num, den, digits: int = 2) -> Column:
     """round(num / den * 100, digits); NULL when den is 0."""
     return F.round(_c(num).cast("double") / F.nullif(_c(den).cast("double"), F.lit(0.0)) * 100,
