@@ -19,6 +19,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabsight.operators.ranks import ordered_prefix
@@ -46,7 +47,10 @@ class cached_frame:
         self.own = not data.storageLevel.useMemory and not data.storageLevel.useDisk
 
     def __enter__(self) -> DataFrame:
-        return self.data.persist(StorageLevel.MEMORY_AND_DISK) if self.own else self.data
+        if self.own:
+            self.data = self.data.persist(StorageLevel.MEMORY_AND_DISK)
+            self.data.count()  # fill the cache once, before parallel fits read it
+        return self.data
 
     def __exit__(self, *exc):
         if self.own:
@@ -59,6 +63,24 @@ def accuracy(pred: DataFrame, label: str, pred_col: str = "prediction") -> DataF
                     .alias("accuracy"))
 
 
+def binary_scores(pred: DataFrame, label: str, pred_col: str = "prediction") -> DataFrame:
+    """One row: precision, recall and f1 of class 1 (0 where undefined)."""
+    y, p = F.col(label).cast("double") == 1.0, F.col(pred_col) == 1.0
+    counts = pred.agg(F.count(F.when(y & p, 1)).alias("tp"), F.count(F.when(~y & p, 1)).alias("fp"), F.count(F.when(y & ~p, 1)).alias("fn"))
+
+    def share(a, b):
+        return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
+    tp = F.col("tp")
+    return counts.select(share(tp, tp + F.col("fp")).alias("precision"), share(tp, tp + F.col("fn")).alias("recall"),
+                         share(2 * tp, 2 * tp + F.col("fp") + F.col("fn")).alias("f1"))
+
+
+def log_loss(pred: DataFrame, label: str, probability: str = "probability") -> DataFrame:
+    """One row: mean negative log likelihood of the labels 0 and 1."""
+    p = F.least(F.greatest(vector_to_array(F.col(probability))[1], F.lit(1e-15)), F.lit(1 - 1e-15))
+    return pred.agg((-F.avg(F.when(F.col(label).cast("double") == 1.0, F.log(p)).otherwise(F.log(1 - p)))).alias("log_loss"))
+
+
 def _fold_score(estimator, data: DataFrame, label: str, fold_col: str, f: int,
                 scoring: str) -> float:
     train = data.where(F.col(fold_col) != f)
@@ -70,6 +92,10 @@ def _fold_score(estimator, data: DataFrame, label: str, fold_col: str, f: int,
         if share is None:
             raise ValueError(f"fold {f} has no rows to score")
         return float(share)
+    if scoring in ("precision", "recall", "f1"):
+        return float(binary_scores(pred, label).first()[scoring])
+    if scoring == "neg_log_loss":
+        return -float(log_loss(pred, label).first()[0])
     if scoring == "roc_auc":
         from pyspark.ml.evaluation import BinaryClassificationEvaluator
         return float(BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
@@ -85,16 +111,8 @@ def cv_scores(estimator, data: DataFrame, label: str, fold_col: str = "fold",
     The folded frame is cached for the k fits (each fit makes several passes)
     unless the caller already cached it.
     """
-    own = not data.storageLevel.useMemory and not data.storageLevel.useDisk
-    if own:
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-            scores = list(ex.map(lambda f: _fold_score(estimator, data, label, fold_col, f, scoring),
-                                 range(k)))
-    finally:
-        if own:
-            data.unpersist()
+    with cached_frame(data) as rows, ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        scores = list(ex.map(lambda f: _fold_score(estimator, rows, label, fold_col, f, scoring), range(k)))
     mean = sum(scores) / len(scores)
     std = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
     return mean, std, scores
@@ -110,8 +128,9 @@ def compare_models(builders: dict, data: DataFrame, label: str, fold_col: str =
     """Table (model, mean, std, scores) ordered by mean desc."""
     spark = data.sparkSession
     rows = []
-    for name, build in builders.items():
-        m, s, sc = cv_scores(build(), data, label, fold_col, k, scoring)
-        rows.append((name, m, s, sc))
+    with cached_frame(data) as cached:
+        for name, build in builders.items():
+            m, s, sc = cv_scores(build(), cached, label, fold_col, k, scoring)
+            rows.append((name, m, s, sc))
     df = spark.createDataFrame(rows, "model string, mean double, std double, scores array<double>")
     return df.orderBy(F.desc("mean"), "model")

@@ -129,3 +129,22 @@ def test_permuted_column_is_a_permutation_by_the_documented_order(spark):
     order = sorted(rows, key=lambda i: hashlib.md5(f"3:{i}".encode()).hexdigest())
     want = {i: rows[j] for i, j in zip(sorted(rows), order)}
     assert {r.id: r.x for r in permute_column(df, "x", "id", 3).collect()} == want
+
+
+def test_scores_by_hand(spark):
+    from pyspark.ml.linalg import Vectors
+    rows = [(1.0, 1.0, 0.9), (1.0, 0.0, 0.4), (0.0, 1.0, 0.6), (0.0, 0.0, 0.2), (1.0, 1.0, 0.7)]
+    pred = spark.createDataFrame([(y, p, Vectors.dense([1 - q, q])) for y, p, q in rows], ["label", "prediction", "probability"])
+    r = E.binary_scores(pred, "label").first()
+    assert (r.precision, r.recall, r.f1) == (pytest.approx(2 / 3), pytest.approx(2 / 3), pytest.approx(2 / 3))
+    want = -sum(math.log(q if y else 1 - q) for y, _, q in rows) / 5
+    assert E.log_loss(pred, "label").first()[0] == pytest.approx(want)
+    none = spark.createDataFrame([(0.0, 0.0)], "label double, prediction double")
+    assert tuple(E.binary_scores(none, "label").first()) == (0.0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("scoring", ["f1", "neg_log_loss", "roc_auc"])
+def test_cross_validation_takes_other_scores(spark, scoring):
+    df = E.stratified_folds(_labelled(spark, 100), "label", "id", k=2)
+    mean, _, scores = E.cv_scores(MD.make_classifier("logreg", ["x"], ["s"]), df, "label", k=2, scoring=scoring)
+    assert len(scores) == 2 and (mean <= 0) == (scoring == "neg_log_loss")
