@@ -1227,14 +1227,29 @@ def q_score_bands(spark, sf):
     return SL.threshold_bands(mi, "mi", [0.005, 0.002, 0.001, 0.0])
 
 
+@register("group_size_learned", """
+SELECT s_suppkey, coalesce(n.size, 1) AS customers_there
+FROM supplier LEFT JOIN (SELECT c_nationkey, count(*) AS size FROM customer GROUP BY c_nationkey) n ON s_nationkey = c_nationkey
+""")
+def q_group_size_learned(spark, sf):
+    from tabsight.operators.features import GroupSizeEncoder
+    nations = read_table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"))
+    model = GroupSizeEncoder(inputCol="nation", outputCol="customers_there").fit(nations)
+    suppliers = read_table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))
+    return model.transform(suppliers).select("s_suppkey", "customers_there")
+
+
 # ============================================================================ E5, F16 (rows checks)
 @register("experiment")
 def q_experiment(spark, sf):
     from tabsight.plans.experiment import run_experiment
+    from tabsight.operators.features import GroupSizeEncoder, QuantileBinner
     d = (read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id")
          .select("doc_id", "n_chars", "lang", "source", "quality"))
-    scores, _ = run_experiment(d, "quality", "doc_id", MODEL_NUM, MODEL_CAT, model="logreg",
-                               params={"C": 100.0, "max_iter": 100})
+    learned = [GroupSizeEncoder(inputCol="source", outputCol="source_rows"),
+               QuantileBinner(inputCol="n_chars", outputCol="n_chars_bin", numBins=4)]
+    scores, _ = run_experiment(d, "quality", "doc_id", [*MODEL_NUM, "source_rows", "n_chars_bin"], MODEL_CAT, model="logreg",
+                               params={"C": 100.0, "max_iter": 100}, learned=learned)
     return scores
 
 

@@ -4,7 +4,7 @@ All steps are column expressions (``withColumn``) except ``group_size`` (groupBy
 join-back, so a hot key is one aggregated row and AQE splits the join) and
 ``qcut`` (quantile edges from one aggregate, attached as a one-row broadcast).
 ``FeaturePlan`` folds a list of steps over a frame; ``QuantileBinner`` and
-``FeaturePlanEstimator`` are ``pyspark.ml`` estimators that learn the edges /
+``GroupSizeEncoder`` are ``pyspark.ml`` estimators that learn the edges /
 group sizes at ``fit`` and reuse them at ``transform``.
 """
 
@@ -188,7 +188,8 @@ from pyspark import keyword_only  # noqa: E402
 from pyspark.ml import Estimator, Model  # noqa: E402
 from pyspark.ml.param import Param, Params, TypeConverters  # noqa: E402
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol  # noqa: E402
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable  # noqa: E402
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,  # noqa: E402
+                             MLReadable, MLReader, MLWritable, MLWriter)
 
 
 class QuantileBinner(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -232,3 +233,56 @@ class QuantileBinnerModel(Model, HasInputCol, HasOutputCol, DefaultParamsReadabl
         x = _c(self.getInputCol()).cast("double")
         # outside the learned range: below -> bin 0, above -> last bin (edges clip)
         return df.withColumn(self.getOutputCol(), qbin_expr(x, e, q))
+
+
+class GroupSizeEncoder(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Group sizes learned at ``fit`` and joined at ``transform`` (NULL is a group; unseen groups get 1)."""
+
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame):
+        sizes = df.groupBy(_c(self.getInputCol()).alias("__group")).agg(F.count(F.lit(1)).alias("__size"))
+        model = GroupSizeModel(sizes)
+        model._set(inputCol=self.getInputCol(), outputCol=self.getOutputCol())
+        return model
+
+
+class _GroupSizeWriter(MLWriter):
+    def __init__(self, model: "GroupSizeModel"):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.model.sizes.write.parquet(f"{path}/sizes")
+
+
+class _GroupSizeReader(MLReader):
+    def load(self, path: str) -> "GroupSizeModel":
+        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = GroupSizeModel(self.sparkSession.read.parquet(f"{path}/sizes"))
+        model._resetUid(meta["uid"])
+        DefaultParamsReader.getAndSetParams(model, meta)
+        return model
+
+
+class GroupSizeModel(Model, HasInputCol, HasOutputCol, MLReadable, MLWritable):
+    """The table of group sizes; a hot group is one row of it, and AQE splits the other side of the join."""
+
+    def __init__(self, sizes: DataFrame):
+        super().__init__()
+        self.sizes = sizes
+
+    def write(self) -> MLWriter:
+        return _GroupSizeWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _GroupSizeReader()
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        joined = df.join(self.sizes, _c(self.getInputCol()).eqNullSafe(F.col("__group")), "left")
+        return joined.withColumn(self.getOutputCol(), F.coalesce("__size", F.lit(1)).cast("long")).drop("__group", "__size")

@@ -83,3 +83,24 @@ def test_group_then_candidates(spark):
     assert out[("a", 3.0)] == (3.0, 14.0 / 3, 3, 2 / 3)
     assert out[("b", 2.0)] == (2.0, 2.0, 1, 1.0)
     assert out[(None, 5.0)] == (None, None, None, None)
+
+
+def test_group_sizes_and_bins_are_learned_on_the_training_folds(spark, tmpdir_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from tabsight.operators.evaluate import stratified_folds
+    from tabsight.operators.features import GroupSizeEncoder, QuantileBinner
+    rows = [(i, "abc"[i % 3] if i % 7 else None, float(i * i % 50), i % 2) for i in range(90)] + [(90, "only", 3.0, 0)]
+    df = stratified_folds(spark.createDataFrame(rows, "id long, g string, x double, y int"), "y", "id", k=3)
+    fold = {r.id: r.fold for r in df.collect()}
+    stages = Pipeline(stages=[GroupSizeEncoder(inputCol="g", outputCol="size"), QuantileBinner(inputCol="x", outputCol="bin", numBins=2)])
+    for k in range(3):
+        model = stages.fit(df.where(df.fold != k))
+        train = [r for r in rows if fold[r[0]] != k]
+        xs = sorted(r[2] for r in train)
+        middle = (xs[(len(xs) - 1) // 2] + xs[len(xs) // 2]) / 2
+        for r in model.transform(df).collect():
+            assert r.size == max(1, sum(t[1] == r.g for t in train))
+            assert r.bin == int(r.x > middle)
+    model.write().overwrite().save(f"{tmpdir_path}/stages")
+    again = PipelineModel.load(f"{tmpdir_path}/stages")
+    assert {r.id: (r.size, r.bin) for r in again.transform(df).collect()} == {r.id: (r.size, r.bin) for r in model.transform(df).collect()}
