@@ -20,9 +20,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there."""
-    ensure_checkpoint_dir(df.sparkSession)
+def saved(df: DataFrame, few: bool = False) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there.
+
+    ``few``: for tables of short rows after a shuffle, at most four files per core
+    in place of one per shuffle partition.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    most = 4 * spark.sparkContext.defaultParallelism
+    if few and int(spark.conf.get("spark.sql.shuffle.partitions")) > most:
+        df = df.coalesce(most)
     return df.checkpoint(eager=True)
 
 
@@ -60,17 +68,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     a count and a checksum reaches the driver. Self edges and nulls are ignored.
     """
     a, b = F.col(src), F.col(dst)
-    e = saved(edges.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
+    e = saved(edges.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), few=True)
     seen = _signature(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = saved(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        low = saved(large.groupBy("a").agg(F.min("b").alias("m")))
+        low = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), few=True)
+        large = saved(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), few=True)
+        low = saved(large.groupBy("a").agg(F.min("b").alias("m")), few=True)
         e = saved(large.join(low, "a")
                   .select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")),
                                             F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-                  .select("x.a", "x.b").filter("a != b").distinct())
+                  .select("x.a", "x.b").filter("a != b").distinct(), few=True)
         now = _signature(e)
         if now == seen:
             break
@@ -93,7 +101,7 @@ def split_hot_groups(df: DataFrame, keys: list[str], salt: str, cap: int) -> Dat
     more than ``2 * cap`` rows. ``chunk`` tells a row's own chunk.
     """
     hot = saved(df.groupBy(*keys).count().filter(F.col("count") > cap)
-                .select(*keys, (F.floor(F.col("count") / cap) + 1).cast("int").alias("__c")))
+                .select(*keys, (F.floor(F.col("count") / cap) + 1).cast("int").alias("__c")), few=True)
     zero = F.lit(0).cast("int")
     if hot.isEmpty():
         return df.withColumns({"ci": zero, "cj": zero, "chunk": zero})

@@ -97,7 +97,7 @@ def recovered(pairs: DataFrame, keys: list[str]) -> DataFrame:
         tried = todo.withColumn("st", F.expr(peel("mine", "other", table)))
         left = F.exists("st.cells", lambda c: (c["cnt"] != 0) | (c["key"] != 0) | (c["chk"] != 0))
         tried = saved(tried.select(*keys, "pair", left.alias("failed"), F.size("st.found").alias("n"), F.when(left, F.col("mine")).alias("mine"),
-                                   F.when(left, F.col("other")).alias("other")))
+                                   F.when(left, F.col("other")).alias("other")), few=True)
         fine = tried.filter("NOT failed").select(*keys, "pair", "n")
         done = fine if done is None else done.unionByName(fine)
         todo = tried.filter("failed").select(*keys, "pair", "mine", "other")
@@ -109,10 +109,10 @@ def recovered(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def versions(docs: DataFrame) -> DataFrame:
     """(k1, k2, n_chars, edited_sha256, a, e, x): digests of each document, its edited text and the next document."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64(text_of()).alias("k2"), text_of().alias("text"))
-    placed = saved(with_global_index(keyed.select("k1", "k2", F.char_length("text").alias("n")).distinct(), ["k1", "k2"]))
+    placed = with_global_index(keyed.select("k1", "k2", F.char_length("text").alias("n")).distinct(), ["k1", "k2"])
     count = max(1, placed.count())
     after = placed.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("idx").alias("next"))
-    links = saved(placed.withColumn("next", (F.col("idx") + 1) % count).join(after, "next").select("k1", "k2", "n", "n1", "n2"))
+    links = saved(placed.withColumn("next", (F.col("idx") + 1) % count).join(after, "next").select("k1", "k2", "n", "n1", "n2"), few=True)
     one = keyed.withColumn("__row", F.row_number().over(W.partitionBy("k1", "k2").orderBy("k1"))).filter("__row = 1").drop("__row")
     # the next document sends its first code points and its digests to the one before it
     given = links.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("n1").alias("k1"), F.col("n2").alias("k2"), F.col("n"))
@@ -137,7 +137,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
                                                  F.struct(F.lit("next").alias("pair"), F.col("a").alias("mine"), F.col("x").alias("other")))).alias("p"))
     differ = recovered(pairs.select(*keys, "p.*"), keys)
     wide = saved(differ.groupBy(*keys).agg(F.sum(F.when(F.col("pair") == "edited", F.col("n"))).alias("d_edited"),
-                                           F.sum(F.when(F.col("pair") == "next", F.col("n"))).alias("d_next")))
+                                           F.sum(F.when(F.col("pair") == "next", F.col("n"))).alias("d_next")), few=True)
 
     def near(other: str, d: str) -> Column:
         total, n = F.size("a") + F.size(other), F.coalesce(F.col(d), F.lit(0))

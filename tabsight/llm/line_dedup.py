@@ -116,9 +116,9 @@ def line_table(docs: DataFrame) -> DataFrame:
 def deletions(docs: DataFrame, rare: int = RARE, shared: int = SHARED, min_chars: int = MIN_CHARS) -> DataFrame:
     """(k1, k2, gone): the places of the lines to delete from each later document."""
     lines = line_table(docs).dropDuplicates(["k1", "k2", "h1", "h2"])
-    lines = saved(lines)
+    lines = saved(lines, few=True)
     owners = saved(lines.groupBy("h1", "h2").agg(F.min(F.struct("k1", "k2", "at")).alias("o"), F.count(F.lit(1)).alias("df"))
-                   .filter("df > 1").select("h1", "h2", F.col("o.k1").alias("o1"), F.col("o.k2").alias("o2"), F.col("o.at").alias("first"), "df"))
+                   .filter("df > 1").select("h1", "h2", F.col("o.k1").alias("o1"), F.col("o.k2").alias("o2"), F.col("o.at").alias("first"), "df"), few=True)
     pairs = (lines.join(owners, ["h1", "h2"]).filter("k1 > o1 OR (k1 = o1 AND k2 > o2)")
              .groupBy("k1", "k2", "o1", "o2").agg(F.collect_list(F.struct("at", "first", "chars")).alias("common"), F.min("df").alias("df"))
              .filter((F.col("df") <= rare) | (F.size("common") >= shared)))
@@ -133,7 +133,7 @@ def deletions(docs: DataFrame, rare: int = RARE, shared: int = SHARED, min_chars
 
 def line_dedup(docs: DataFrame, rare: int = RARE, shared: int = SHARED, min_chars: int = MIN_CHARS, count: str | None = None) -> DataFrame:
     """``docs`` with the deleted lines gone from ``text``; ``count`` names a column for their number."""
-    gone = saved(deletions(docs, rare, shared, min_chars)).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("gone").alias("__gone"))
+    gone = saved(deletions(docs, rare, shared, min_chars), few=True).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("gone").alias("__gone"))
     keyed = docs.withColumns({"__d1": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__d2": F.xxhash64(text_of())})
     both = keyed.join(gone, (F.col("__d1") == F.col("__k1")) & (F.col("__d2") == F.col("__k2")), "left")
     parts = F.split(F.col("text"), "\n", -1)

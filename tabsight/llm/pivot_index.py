@@ -156,13 +156,13 @@ def embedding_components(vectors: DataFrame, cosine: float = COSINE, prefix: int
     valid = checked.filter("fine").drop("fine")
     classes = saved(valid.groupBy("label", "v").agg(F.count(F.lit(1)).alias("w"), F.min("vec_id").alias("first_id"))
                     .withColumn("cid", F.monotonically_increasing_id()))
-    found = saved(near_vectors(classes, cosine, prefix, shared))
+    found = saved(near_vectors(classes, cosine, prefix, shared), few=True)
     roots = connected_components(found.select(F.col("cid").alias("src"), F.col("root").alias("dst")))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     linked = saved(classes.join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-                   .select("label", "v", "first_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")))
-    ids = saved(linked.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    named = saved(linked.join(ids, "root").select("label", "v", "n_links", "component_id"))
+                   .select("label", "v", "first_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")), few=True)
+    ids = saved(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), few=True)
+    named = saved(linked.join(ids, "root").select("label", "v", "n_links", "component_id"), few=True)
     rows = valid.join(named, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = checked.filter("NOT fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -165,12 +165,12 @@ def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4,
     if not 0 <= max_bits <= 15:
         raise ValueError("max_bits must lie between 0 and 15")
     rows = saved(fingerprints(docs, shingle, id_col, text_col))
-    nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), few=True)
     roots = connected_components(near_links(nodes.select("fp"), max_bits))
     rooted = saved(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-                   .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    ids = saved(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    named = saved(rooted.join(ids, "root").select("fp", "component_id"))
+                   .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), few=True)
+    ids = saved(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), few=True)
+    named = saved(rooted.join(ids, "root").select("fp", "component_id"), few=True)
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

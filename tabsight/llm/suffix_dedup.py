@@ -38,7 +38,7 @@ from tabsight.llm.common import saved, text_of
 
 LENGTH, FIRST = 400, 64
 #: Start positions in a block, by round.
-STEPS = (32, 4, 1)
+STEPS = (16, 1)
 #: Bytes that one numpy pass takes.
 SLICE = 1 << 20
 NO_ID = -(1 << 63)
@@ -149,9 +149,9 @@ def decided(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
     """
     # per first rank: unique, one context, or several; partial sums, so a hot rank is a row per task
     ranks = saved(rows.groupBy("kh").agg(F.sum("n").alias("total"), F.min("xh").alias("x1"), F.max("xh").alias("x2"))
-                  .filter("total > 1").select("kh", (F.col("x1") < F.col("x2")).alias("several")))
-    alive = saved(rows.join(ranks, "kh"))
-    pairs = saved(alive.groupBy("kh", "xh").agg(F.sum("n").alias("same"), F.min(F.struct(*place)).alias("rep")))
+                  .filter("total > 1").select("kh", (F.col("x1") < F.col("x2")).alias("several")), few=True)
+    alive = rows.join(ranks, "kh")
+    pairs = saved(alive.groupBy("kh", "xh").agg(F.sum("n").alias("same"), F.min(F.struct(*place)).alias("rep")), few=True)
     known = alive.join(pairs, ["kh", "xh"])
     here = F.struct(*place)
     going = known.filter(F.col("several") & ((F.col("open") & (F.col("same") == 1)) | (here == F.col("rep"))))
@@ -172,7 +172,7 @@ def contexts(docs: DataFrame, runs: DataFrame, length: int = LENGTH) -> DataFram
                     lo, hi, gap = np.frombuffer(r["spans"], np.int32)[:3].tolist()
                     out.append((k1, k2, lo, hi, gap, r["open"], data[lo:hi + length]))
             yield pd.DataFrame(out, columns=["k1", "k2", "lo", "hi", "gap", "open", "x"])
-    by_doc = saved(runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("spans", "open")).alias("runs")))
+    by_doc = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("spans", "open")).alias("runs"))
     sent = _keyed(docs).select("k1", "k2", _packed(F.col("text")).alias("packed"))
     return (sent.join(by_doc, ["k1", "k2"]).select("k1", "k2", "packed", "runs")
             .mapInPandas(run, "k1 long, k2 long, lo int, hi int, gap int, open boolean, x binary"))
@@ -199,14 +199,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     table = saved(run_table(docs, length).withColumn("open", F.lit(True)))
     past, going = decided(table, ["k1", "k2", "lo"])
     spans = past.select("k1", "k2", "spans").distinct().groupBy("k1", "k2").agg(F.collect_list("spans").alias("spans"))
-    runs = saved(contexts(docs, going, length))
+    runs = saved(contexts(docs, going, length), few=True)
     todo, found = runs.withColumn("among", F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"), "open"))), None
     for step in STEPS:
-        rows = saved(block_table(todo, step, length))
+        rows = saved(block_table(todo, step, length), few=True)
         past, going = decided(rows, ["k1", "k2", "lo", "a"])
         past = past.select("k1", "k2", "a", "b")
         found = past if found is None else found.unionByName(past)
-        still = saved(going.groupBy("k1", "k2", "lo").agg(F.collect_list(F.struct("a", "b", "open")).alias("among")))
+        still = going.groupBy("k1", "k2", "lo").agg(F.collect_list(F.struct("a", "b", "open")).alias("among"))
         todo = runs.join(still, ["k1", "k2", "lo"]).select(*runs.columns, "among")
     blocks = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("blocks"))
     return spans.join(blocks, ["k1", "k2"], "full")
@@ -216,7 +216,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every document; kept holds the remaining bytes."""
     if length < FIRST + max(STEPS) or length % 2:
         raise ValueError("length must be even and at least 96")
-    spans = saved(repeated_spans(docs, length))
+    spans = repeated_spans(docs, length)
     own = _keyed(docs).select("doc_id", "k1", "k2", _packed(F.col("text")).alias("packed"))
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
