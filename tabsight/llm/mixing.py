@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from tabsight.llm.common import WORD, saved, text_of, with_global_index
 
 WEIGHTS = (5, 2, 1)
+#: Sources up to this number are sent to every executor (a few MB); more are joined by a shuffle.
+FEW_SOURCES = 50_000
 SEED = "mix"
 
 
@@ -57,10 +59,13 @@ def uniform(id_col: Column, seed: str = SEED) -> Column:
 
 def _rated(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], cap: int, seed: str) -> DataFrame:
     """``rows`` (doc_id, source, ...) with __source_size, __target, __rate and __copies."""
-    t = source_targets(sized, weights, cap).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    t = saved(source_targets(sized, weights, cap).select(
+        F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")))
+    if t.count() <= FEW_SOURCES:
+        t = F.broadcast(t)
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     more = (uniform(F.col("doc_id"), seed) < F.col("__rate") - F.floor("__rate")).cast("long")
-    return (rows.join(saved(t), F.col("source").eqNullSafe(F.col("__source"))).withColumn("__rate", rate)
+    return (rows.join(t, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__rate", rate)
             .withColumn("__copies", F.floor("__rate").cast("long") + more))
 
 

@@ -63,3 +63,10 @@ def test_repeated_rows_and_empty_table(make_docs):
     assert len(rows) == 3 and len({r.copies for r in rows if r.doc_id == 1}) == 1
     assert mix_plan(make_docs([])).collect() == [] and mix_sources(make_docs([])).collect() == []
     assert [r.taken for r in mix_plan(make_docs([(1, None, "s"), (2, "", "s")])).collect()] == [0, 0]
+
+
+def test_many_sources_are_joined_by_a_shuffle(make_docs, monkeypatch):
+    import tabsight.llm.mixing as m
+    few = sorted(mix_plan(make_docs(DOCS)).collect(), key=str)
+    monkeypatch.setattr(m, "FEW_SOURCES", 2)
+    assert sorted(mix_plan(make_docs(DOCS)).collect(), key=str) == few
