@@ -23,13 +23,14 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 def saved(df: DataFrame, few: bool = False) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there.
 
-    ``few``: for tables of short rows after a shuffle, at most four files per core
-    in place of one per shuffle partition.
+    ``few``: for tables of short rows after a shuffle, a file for eight shuffle
+    partitions, or four files per core if that is more.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    most = 4 * spark.sparkContext.defaultParallelism
-    if few and int(spark.conf.get("spark.sql.shuffle.partitions")) > most:
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = max(4 * spark.sparkContext.defaultParallelism, parts // 8)
+    if few and parts > most:
         df = df.coalesce(most)
     return df.checkpoint(eager=True)
 
