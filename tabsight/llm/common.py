@@ -54,11 +54,9 @@ def with_global_index(df: DataFrame, order: list[str], index: str = "idx") -> Da
     for row in ranged.groupBy("__part").count().orderBy("__part").collect():
         offsets[row["__part"]] = before
         before += row["count"]
-    if not offsets:
-        return ranged.select(*cols, F.lit(0).cast("long").alias(index))
-    shift = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])
+    shift = F.array(*[F.lit(offsets.get(k, 0)).cast("long") for k in range(max(offsets, default=0) + 1)])
     local = F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1
-    return ranged.select(*cols, (F.element_at(shift, F.col("__part")) + local).cast("long").alias(index))
+    return ranged.select(*cols, (F.get(shift, F.col("__part")) + local).cast("long").alias(index))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
