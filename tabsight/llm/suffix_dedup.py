@@ -38,7 +38,7 @@ from tabsight.llm.common import saved, text_of
 
 LENGTH, FIRST = 400, 64
 #: Start positions in a block, by round.
-STEPS = (16, 1)
+STEPS = (32, 4, 1)
 #: Bytes that one numpy pass takes.
 SLICE = 1 << 20
 NO_ID = -(1 << 63)
@@ -150,7 +150,7 @@ def decided(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
     # per first rank: unique, one context, or several; partial sums, so a hot rank is a row per task
     ranks = saved(rows.groupBy("kh").agg(F.sum("n").alias("total"), F.min("xh").alias("x1"), F.max("xh").alias("x2"))
                   .filter("total > 1").select("kh", (F.col("x1") < F.col("x2")).alias("several")), few=True)
-    alive = rows.join(ranks, "kh")
+    alive = saved(rows.join(ranks, "kh"), few=True)
     pairs = saved(alive.groupBy("kh", "xh").agg(F.sum("n").alias("same"), F.min(F.struct(*place)).alias("rep")), few=True)
     known = alive.join(pairs, ["kh", "xh"])
     here = F.struct(*place)
