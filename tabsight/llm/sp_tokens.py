@@ -30,8 +30,8 @@ from tabsight.llm.common import text_of
 
 SPACE = "▁"
 MULT = np.uint64(0x9E3779B97F4A7C15)
-#: Words encoded in one go, and words whose ids a worker remembers.
-RUN, REMEMBER = 300_000, 200_000
+#: Words encoded in one go, words whose ids a worker remembers, code points of one lattice and of one returned batch.
+RUN, REMEMBER, LATTICE, RETURNED = 400_000, 150_000, 200_000, 4_000_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -154,32 +154,42 @@ class PieceModel:
         b, n = codes.shape
         h = _hashes(codes)
         none, unknown = -1, -2
+        # the piece of each substring: a table for each piece length
+        found = []
+        for size in range(1, min(n, self.longest) + 1):
+            piece = self.find(h[:, size:] - h[:, :-size] * self.power[size])
+            w, j = np.nonzero(piece >= 0)
+            k = piece[w, j]
+            text = np.lib.stride_tricks.sliding_window_view(codes, size, axis=1)[w, j]
+            wrong = (self.size[k] != size) | ~self.whole[k] | (text != self.codes[k, :size]).any(axis=1)
+            piece[w[wrong], j[wrong]] = none
+            found.append(piece)
         last = np.full((b, n + 1), none)
         step = np.zeros((b, n + 1), np.int64)
         best = np.full((b, n + 1), -np.inf)
         best[:, 0] = 0
+        every = np.arange(b)
         for i in range(1, n + 1):
-            for size in range(min(i, self.longest), 0, -1):  # of equal sums the longest last piece stays
-                j = i - size
-                piece = self.find(h[:, i] - h[:, j] * self.power[size])
-                hit = np.flatnonzero(piece >= 0)
-                hit = hit[(self.size[piece[hit]] == size) & (self.codes[piece[hit], :size] == codes[hit, j:i]).all(axis=1)]
-                if size == 1:
-                    lone = np.setdiff1d(np.arange(b), hit, assume_unique=True)
-                    lone = lone[((last[lone, j] != none) | (j == 0)) & (best[lone, j] + self.unk_score > best[lone, i])]
-                    last[lone, i], step[lone, i], best[lone, i] = unknown, 1, best[lone, j] + self.unk_score
-                hit = hit[self.whole[piece[hit]] & ((last[hit, j] != none) | (j == 0))]
-                if self.kind == BPE:
-                    if j:
-                        before = last[hit, j]
-                        fits = before == unknown
-                        known = ~fits
-                        fits[known] = self.admitted(before[known], piece[hit[known]])
-                        hit = hit[fits]
-                else:
-                    hit = hit[best[hit, j] + self.score[piece[hit]] > best[hit, i]]
-                    best[hit, i] = best[hit, j] + self.score[piece[hit]]
-                last[hit, i], step[hit, i] = piece[hit], size
+            sizes = np.arange(min(i, self.longest), 0, -1)  # of equal sums the longest last piece stays
+            piece = np.stack([found[size - 1][:, i - size] for size in sizes], axis=1)
+            before, reached = last[:, i - sizes], np.isfinite(best[:, i - sizes])
+            lone = (piece[:, -1] < 0) & reached[:, -1]
+            if self.kind == BPE:
+                fits = (piece >= 0) & reached
+                ask = fits & (before >= 0)
+                w, k = np.nonzero(ask)
+                fits[w, k] = self.admitted(before[w, k], piece[w, k])
+                score = np.where(fits, 0.0, -np.inf)
+            else:
+                score = np.where((piece >= 0) & reached, best[:, i - sizes] + self.score[np.maximum(piece, 0)], -np.inf)
+            k = score.argmax(axis=1)
+            top = score[every, k]
+            alone = best[:, i - 1] + self.unk_score
+            lone &= ~np.isfinite(top) if self.kind == BPE else alone > top
+            ok = np.isfinite(top) | lone
+            last[:, i] = np.where(lone, unknown, np.where(ok, piece[every, k], none))
+            step[:, i] = np.where(lone, 1, sizes[k])
+            best[:, i] = np.where(lone, 0.0 if self.kind == BPE else alone, top)
         # follow all words' backpointers together
         places = np.full(b, n)
         rows, ends, got = [], [], []
@@ -220,8 +230,9 @@ class PieceModel:
         for p in different:
             by_size.setdefault(len(p), []).append(p)
         for size, same in by_size.items():
-            for k in range(0, len(same), max(1, 2_000_000 // size)):
-                part = same[k:k + max(1, 2_000_000 // size)]
+            rows = max(1, LATTICE // size)
+            for k in range(0, len(same), rows):
+                part = same[k:k + rows]
                 codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size)
                 for p, ids in zip(part, self._viterbi(codes)):
                     found[different[p]] = ids
@@ -300,14 +311,28 @@ class _Sent:
         self.id = id(self.model)
 
 
+def _parts(batches: Iterator[pd.Series]) -> Iterator[list[str]]:
+    """Texts in lists of about RETURNED code points, so that no large batch of ids is held."""
+    for s in batches:
+        held, size = [], 0
+        for t in s:
+            held.append(t)
+            size += len(t)
+            if size >= RETURNED:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+
 def encoder(spark, path: str, text: str = "text") -> Column:
     """The ids of a text column as an array column."""
     sent = _Sent(spark, path)
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(_tokenizer(sent).encode(s.tolist()), dtype=object)
+        for texts in _parts(batches):
+            yield pd.Series(_tokenizer(sent).encode(texts), dtype=object)
     return encode(text_of(text))
 
 
@@ -334,8 +359,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from hashlib import sha256
-        for s in batches:
-            tok, texts = _tokenizer(sent), s.tolist()
+        for texts in _parts(batches):
+            tok = _tokenizer(sent)
             ids = tok.encode(texts)
             back = tok.decode(ids)
             yield pd.DataFrame({"n_tokens": [len(x) for x in ids], "ids_sha256": [sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids],
