@@ -2,11 +2,12 @@
 
 A line belongs to the first document (smallest doc_id) that has it. Every later
 document with that line is paired with this owner, so a line in n documents makes
-n - 1 pairs, not n squared. A pair counts as overlapping if it shares a rare line
-(in at most ``rare`` documents) or at least ``shared`` different lines. Its shared
-lines are aligned by patience diff: equal ends first, then the lines unique on both
-sides in their longest common order, then the gaps between them. Aligned runs of
-``min_chars`` characters or more are deleted from the later document; the owner
+n - 1 pairs, not n squared, and every pair whose shared lines could make a block is
+aligned, however common its lines are (a caller can ask for less with ``rare``: then
+a pair must share a line of at most ``rare`` documents or ``shared`` different lines).
+The shared lines are aligned by patience diff: equal ends first, then the lines unique
+on both sides in their longest common order, then the gaps between them. Aligned runs
+of ``min_chars`` characters or more are deleted from the later document; the owner
 keeps them.
 
 Defined results: null texts are empty; blank lines match nothing and stay; a null
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tabsight.llm.common import saved, text_of
 
-RARE, SHARED, MIN_CHARS = 50, 3, 40
+SHARED, MIN_CHARS = 3, 40
 NO_ID = -(1 << 63)
 
 
@@ -113,15 +114,18 @@ def line_table(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInPandas(run, "k1 long, k2 long, h1 long, h2 long, chars long, at array<int>")
 
 
-def deletions(docs: DataFrame, rare: int = RARE, shared: int = SHARED, min_chars: int = MIN_CHARS) -> DataFrame:
+def deletions(docs: DataFrame, rare: int | None = None, shared: int = SHARED, min_chars: int = MIN_CHARS) -> DataFrame:
     """(k1, k2, gone): the places of the lines to delete from each later document."""
     lines = line_table(docs).dropDuplicates(["k1", "k2", "h1", "h2"])
     lines = saved(lines, few=True)
     owners = saved(lines.groupBy("h1", "h2").agg(F.min(F.struct("k1", "k2", "at")).alias("o"), F.count(F.lit(1)).alias("df"))
                    .filter("df > 1").select("h1", "h2", F.col("o.k1").alias("o1"), F.col("o.k2").alias("o2"), F.col("o.at").alias("first"), "df"), few=True)
     pairs = (lines.join(owners, ["h1", "h2"]).filter("k1 > o1 OR (k1 = o1 AND k2 > o2)")
-             .groupBy("k1", "k2", "o1", "o2").agg(F.collect_list(F.struct("at", "first", "chars")).alias("common"), F.min("df").alias("df"))
-             .filter((F.col("df") <= rare) | (F.size("common") >= shared)))
+             .groupBy("k1", "k2", "o1", "o2").agg(F.collect_list(F.struct("at", "first", "chars")).alias("common"), F.min("df").alias("df"),
+                                                  F.sum(F.col("chars") * F.size("at")).alias("most"))
+             .filter(F.col("most") >= min_chars))  # no block can be longer
+    if rare is not None:
+        pairs = pairs.filter((F.col("df") <= rare) | (F.size("common") >= shared))
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -131,7 +135,7 @@ def deletions(docs: DataFrame, rare: int = RARE, shared: int = SHARED, min_chars
             .groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
 
 
-def line_dedup(docs: DataFrame, rare: int = RARE, shared: int = SHARED, min_chars: int = MIN_CHARS, count: str | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, rare: int | None = None, shared: int = SHARED, min_chars: int = MIN_CHARS, count: str | None = None) -> DataFrame:
     """``docs`` with the deleted lines gone from ``text``; ``count`` names a column for their number."""
     gone = saved(deletions(docs, rare, shared, min_chars), few=True).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("gone").alias("__gone"))
     keyed = docs.withColumns({"__d1": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__d2": F.xxhash64(text_of())})

@@ -65,3 +65,9 @@ def test_many_copies_make_linear_work(make_docs):
     t = "\n".join(A)
     got = left(make_docs, [(k, t + f"\nEnding number {k} of this copy, which no other has.") for k in range(120)])
     assert got[0].startswith(A[0]) and all(got[k] == f"Ending number {k} of this copy, which no other has." for k in range(1, 120))
+
+
+def test_line_of_many_documents_stays_in_the_first_only(make_docs):
+    common = "All rights reserved, this line stands in every document."
+    docs = [(k, f"{common}\nUnique content of document {k}, nothing like the others {k * 7919}.") for k in range(120)]
+    assert [k for k, t in left(make_docs, docs).items() if common in t] == [0]
