@@ -71,3 +71,47 @@ def test_line_of_many_documents_stays_in_the_first_only(make_docs):
     common = "All rights reserved, this line stands in every document."
     docs = [(k, f"{common}\nUnique content of document {k}, nothing like the others {k * 7919}.") for k in range(120)]
     assert [k for k, t in left(make_docs, docs).items() if common in t] == [0]
+
+
+def test_block_whose_lines_have_different_owners(make_docs):
+    x, y, z = "first part of it", "second part of it", "third part of it"
+    got = left(make_docs, [(1, f"{x}\nother one"), (2, f"another\n{y}"), (3, f"{z}\nmore of it"), (4, f"{x}\n{y}\n{z}"), (5, f"own words\n{x}\n{y}\n\n{z}"),
+                           (6, f"my own\n{x}\n{y}\n{z}\nmy end")])
+    assert got[4] == f"{x}\n{y}\n{z}" and got[5] == f"own words\n{x}\n{y}\n\n{z}" and got[6] == "my own\nmy end"
+
+
+def test_covers_alignment_with_every_earlier_document(make_docs):
+    rng = random.Random(5)
+    parts = ["word " * rng.randint(1, 12) + str(k) for k in range(30)]
+    docs = []
+    for k in range(60):
+        lines = []
+        for _ in range(rng.randint(1, 5)):
+            at = rng.randrange(30)
+            lines += parts[at:at + rng.randint(1, 5)] + [f"only {k} {rng.random()}"] * rng.randint(0, 1) + [""] * rng.randint(0, 2)
+        docs.append((k, "\n".join(lines)))
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup(make_docs(docs)).collect()}
+    text = [t.split("\n") for _, t in docs]
+
+    def runs(a, b, pairs):
+        """Places in ``b`` of aligned runs with 40 characters; only a blank line may lie between."""
+        out, run = set(), []
+        for i, j in [*pairs, (-9, -9)]:
+            if run and not (i - run[-1][0] == j - run[-1][1] and (i - run[-1][0] == 1 or i - run[-1][0] == 2 and not a[i - 1] and not b[j - 1])):
+                if sum(len(b[q]) for _, q in run) >= 40:
+                    out |= {q for _, q in run}
+                run = []
+            run.append((i, j))
+        return out
+    n = 0
+    for k, b in enumerate(text):
+        gone, whole = set(), set()
+        for a in text[:k]:
+            mine, theirs = [j for j, x in enumerate(b) if x], [i for i, x in enumerate(a) if x]
+            gone |= runs(a, b, [(theirs[i], mine[j]) for i, j in patience([a[i] for i in theirs], [b[j] for j in mine])])
+            whole |= {b[j] for j in mine if b[j] in a}
+        it = iter([x for j, x in enumerate(b) if x and j not in gone])
+        assert all(x in it for x in got[k] if x), k  # a subsequence: no aligned line is left
+        assert all(x in got[k] for x in b if x and x not in whole)
+        n += len(gone)
+    assert n > 200
