@@ -14,7 +14,7 @@ star per component, never all pairs.
 Defined results: null texts are empty; a text without a word has fingerprint
 zero and links like any other; equal fingerprints are one node; null doc_ids never
 name a component (a component of nulls alone has a null id); repeated rows stay
-repeated; an empty table gives an empty result; other columns are ignored.
+repeated in ``simhash_components`` and count as a group in ``simhash_dedup``; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,12 +58,12 @@ def simhash(text: str, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns ``also``: fp is the fingerprint as a signed long."""
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.fromiter((simhash(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fp(text_of(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fp(text_of(text_col)).alias("fp"), *also)
 
 
 def trie_components(vals: np.ndarray, bounds: np.ndarray, skip: int, budget: int) -> np.ndarray:
@@ -159,23 +159,38 @@ def near_links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     return dealt.mapInPandas(run, "src long, dst long")
 
 
-def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4,
-                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
+def _rooted_rows(docs: DataFrame, shingle: int, max_bits: int, id_col: str = "doc_id", text_col: str = "text",
+                 also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, ``also``) of every row of ``docs``, and (fp, first_id, root) of every fingerprint."""
     if not 0 <= max_bits <= 15:
         raise ValueError("max_bits must lie between 0 and 15")
-    rows = saved(fingerprints(docs, shingle, id_col, text_col))
+    rows = saved(fingerprints(docs, shingle, id_col, text_col, also))
     nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), few=True)
     roots = connected_components(near_links(nodes.select("fp"), max_bits))
-    rooted = saved(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-                   .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), few=True)
+    return rows, saved(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+                       .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), few=True)
+
+
+def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4,
+                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``."""
+    rows, rooted = _rooted_rows(docs, shingle, max_bits, id_col, text_col)
     ids = saved(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), few=True)
     named = saved(rooted.join(ids, "root").select("fp", "component_id"), few=True)
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller doc_id; all columns stay."""
-    found = simhash_components(docs, shingle, max_bits)
-    gone = found.filter("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    """One row of ``docs`` for each component, with all columns.
+
+    The row with the smallest doc_id stays; null ids come last, and rows that share the
+    doc_id follow the hashes of the text and of the row. Of equal rows one stays.
+    """
+    key = ("__null", "__id", "__text", "__row")
+    long_id = F.col("doc_id").cast("long")
+    keyed = docs.withColumns({"__null": long_id.isNull(), "__id": F.coalesce(long_id, F.lit(0)), "__text": F.xxhash64(text_of()),
+                              "__row": F.xxhash64(*[F.col(c) for c in docs.columns])})
+    rows, rooted = _rooted_rows(keyed, shingle, max_bits, also=key)
+    per_fp = rows.groupBy("fp").agg(F.min(F.struct(*key)).alias("k"))
+    kept = saved(per_fp.join(rooted, "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.*"), few=True)
+    return keyed.dropDuplicates(list(key)).join(kept, list(key), "left_semi").select(*docs.columns)

@@ -97,3 +97,11 @@ def test_edge_rows(make_docs):
     assert simhash_dedup(docs).columns == docs.columns
     with pytest.raises(ValueError):
         simhash_components(docs, max_bits=16)
+
+
+def test_dedup_decides_by_row(make_docs):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    docs = [(None, a), (None, a), (None, a), (4, b), (4, b), (1, c), (7, c), (7, d), (None, c)]
+    got = sorted(((r.doc_id, r.text) for r in simhash_dedup(make_docs(docs)).collect()), key=str)
+    assert got == sorted([(None, a), (4, b), (1, c), (7, d)], key=str)
+    assert simhash_dedup(make_docs([])).collect() == []
