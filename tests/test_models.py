@@ -148,3 +148,13 @@ def test_cross_validation_takes_other_scores(spark, scoring):
     df = E.stratified_folds(_labelled(spark, 100), "label", "id", k=2)
     mean, _, scores = E.cv_scores(MD.make_classifier("logreg", ["x"], ["s"]), df, "label", k=2, scoring=scoring)
     assert len(scores) == 2 and (mean <= 0) == (scoring == "neg_log_loss")
+
+
+def test_removal_combinations_have_no_default_limit(spark, monkeypatch):
+    from tabsight.operators import select
+    monkeypatch.setattr(select, "_score", lambda builder, data, cols, label, fold_col, k: (float(len(cols)), 0.0, None))
+    names = [f"c{k}" for k in range(11)]
+    data = spark.createDataFrame([(1, 0)], "label int, fold int")
+    assert select.removal_combinations(None, data, names, names, "label").count() == 2 ** 11
+    with pytest.raises(ValueError):
+        select.removal_combinations(None, data, names, names, "label", max_candidates=10)
