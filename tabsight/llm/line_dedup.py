@@ -14,7 +14,9 @@ The lines of a block may have different owners. So each smallest block of ``min_
 (``blocks_of``) has an owner of its own, the first document with that block, and joins
 it in the same way. A block that stands in one piece in its owner is deleted from each
 later document, also where it crosses the order of the other shared lines: with that,
-whatever run an alignment with any earlier document finds goes, without those pairs.
+whatever run of lines, with at most a blank line between two, an alignment with any
+earlier document finds goes, without those pairs. A run around a line that differs is
+found in the pairs with line owners only.
 
 Defined results: null texts are empty; blank lines match nothing and stay; a null
 doc_id counts as the smallest; rows that repeat doc_id and text are one document
