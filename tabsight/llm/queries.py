@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import fingerprints, html_text, line_dedup, mixing, pivot_index, pst_lm, quality_cnn, simhash_trie, sp_tokens, suffix_dedup
+from tabsight.llm import fingerprints, html_text, line_dedup, merkle, mixing, pivot_index, pst_lm, quality_cnn, simhash_trie, sp_tokens, suffix_dedup
 from tabsight.session import read_table
 
 SHINGLE, MAX_BITS = 4, 4
@@ -71,9 +71,17 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst_lm.lm_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents with proofs, checked against texts in lower case for every fifth id hash."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = merkle.record_digest([merkle.ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in merkle.FIELDS])
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, found)
+    return merkle.audit(merkle.build_manifest(docs, altered=altered)).withColumnRenamed("key", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_line_dedup, op3_quality, op4_mixing, op5_pivot_index, op6_sentencepiece, op7_html_extraction,
-    op8_suffix_dedup, op9_simhash, op10_lm_scores)}
+    op8_suffix_dedup, op9_simhash, op10_lm_scores, op11_merkle)}
 
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
@@ -121,4 +129,51 @@ SELECT c.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.
 FROM c LEFT JOIN n ON c.vec_id = n.src
 """
 
-ORACLE_SQL = {"op4_mixing": OP4_SQL, "op5_pivot_index": OP5_SQL}
+OP11_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(v ORDER BY n) AS t FROM (
+    SELECT n, list_reduce([n] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+    FROM (SELECT CAST(range AS BIGINT) AS n FROM range(256)))
+), d AS (
+  SELECT doc_id, source, 'r' || row_number() OVER () AS id, text,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         4294967295 - list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT)),
+                                  lambda c, b: xor(c // 256, tab.t[1 + (xor(c, b) & 255)])) AS crc
+  FROM documents, tab
+), l AS (
+  SELECT id, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN crc % 5 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS altered
+  FROM d
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM l
+), t AS (
+  SELECT source, 0 AS lev, i, leaf AS h, n FROM p
+  UNION ALL
+  SELECT source, lev + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM t WHERE n > 1 GROUP BY source, lev, i // 16, n
+), s AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1
+), u AS (
+  SELECT 0 AS lev, i, subroot AS h, n FROM s
+  UNION ALL
+  SELECT lev + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM u WHERE n > 1 GROUP BY lev, i // 16, n
+), f AS (
+  SELECT id, source, 0 AS lev, i, coalesce(altered, leaf) AS cur, '' AS proof, n FROM p
+  UNION ALL
+  SELECT f.id, f.source, f.lev + 1, f.i // 16, sha256(string_agg(CASE WHEN t.i = f.i THEN f.cur ELSE t.h END, '' ORDER BY t.i)),
+         f.proof || coalesce(string_agg(CASE WHEN t.i <> f.i THEN t.h END, '' ORDER BY t.i), ''), (f.n + 15) // 16
+  FROM f JOIN t ON t.source IS NOT DISTINCT FROM f.source AND t.lev = f.lev AND t.i // 16 = f.i // 16
+  WHERE f.n > 1 GROUP BY f.id, f.source, f.lev, f.i, f.proof, f.n
+), g AS (
+  SELECT f.id, 0 AS lev, s.i, f.cur, f.proof, s.n FROM f JOIN s ON s.source IS NOT DISTINCT FROM f.source WHERE f.n = 1
+  UNION ALL
+  SELECT g.id, g.lev + 1, g.i // 16, sha256(string_agg(CASE WHEN u.i = g.i THEN g.cur ELSE u.h END, '' ORDER BY u.i)),
+         g.proof || coalesce(string_agg(CASE WHEN u.i <> g.i THEN u.h END, '' ORDER BY u.i), ''), (g.n + 15) // 16
+  FROM g JOIN u ON u.lev = g.lev AND u.i // 16 = g.i // 16
+  WHERE g.n > 1 GROUP BY g.id, g.lev, g.i, g.proof, g.n
+)
+SELECT p.doc_id, p.leaf, s.subroot, r.h AS root, sha256(g.proof) AS proof_sha256, g.cur AS folded_root, g.cur = r.h AS verified
+FROM p JOIN g ON g.id = p.id AND g.n = 1 JOIN s ON s.source IS NOT DISTINCT FROM p.source, (SELECT h FROM u WHERE n = 1) r
+"""
+
+ORACLE_SQL = {"op4_mixing": OP4_SQL, "op5_pivot_index": OP5_SQL, "op11_merkle": OP11_SQL}
