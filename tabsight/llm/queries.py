@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import fingerprints, html_text, line_dedup, merkle, mixing, pivot_index, pst_lm, quality_cnn, simhash_trie, sp_tokens, suffix_dedup
+from tabsight.llm import fingerprints, html_text, line_dedup, merkle, mixing, pivot_index, pst_lm, quality_cnn, sharding, simhash_trie, sp_tokens, suffix_dedup, whitening
 from tabsight.session import read_table
 
 SHINGLE, MAX_BITS = 4, 4
@@ -79,9 +79,24 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(merkle.build_manifest(docs, altered=altered)).withColumnRenamed("key", "doc_id")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened embeddings, one row per vector and component."""
+    white = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    rows = white.select(F.col("key").alias("vec_id"), "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("z", "explained")))
+    return rows.select("vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", F.col("col.z").alias("whitened"),
+                       F.col("col.explained").alias("explained"), "identity_error")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, shards near equal in bytes."""
+    placed = sharding.assign_shards(read_table(spark, sf_dir, "documents"))
+    return placed.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_line_dedup, op3_quality, op4_mixing, op5_pivot_index, op6_sentencepiece, op7_html_extraction,
-    op8_suffix_dedup, op9_simhash, op10_lm_scores, op11_merkle)}
+    op8_suffix_dedup, op9_simhash, op10_lm_scores, op11_merkle, op12_whitening, op13_sharding)}
 
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
