@@ -736,11 +736,13 @@ def q_hist_by_target(spark, sf):
 @register("kde", """
 WITH base AS (SELECT value AS x FROM events WHERE value IS NOT NULL),
 s AS (SELECT min(x) AS mn, max(x) AS mx, stddev_samp(x) * pow(count(*), -0.2) AS h, count(*) AS n FROM base),
+c AS (SELECT (x - mn) / ((mx - mn) / 2048) AS place, least(CAST(floor((x - mn) / ((mx - mn) / 2048)) AS INTEGER), 2047) AS cell FROM base, s),
+p AS (SELECT cell, sum(w) AS w FROM (SELECT cell, 1 - (place - cell) AS w FROM c UNION ALL SELECT cell + 1, place - cell FROM c) GROUP BY cell),
 g AS (SELECT CAST(range AS INTEGER) AS i FROM range(200))
 SELECT g.i, round(mn + g.i * ((mx - mn) / 199), 6) AS x,
-       round(sum(exp(-0.5 * pow(((mn + g.i * ((mx - mn) / 199)) - base.x) / h, 2))) / (n * h * sqrt(2 * pi())), 9)
+       round(sum(w * exp(-0.5 * pow(((mn + g.i * ((mx - mn) / 199)) - (mn + cell * ((mx - mn) / 2048))) / h, 2))) / (n * h * sqrt(2 * pi())), 9)
          AS density
-FROM g, s, base GROUP BY g.i, mn, mx, h, n
+FROM g, s, p GROUP BY g.i, mn, mx, h, n
 """)
 def q_kde(spark, sf):
     k = G.kde(read_table(spark, sf, "events"), "value", 200)
@@ -790,16 +792,47 @@ def q_category_counts(spark, sf):
     return G.category_counts(read_table(spark, sf, "part"), "p_brand")
 
 
-@register("column_summary", " UNION ALL ".join(f"""
+def _sql_summary_numeric(table: str, c: str, dtype: str) -> str:
+    x = f"CAST({c} AS DOUBLE)"
+    return f"""
+SELECT '{c}' AS column_name, '{dtype}' AS dtype, count({c}) AS valid, round(count({c}) / count(*) * 100, 1) AS valid_pct,
+       CAST(count(*) - count({c}) AS BIGINT) AS missing, round((count(*) - count({c})) / count(*) * 100, 1) AS missing_pct,
+       round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS std, round(min({x}), 6) AS min, round(quantile_cont({x}, 0.25), 6) AS q25,
+       round(quantile_cont({x}, 0.5), 6) AS q50, round(quantile_cont({x}, 0.75), 6) AS q75, round(max({x}), 6) AS max,
+       (SELECT string_agg(count, ',' ORDER BY bin) FROM ({_sql_hist(table, c, 20)})) AS bins,
+       CAST(NULL AS BIGINT) AS n_unique, CAST(NULL AS VARCHAR) AS top
+FROM {table}"""
+
+
+def _sql_summary_other(table: str, c: str, dtype: str) -> str:
+    return f"""
+SELECT '{c}' AS column_name, '{dtype}' AS dtype, count({c}) AS valid, round(count({c}) / count(*) * 100, 1) AS valid_pct,
+       CAST(count(*) - count({c}) AS BIGINT) AS missing, round((count(*) - count({c})) / count(*) * 100, 1) AS missing_pct,
+       CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS q25,
+       CAST(NULL AS DOUBLE) AS q50, CAST(NULL AS DOUBLE) AS q75, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS VARCHAR) AS bins,
+       count(DISTINCT {c}) AS n_unique,
+       (SELECT string_agg(value || ': ' || n, '; ' ORDER BY n DESC, value)
+        FROM (SELECT {c} AS value, count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 5)) AS top
+FROM {table}"""
+
+
+@register("column_summary", " UNION ALL ".join(
+    (_sql_summary_numeric if kind == "numeric" else _sql_summary_other)(DOCS_LABELS_SQL, c, dtype) for c, dtype, kind in DOCS_LABELS_COLS))
+def q_column_summary(spark, sf):
+    s = G.column_summary(docs_labels(spark, sf))
+    top = F.array_join(F.transform("top", lambda t: F.concat(t["value"], F.lit(": "), t["count"].cast("string"))), "; ")
+    return rounded(s.withColumns({"bins": F.array_join(F.transform("bins", lambda n: n.cast("string")), ","), "top": top}))
+
+
+@register("top_values", " UNION ALL ".join(f"""
 SELECT '{c}' AS column_name, rank, value, count, round(count / n_rows * 100, 1) AS pct FROM (
   SELECT value, n AS count, sum(n) OVER () AS n_rows,
          row_number() OVER (ORDER BY (CASE WHEN value IS NULL THEN NULL ELSE n END) DESC NULLS LAST, value) AS rank,
          value IS NULL AS is_null_value
   FROM (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {DOCS_LABELS_SQL} GROUP BY 1))
-WHERE NOT is_null_value AND rank <= 5""" for c in ["lang", "source", "quality"]))
-def q_column_summary(spark, sf):
-    return G.top_k_values(docs_labels(spark, sf), ["lang", "source", "quality"], 5).withColumn(
-        "rank", F.col("rank").cast("long"))
+WHERE NOT is_null_value AND rank <= 5""" for c in [c for c, _, _ in DOCS_LABELS_COLS]))
+def q_top_values(spark, sf):
+    return G.top_k_values(docs_labels(spark, sf), [c for c, _, _ in DOCS_LABELS_COLS], 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("pair_sample", """

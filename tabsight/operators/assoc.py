@@ -1,10 +1,10 @@
 """Association measures: correlation matrices, crosstabs, mutual information.
 
-* Pearson: all k(k-1)/2 pairs in ONE aggregate, each on pairwise-complete rows,
-  NULL where a variance is zero.
-* Spearman: per pair, the contingency of (x, y) value pairs (combined
-  map-side), average ranks of x and y from value counts via a bucketed prefix
-  sum (no one-task window), then a count-weighted Pearson over the cells.
+* Pearson: masked Gram matrices per Arrow batch (``operators.gram``), summed over
+  partitions: one scan, k x k numbers, each pair on its complete rows, NULL where a
+  variance is zero.
+* Spearman: the ranks of every column, found together over range partitions
+  (``ranks.rank_columns``) and brought back to the rows once, then the same moments.
 * Kendall tau-b: see ``kendall_tau_b``.
 * Crosstab: ``groupBy(rows).pivot(col, values)`` - the zero-filled matrix comes
   from the pivot, not from a cross join of row and column keys.
@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.functions.types import check_col, is_corr_compatible, numeric_cols
-from tabsight.operators.ranks import average_ranks
+from tabsight.operators.gram import Moments, correlations, pair_moments
+from tabsight.operators.ranks import rank_columns
+from tabsight.session import ensure_checkpoint_dir
 
 PAIR_SCHEMA = "feature_1 string, feature_2 string, correlation double"
 
@@ -36,34 +38,19 @@ def _num(df: DataFrame, c: str):
 
 
 # ----------------------------------------------------------------------------- pearson
-def _pair_long(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(pair, x, y) for every pair, restricted to pairwise-complete rows.
-
-    Unpivoting inside the task keeps each aggregate small and codegen-friendly
-    (one wide aggregate with three moments per pair compiles poorly); partial
-    aggregation sends one row per pair and partition to the shuffle.
-    """
-    structs = [F.struct(F.lit(i).alias("pair"), _num(df, a).alias("x"), _num(df, b).alias("y"))
-               for i, (a, b) in enumerate(pairs)]
-    return (df.select(F.inline(F.array(*structs)))
-              .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
-
-
-def _clamp(r):
-    """Into [-1, 1] against rounding; NULL stays NULL (greatest/least skip NULLs)."""
-    return F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
-
-
-def _pearson_by_pair(long: DataFrame) -> DataFrame:
-    r = F.covar_pop("x", "y") / F.sqrt(F.nullif(F.var_pop("x") * F.var_pop("y"), F.lit(0.0)))
-    return long.groupBy("pair").agg(_clamp(r).alias("correlation"))
+def _place(pairs: list[tuple[str, str]]) -> tuple[list[str], list[tuple[int, int]]]:
+    """The columns of ``pairs`` and the pairs as positions among them."""
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    at = {c: k for k, c in enumerate(cols)}
+    return cols, [(at[a], at[b]) for a, b in pairs]
 
 
 def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(feature_1, feature_2, correlation) for the given pairs, one scan."""
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    res = _pearson_by_pair(_pair_long(df, pairs))
+    cols, places = _place(pairs)
+    res = correlations(df, [_num(df, c) for c in cols], places)
     return _pair_names(df, pairs).join(F.broadcast(res), "pair", "left").select(
         "feature_1", "feature_2", "correlation")
 
@@ -129,50 +116,43 @@ def _pair_names(df: DataFrame, pairs):
 
 
 # ----------------------------------------------------------------------------- spearman
-def _rank_groups(df: DataFrame, pairs: list[tuple[str, str]]) -> tuple[list[tuple[int, int]], list[str]]:
-    """Rank group of the x and y side of each pair, and the columns that share one.
+def _rank_groups(n, pairs: list[tuple[int, int]]) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """What is ranked - (column, columns that must be there) - and both sides of each pair as positions among it.
 
-    Ranks are over a pair's complete rows.  Columns without a missing value have the
-    same complete rows in every pair among them, hence one group per column there.
+    ``n[i, j]`` counts the rows complete in i and j.  Ranks are over a pair's complete rows; columns that are
+    missing in the same rows, or wherever the other is, need no ranks of their own for the pair.
     """
-    cols = sorted({c for p in pairs for c in p})
-    r = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(_num(df, c)).alias(f"c{k}") for k, c in enumerate(cols)]).first()
-    whole = [c for k, c in enumerate(cols) if r[f"c{k}"] == r["n"]]
-    place = {c: k for k, c in enumerate(whole)}
-    groups = [(place[a], place[b]) if a in place and b in place else (len(whole) + 2 * i, len(whole) + 2 * i + 1)
-              for i, (a, b) in enumerate(pairs)]
-    return groups, whole
+    k = len(n)
+    like = [next(j for j in range(k) if n[i, j] == n[i, i] == n[j, j]) for i in range(k)]
+    groups: dict[tuple, int] = {}
+    sides = []
+    for a, b in pairs:
+        there = (like[a],) if n[a, b] == n[a, a] else (like[b],) if n[a, b] == n[b, b] else tuple(sorted((like[a], like[b])))
+        sides.append(tuple(groups.setdefault((c, there), len(groups)) for c in (a, b)))
+    return list(groups), sides
 
 
 def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    groups, whole = _rank_groups(df, pairs)
-    code = [F.create_map(*[F.lit(v) for i, g in enumerate(groups) for v in (i, g[side])])[F.col("pair")] for side in (0, 1)]
-    cells = pair_cells(df, pairs).withColumns({"gx": code[0], "gy": code[1]})
-    own = F.col("gx") >= len(whole)
-    counts = (cells.where(own).select(F.inline(F.array(F.struct(F.col("gx").alias("g"), F.col("x").alias("v"), "n"),
-                                                       F.struct(F.col("gy").alias("g"), F.col("y").alias("v"), "n"))))
-              .groupBy("g", "v").agg(F.sum("n").alias("n")))
-    if whole:
-        shared = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("g"), _num(df, c).alias("v")) for k, c in enumerate(whole)])))
-        counts = counts.unionByName(shared.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")))
-    ranks = average_ranks(counts, ["g"], "v", "n").drop("n")
-    rx = ranks.select(F.col("g").alias("gx"), F.col("v").alias("x"), F.col("rank").alias("rx"))
-    ry = ranks.select(F.col("g").alias("gy"), F.col("v").alias("y"), F.col("rank").alias("ry"))
-    ranked = cells.join(rx, ["gx", "x"]).join(ry, ["gy", "y"])
-    n = F.sum("n").cast("double")
-    sx, sy = F.sum(F.col("n") * F.col("rx")), F.sum(F.col("n") * F.col("ry"))
-    sxx, syy = F.sum(F.col("n") * F.col("rx") ** 2), F.sum(F.col("n") * F.col("ry") ** 2)
-    sxy = F.sum(F.col("n") * F.col("rx") * F.col("ry"))
-    agg = ranked.groupBy("pair").agg(
-        ((sxy - sx * sy / n) /
-         F.nullif(F.sqrt(F.greatest(sxx - sx * sx / n, F.lit(0.0)) *
-                         F.greatest(syy - sy * sy / n, F.lit(0.0))), F.lit(0.0)))
-        .alias("correlation"))
-    names = _pair_names(df, pairs)
-    return names.join(agg, "pair", "left").select("feature_1", "feature_2",
-                                                  _clamp(F.col("correlation")).alias("correlation"))
+    ensure_checkpoint_dir(df.sparkSession)
+    cols, places = _place(pairs)
+    x = [F.nanvl(_num(df, c), F.lit(None).cast("double")) + F.lit(0.0) for c in cols]
+    base = df.select(F.monotonically_increasing_id().alias("id"), *[c.alias(f"c{k}") for k, c in enumerate(x)]).checkpoint(eager=True)
+    state = pair_moments(base, [F.col(f"c{k}") for k in range(len(cols))]).first()
+    if state is None:
+        return _pair_names(df, pairs).select("feature_1", "feature_2", F.lit(None).cast("double").alias("correlation"))
+    groups, sides = _rank_groups(Moments.unpacked(state["state"]).n, places)
+    structs = []
+    for g, (c, there) in enumerate(groups):
+        value = F.col(f"c{c}")
+        for other in there:
+            value = F.when(F.col(f"c{other}").isNotNull(), value)
+        structs.append(F.struct(F.lit(g).alias("g"), value.alias("x")))
+    long = base.select("id", F.inline(F.array(*structs))).where(F.col("x").isNotNull())
+    ranks = rank_columns(long, len(groups))
+    res = correlations(ranks, [F.col(f"r{g}") for g in range(len(groups))], sides)
+    return _pair_names(df, pairs).join(F.broadcast(res), "pair", "left").select("feature_1", "feature_2", "correlation")
 
 
 # ----------------------------------------------------------------------------- kendall

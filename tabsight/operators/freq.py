@@ -1,12 +1,16 @@
 """Value-frequency table: the shared base of the profiling operators.
 
-``value_frequencies(df)`` unpivots every column to ``(column, value)`` with the
-value cast to string and counts each pair: one shuffle, combined map-side, so a
-hot value costs one row per map partition no matter how many rows carry it.
-Missing counts, distinct counts, top values, quasi-constant shares, value counts
-and categorical histograms are then small aggregates over this table, instead of
-one ``count(DISTINCT)`` per column (Spark expands the input once per distinct
-aggregate).
+``value_frequencies(df)`` unpivots every column to ``(column, key)`` and counts each
+pair: one shuffle, combined map-side, so a hot value costs one row per map partition no
+matter how many rows carry it.  A value of up to ``SHORT`` bytes is its own key; a longer
+one is keyed by its first bytes and its 128-bit digest, so no text is shuffled.  Missing
+counts, distinct counts, top values, quasi-constant shares, value counts and categorical
+histograms are then small aggregates over this table, instead of one ``count(DISTINCT)``
+per column (Spark expands the input once per distinct aggregate).
+
+``top_values`` finds the most frequent values; only the winners' texts are read, by
+a second scan that keeps the rows with their keys.  ``frequency_table`` saves the table
+for several operators, which take it as ``freq``.
 
 ``column_stats(df)`` reduces it to one row per column (bounded by the column
 count) with the schema facts attached; the logical type is a column expression
@@ -15,13 +19,19 @@ over that row, so the whole chain stays a lazy plan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.functions.types import logical_type_expr, storage_kind
+from tabsight.session import ensure_checkpoint_dir
 
-FREQ_SCHEMA = "column_name string, value string, n bigint"
+FREQ_SCHEMA = "column_name string, key binary, long boolean, n bigint"
+TOP_SCHEMA = "column_name string, rank int, value string, n bigint"
+#: Bytes of a value that is its own key, and the bytes of a longer one that its key starts with.
+SHORT, HEAD = 32, 16
+#: Keys of long values that are sent to every task; more of them are joined.
+FEW_KEYS = 10_000
 
 
 def _value_as_string(name: str, dt: T.DataType):
@@ -51,20 +61,64 @@ def null_counts(df: DataFrame) -> DataFrame:
         [], "column_name string, n_missing bigint, n_rows bigint")
 
 
+def _keyed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, value, key, long) of every cell."""
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    structs = []
+    for c in columns:
+        v = _value_as_string(c, fields[c])
+        long = F.coalesce(F.octet_length(v) > SHORT, F.lit(False))
+        digest = F.concat(F.substring(v.cast("binary"), 1, HEAD), F.unhex(F.md5(v.cast("binary"))))
+        structs.append(F.struct(F.lit(c).alias("column_name"), v.alias("value"), F.when(long, digest).otherwise(v.cast("binary")).alias("key"),
+                                long.alias("long")))
+    return df.select(F.inline(F.array(*structs)))
+
+
 def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column, value, n)`` for every (column, value) pair; NULL is a value."""
+    """``(column_name, key, long, n)`` for every value of every column; NULL is a value."""
     cols = columns if columns is not None else df.columns
     if not cols:
-        spark = df.sparkSession
-        return spark.createDataFrame([], FREQ_SCHEMA)
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), _value_as_string(c, fields[c]).alias("value"))
-        for c in cols
-    ])
-    return (df.select(F.inline(pairs))
-              .groupBy("column_name", "value")
-              .agg(F.count(F.lit(1)).alias("n")))
+        return df.sparkSession.createDataFrame([], FREQ_SCHEMA)
+    return _keyed(df, cols).groupBy("column_name", "key", "long").agg(F.count(F.lit(1)).alias("n"))
+
+
+def frequency_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``value_frequencies`` saved in the shared checkpoint folder, for operators that read it more than once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return value_frequencies(df, columns).checkpoint(eager=True)
+
+
+def frequency_stats(freq: DataFrame) -> DataFrame:
+    """Per column: n_rows, n_missing, n_unique and the count of the most frequent value (NULL counts)."""
+    missing = F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n"))), F.lit(0)).cast("long")
+    return freq.groupBy("column_name").agg(F.sum("n").alias("n_rows"), missing.alias("n_missing"), F.count("key").alias("n_unique"),
+                                           F.max("n").alias("most"))
+
+
+def top_values(df: DataFrame, freq: DataFrame, k: int = 1, columns: list[str] | None = None) -> DataFrame:
+    """(column_name, rank, value, n): the ``k`` most frequent non-null values of each column, lowest first on ties.
+
+    ``freq`` should be a saved table of ``df``.  Ties are told apart by the first bytes, which keys carry; rows that
+    these leave tied with the last place are kept until their texts are known.
+    """
+    some = freq.where(F.col("key").isNotNull())
+    if columns is not None:
+        some = some.where(F.col("column_name").isin(columns))
+    order = Window.partitionBy("column_name").orderBy(F.desc("n"), F.substring("key", 1, HEAD))
+    ensure_checkpoint_dir(df.sparkSession)
+    best = some.withColumn("place", F.rank().over(order)).where(F.col("place") <= k).drop("place").checkpoint(eager=True)
+    long = best.where("long")
+    per_column = {r["column_name"]: r["count"] for r in long.groupBy("column_name").count().collect()}
+    named = best.where("NOT long").withColumn("value", F.col("key").cast("string"))
+    if per_column:
+        keys = long.select("column_name", "key", "n")
+        if sum(per_column.values()) <= FEW_KEYS:
+            keys = F.broadcast(keys)
+        texts = _keyed(df, list(per_column)).where("long").join(keys, ["column_name", "key"])
+        named = named.unionByName(texts.groupBy("column_name", "key", "long", "n").agg(F.first("value").alias("value")))
+    final = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
+    return (named.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
+            .select("column_name", "rank", "value", "n"))
 
 
 def schema_table(spark: SparkSession, df: DataFrame, target: str | None = None) -> DataFrame:
@@ -80,14 +134,13 @@ def column_stats(df: DataFrame, target: str | None = None,
     """Per-column n_rows, n_missing, n_unique, binary test and logical type."""
     spark = df.sparkSession
     freq = freq if freq is not None else value_frequencies(df)
+    binary = F.when(~F.col("long"), F.col("key").cast("string")).try_cast("double").isin(0.0, 1.0)
     agg = (freq.groupBy("column_name")
                .agg(F.sum("n").alias("n_rows"),
-                    F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
+                    F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n"))), F.lit(0))
                      .cast("long").alias("n_missing"),
-                    F.count("value").alias("n_unique"),
-                    F.bool_and(F.when(F.col("value").isNotNull(),
-                                      F.col("value").try_cast("double").isin(0.0, 1.0)))
-                     .alias("all_binary")))
+                    F.count("key").alias("n_unique"),
+                    F.bool_and(F.when(F.col("key").isNotNull(), F.coalesce(binary, F.lit(False)))).alias("all_binary")))
     # Every column has the same row count; take it once so empty tables give 0.
     # Derived from the same aggregate, so the input is scanned once.
     total = agg.agg(F.coalesce(F.max("n_rows"), F.lit(0)).cast("long").alias("total_rows"))

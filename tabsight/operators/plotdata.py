@@ -5,10 +5,10 @@
   filled from ``sequence(0, bins-1)``;
 * box plots: per-group quartiles joined back to the rows (one row per group),
   whiskers = extreme values inside 1.5 IQR, outlier counts;
-* densities by target level, Gaussian KDE on a grid (exact sum over all rows,
-  grid points exploded inside the task and combined map-side);
-* column summaries with per-column top-k values (window + rank filter, which
-  Spark plans as a partial group limit before the shuffle);
+* densities by target level, Gaussian KDE on a grid (rows shared out to a fine grid
+  first, so the sum is points x grid);
+* column summaries: moments, quantiles and bins from shared scans, top-k values from the
+  value-frequency table (a partial group limit before the shuffle);
 * a bounded, hash-ordered sample for scatter plots.
 """
 
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from tabsight.functions.stats import pct
 from tabsight.operators.quantiles import grouped_quantile_arrays
-from tabsight.functions.types import check_col, numeric_cols
+from tabsight.functions.types import check_col, numeric_cols, storage_kind
 
+#: Cells that a density's rows are shared out to.
+KDE_CELLS = 2048
 HIST_SCHEMA = "column_name string, bin int, lower double, upper double, count bigint"
 
 
@@ -209,19 +211,64 @@ def pair_plot_data(df: DataFrame, cols: list[str] | None = None, hue: str | None
 
 
 # ----------------------------------------------------------------------------- G9
-def top_k_values(df: DataFrame, cols: list[str], k: int = 5) -> DataFrame:
+def top_k_values(df: DataFrame, cols: list[str], k: int = 5, freq: DataFrame | None = None) -> DataFrame:
     """Per column the k most frequent non-null values with counts and % of all rows."""
-    from tabsight.operators.freq import value_frequencies
-    freq = value_frequencies(df, cols)
-    totals = freq.groupBy("column_name").agg(F.sum("n").alias("n_rows"))
-    w = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
-    top = freq.where(F.col("value").isNotNull()).withColumn("rank", F.row_number().over(w)) \
-              .where(F.col("rank") <= k)
-    return (top.join(totals, "column_name")
+    from tabsight.operators.freq import frequency_stats, frequency_table, top_values
+    freq = freq if freq is not None else frequency_table(df, cols)
+    totals = frequency_stats(freq).select("column_name", "n_rows")  # one row per column
+    return (top_values(df, freq, k, cols).join(F.broadcast(totals), "column_name")
                .select("column_name", "rank", "value", F.col("n").alias("count"),
                        pct("n", "n_rows", 1).alias("pct")))
 
 
+def column_summary(df: DataFrame, columns: list[str] | None = None, max_features: int | None = None, feature_type: str = "all",
+                   bins: int = 20, top_categories: int = 5, freq: DataFrame | None = None) -> DataFrame:
+    """One row per column: dtype, valid and missing counts and shares, and by storage
+
+    * numbers: mean, std, min, q25, q50, q75, max and ``bins`` counts of equal-width bins (NULL without numbers);
+    * everything else: n_unique and ``top``, the most frequent values with counts and % of all rows.
+
+    Numbers come from one aggregate and the counting scans of ``quantiles.summaries``, the rest from the
+    value-frequency table of the other columns.
+    """
+    from tabsight.operators.quantiles import summaries
+    if feature_type not in ("all", "numeric", "categorical"):
+        raise ValueError("feature_type is 'all', 'numeric' or 'categorical'")
+    cols = list(columns) if columns is not None else df.columns
+    for c in cols:
+        check_col(df, c)
+    kinds = {c: storage_kind(df.schema[c].dataType) for c in cols}
+    cols = [c for c in cols if feature_type == "all" or (kinds[c] == "numeric" if feature_type == "numeric" else kinds[c] == "text")]
+    cols = cols if max_features is None else cols[:max_features]
+    if not cols:
+        raise ValueError("no columns to summarise")
+    spark = df.sparkSession
+    numbers, others = [c for c in cols if kinds[c] == "numeric"], [c for c in cols if kinds[c] != "numeric"]
+    found = summaries(df, numbers, [0.25, 0.5, 0.75], bins=bins)
+    rows = [(k, c, df.schema[c].dataType.simpleString(), *(
+        [found[c]["n"], found[c]["mean"], found[c]["std"], found[c]["min"], *found[c]["q"], found[c]["max"], found[c]["bins"]]
+        if c in found else [None] * 9)) for k, c in enumerate(cols)]
+    base = spark.createDataFrame(rows, "pos int, column_name string, dtype string, n long, mean double, std double, min double, "
+                                       "q25 double, q50 double, q75 double, max double, bins array<long>")
+    total = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    if others:
+        from tabsight.operators.freq import frequency_stats, frequency_table
+        freq = freq if freq is not None else frequency_table(df, others)
+        stats = frequency_stats(freq.where(F.col("column_name").isin(others))).select(
+            "column_name", F.col("n_missing").alias("missing_other"), "n_unique")
+        top = (top_k_values(df, others, top_categories, freq).groupBy("column_name")
+               .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "count", "pct"))).alias("top")))
+        base = base.join(F.broadcast(stats), "column_name", "left").join(F.broadcast(top), "column_name", "left")
+    else:
+        base = base.withColumns({"missing_other": F.lit(None).cast("long"), "n_unique": F.lit(None).cast("long"),
+                                 "top": F.lit(None).cast("array<struct<rank:int,value:string,count:bigint,pct:double>>")})
+    base = base.crossJoin(F.broadcast(total))  # one-row side
+    missing = F.coalesce("missing_other", F.col("n_rows") - F.col("n"), F.lit(0))
+    return base.select("pos", "column_name", "dtype", (F.col("n_rows") - missing).alias("valid"), pct(F.col("n_rows") - missing, "n_rows", 1).alias("valid_pct"),
+                       missing.alias("missing"), pct(missing, "n_rows", 1).alias("missing_pct"), "mean", "std", "min", "q25", "q50", "q75", "max",
+                       "bins", "n_unique", "top").orderBy("pos").drop("pos")
+
+
 # ----------------------------------------------------------------------------- G10
 def histogram_by_target(df: DataFrame, col: str, target: str, bins: int = 30) -> DataFrame:
     """Shared bins; density normalised within each target level: n / (level total * width)."""
@@ -242,12 +289,14 @@ def histogram_by_target(df: DataFrame, col: str, target: str, bins: int = 30) ->
 
 
 # ----------------------------------------------------------------------------- G11
-def kde(df: DataFrame, col: str, grid_size: int = 200, bw: float | None = None) -> DataFrame:
+def kde(df: DataFrame, col: str, grid_size: int = 200, bw: float | None = None, cells: int = KDE_CELLS) -> DataFrame:
     """Gaussian KDE on ``grid_size`` points over [min, max], Scott bandwidth by default.
 
     h = std * n^(-1/5); density(g) = sum(exp(-((g-x)/h)^2 / 2)) / (n h sqrt(2 pi)).
-    Exact over all rows: grid points are exploded per row inside the task and
-    summed map-side (grid_size rows per partition reach the shuffle).
+    The rows are first shared out to ``cells`` + 1 equally spaced points: a value between two of them gives each
+    the share of its distance from the other, which keeps the mass and the mean.  The sum then runs over
+    points x grid, whatever the number of rows; its error falls with the square of cell width over h.
+    A column without spread has no density (NULL).
     """
     x = _c(col).cast("double")
     base = df.select(x.alias("x")).where(F.col("x").isNotNull())
@@ -255,14 +304,21 @@ def kde(df: DataFrame, col: str, grid_size: int = 200, bw: float | None = None)
                   F.stddev_samp("x").alias("sd"), F.count(F.lit(1)).alias("n"))
     h = (F.lit(float(bw)) if bw is not None
          else F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    st = st.withColumn("h", h)
-    step = (F.col("mx") - F.col("mn")) / F.lit(grid_size - 1)
-    g = F.col("mn") + F.col("i") * step
-    dens = (base.crossJoin(F.broadcast(st))  # one-row side
-                .select(F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("i"),
-                        "x", "mn", "mx", "h", "n")
-                .groupBy("i", "mn", "mx", "h", "n")
-                .agg(F.sum(F.exp(-0.5 * F.pow((g - F.col("x")) / F.col("h"), 2))).alias("s")))
+    st = st.withColumn("h", F.nullif(h, F.lit(0.0)))
+    width = F.nullif((F.col("mx") - F.col("mn")) / F.lit(cells), F.lit(0.0))
+    place = F.coalesce((F.col("x") - F.col("mn")) / width, F.lit(0.0))
+    cell = F.least(F.floor(place), F.lit(cells - 1))
+    shared = (base.crossJoin(F.broadcast(st))  # one-row side
+              .select(cell.alias("cell"), (place - cell).alias("part"))
+              .groupBy("cell").agg(F.sum(1 - F.col("part")).alias("w0"), F.sum("part").alias("w1")))
+    points = (shared.select(F.inline(F.array(F.struct("cell", F.col("w0").alias("w")), F.struct((F.col("cell") + 1).alias("cell"), F.col("w1").alias("w")))))
+              .groupBy("cell").agg(F.sum("w").alias("w")))
+    at = F.col("mn") + F.col("cell") * F.coalesce(width, F.lit(0.0))
+    g = F.col("mn") + F.col("i") * ((F.col("mx") - F.col("mn")) / F.lit(grid_size - 1))
+    dens = (points.crossJoin(F.broadcast(st))
+            .select(F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("i"), "w", at.alias("at"), "mn", "mx", "h", "n")
+            .groupBy("i", "mn", "mx", "h", "n")
+            .agg(F.sum(F.col("w") * F.exp(-0.5 * F.pow((g - F.col("at")) / F.col("h"), 2))).alias("s")))
     return dens.select("i", g.alias("x"),
                        (F.col("s") / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))))
                        .alias("density"))

@@ -3,27 +3,31 @@
 Spark's exact ``percentile`` merges a value -> count map per group in one task.  Two
 algorithms take its place, one per question:
 
-* ``quantiles`` - of whole columns, by narrowing.  Every needed order statistic (the
-  ranks below and above (n - 1) p) has a bracket of values that holds it.  One
-  aggregate counts, for each bracket, the values below it, at its ends and inside, and
-  sketches cut points of the inside.  A bracket whose rank falls on an end is
-  answered; one with at most ``limit`` values inside is read and sorted; any other
-  shrinks to three of its ``CUTS`` buckets and the next round counts again.  Nothing is
-  shuffled but partial counts and sketches, and only brackets (columns x ranks) reach
-  the driver.
+* ``quantiles`` - of whole columns, by radix selection.  A double's bits, read as an
+  unsigned number, order like the doubles.  The order statistics needed (the ranks below
+  and above (n - 1) p) lie between the column's least and largest value; that bracket is
+  cut into ``2 ** BITS`` cells by a subtraction and a shift, each Arrow batch counts its
+  cells with ``bincount``, and the cell that holds the rank is the next bracket.  A
+  bracket with at most ``limit`` values is read and sorted.  A round is one scan; six of
+  them reach a single double whatever the values.  Only cell counts are shuffled, and
+  only the cells that hold a rank reach the driver.
 * ``grouped_quantile_arrays`` - of many groups, from running counts of each group's
   distinct values (``operators.ranks``), so a hot group is spread over tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, floor
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets a bracket is cut into per round, and values that a bracket may have to be read.
-CUTS, LIMIT = 64, 4096
+#: A bracket is cut into 2 ** BITS cells per round; one with up to LIMIT values is read.
+BITS, LIMIT = 12, 4096
+SIGN = np.uint64(1 << 63)
 
 
 def _number(col: str):
@@ -32,73 +36,152 @@ def _number(col: str):
     return F.nanvl(x, F.lit(None).cast("double")) + F.lit(0.0)
 
 
-def _order_statistics(df: DataFrame, wanted: dict[str, list[int]], limit: int) -> dict[tuple[str, int], float]:
-    """(column, 0-based rank) -> value."""
-    inf = float("inf")
-    found: dict[tuple[str, int], float] = {}
-    # (column, low, high): ranks relative to the open interval (low, high), with their original rank
-    todo = {(c, None, None): [(r, r) for r in sorted(set(ranks))] for c, ranks in wanted.items() if ranks}
-    probs = [i / CUTS for i in range(CUTS + 1)]
-    while todo:
-        keys = list(todo)
-        inside = [(_number(c) > (-inf if lo is None else lo) if lo is not None else _number(c).isNotNull())
-                  & (_number(c) < hi if hi is not None else F.lit(True)) for c, lo, hi in keys]
-        structs = [F.struct(F.lit(k).alias("k"), F.when(on, _number(c)).alias("x")) for k, ((c, _, _), on) in enumerate(zip(keys, inside))]
-        long = df.select(F.inline(F.array(*structs))).where(F.col("x").isNotNull())
-        cuts = {r["k"]: r["cuts"] for r in long.groupBy("k").agg(F.percentile_approx("x", probs, 20 * CUTS).alias("cuts")).collect()}
-        # exact counts between the cut points: a position among them is even on a cut, odd between two
-        edges = {k: sorted(set(v)) for k, v in cuts.items()}
-        table = F.create_map(*[y for k, v in edges.items() for y in (F.lit(k), F.array(*[F.lit(float(z)) for z in v]))])
-        at = F.expr("2 * size(filter(e, z -> z < x)) + CASE WHEN exists(e, z -> z = x) THEN 1 ELSE 0 END")
-        counted = long.withColumn("e", table[F.col("k")]).select("k", "x", at.alias("b")).groupBy("k", "b").agg(F.count(F.lit(1)).alias("n"))
-        counts: dict[int, dict[int, int]] = {}
-        for r in counted.collect():
-            counts.setdefault(r["k"], {})[r["b"]] = r["n"]
-        nxt: dict[tuple, list[tuple[int, int]]] = {}
-        small: dict[tuple, list[tuple[int, int]]] = {}
-        for k, key in enumerate(keys):
-            for rank, original in todo[key]:
-                before = 0
-                for b in sorted(counts[k]):
-                    n = counts[k][b]
-                    if rank < before + n:
-                        if b % 2:  # on a cut point: (b - 1) / 2 points lie below it
-                            found[key[0], original] = edges[k][(b - 1) // 2]
-                        else:
-                            lo = edges[k][b // 2 - 1] if b else key[1]
-                            hi = edges[k][b // 2] if b // 2 < len(edges[k]) else key[2]
-                            (small if n <= limit else nxt).setdefault((key[0], lo, hi), []).append((rank - before, original))
-                        break
-                    before += n
-        if small:
-            keys = list(small)
-            structs = []
-            for k, (c, lo, hi) in enumerate(keys):
-                x = _number(c)
-                on = x.isNotNull() & (F.lit(True) if lo is None else x > lo) & (F.lit(True) if hi is None else x < hi)
-                structs.append(F.struct(F.lit(k).alias("k"), F.when(on, x).alias("x")))
-            rows = (df.select(F.inline(F.array(*structs))).where(F.col("x").isNotNull()).groupBy("k")
-                    .agg(F.sort_array(F.collect_list("x")).alias("x")).select("k", *[
-                        F.transform(F.array(*[F.lit(r) for r, _ in sorted({p for v in small.values() for p in v})]), lambda i: F.get("x", i)).alias("at")]))
-            order = [r for r, _ in sorted({p for v in small.values() for p in v})]
-            for row in rows.collect():
-                values = dict(zip(order, row["at"]))
-                for rank, original in small[keys[row["k"]]]:
-                    found[keys[row["k"]][0], original] = values[rank]
-        todo = nxt
-    return found
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned numbers of the same order."""
+    b = np.ascontiguousarray(x, dtype=np.float64).view(np.uint64)
+    return np.where(b & SIGN, ~b, b | SIGN)
+
+
+def from_bits(u: int) -> float:
+    b = u & ~int(SIGN) if u & int(SIGN) else ~u & (1 << 64) - 1
+    return float(np.array([b], dtype=np.uint64).view(np.float64)[0])
+
+
+class _Bracket:
+    """Values of a column with bits from ``lo`` to ``hi``; ``ranks``: (position inside, position in the column)."""
+
+    def __init__(self, col: int, lo: int, hi: int, ranks: list[tuple[int, int]]):
+        self.col, self.lo, self.hi, self.ranks = col, lo, hi, ranks
+        self.shift = max(0, (hi - lo).bit_length() - BITS)
+
+
+def _inside(batches: Iterator[pa.RecordBatch], brackets: list[_Bracket]) -> Iterator[tuple[int, np.ndarray]]:
+    """(bracket, bits of the values inside) per batch."""
+    for batch in batches:
+        bits = {}
+        for k, b in enumerate(brackets):
+            if b.col not in bits:
+                x = batch.column(f"c{b.col}").to_numpy(zero_copy_only=False)
+                bits[b.col] = ordered_bits(x[~np.isnan(x)])
+            u = bits[b.col]
+            yield k, u[(u >= np.uint64(b.lo)) & (u <= np.uint64(b.hi))]
+
+
+class _Bins:
+    """Equal-width bins of a column over [low, high], the last one closed."""
+
+    def __init__(self, col: int, low: float, high: float, bins: int):
+        self.col, self.low, self.high, self.bins = col, low, high, bins
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        if self.low == self.high:
+            return np.zeros(len(x), dtype=np.int64)
+        return np.minimum(np.floor((x - self.low) / ((self.high - self.low) / self.bins)).astype(np.int64), self.bins - 1)
+
+
+def _cells(data: DataFrame, brackets: list[_Bracket], binned: list[_Bins] = ()) -> tuple[list, dict[int, dict[int, int]]]:
+    """(b, cell, n, before) of the cells that hold a rank, and column -> bin -> count, from one scan."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(1 << BITS, dtype=np.int64) for _ in brackets] + [np.zeros(b.bins, dtype=np.int64) for b in binned]
+        for batch in batches:
+            for k, u in _inside([batch], brackets):
+                cell = (u - np.uint64(brackets[k].lo)) >> np.uint64(brackets[k].shift)
+                total[k] += np.bincount(cell.astype(np.int64), minlength=1 << BITS)
+            for k, b in enumerate(binned, len(brackets)):
+                x = batch.column(f"c{b.col}").to_numpy(zero_copy_only=False)
+                total[k] += np.bincount(b.of(x[~np.isnan(x)]), minlength=b.bins)
+        for k, t in enumerate(total):
+            cell = np.flatnonzero(t)
+            if len(cell):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k, dtype=np.int32)), pa.array(cell.astype(np.int32)), pa.array(t[cell])],
+                                                 ["b", "cell", "n"])
+
+    counts = data.mapInArrow(count, "b int, cell int, n long").groupBy("b", "cell").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("b").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    ranks = data.sparkSession.createDataFrame([(k, [r for r, _ in b.ranks]) for k, b in enumerate(brackets)], "b int, ranks array<long>")
+    found = (placed.join(F.broadcast(ranks), "b", "left")
+             .where("ranks IS NULL OR exists(ranks, r -> r >= before AND r < before + n)").select("b", "cell", "n", "before").collect())
+    bins: dict[int, dict[int, int]] = {b.col: {} for b in binned}
+    for r in found:
+        if r["b"] >= len(brackets):
+            bins[binned[r["b"] - len(brackets)].col][r["cell"]] = r["n"]
+    return [r for r in found if r["b"] < len(brackets)], bins
+
+
+def _read(data: DataFrame, brackets: list[_Bracket]) -> list[list[float]]:
+    """The value at each rank of small brackets, from one scan."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, u in _inside(batches, brackets):
+            if len(u):
+                x = np.where(u & SIGN, u & ~SIGN, ~u).view(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), k, dtype=np.int32)), pa.array(x)], ["b", "x"])
+
+    ranks = data.sparkSession.createDataFrame([(k, [r for r, _ in b.ranks]) for k, b in enumerate(brackets)], "b int, ranks array<int>")
+    values = data.mapInArrow(read, "b int, x double").groupBy("b").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    at = F.transform("ranks", lambda r: F.get("x", r))
+    return [r["at"] for r in values.join(F.broadcast(ranks), "b").select("b", at.alias("at")).orderBy("b").collect()]
+
+
+def _order_statistics(df: DataFrame, cols: list[str], wanted: dict[int, list[int]], ends: dict[int, tuple], limit: int,
+                      bins: int = 0) -> tuple[dict[tuple[int, int], float], dict[int, dict[int, int]]]:
+    """(column, 0-based rank) -> value, and column -> bin -> count if ``bins``; ``ends``: count, least and largest value of each column."""
+    found: dict[tuple[int, int], float] = {}
+    data = df.select(*[_number(c).alias(f"c{k}") for k, c in enumerate(cols)])
+    few: list[_Bracket] = []
+    todo: list[_Bracket] = []
+
+    def add(col: int, lo: int, hi: int, n: int, ranks: list[tuple[int, int]]) -> None:
+        if lo == hi:
+            found.update({(col, original): from_bits(lo) for _, original in ranks})
+        else:
+            (few if n <= limit else todo).append(_Bracket(col, lo, hi, ranks))
+
+    for col, ranks in wanted.items():
+        n, low, high = ends[col]
+        lo, hi = (int(u) for u in ordered_bits(np.array([low, high])))
+        add(col, lo, hi, n, [(r, r) for r in sorted(set(ranks))])
+    binned = [_Bins(col, *ends[col][1:], bins) for col in wanted] if bins else []
+    counts: dict[int, dict[int, int]] = {}
+    while todo or binned:
+        brackets, todo[:] = list(todo), []
+        cells, more = _cells(data, brackets, binned)
+        counts.update(more)
+        binned = []
+        for cell in cells:
+            b = brackets[cell["b"]]
+            lo = b.lo + (cell["cell"] << b.shift)
+            inside = [(r - cell["before"], original) for r, original in b.ranks if cell["before"] <= r < cell["before"] + cell["n"]]
+            add(b.col, lo, min(b.hi, lo + (1 << b.shift) - 1), cell["n"], inside)
+    if few:
+        for b, values in zip(few, _read(data, few)):
+            found.update({(b.col, original): v for (_, original), v in zip(b.ranks, values)})
+    return found, counts
+
+
+def summaries(df: DataFrame, cols: list[str], probs: list[float], limit: int = LIMIT, bins: int = 0) -> dict[str, dict]:
+    """Column -> n, mean, std, min, max, its exact quantiles ``q`` and the counts of ``bins`` equal-width ``bins``.
+
+    An aggregate gives count, moments and ends; the first counting scan serves quantiles and bins.
+    Columns without numbers have None for everything but n.
+    """
+    aggs = [f(_number(c)) for c in cols for f in (F.count, F.avg, F.stddev_samp, F.min, F.max)]
+    row = df.agg(*aggs).first() if cols else []
+    ends = {k: (row[5 * k], row[5 * k + 3], row[5 * k + 4]) for k in range(len(cols))}
+    places = {k: [(n - 1) * float(p) for p in probs] for k, (n, _, _) in ends.items() if n}
+    at, counts = _order_statistics(df, cols, {k: [f(h) for h in hs for f in (floor, ceil)] for k, hs in places.items()}, ends, limit, bins)
+    out = {}
+    for k, c in enumerate(cols):
+        n, mean, std, low, high = row[5 * k:5 * k + 5]
+        q = [at[k, floor(h)] + (h - floor(h)) * (at[k, ceil(h)] - at[k, floor(h)]) for h in places[k]] if n else [None] * len(probs)
+        out[c] = {"n": n, "mean": mean, "std": std, "min": low, "max": high, "q": q,
+                  "bins": [counts[k].get(b, 0) for b in range(bins)] if n and bins else None}
+    return out
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], limit: int = LIMIT) -> dict[str, list[float | None]]:
     """Column -> its exact quantiles (None for a column without numbers)."""
-    sizes = df.agg(*[F.count(_number(c)).alias(f"n{k}") for k, c in enumerate(cols)]).first()
-    n = {c: sizes[f"n{k}"] for k, c in enumerate(cols)}
-    places = {c: [(n[c] - 1) * float(p) for p in probs] for c in cols if n[c]}
-    at = _order_statistics(df, {c: [f(h) for h in hs for f in (floor, ceil)] for c, hs in places.items()}, limit)
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    for c, hs in places.items():
-        out[c] = [at[c, floor(h)] + (h - floor(h)) * (at[c, ceil(h)] - at[c, floor(h)]) for h in hs]
-    return out
+    return {c: s["q"] for c, s in summaries(df, cols, probs, limit).items()}
 
 
 def quantile_arrays(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact") -> DataFrame:

@@ -1,6 +1,6 @@
-"""Running sums in value order without a one-task window.
+"""Running sums and ranks in value order without a one-task window.
 
-``ordered_prefix(df, groups, order_col, weight_col)`` adds ``before``: the sum of
+``rank_columns`` ranks many columns at once; see there.  ``ordered_prefix(df, groups, order_col, weight_col)`` adds ``before``: the sum of
 ``weight_col`` over rows of the same group with a strictly smaller ``order_col``.  The
 input is expected to hold one row per distinct (group, value) - e.g. a value-count
 table - so a hot value is one row.
@@ -15,6 +15,11 @@ the same for both readers.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +61,92 @@ def average_ranks(counts: DataFrame, groups: list[str], value_col: str, n_col: s
     """1-based average rank of each distinct value (ties share the mean rank)."""
     pre = ordered_prefix(counts, groups, value_col, n_col, out_col="__before")
     return pre.withColumn(out_col, F.col("__before") + (F.col(n_col) + 1) / 2.0).drop("__before")
+
+
+# ----------------------------------------------------------------------------- many columns
+def _runs(batches: Iterator[pa.RecordBatch]) -> tuple | None:
+    """A partition's rows (sorted by g, x) as arrays, and where its runs of equal (g, x) and its groups start."""
+    table = pa.Table.from_batches(list(batches))
+    if not table.num_rows:
+        return None
+    g, x = table.column("g").to_numpy(), table.column("x").to_numpy()
+    group = np.append(True, g[1:] != g[:-1])
+    run = group | np.append(True, x[1:] != x[:-1])
+    return table, g, x, np.flatnonzero(group), np.flatnonzero(run)
+
+
+def _edge_runs(found: list) -> dict[tuple[int, int], tuple]:
+    """(part, g) -> (offset of its rows in the group, start and length of its first run, start and length of its last run).
+
+    A run of equal values may go over several partitions; ``found`` has one entry per partition and group.
+    """
+    runs: dict[tuple[int, int, str], list] = {}
+    offsets, seen, last = {}, defaultdict(int), {}
+    for r in sorted(found, key=lambda r: (r["g"], r["part"])):
+        key, start = (r["part"], r["g"]), seen[r["g"]]
+        offsets[key] = start
+        run = last.get(r["g"])
+        if run is None or run[2] != r["first_x"]:
+            run = [start, 0, r["first_x"]]
+        run[1] += r["head"]
+        runs[(*key, "head")] = runs[(*key, "tail")] = run
+        if r["head"] < r["n"]:
+            run = [start + r["n"] - r["tail"], r["tail"], r["last_x"]]
+            runs[(*key, "tail")] = run
+        last[r["g"]] = run
+        seen[r["g"]] += r["n"]
+    return {k: (offsets[k], *runs[(*k, "head")][:2], *runs[(*k, "tail")][:2]) for k in offsets}
+
+
+def rank_columns(long: DataFrame, groups: int) -> DataFrame:
+    """(id, r0 .. r<groups - 1>): average ranks of ``x`` within ``g`` (0 .. groups - 1), back in one row per ``id``.
+
+    ``long`` (id long, g int, x double) has no missing or NaN ``x`` and must not change between two reads.  It is
+    range partitioned by (g, x, id), so a value that many rows share is cut like any other stretch.  Each partition
+    reports, per group, its rows and the lengths of its first and last runs of equal values - groups plus
+    partitions rows - which place every run; no counts are joined back to the rows.
+    """
+    spark = long.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (long.repartitionByRange(parts, "g", "x", "id").withColumn("part", F.spark_partition_id())
+              .sortWithinPartitions("g", "x", "id").checkpoint(eager=True))
+
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _runs(batches)
+        if own is None:
+            return
+        table, g, x, group, run = own
+        ends = np.append(group[1:], len(g))
+        head = np.append(run, len(g))[np.searchsorted(run, group) + 1] - group
+        tail = ends - run[np.searchsorted(run, ends) - 1]
+        part = np.full(len(group), table.column("part")[0].as_py(), dtype=np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part), pa.array(g[group].astype(np.int32)), pa.array(ends - group), pa.array(x[group]), pa.array(head),
+             pa.array(x[ends - 1]), pa.array(tail)], ["part", "g", "n", "first_x", "head", "last_x", "tail"])
+
+    found = ranged.select("part", "g", "x").mapInArrow(
+        summary, "part int, g int, n long, first_x double, head long, last_x double, tail long").collect()
+    edges = _edge_runs(found)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _runs(batches)
+        if own is None:
+            return
+        table, g, x, group, run = own
+        part = table.column("part")[0].as_py()
+        length = np.diff(np.append(run, len(g)))
+        start, total = run.astype(np.int64), length.astype(np.int64)
+        for k, at in enumerate(group.tolist()):
+            end = group[k + 1] if k + 1 < len(group) else len(g)
+            first, last = np.searchsorted(run, at), np.searchsorted(run, end) - 1
+            offset, h0, hn, t0, tn = edges[part, int(g[at])]
+            start[first:last + 1] += offset - at
+            start[first], total[first] = h0, hn
+            start[last], total[last] = t0, tn
+        ranks = np.repeat(start + (total + 1) / 2.0, length)
+        for b in pa.table({"id": table.column("id"), "g": table.column("g"), "rank": ranks}).to_batches(max_chunksize=1 << 16):
+            yield b
+
+    ranked = ranged.mapInArrow(rank, "id long, g int, rank double")
+    return ranked.groupBy("id").agg(*[F.max(F.when(F.col("g") == k, F.col("rank"))).alias(f"r{k}") for k in range(groups)])

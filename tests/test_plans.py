@@ -16,7 +16,6 @@ def test_full_report_runs(spark):
         frame.collect()
     assert {"overview", "missing", "numeric_summary", "categorical_summary", "correlation_matrix",
             "multicollinearity", "target_summary", "target_correlation", "low_variance_columns"} <= set(rep)
-    prof.unpersist()
 
 
 def test_streaming_log_ingest(spark, tmpdir_path):
