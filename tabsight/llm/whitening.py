@@ -27,19 +27,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.mllib.linalg import DenseMatrix
+from pyspark.mllib.common import callMLlibFunc
+from pyspark.mllib.linalg import DenseMatrix, MatrixUDT
 from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tabsight.llm.common import saved
 
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 16
-BLOCK_BYTES, MOST_COLUMNS, SPLIT = 1 << 21, 1024, 16
+BLOCK_BYTES, MOST_COLUMNS, SPLIT = 1 << 19, 1024, 64
 RANK = 1e-10
+#: Blocks pass between Arrow and MLlib as they are, without a Python object per entry.
+BLOCK_SCHEMA = StructType([StructField("at", StructType([StructField("i", LongType()), StructField("j", LongType())])), StructField("matrix", MatrixUDT())])
+MATRIX_TYPES = (pa.int8(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
 
 
 def counts(vector: Column) -> Column:
@@ -80,29 +85,38 @@ def to_blocks(rows: DataFrame, blocks: int, n: int, sums: np.ndarray, wrap: int
     size, width = block_rows(dim), min(dim, MOST_COLUMNS)
     wide = -(-dim // width)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = -1, None
 
-        def packed() -> pd.DataFrame:
-            return pd.DataFrame([(block, j, held[:, j * width:(j + 1) * width].tobytes("F")) for j in range(wide)], columns=["b", "j", "v"])
+        def packed() -> pa.RecordBatch:
+            at = pa.StructArray.from_arrays([pa.array([block // wrap] * wide, pa.int64()),
+                                             pa.array([block % wrap * wide + j for j in range(wide)], pa.int64())], names=["i", "j"])
+            values = pa.array(held.reshape(size, wide, width).transpose(1, 2, 0).ravel())  # column by column
+            parts = [[1] * wide, [size] * wide, [width] * wide, [None] * wide, [None] * wide]
+            matrix = pa.StructArray.from_arrays(
+                [*(pa.array(v, t) for v, t in zip(parts, MATRIX_TYPES)),
+                 pa.ListArray.from_arrays(pa.array(np.arange(wide + 1) * size * width, pa.int32()), values), pa.array([False] * wide)],
+                names=MatrixUDT.sqlType().names)
+            return pa.RecordBatch.from_arrays([at, matrix], ["at", "matrix"])
 
         for rows in batches:
-            idx = rows["idx"].to_numpy()
+            if not rows.num_rows:
+                continue
+            idx = rows.column("idx").to_numpy()
+            x = rows.column("x").flatten().to_numpy().reshape(len(idx), dim)
             for b in np.unique(idx // size).tolist():
                 if b != block:
                     if held is not None:
                         yield packed()
                     block, held = b, np.zeros((size, wide * width))
                 own = idx // size == b
-                held[idx[own] - b * size, :dim] = (n * np.stack(rows["x"][own].to_numpy()) - sums) / n
+                held[idx[own] - b * size, :dim] = (n * x[own] - sums) / n
         if held is not None:
             yield packed()
 
-    def matrix(r) -> tuple:
-        return (r["b"] // wrap, r["b"] % wrap * wide + r["j"]), DenseMatrix(size, width, np.frombuffer(r["v"]))
-
-    packed = rows.select("idx", "x").mapInPandas(pack, "b long, j long, v binary").rdd.map(matrix)
-    return BlockMatrix(packed, size, width, -(-blocks // wrap) * size, wrap * wide * width)
+    packed = rows.select("idx", "x").mapInArrow(pack, BLOCK_SCHEMA)
+    shape = (size, width, -(-blocks // wrap) * size, wrap * wide * width)
+    return BlockMatrix(callMLlibFunc("createBlockMatrix", packed, *shape), *shape)
 
 
 def scatter(a: BlockMatrix, blocks: int) -> np.ndarray:
@@ -127,12 +141,19 @@ def project(rows: DataFrame, blocks: int, n: int, sums: np.ndarray, weights: np.
     a = to_blocks(rows, blocks, n, sums, wrap).persist(StorageLevel.MEMORY_AND_DISK)
     z = a.multiply(BlockMatrix(diagonal, width, k, wrap * wide * width, wrap * k))
 
-    def unpack(block) -> Iterator[tuple]:
-        (i, c), m = block
-        return zip(range((i * wrap + c) * size, (i * wrap + c + 1) * size), m.toArray().tolist())
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, m in zip(b.column(0).to_pylist(), b.column(1)):
+                i, c = at.values()
+                first = (i * wrap + c) * size
+                values = m["values"].values.to_numpy().reshape(k, size).T.ravel()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(first, first + size)), pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * k, pa.int32()), pa.array(values))],
+                    ["idx", "z"])
 
     # rows of padding have no partner in the join by idx
-    out = saved(spark.createDataFrame(z.blocks.flatMap(unpack), "idx long, z array<double>").join(rows.select("idx"), "idx"))
+    found = callMLlibFunc("getMatrixBlocks", z._java_matrix_wrapper._java_model).mapInArrow(unpack, "idx long, z array<double>")
+    out = saved(found.join(rows.select("idx"), "idx"))
     a._java_matrix_wrapper._java_model.blocks().unpersist(False)
     return out
 
