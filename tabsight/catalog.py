@@ -913,6 +913,17 @@ def q_ordinal(spark, sf):
     return m.transform(docs)
 
 
+@register("ordinal_keys", """
+WITH cats AS (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS position FROM (SELECT DISTINCT c_name FROM customer WHERE c_custkey % 7 <> 0))
+SELECT c.c_custkey, CAST(coalesce(position, -1) AS INTEGER) AS name_ord FROM customer c LEFT JOIN cats USING (c_name)
+""")
+def q_ordinal_keys(spark, sf):
+    """A dictionary with one category per customer; every seventh is unknown at fit."""
+    customers = read_table(spark, sf, "customer").select("c_custkey", "c_name")
+    m = M.CategoryIndexer(inputCols=["c_name"], outputCols=["name_ord"]).fit(customers.where("c_custkey % 7 <> 0"))
+    return m.transform(customers).select("c_custkey", "name_ord")
+
+
 @register("stratified_folds", """
 SELECT doc_id, quality,
        CAST((row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1)
@@ -1155,13 +1166,73 @@ def q_feature_sets(spark, sf):
     return SL.compare_feature_sets(_builder("logreg", max_iter=100), model_frame(spark, sf), sets, "quality")
 
 
-@register("candidates")
+CAND_NUM = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+CAND_CAT = ["l_returnflag", "l_linenumber"]
+
+
+def _sql_candidate(op: str, inputs: list[str]) -> str:
+    """A candidate of the default families as plain SQL over lineitem."""
+    x = [f"CAST({c} AS DOUBLE)" for c in inputs]
+    if op in ("abs", "log", "sqrt", "square", "sigmoid", "round"):
+        return {"abs": f"abs({x[0]})", "log": f"ln(abs({x[0]}) + 1)", "sqrt": f"sqrt(abs({x[0]}))", "square": f"pow({x[0]}, 2)",
+                "sigmoid": f"1 / (1 + exp(-{x[0]}))", "round": f"round({x[0]}, 0)"}[op]
+    if op == "freq":
+        return f"count(*) OVER (PARTITION BY {inputs[0]})"
+    if op in ("+", "-", "*"):
+        return f"{x[0]} {op} {x[1]}"
+    if op == "/":
+        return f"CASE WHEN {x[1]} = 0 THEN NULL ELSE {x[0]} / {x[1]} END"
+    if op in ("min", "max"):
+        return f"{'least' if op == 'min' else 'greatest'}({x[0]}, {x[1]})"
+    over, stat = f"OVER (PARTITION BY {inputs[0]})", op.removeprefix("groupby_then_")
+    if stat == "nunique":
+        return f"(SELECT count(DISTINCT i.{inputs[1]}) FROM lineitem i WHERE i.{inputs[0]} = lineitem.{inputs[0]})"
+    if stat == "rank":
+        return (f"((rank() OVER (PARTITION BY {inputs[0]} ORDER BY {inputs[1]}) - 1) + (count(*) OVER (PARTITION BY {inputs[0]}, {inputs[1]}) + 1) / 2.0)"
+                f" / count(*) {over}")
+    fn = {"mean": f"avg({x[1]})", "std": f"stddev_samp({x[1]})", "median": f"quantile_cont({x[1]}, 0.5)"}.get(stat, f"{stat}({x[1]})")
+    return f"{fn} {over}"
+
+
+def lineitem_candidates() -> list[tuple]:
+    """The default families over all numeric columns but the key, and the columns of few values."""
+    return CD.candidate_rows(CAND_NUM, CAND_CAT)
+
+
+_CANDIDATES_SQL = """
+WITH j AS (SELECT l_linestatus AS y, {columns} FROM lineitem),
+e AS (SELECT {edges} FROM j),
+cells AS ({cells}),
+nx AS (SELECT "column", x, sum(n) AS nx FROM cells GROUP BY ALL),
+ny AS (SELECT "column", y, sum(n) AS ny FROM cells GROUP BY ALL),
+nt AS (SELECT "column", sum(n) AS nt FROM cells GROUP BY ALL)
+SELECT "column", round(greatest(sum(n / nt * ln(n * nt / (nx * ny))), 0.0), 6) AS score
+FROM cells JOIN nx USING ("column", x) JOIN ny USING ("column", y) JOIN nt USING ("column") GROUP BY "column"
+"""
+
+
+def _sql_candidates() -> str:
+    rows = lineitem_candidates()
+    tenths = ", ".join(f"{i / 10}" for i in range(1, 10))
+    cells = [f"SELECT '{name}' AS \"column\", len(list_filter(list_distinct(e{k}), lambda v: v < c{k})) AS x, y, count(*) AS n "
+             f"FROM j, e WHERE c{k} IS NOT NULL GROUP BY ALL" for k, (name, *_) in enumerate(rows)]
+    return _CANDIDATES_SQL.format(columns=", ".join(f"CAST({_sql_candidate(op, inputs)} AS DOUBLE) AS c{k}" for k, (_, op, inputs, _) in enumerate(rows)),
+                                  edges=", ".join(f"quantile_cont(c{k}, [{tenths}]) AS e{k}" for k in range(len(rows))), cells=" UNION ALL ".join(cells))
+
+
+@register("candidates", _sql_candidates())
 def q_candidates(spark, sf):
-    li = read_table(spark, sf, "lineitem")
-    reg = CD.generate_candidates(spark, ["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag"],
-                                 unary=["log", "freq"], binary=["/"], group=["mean", "rank"])
-    scored = CD.score_candidates(CD.apply_candidates(li, reg), reg, "l_linestatus")
-    return CD.importance_report(CD.top_candidates(scored, 10), 10)
+    li = read_table(spark, sf, "lineitem").select("l_linestatus", *dict.fromkeys(CAND_NUM + CAND_CAT))
+    scored = CD.score_candidates(li, lineitem_candidates(), "l_linestatus")
+    return scored.select("column", F.round("score", 6).alias("score"))
+
+
+@register("candidate_report")
+def q_candidate_report(spark, sf):
+    """The best thirty candidates with their formulas."""
+    docs = model_frame(spark, sf)
+    reg = CD.generate_candidates(spark, MODEL_NUM, MODEL_CAT)
+    return CD.importance_report(CD.top_candidates(CD.score_candidates(docs, reg, "quality"), 30), 30)
 
 
 # ============================================================================ T1 - T3 (rows checks)
@@ -1288,7 +1359,5 @@ def q_experiment(spark, sf):
 
 @register("candidate_stage")
 def q_candidate_stage(spark, sf):
-    stage = CD.CandidateFeatureStage(_builder("logreg", max_iter=100), MODEL_NUM, MODEL_CAT, "quality",
-                                     n_features=2, ablation_step=1, unary=["log"], binary=[],
-                                     group=["mean"])
+    stage = CD.CandidateFeatureStage(_builder("logreg", max_iter=100), MODEL_NUM, MODEL_CAT, "quality")
     return stage.fit(model_frame(spark, sf)).registry_

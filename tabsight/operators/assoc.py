@@ -8,18 +8,25 @@
 * Kendall tau-b: see ``kendall_tau_b``.
 * Crosstab: ``groupBy(rows).pivot(col, values)`` - the zero-filled matrix comes
   from the pivot, not from a cross join of row and column keys.
-* Mutual information: one contingency of (feature, value, y) for all features.
+* Mutual information: one contingency of (feature, value, y) for all discrete features;
+  histograms by label per Arrow batch for continuous ones.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+from collections import Counter
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.functions.types import check_col, is_corr_compatible, numeric_cols
 from tabsight.operators.gram import Moments, correlations, pair_moments
+from tabsight.operators.quantiles import quantiles
 from tabsight.operators.ranks import rank_columns
 from tabsight.session import ensure_checkpoint_dir
 
@@ -138,7 +145,10 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     cols, places = _place(pairs)
     x = [F.nanvl(_num(df, c), F.lit(None).cast("double")) + F.lit(0.0) for c in cols]
-    base = df.select(F.monotonically_increasing_id().alias("id"), *[c.alias(f"c{k}") for k, c in enumerate(x)]).checkpoint(eager=True)
+    # dealt out evenly: a file with one row group would otherwise be exploded by one task
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = (df.select(*[c.alias(f"c{k}") for k, c in enumerate(x)]).repartition(parts)
+            .select(F.monotonically_increasing_id().alias("id"), "*").checkpoint(eager=True))
     state = pair_moments(base, [F.col(f"c{k}") for k in range(len(cols))]).first()
     if state is None:
         return _pair_names(df, pairs).select("feature_1", "feature_2", F.lit(None).cast("double").alias("correlation"))
@@ -252,6 +262,58 @@ def crosstab_long(df: DataFrame, row_cols, col: str, normalize=False,
 
 
 # ----------------------------------------------------------------------------- F1 MI
+def _label_counts(data: DataFrame, edges: list[list[float]]) -> DataFrame:
+    """(k, x, y, n): rows of each numeric column k by the number of its edges below the value, and label y.
+
+    ``data`` has the label ``y`` and the columns c0, c1, ...; a batch is counted as a whole.
+    """
+    inner = [np.unique(e) for e in edges]
+
+    def count(batches):
+        total: dict[str, list[np.ndarray]] = {}
+        for b in batches:
+            codes = b.column("y").dictionary_encode()
+            label, names = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.to_pylist()
+            for name in names:
+                total.setdefault(name, [np.zeros(len(e) + 1, dtype=np.int64) for e in inner])
+            for k, e in enumerate(inner):
+                x = b.column(f"c{k}").to_numpy(zero_copy_only=False)
+                there = ~np.isnan(x)
+                cell = label[there].astype(np.int64) * (len(e) + 1) + np.searchsorted(e, x[there], side="left")
+                for name, n in zip(names, np.bincount(cell, minlength=len(names) * (len(e) + 1)).reshape(len(names), -1)):
+                    total[name][k] += n
+        rows = [(k, x, name, int(n)) for name, per in total.items() for k, t in enumerate(per) for x, n in enumerate(t) if n]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), pa.int64()))], ["k", "x", "y", "n"])
+
+    return data.mapInArrow(count, "k int, x int, y string, n long").groupBy("k", "x", "y").agg(F.sum("n").alias("n"))
+
+
+def _binned(df: DataFrame, cols: list[str], target: str, bins: int) -> DataFrame:
+    """``_label_counts`` over the ``bins``-quantiles of each column, rows without a label left out."""
+    y = F.col(f"`{target}`").cast("string")
+    data = df.select(y.alias("y"), *[F.nanvl(_num(df, c), F.lit(None).cast("double")).alias(f"c{k}") for k, c in enumerate(cols)])
+    names = [f"c{k}" for k in range(len(cols))]
+    found = quantiles(data, names, [round(i / bins, 10) for i in range(1, bins)])
+    return _label_counts(data.where(F.col("y").isNotNull()), [[q for q in found[c] if q is not None] for c in names])
+
+
+def binned_mutual_info(df: DataFrame, features: list[str], target: str, bins: int = 10) -> dict[str, float]:
+    """Mutual information (nats) of each numeric feature, cut at its quantiles, with the target; features x bins x labels numbers."""
+    cells: dict[int, dict[tuple, int]] = {}
+    for r in _binned(df, features, target, bins).collect():
+        cells.setdefault(r["k"], {})[r["x"], r["y"]] = r["n"]
+    out = {}
+    for k, c in enumerate(features):
+        own = cells.get(k, {})
+        nt, nx, ny = sum(own.values()), Counter(), Counter()
+        for (x, y), n in own.items():
+            nx[x] += n
+            ny[y] += n
+        out[c] = max(0.0, math.fsum(n / nt * math.log(n * nt / (nx[x] * ny[y])) for (x, y), n in own.items()))
+    return out
+
+
 def mutual_info(df: DataFrame, features: list[str], target: str,
                 discrete: dict[str, bool] | None = None, bins: int = 10) -> DataFrame:
     """Mutual information (nats) of each feature with the target, descending.
@@ -263,28 +325,15 @@ def mutual_info(df: DataFrame, features: list[str], target: str,
     discrete = discrete or {}
     y = F.col(f"`{target}`").cast("string")
     cont = [c for c in features if discrete.get(c) is False]
-    base = df
+    parts = []
+    if own := [c for c in features if c not in cont]:
+        vals = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("x")) for c in own]
+        parts.append(df.select(F.inline(F.array(*vals)), y.alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+                     .groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")))
     if cont:
-        from tabsight.operators.quantiles import quantile_arrays
-        probs = [round(i / bins, 10) for i in range(1, bins)]
-        q = quantile_arrays(df, cont, probs)  # one row per continuous feature
-        edges = q.agg(*[F.max(F.when(F.col("column_name") == c, F.col("q"))).alias(f"__e{i}")
-                        for i, c in enumerate(cont)])
-        base = df.crossJoin(F.broadcast(edges))  # one-row side
-    vals = []
-    for c in features:
-        if c in cont:
-            i = cont.index(c)
-            x = F.col(f"`{c}`").cast("double")
-            v = F.when(x.isNotNull(),
-                       F.size(F.filter(F.array_distinct(F.col(f"__e{i}")), lambda e: e < x))
-                       .cast("string"))
-        else:
-            v = F.col(f"`{c}`").cast("string")
-        vals.append(F.struct(F.lit(c).alias("feature"), v.alias("x")))
-    cells = (base.select(F.inline(F.array(*vals)), y.alias("y"))
-                 .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-                 .groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+        name = F.element_at(F.array(*[F.lit(c) for c in cont]), F.col("k") + 1)
+        parts.append(_binned(df, cont, target, bins).select(name.alias("feature"), F.col("x").cast("string").alias("x"), "y", "n"))
+    cells = functools.reduce(DataFrame.unionByName, parts)
     nx = cells.groupBy("feature", "x").agg(F.sum("n").alias("nx"))
     ny = cells.groupBy("feature", "y").agg(F.sum("n").alias("ny"))
     nt = cells.groupBy("feature").agg(F.sum("n").alias("nt"))

@@ -22,12 +22,11 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasWeightCol
-from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader,
-                             MLWritable, MLWriter)
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsight.operators.prep import build_preprocessor
+from tabsight.operators.prep import TableReader, TableWriter, build_preprocessor
 
 SEED = 42
 
@@ -157,27 +156,6 @@ class KNNClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, De
         return m
 
 
-class _KNNWriter(MLWriter):
-    """Parameters as metadata, the training rows as Parquet beside them."""
-
-    def __init__(self, model: "KNNModel"):
-        super().__init__()
-        self.model = model
-
-    def saveImpl(self, path: str) -> None:
-        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
-        self.model.train.write.parquet(f"{path}/train")
-
-
-class _KNNReader(MLReader):
-    def load(self, path: str) -> "KNNModel":
-        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
-        model = KNNModel(self.sparkSession.read.parquet(f"{path}/train"))
-        model._resetUid(meta["uid"])
-        DefaultParamsReader.getAndSetParams(model, meta)
-        return model
-
-
 class KNNModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, MLReadable, MLWritable):
     k = KNNClassifier.k
     p = KNNClassifier.p
@@ -189,11 +167,11 @@ class KNNModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, MLReadable,
         self.train = train
 
     def write(self) -> MLWriter:
-        return _KNNWriter(self)
+        return TableWriter(self, {"train": self.train})
 
     @classmethod
     def read(cls) -> MLReader:
-        return _KNNReader()
+        return TableReader(cls, ["train"])
 
     def _copy_from(self, est: KNNClassifier) -> None:
         for prm in ("featuresCol", "labelCol", "predictionCol", "k", "p", "weights", "idCol"):

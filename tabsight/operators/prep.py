@@ -5,29 +5,33 @@
   (``mode`` with the lowest value on ties);
 * ``PopulationScaler`` - (x - mean) / population std (``ml.StandardScaler`` uses
   the sample std);
-* ``CategoryIndexer`` - alphabetical category index learned at fit; unknown
+* ``CategoryIndexer`` - category index in value order, learned at fit as a table
+  (column, value, position) that is saved with the model and joined; unknown
   values map to -1 (ordinal) - ``one_hot`` then gives a zero vector for them;
 * ``build_preprocessor`` - the numeric + categorical pipeline chosen from the
   schema, ending in a ``features`` vector.
 
-Learned state is kept as JSON in a string Param, so pipelines save and load
-with the standard ``DefaultParamsWritable`` format (no pickle).
+One learned value per column is kept as JSON in a string Param and saved with the
+standard ``DefaultParamsWritable`` format; dictionaries are Parquet tables beside it.
 """
 
 from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader,
+                             MLWritable, MLWriter)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.functions.types import storage_kind
+from tabsight.session import ensure_checkpoint_dir
 
 
 def _c(name: str):
@@ -155,8 +159,46 @@ class PopulationScalerModel(Model, HasInputCols, HasOutputCols, _HasState,
 
 
 # ----------------------------------------------------------------------------- M4 / M5
+#: Categories of one column that are sent to every task; a longer dictionary is joined by a shuffle.
+FEW_CATEGORIES = 50_000
+
+
+def category_table(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[int]]:
+    """(col int, value string, position long): the distinct non-null values of each column in order, and how many each has.
+
+    The distinct values are range partitioned by (column, value) and saved; a partition
+    numbers its own and adds the rows of earlier partitions, of which the driver learns one
+    number per partition and column.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("col"), _c(c).cast("string").alias("value")) for k, c in enumerate(cols)])))
+    ranged = (cells.where(F.col("value").isNotNull()).distinct().repartitionByRange(parts, "col", "value")
+              .withColumn("part", F.spark_partition_id()).checkpoint(eager=True))
+    sizes, before = [0] * len(cols), {}
+    for r in ranged.groupBy("part", "col").count().orderBy("part").collect():
+        before.setdefault(r["part"], {})[r["col"]] = sizes[r["col"]]
+        sizes[r["col"]] += r["count"]
+
+    def number(batches):
+        for rows in whole_partition(batches):
+            rows = rows.sort_values(["col", "value"], key=lambda c: c.map(str.encode) if c.name == "value" else c, kind="stable")
+            start = rows["col"].map(before[int(rows["part"].iat[0])])
+            yield rows[["col", "value"]].assign(position=start + rows.groupby("col").cumcount())
+
+    return ranged.mapInPandas(number, "col int, value string, position long").checkpoint(eager=True), sizes
+
+
+def whole_partition(batches):
+    """The rows of a partition as one frame; nothing for an empty one."""
+    held = [b for b in batches if len(b)]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 class CategoryIndexer(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
-    """Alphabetical index of the categories seen at fit.
+    """Index of the categories seen at fit, in order of their UTF-8 bytes.
 
     ``handleUnknown='minus_one'``: unknown/NULL -> -1 (ordinal encoding);
     ``'last'``: unknown/NULL -> number of categories, the slot a one-hot encoder
@@ -173,37 +215,69 @@ class CategoryIndexer(Estimator, HasInputCols, HasOutputCols, DefaultParamsReada
 
     def _fit(self, df: DataFrame):
         cols = self.getInputCols()
-        # distinct values per column: one sorted array per column (category lists are small)
-        row = df.agg(*[F.array_sort(F.collect_set(_c(c).cast("string"))).alias(c) for c in cols]).first()
-        cats = {c: list(row[c]) for c in cols}
+        table, sizes = category_table(df, cols)
         outs = self.getOutputCols() if self.isSet(self.outputCols) else [f"{c}_idx" for c in cols]
-        return CategoryIndexerModel(inputCols=cols, outputCols=outs, state=json.dumps(cats),
-                                    handleUnknown=self.getOrDefault(self.handleUnknown))
+        return CategoryIndexerModel(table, inputCols=cols, outputCols=outs, sizes=sizes, handleUnknown=self.getOrDefault(self.handleUnknown))
 
 
-class CategoryIndexerModel(Model, HasInputCols, HasOutputCols, _HasState,
-                           DefaultParamsReadable, DefaultParamsWritable):
+class CategoryIndexerModel(Model, HasInputCols, HasOutputCols, MLReadable, MLWritable):
+    """``table`` holds the dictionary (col, value, position); positions are joined to the rows."""
+
     handleUnknown = Param(Params._dummy(), "handleUnknown", "minus_one | last", TypeConverters.toString)
+    sizes = Param(Params._dummy(), "sizes", "categories of each column", TypeConverters.toListInt)
 
-    @keyword_only
-    def __init__(self, inputCols=None, outputCols=None, state=None, handleUnknown="minus_one"):
+    def __init__(self, table: DataFrame, **params):
         super().__init__()
         self._setDefault(handleUnknown="minus_one")
-        self._set(**self._input_kwargs)
+        self._set(**params)
+        self.table = table
 
-    def categories(self) -> dict[str, list[str]]:
-        return self._get_state()
+    def write(self) -> MLWriter:
+        return TableWriter(self, {"categories": self.table})
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return TableReader(cls, ["categories"])
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        cats = self._get_state()
         last = self.getOrDefault(self.handleUnknown) == "last"
-        out = {}
-        for c, o in zip(self.getInputCols(), self.getOutputCols()):
-            arr = F.array(*[F.lit(v) for v in cats[c]]) if cats[c] else F.array().cast("array<string>")
-            pos = F.array_position(arr, _c(c).cast("string"))
-            unknown = F.lit(len(cats[c])) if last else F.lit(-1)
-            out[o] = F.when(pos > 0, pos - 1).otherwise(unknown).cast("int")
-        return df.withColumns(out)
+        out = df
+        for k, (c, o, n) in enumerate(zip(self.getInputCols(), self.getOutputCols(), self.getOrDefault(self.sizes))):
+            own = self.table.where(F.col("col") == k).select(F.col("value").alias("__value"), F.col("position").alias("__position"))
+            if n <= FEW_CATEGORIES:
+                own = F.broadcast(own)
+            out = out.join(own, _c(c).cast("string") == F.col("__value"), "left")
+            found = F.coalesce(F.col("__position"), F.lit(n if last else -1)).cast("int")
+            out = out.drop("__value").withColumn(o, found).drop("__position")
+        return out
+
+
+class TableWriter(MLWriter):
+    """Parameters as metadata, a model's tables as Parquet beside them."""
+
+    def __init__(self, model, tables: dict[str, DataFrame]):
+        super().__init__()
+        self.model, self.tables = model, tables
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        for name, table in self.tables.items():
+            table.write.parquet(f"{path}/{name}")
+
+
+class TableReader(MLReader):
+    """A model from its parameters and tables, which its constructor takes in order."""
+
+    def __init__(self, cls, tables: list[str]):
+        super().__init__()
+        self.cls, self.tables = cls, tables
+
+    def load(self, path: str):
+        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = self.cls(*[self.sparkSession.read.parquet(f"{path}/{name}") for name in self.tables])
+        model._resetUid(meta["uid"])
+        DefaultParamsReader.getAndSetParams(model, meta)
+        return model
 
 
 def one_hot_stages(cols: list[str]) -> list:

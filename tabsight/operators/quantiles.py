@@ -6,9 +6,9 @@ algorithms take its place, one per question:
 * ``quantiles`` - of whole columns, by radix selection.  A double's bits, read as an
   unsigned number, order like the doubles.  The order statistics needed (the ranks below
   and above (n - 1) p) lie between the column's least and largest value; that bracket is
-  cut into ``2 ** BITS`` cells by a subtraction and a shift, each Arrow batch counts its
-  cells with ``bincount``, and the cell that holds the rank is the next bracket.  A
-  bracket with at most ``limit`` values is read and sorted.  A round is one scan; six of
+  cut into ``2 ** BITS`` cells by a subtraction and a shift, each Arrow batch is sorted and
+  its cells counted, and what lies between the ends of the cell that holds the rank is the
+  next bracket.  A bracket with at most ``limit`` values is read and sorted.  A round is one scan; six of
   them reach a single double whatever the values.  Only cell counts are shuffled, and
   only the cells that hold a rank reach the driver.
 * ``grouped_quantile_arrays`` - of many groups, from running counts of each group's
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A bracket is cut into 2 ** BITS cells per round; one with up to LIMIT values is read.
-BITS, LIMIT = 12, 4096
+BITS, LIMIT = 12, 1 << 16
 SIGN = np.uint64(1 << 63)
 
 
@@ -55,16 +55,15 @@ class _Bracket:
         self.shift = max(0, (hi - lo).bit_length() - BITS)
 
 
-def _inside(batches: Iterator[pa.RecordBatch], brackets: list[_Bracket]) -> Iterator[tuple[int, np.ndarray]]:
-    """(bracket, bits of the values inside) per batch."""
-    for batch in batches:
-        bits = {}
-        for k, b in enumerate(brackets):
-            if b.col not in bits:
-                x = batch.column(f"c{b.col}").to_numpy(zero_copy_only=False)
-                bits[b.col] = ordered_bits(x[~np.isnan(x)])
-            u = bits[b.col]
-            yield k, u[(u >= np.uint64(b.lo)) & (u <= np.uint64(b.hi))]
+def _inside(batch: pa.RecordBatch, brackets: list[_Bracket]) -> Iterator[tuple[int, np.ndarray]]:
+    """(bracket, sorted bits of the values inside) of a batch."""
+    bits = {}
+    for k, b in enumerate(brackets):
+        if b.col not in bits:
+            x = batch.column(f"c{b.col}").to_numpy(zero_copy_only=False)
+            bits[b.col] = np.sort(ordered_bits(x[~np.isnan(x)]))
+        u = bits[b.col]
+        yield k, u[np.searchsorted(u, np.uint64(b.lo)):np.searchsorted(u, np.uint64(b.hi), side="right")]
 
 
 class _Bins:
@@ -80,28 +79,37 @@ class _Bins:
 
 
 def _cells(data: DataFrame, brackets: list[_Bracket], binned: list[_Bins] = ()) -> tuple[list, dict[int, dict[int, int]]]:
-    """(b, cell, n, before) of the cells that hold a rank, and column -> bin -> count, from one scan."""
+    """(b, cell, n, before, lo, hi) of the cells that hold a rank, and column -> bin -> count, from one scan."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(1 << BITS, dtype=np.int64) for _ in brackets] + [np.zeros(b.bins, dtype=np.int64) for b in binned]
+        low = [np.full(len(t), ~np.uint64(0)) for t in total]
+        high = [np.zeros(len(t), dtype=np.uint64) for t in total]
         for batch in batches:
-            for k, u in _inside([batch], brackets):
-                cell = (u - np.uint64(brackets[k].lo)) >> np.uint64(brackets[k].shift)
-                total[k] += np.bincount(cell.astype(np.int64), minlength=1 << BITS)
+            for k, u in _inside(batch, brackets):
+                cell = ((u - np.uint64(brackets[k].lo)) >> np.uint64(brackets[k].shift)).astype(np.int64)
+                start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, dtype=np.int64)
+                end, own = np.append(start[1:], len(cell))[:len(start)], cell[start]
+                total[k][own] += end - start
+                low[k][own] = np.minimum(low[k][own], u[start])
+                high[k][own] = np.maximum(high[k][own], u[end - 1])
             for k, b in enumerate(binned, len(brackets)):
                 x = batch.column(f"c{b.col}").to_numpy(zero_copy_only=False)
                 total[k] += np.bincount(b.of(x[~np.isnan(x)]), minlength=b.bins)
         for k, t in enumerate(total):
             cell = np.flatnonzero(t)
             if len(cell):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k, dtype=np.int32)), pa.array(cell.astype(np.int32)), pa.array(t[cell])],
-                                                 ["b", "cell", "n"])
+                # Spark has signed numbers only: the sign bit is flipped on the way
+                ends = [pa.array((e[k][cell] ^ SIGN).view(np.int64)) for e in (low, high)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k, dtype=np.int32)), pa.array(cell.astype(np.int32)), pa.array(t[cell]), *ends],
+                                                 ["b", "cell", "n", "lo", "hi"])
 
-    counts = data.mapInArrow(count, "b int, cell int, n long").groupBy("b", "cell").agg(F.sum("n").alias("n"))
+    counts = (data.mapInArrow(count, "b int, cell int, n long, lo long, hi long").groupBy("b", "cell")
+              .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
     earlier = Window.partitionBy("b").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     ranks = data.sparkSession.createDataFrame([(k, [r for r, _ in b.ranks]) for k, b in enumerate(brackets)], "b int, ranks array<long>")
     found = (placed.join(F.broadcast(ranks), "b", "left")
-             .where("ranks IS NULL OR exists(ranks, r -> r >= before AND r < before + n)").select("b", "cell", "n", "before").collect())
+             .where("ranks IS NULL OR exists(ranks, r -> r >= before AND r < before + n)").select("b", "cell", "n", "before", "lo", "hi").collect())
     bins: dict[int, dict[int, int]] = {b.col: {} for b in binned}
     for r in found:
         if r["b"] >= len(brackets):
@@ -112,10 +120,11 @@ def _cells(data: DataFrame, brackets: list[_Bracket], binned: list[_Bins] = ())
 def _read(data: DataFrame, brackets: list[_Bracket]) -> list[list[float]]:
     """The value at each rank of small brackets, from one scan."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, u in _inside(batches, brackets):
-            if len(u):
-                x = np.where(u & SIGN, u & ~SIGN, ~u).view(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), k, dtype=np.int32)), pa.array(x)], ["b", "x"])
+        for batch in batches:
+            for k, u in _inside(batch, brackets):
+                if len(u):
+                    x = np.where(u & SIGN, u & ~SIGN, ~u).view(np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), k, dtype=np.int32)), pa.array(x)], ["b", "x"])
 
     ranks = data.sparkSession.createDataFrame([(k, [r for r, _ in b.ranks]) for k, b in enumerate(brackets)], "b int, ranks array<int>")
     values = data.mapInArrow(read, "b int, x double").groupBy("b").agg(F.sort_array(F.collect_list("x")).alias("x"))
@@ -150,9 +159,8 @@ def _order_statistics(df: DataFrame, cols: list[str], wanted: dict[int, list[int
         binned = []
         for cell in cells:
             b = brackets[cell["b"]]
-            lo = b.lo + (cell["cell"] << b.shift)
             inside = [(r - cell["before"], original) for r, original in b.ranks if cell["before"] <= r < cell["before"] + cell["n"]]
-            add(b.col, lo, min(b.hi, lo + (1 << b.shift) - 1), cell["n"], inside)
+            add(b.col, cell["lo"] + (1 << 63), cell["hi"] + (1 << 63), cell["n"], inside)
     if few:
         for b, values in zip(few, _read(data, few)):
             found.update({(b.col, original): v for (_, original), v in zip(b.ranks, values)})

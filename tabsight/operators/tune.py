@@ -25,10 +25,11 @@ SPACES = {
     "logreg_wide": {"C": ("loguniform", 1e-3, 1e3)},
     "knn": {"n_neighbors": ("int", 3, 31, 2), "weights": ("choice", ["uniform", "distance"]),
             "p": ("choice", [1, 2])},
-    "tree": {"criterion": ("choice", ["gini", "entropy"]), "max_depth": ("int", 2, 10, 1),
-             "min_samples_leaf": ("int", 1, 20, 1)},
-    "rf": {"n_estimators": ("int", 100, 700, 100), "criterion": ("choice", ["gini", "entropy"]),
-           "max_depth": ("int", 2, 12, 1), "min_samples_leaf": ("int", 1, 20, 1)},
+    "tree": {"criterion": ("choice", ["gini", "entropy", "log_loss"]), "max_depth": ("int", 2, 10, 1),
+             "min_samples_split": ("int", 2, 40, 1), "min_samples_leaf": ("int", 1, 20, 1),
+             "max_features": ("choice", [None, "sqrt", "log2"]), "class_weight": ("choice", [None, "balanced"])},
+    "rf": {"n_estimators": ("int", 100, 700, 100), "criterion": ("choice", ["gini", "entropy", "log_loss"]),
+           "max_depth": ("int", 2, 12, 1), "min_samples_split": ("int", 2, 40, 1), "min_samples_leaf": ("int", 1, 20, 1)},
     "gb": {"n_estimators": ("int", 100, 700, 100), "learning_rate": ("loguniform", 0.01, 0.2),
            "max_depth": ("int", 2, 6, 1)},
 }
