@@ -425,6 +425,21 @@ def q_corr_kendall(spark, sf):
     return rounded(A.correlation_matrix(read_table(spark, sf, "lineitem"), method="kendall"))
 
 
+_PART_PROFILE = ["l_partkey", "n", "quantity", "price", "discount", "tax", "low", "high"]
+_PART_PROFILE_SQL = """(SELECT l_partkey, count(*) AS n, sum(l_quantity) AS quantity, round(avg(l_extendedprice), 4) AS price, round(avg(l_discount), 6) AS discount,
+  round(avg(l_tax), 6) AS tax, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY l_partkey)"""
+
+
+@register("corr_kendall_profiles", _sql_kendall(_PART_PROFILE_SQL, _PART_PROFILE))
+def q_corr_kendall_profiles(spark, sf):
+    """Eight columns, most of them without ties: a line per part."""
+    profile = read_table(spark, sf, "lineitem").groupBy("l_partkey").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.round(F.avg("l_extendedprice"), 4).alias("price"),
+        F.round(F.avg("l_discount"), 6).alias("discount"), F.round(F.avg("l_tax"), 6).alias("tax"), F.min("l_extendedprice").alias("low"),
+        F.max("l_extendedprice").alias("high"))
+    return rounded(A.correlation_matrix(profile, method="kendall"))
+
+
 @register("corr_kendall_part", _sql_kendall("part", ["p_partkey", "p_size", "p_retailprice"]))
 def q_corr_kendall_part(spark, sf):
     return rounded(A.correlation_matrix(read_table(spark, sf, "part"), method="kendall"))

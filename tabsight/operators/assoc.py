@@ -5,7 +5,7 @@
   variance is zero.
 * Spearman: the ranks of every column, found together over range partitions
   (``ranks.rank_columns``) and brought back to the rows once, then the same moments.
-* Kendall tau-b: see ``kendall_tau_b``.
+* Kendall tau-b: from the same ranks, see ``operators.kendall``.
 * Crosstab: ``groupBy(rows).pivot(col, values)`` - the zero-filled matrix comes
   from the pivot, not from a cross join of row and column keys.
 * Mutual information: one contingency of (feature, value, y) for all discrete features;
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tabsight.functions.types import check_col, is_corr_compatible, numeric_cols
 from tabsight.operators.gram import Moments, correlations, pair_moments
+from tabsight.operators.kendall import SMALL, kendall_tau_b
 from tabsight.operators.quantiles import quantiles
 from tabsight.operators.ranks import rank_columns
 from tabsight.session import ensure_checkpoint_dir
@@ -82,8 +83,7 @@ def correlation_matrix(df: DataFrame, target: str | None = None, include_target:
     """Full k x k matrix in long form (feature_1, feature_2, correlation).
 
     Pearson: the upper triangle and the diagonal come from one scan (r(x, x) is 1
-    where x varies, NULL where it is constant); ranks methods add the diagonal
-    from the same Pearson pass.
+    where x varies, NULL where it is constant); Kendall takes the diagonal from there.
     """
     cols = columns if columns is not None else corr_columns(df, target, include_target)
     if not cols:
@@ -92,12 +92,10 @@ def correlation_matrix(df: DataFrame, target: str | None = None, include_target:
     if method == "pearson":
         return _full_matrix(pearson_pairs(df, pairs + _diag_pairs(cols)))
     if method == "spearman":
-        upper = spearman_pairs(df, pairs)
-    elif method == "kendall":
-        upper = kendall_pairs(df, pairs)
-    else:
+        return _full_matrix(spearman_pairs(df, pairs + _diag_pairs(cols)))
+    if method != "kendall":
         raise ValueError("method must be 'pearson', 'spearman' or 'kendall'")
-    return _full_matrix(upper.unionByName(pearson_pairs(df, _diag_pairs(cols))))
+    return _full_matrix(kendall_pairs(df, pairs).unionByName(pearson_pairs(df, _diag_pairs(cols))))
 
 
 def correlation_wide(long: DataFrame, cols: list[str]) -> DataFrame:
@@ -106,16 +104,6 @@ def correlation_wide(long: DataFrame, cols: list[str]) -> DataFrame:
                 .agg(F.first("correlation")).withColumnRenamed("feature_1", "feature"))
 
 
-# ----------------------------------------------------------------------------- cells
-def pair_cells(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Contingency cells (pair, x, y, n) over pairwise-complete rows of every pair."""
-    structs = [F.struct(F.lit(i).alias("pair"), _num(df, a).alias("x"), _num(df, b).alias("y"))
-               for i, (a, b) in enumerate(pairs)]
-    return (df.select(F.inline(F.array(*structs)))
-              .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-              .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n")))
-
-
 def _pair_names(df: DataFrame, pairs):
     spark = df.sparkSession
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
@@ -139,9 +127,8 @@ def _rank_groups(n, pairs: list[tuple[int, int]]) -> tuple[list[tuple], list[tup
     return list(groups), sides
 
 
-def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    if not pairs:
-        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
+def _ranked(df: DataFrame, pairs: list[tuple[str, str]], ties: bool = False) -> tuple[DataFrame | None, list[tuple[int, int]], list[int]]:
+    """The ranks of all columns of ``pairs`` by row, both sides of each pair as positions among them, and each pair's rows."""
     ensure_checkpoint_dir(df.sparkSession)
     cols, places = _place(pairs)
     x = [F.nanvl(_num(df, c), F.lit(None).cast("double")) + F.lit(0.0) for c in cols]
@@ -151,8 +138,9 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
             .select(F.monotonically_increasing_id().alias("id"), "*").checkpoint(eager=True))
     state = pair_moments(base, [F.col(f"c{k}") for k in range(len(cols))]).first()
     if state is None:
-        return _pair_names(df, pairs).select("feature_1", "feature_2", F.lit(None).cast("double").alias("correlation"))
-    groups, sides = _rank_groups(Moments.unpacked(state["state"]).n, places)
+        return None, [], []
+    n = Moments.unpacked(state["state"]).n
+    groups, sides = _rank_groups(n, places)
     structs = []
     for g, (c, there) in enumerate(groups):
         value = F.col(f"c{c}")
@@ -160,19 +148,37 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
             value = F.when(F.col(f"c{other}").isNotNull(), value)
         structs.append(F.struct(F.lit(g).alias("g"), value.alias("x")))
     long = base.select("id", F.inline(F.array(*structs))).where(F.col("x").isNotNull())
-    ranks = rank_columns(long, len(groups))
-    res = correlations(ranks, [F.col(f"r{g}") for g in range(len(groups))], sides)
-    return _pair_names(df, pairs).join(F.broadcast(res), "pair", "left").select("feature_1", "feature_2", "correlation")
+    return rank_columns(long, len(groups), ties), sides, [int(n[p]) for p in places]
+
+
+def _named(df: DataFrame, pairs: list[tuple[str, str]], res: DataFrame | None) -> DataFrame:
+    names = _pair_names(df, pairs)
+    if res is None:
+        return names.select("feature_1", "feature_2", F.lit(None).cast("double").alias("correlation"))
+    return names.join(F.broadcast(res), "pair", "left").select("feature_1", "feature_2", "correlation")  # one row per pair
+
+
+def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    if not pairs:
+        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
+    ranks, sides, _ = _ranked(df, pairs)
+    if ranks is None:
+        return _named(df, pairs, None)
+    groups = 1 + max(g for s in sides for g in s)
+    return _named(df, pairs, correlations(ranks, [F.col(f"r{g}") for g in range(groups)], sides))
 
 
 # ----------------------------------------------------------------------------- kendall
-def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    from tabsight.operators.kendall import kendall_tau_b_cells
+def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], small: int = SMALL) -> DataFrame:
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    tau = kendall_tau_b_cells(pair_cells(df, pairs))
-    return _pair_names(df, pairs).join(tau, "pair", "left").select(
-        "feature_1", "feature_2", "correlation")
+    ranks, sides, sizes = _ranked(df, pairs, ties=True)
+    if ranks is None or not any(sizes):
+        return _named(df, pairs, None)
+    ranks = ranks.checkpoint(eager=True)  # read by the grid and by both bucket passes
+    structs = [F.struct(F.lit(k).alias("pair"), *[F.col(f"{c}{g}").alias(f"{c}{name}") for g, name in zip(s, "xy") for c in "rt"]) for k, s in enumerate(sides)]
+    rows = ranks.select(F.inline(F.array(*structs))).where(F.col("rx").isNotNull() & F.col("ry").isNotNull())
+    return _named(df, pairs, kendall_tau_b(rows, dict(enumerate(sizes)), small))
 
 
 # ----------------------------------------------------------------------------- C5 - C7

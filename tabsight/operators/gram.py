@@ -4,7 +4,7 @@ For columns i and j, over the rows where both have a number: how many, the means
 sums of squared deviations and the co-deviation. An Arrow batch gives all of them as
 products of masked matrices (``X'X`` and relatives), so no row is emitted per pair.
 Batches are centred on their own first values and combined by the parallel update of
-means and co-deviations, which loses no digits where a mean is far from zero. A task
+means and co-deviations, so a mean far from the spread costs no more than its own resolution. A task
 returns one row of k x k matrices; these are combined in two steps, first into as many as
 there are cores and then into one.
 """

@@ -1,22 +1,22 @@
-"""Exact Kendall tau-b from contingency cells, without pairing cells.
+"""Exact Kendall tau-b from ranks, without contingency cells and without pairing rows.
 
-Input: cells ``(pair, x, y, n)`` - one row per distinct (x, y) of a column pair.
-Tau-b needs the concordant count  C = sum_c n_c * L_c  where L_c counts the
-points strictly below-left of cell c (x' < x and y' < y).  Ties come from
-marginal counts:  D = n0 - n1 - n2 + n3 - C,  S = C - D,
-tau_b = S / sqrt((n0 - n1)(n0 - n2)).
+Input: rows ``(pair, rx, ry, tx, ty)`` - for every row complete in a column pair, the average
+ranks of its two values and how many rows share each.  Tau-b needs the concordant count
+C = sum over rows of the rows strictly below-left (x' < x and y' < y).  Ties come from the
+counts:  D = n0 - n1 - n2 + n3 - C,  tau_b = (C - D) / sqrt((n0 - n1)(n0 - n2)).
 
-L_c is split over a grid of x-buckets Xb and y-buckets Yb:
+Ranks fall into buckets of ``size`` ranks: xb = floor(rx / size), yb alike, so no bucket
+bounds are joined to the rows and equal values share a bucket.  C is split in three:
 
-    L_c = G(Xb' < Xb, Yb' < Yb)                 dense grid prefix, windows on a
-                                                 pairs x buckets^2 table
-        + #(same Xb,  x' < x,  y' < y)           one pandas task per (pair, Xb)
-        + #(Xb' < Xb, same Yb, y' < y)           one pandas task per (pair, Yb)
+    rows in a lower xb and a lower yb         running sums over the pairs x buckets^2 grid
+  + rows in the same xb, x' < x and y' < y    one task per (pair, xb), a sum each
+  + rows in a lower xb, the same yb, y' < y   one task per (pair, yb), a sum each
 
-A bucket holds about ``max(SMALL, 4 * sqrt(cells))`` cells, so both a group and the
-grid (at most about as many entries as cells) stay small beside the input.  A value
-with more cells than that is a bucket of its own, in which no pair counts.  The
-in-bucket terms are dominance counts by bit levels of the rank, in numpy.
+With ``size`` about ``max(SMALL, 4 sqrt(n))`` a bucket and the grid stay small beside the
+input.  A value that 2 * ``size`` rows or more share fills its bucket alone; no pair counts in
+it, so its rows stay out of that task, and a bucket never holds more than 3 * ``size`` rows.
+Rows equal in both columns (n3) are counted in their x bucket, else in their y
+bucket, else in the grid.
 """
 
 from __future__ import annotations
@@ -26,86 +26,68 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsight.operators.ranks import ordered_prefix
+SMALL, BLOCK = 2048, 256
 
-SMALL = 4096
 
+def below_left(x: np.ndarray, y: np.ndarray) -> int:
+    """Number of (i, j) with x[j] < x[i] and y[j] < y[i]."""
+    # equal x in falling order of y: an earlier, smaller y then always has a smaller x
+    y = y[np.lexsort((-y, x))]
+    seen, total = np.zeros(0), 0
+    for s in range(0, len(y), BLOCK):
+        block = y[s:s + BLOCK]
+        total += int(np.searchsorted(seen, block, side="left").sum()) + int(np.triu(block[:, None] < block[None, :]).sum())
+        seen = np.sort(np.concatenate((seen, block)), kind="stable")
+    return total
 
-def _dominance(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """For each i: sum of w[j] with a[j] < a[i] and b[j] < b[i].
 
-    Ranks a[j] < a[i] differ first at one bit, where j has 0 and i has 1: a level per
-    bit, within groups of equal higher bits, sums the zeros in the order of b.
-    """
-    out = np.zeros(len(a))
-    if not len(a):
-        return out
-    ra, rb = np.unique(a, return_inverse=True)[1], np.unique(b, return_inverse=True)[1]
-    for bit in range(int(ra.max()).bit_length()):
-        group, one = ra >> (bit + 1), ra >> bit & 1
-        order = np.lexsort((rb, group))
-        g, y = group[order], rb[order]
-        zeros = np.concatenate(([0.0], np.cumsum(np.where(one[order] == 0, w[order], 0.0))))
-        at = np.arange(len(a))
-        new_group = np.concatenate(([True], g[1:] != g[:-1]))
-        group_start = np.maximum.accumulate(np.where(new_group, at, 0))
-        tie_start = np.maximum.accumulate(np.where(new_group | np.concatenate(([True], y[1:] != y[:-1])), at, 0))
-        out[order] += np.where(one[order] == 1, zeros[tie_start] - zeros[group_start], 0.0)
-    return out
+def _equal_pairs(x: np.ndarray, y: np.ndarray) -> int:
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    start = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.zeros(0, dtype=np.int64)
+    n = np.diff(np.append(start, len(x)))
+    return int((n * (n - 1) // 2).sum())
 
 
 def _in_xbucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    cnt = _dominance(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["n"].to_numpy(np.float64))
-    return pd.DataFrame({"pair": pdf["pair"], "x": pdf["x"], "y": pdf["y"], "lx": cnt})
+    x, y = pdf["rx"].to_numpy(), pdf["ry"].to_numpy()
+    return pd.DataFrame({"pair": pdf["pair"].iloc[:1], "c": [below_left(x, y)], "n3": [_equal_pairs(x, y)]})
 
 
 def _in_ybucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    cnt = _dominance(pdf["xb"].to_numpy(), pdf["y"].to_numpy(), pdf["n"].to_numpy(np.float64))
-    return pd.DataFrame({"pair": pdf["pair"], "x": pdf["x"], "y": pdf["y"], "ly": cnt})
-
-
-def _bucketed(cells: DataFrame, col: str, out: str, small: int) -> DataFrame:
-    """(pair, col, out): buckets of a column's values in order; odd ones hold a single value."""
-    values = cells.groupBy("pair", col).agg(F.count(F.lit(1)).alias("c"))
-    pre = ordered_prefix(values, ["pair"], col, "c", out_col="before", total_col="total")
-    size = F.greatest(F.lit(float(small)), 4 * F.sqrt(F.col("total")))
-    return pre.select("pair", col, (2 * F.floor(F.col("before") / size) + F.when(F.col("c") >= size, 1).otherwise(0)).cast("int").alias(out))
-
-
-def kendall_tau_b_cells(cells: DataFrame, small: int = SMALL) -> DataFrame:
-    """(pair, correlation) with Kendall tau-b for every pair present in ``cells``."""
-    xs, ys = _bucketed(cells, "x", "xb", small), _bucketed(cells, "y", "yb", small)
-    b = cells.join(xs, ["pair", "x"]).join(ys, ["pair", "y"])
-
-    # grid term over the buckets in use, two running sums
-    grid = b.groupBy("pair", "xb", "yb").agg(F.sum("n").alias("t"))
-    dense = (xs.select("pair", "xb").distinct().join(ys.select("pair", "yb").distinct(), "pair")
-             .join(grid, ["pair", "xb", "yb"], "left").na.fill(0, ["t"]))
+    own = pdf["x_alone"].to_numpy()
+    ties = _equal_pairs(pdf["rx"].to_numpy()[own], pdf["ry"].to_numpy()[own])
+    return pd.DataFrame({"pair": pdf["pair"].iloc[:1], "c": [below_left(pdf["xb"].to_numpy(), pdf["ry"].to_numpy())], "n3": [ties]})
+
+
+def kendall_tau_b(rows: DataFrame, sizes: dict[int, int], small: int = SMALL) -> DataFrame:
+    """(pair, correlation) with Kendall tau-b for every pair; ``sizes``: pair -> its number of complete rows."""
+    spark = rows.sparkSession
+    table = [(p, n, float(max(small, int(4 * n ** 0.5)))) for p, n in sizes.items() if n]
+    facts = spark.createDataFrame(table, "pair int, n long, size double")  # one row per column pair
+    b = rows.join(F.broadcast(facts), "pair").select(
+        "pair", "rx", "ry", "tx", "ty", F.floor(F.col("rx") / F.col("size")).cast("int").alias("xb"), F.floor(F.col("ry") / F.col("size")).cast("int").alias("yb"),
+        (F.col("tx") >= 2 * F.col("size")).alias("x_alone"), (F.col("ty") >= 2 * F.col("size")).alias("y_alone"))
+
+    # grid term: two running sums over the buckets in use; the ties of x and y come along
+    tied = [F.sum((F.col(t) - 1) / 2.0).alias(name) for t, name in (("tx", "n1"), ("ty", "n2"))]
+    both = F.count(F.when(F.col("x_alone") & F.col("y_alone"), 1))
+    grid = b.groupBy("pair", "xb", "yb").agg(F.count(F.lit(1)).alias("t"), *tied, (both * (both - 1) / 2).alias("n3"))
+    dense = (grid.select("pair", "xb").distinct().join(grid.select("pair", "yb").distinct(), "pair")
+             .join(grid, ["pair", "xb", "yb"], "left").na.fill(0))
     lower = Window.unboundedPreceding
-    p1 = dense.withColumn("p1", F.coalesce(F.sum("t").over(
-        Window.partitionBy("pair", "yb").orderBy("xb").rowsBetween(lower, -1)), F.lit(0)))
-    g = p1.withColumn("g", F.coalesce(F.sum("p1").over(
-        Window.partitionBy("pair", "xb").orderBy("yb").rowsBetween(lower, -1)), F.lit(0)))
-    g = g.select("pair", "xb", "yb", F.col("g").cast("double"))
-
-    # a bucket of one value holds no pair with x' < x (or y' < y)
-    lx = b.where("xb % 2 = 0").groupBy("pair", "xb").applyInPandas(_in_xbucket, "pair int, x double, y double, lx double")
-    ly = b.where("yb % 2 = 0").groupBy("pair", "yb").applyInPandas(_in_ybucket, "pair int, x double, y double, ly double")
-
-    full = (b.join(g, ["pair", "xb", "yb"])
-             .join(lx, ["pair", "x", "y"], "left")
-             .join(ly, ["pair", "x", "y"], "left").na.fill(0.0, ["lx", "ly"]))
-    conc = full.groupBy("pair").agg(
-        F.sum(F.col("n") * (F.col("g") + F.col("lx") + F.col("ly"))).alias("c"),
-        F.sum(F.col("n").cast("double")).alias("nt"),
-        F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("n3"))
-    tx = (cells.groupBy("pair", "x").agg(F.sum("n").cast("double").alias("t"))
-               .groupBy("pair").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n1")))
-    ty = (cells.groupBy("pair", "y").agg(F.sum("n").cast("double").alias("t"))
-               .groupBy("pair").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n2")))
-    t = conc.join(tx, "pair").join(ty, "pair")
-    n0 = F.col("nt") * (F.col("nt") - 1) / 2
-    d = n0 - F.col("n1") - F.col("n2") + F.col("n3") - F.col("c")
-    s = F.col("c") - d
-    den = F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))
+    p1 = dense.withColumn("p1", F.coalesce(F.sum("t").over(Window.partitionBy("pair", "yb").orderBy("xb").rowsBetween(lower, -1)), F.lit(0)))
+    g = p1.withColumn("g", F.coalesce(F.sum("p1").over(Window.partitionBy("pair", "xb").orderBy("yb").rowsBetween(lower, -1)), F.lit(0)))
+    far = g.groupBy("pair").agg(F.sum(F.col("t") * F.col("g").cast("double")).alias("c"), F.sum("n1").alias("n1"), F.sum("n2").alias("n2"), F.sum("n3").alias("n3"))
+
+    schema = "pair int, c long, n3 long"
+    lx = b.where("NOT x_alone").select("pair", "xb", "rx", "ry").groupBy("pair", "xb").applyInPandas(_in_xbucket, schema)
+    ly = b.where("NOT y_alone").select("pair", "yb", "xb", "rx", "ry", "x_alone").groupBy("pair", "yb").applyInPandas(_in_ybucket, schema)
+    near = lx.unionByName(ly).groupBy("pair").agg(F.sum("c").alias("near"), F.sum("n3").alias("near3"))
+
+    t = far.join(near, "pair", "left").join(F.broadcast(facts), "pair").na.fill(0, ["near", "near3"])
+    n0 = F.col("n").cast("double") * (F.col("n") - 1) / 2
+    c, n1, n2 = F.col("c") + F.col("near"), F.col("n1"), F.col("n2")
+    s = 2 * c - (n0 - n1 - n2 + F.col("n3") + F.col("near3"))
+    den = F.sqrt(n0 - n1) * F.sqrt(n0 - n2)
     return t.select("pair", (s / F.nullif(den, F.lit(0.0))).alias("correlation"))

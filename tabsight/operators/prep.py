@@ -248,6 +248,9 @@ class CategoryIndexerModel(Model, HasInputCols, HasOutputCols, MLReadable, MLWri
                 own = F.broadcast(own)
             out = out.join(own, _c(c).cast("string") == F.col("__value"), "left")
             found = F.coalesce(F.col("__position"), F.lit(n if last else -1)).cast("int")
+            if last and n:
+                # the encoder then knows the number of categories without a scan, whether or not it saw an unknown one
+                found = found.alias(o, metadata={"ml_attr": {"type": "nominal", "name": o, "num_vals": n}})
             out = out.drop("__value").withColumn(o, found).drop("__position")
         return out
 

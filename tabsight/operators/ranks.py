@@ -98,55 +98,62 @@ def _edge_runs(found: list) -> dict[tuple[int, int], tuple]:
     return {k: (offsets[k], *runs[(*k, "head")][:2], *runs[(*k, "tail")][:2]) for k in offsets}
 
 
-def rank_columns(long: DataFrame, groups: int) -> DataFrame:
+RANKED = ("id long, g int, part int, kind int, rank double, ties bigint, "
+          "edge struct<n: bigint, first_x: double, head: bigint, last_x: double, tail: bigint>")
+
+
+def _local_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranks within partition and group, and a row with ``edge`` per group.
+
+    ``kind`` tells a row of the group's first run of equal values in the partition (1), of its last one (2), and all
+    others (0); a first run that is the last one, too, counts as first.
+    """
+    own = _runs(batches)
+    if own is None:
+        return
+    table, g, x, group, run = own
+    ends, bounds = np.append(group[1:], len(g)), np.append(run, len(g))
+    first, last = np.searchsorted(run, group), np.searchsorted(run, ends) - 1
+    length = np.diff(bounds)
+    offset = np.repeat(group, np.diff(np.append(first, len(run))))
+    kind = np.zeros(len(run), dtype=np.int32)
+    kind[last], kind[first] = 2, 1
+    rank = np.repeat(run - offset + (length + 1) / 2.0, length)
+    part = table.column("part")
+    rows = pa.table({"id": table.column("id"), "g": table.column("g"), "part": part, "kind": np.repeat(kind, length), "rank": rank,
+                     "ties": np.repeat(length, length), "edge": pa.nulls(len(g), EDGE)})
+    edge = pa.StructArray.from_arrays([pa.array(v) for v in (ends - group, x[group], length[first], x[ends - 1], length[last])],
+                                      names=[f.name for f in EDGE])
+    groups = pa.table({"id": pa.nulls(len(group), pa.int64()), "g": pa.array(g[group], pa.int32()), "part": part.slice(0, 1).combine_chunks().take([0] * len(group)),
+                       "kind": pa.nulls(len(group), pa.int32()), "rank": pa.nulls(len(group), pa.float64()),
+                       "ties": pa.nulls(len(group), pa.int64()), "edge": edge})
+    for t in (rows, groups):
+        yield from t.to_batches(max_chunksize=1 << 16)
+
+
+EDGE = pa.struct([("n", pa.int64()), ("first_x", pa.float64()), ("head", pa.int64()), ("last_x", pa.float64()), ("tail", pa.int64())])
+
+
+def rank_columns(long: DataFrame, groups: int, ties: bool = False) -> DataFrame:
     """(id, r0 .. r<groups - 1>): average ranks of ``x`` within ``g`` (0 .. groups - 1), back in one row per ``id``.
 
+    ``ties`` adds t0 ..: how many rows of the group share the value.
+
     ``long`` (id long, g int, x double) has no missing or NaN ``x`` and must not change between two reads.  It is
     range partitioned by (g, x, id), so a value that many rows share is cut like any other stretch.  Each partition
-    reports, per group, its rows and the lengths of its first and last runs of equal values - groups plus
-    partitions rows - which place every run; no counts are joined back to the rows.
+    ranks its own rows and reports, per group, their number and the lengths of the first and last runs of equal
+    values - groups plus partitions rows - which give the offsets and the ranks of runs that go over a boundary.
     """
     spark = long.sparkSession
     ensure_checkpoint_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (long.repartitionByRange(parts, "g", "x", "id").withColumn("part", F.spark_partition_id())
-              .sortWithinPartitions("g", "x", "id").checkpoint(eager=True))
-
-    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _runs(batches)
-        if own is None:
-            return
-        table, g, x, group, run = own
-        ends = np.append(group[1:], len(g))
-        head = np.append(run, len(g))[np.searchsorted(run, group) + 1] - group
-        tail = ends - run[np.searchsorted(run, ends) - 1]
-        part = np.full(len(group), table.column("part")[0].as_py(), dtype=np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(part), pa.array(g[group].astype(np.int32)), pa.array(ends - group), pa.array(x[group]), pa.array(head),
-             pa.array(x[ends - 1]), pa.array(tail)], ["part", "g", "n", "first_x", "head", "last_x", "tail"])
-
-    found = ranged.select("part", "g", "x").mapInArrow(
-        summary, "part int, g int, n long, first_x double, head long, last_x double, tail long").collect()
-    edges = _edge_runs(found)
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _runs(batches)
-        if own is None:
-            return
-        table, g, x, group, run = own
-        part = table.column("part")[0].as_py()
-        length = np.diff(np.append(run, len(g)))
-        start, total = run.astype(np.int64), length.astype(np.int64)
-        for k, at in enumerate(group.tolist()):
-            end = group[k + 1] if k + 1 < len(group) else len(g)
-            first, last = np.searchsorted(run, at), np.searchsorted(run, end) - 1
-            offset, h0, hn, t0, tn = edges[part, int(g[at])]
-            start[first:last + 1] += offset - at
-            start[first], total[first] = h0, hn
-            start[last], total[last] = t0, tn
-        ranks = np.repeat(start + (total + 1) / 2.0, length)
-        for b in pa.table({"id": table.column("id"), "g": table.column("g"), "rank": ranks}).to_batches(max_chunksize=1 << 16):
-            yield b
-
-    ranked = ranged.mapInArrow(rank, "id long, g int, rank double")
-    return ranked.groupBy("id").agg(*[F.max(F.when(F.col("g") == k, F.col("rank"))).alias(f"r{k}") for k in range(groups)])
+              .sortWithinPartitions("g", "x", "id").mapInArrow(_local_ranks, RANKED).checkpoint(eager=True))
+    edges = _edge_runs(ranged.where("edge IS NOT NULL").select("part", "g", "edge.*").collect())
+    table = [(p, g, float(off), h0 + (hn + 1) / 2.0, hn, t0 + (tn + 1) / 2.0, tn) for (p, g), (off, h0, hn, t0, tn) in edges.items()]
+    places = spark.createDataFrame(table, "part int, g int, off double, first_rank double, first_n long, last_rank double, last_n long")
+    first, last = F.col("kind") == 1, F.col("kind") == 2
+    rank = F.when(first, F.col("first_rank")).when(last, F.col("last_rank")).otherwise(F.col("rank") + F.col("off"))
+    same = F.when(first, F.col("first_n")).when(last, F.col("last_n")).otherwise(F.col("ties"))
+    ranked = ranged.where("edge IS NULL").join(F.broadcast(places), ["part", "g"]).select("id", "g", rank.alias("r"), same.alias("t"))
+    return ranked.groupBy("id").agg(*[F.max(F.when(F.col("g") == k, F.col(c))).alias(f"{c}{k}") for k in range(groups) for c in ("r", "t")[:1 + ties]])

@@ -56,14 +56,74 @@ def test_kendall_matches_brute_force(ties):
     assert got[("y", "x")] == got[("x", "y")]
 
 
-def test_kendall_small_buckets(ties, spark):
-    # force many buckets relative to the data: the grid + in-bucket split must stay exact
-    from tabsight.operators.kendall import kendall_tau_b_cells
-    rows, df = ties
-    cells = A.pair_cells(df, [("x", "z")])
-    got = kendall_tau_b_cells(cells, small=3).first().correlation
-    xs, _, zs = zip(*rows)
-    assert got == pytest.approx(_tau_b(xs, zs), abs=1e-12)
+@pytest.mark.parametrize("step", [1, 7, 400])
+def test_kendall_over_many_buckets(spark, step):
+    # buckets are small beside the data: the grid and the in-bucket sums must add up, hot values included
+    rnd = random.Random(step)
+    rows = []
+    for k in range(2500):
+        x = float(rnd.randint(0, 5000) // step)
+        rows.append((x if rnd.random() < 0.7 else 3.0, x + rnd.gauss(0, 300) if rnd.random() < 0.6 else 1.0, None if k % 9 == 0 else float(rnd.randint(0, 3))))
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    got = {(r.feature_1, r.feature_2): r.correlation for r in A.kendall_pairs(df, [("x", "y"), ("y", "z"), ("z", "x")], small=8).collect()}
+    for a, b in (("x", "y"), ("y", "z"), ("z", "x")):
+        i, j = "xyz".index(a), "xyz".index(b)
+        both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+        assert got[a, b] == pytest.approx(_tau_b(*zip(*both)), abs=1e-12)
+
+
+def test_below_left_counts_by_brute_force():
+    import numpy as np
+    from tabsight.operators.kendall import below_left
+    rng = np.random.default_rng(5)
+    for n, top in ((0, 3), (1, 3), (700, 9), (700, 10 ** 6)):
+        x, y = rng.integers(0, top, n).astype(float), rng.integers(0, top, n).astype(float)
+        assert below_left(x, y) == int(((x[None, :] < x[:, None]) & (y[None, :] < y[:, None])).sum())
+
+
+@pytest.mark.parametrize("parts", [1, 8, 50])
+def test_rank_columns_over_boundaries(spark, parts):
+    from tabsight.operators.ranks import rank_columns
+    rnd = random.Random(parts)
+    cols = [[float(rnd.randint(0, 3)) for _ in range(400)], [rnd.random() for _ in range(400)], [7.0] * 400]
+    rows = [(i, g, x) for g, c in enumerate(cols) for i, x in enumerate(c) if (i + g) % 11]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.id: r for r in rank_columns(spark.createDataFrame(rows, "id long, g int, x double"), 3, ties=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for g, c in enumerate(cols):
+        ids = [i for i in range(400) if (i + g) % 11]
+        for i, r in zip(ids, _avg_ranks([c[i] for i in ids])):
+            assert got[i][f"r{g}"] == r and got[i][f"t{g}"] == sum(c[i] == c[j] for j in ids)
+
+
+def test_spearman_reranks_complete_rows(spark):
+    rnd = random.Random(21)
+    rows = [tuple(None if rnd.random() < share else float(rnd.randint(0, 9)) for share in (0, 0.3, 0.3, 0)) for _ in range(400)]
+    rows = [(*r, r[1]) for r in rows]  # the last column is missing where the second is
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    got = {(r.feature_1, r.feature_2): r.correlation for r in A.correlation_matrix(df, method="spearman").collect()}
+    for i, a in enumerate("abcde"):
+        for j, b in enumerate("abcde"):
+            both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+            x, y = zip(*both)
+            assert got[a, b] == pytest.approx(_pearson(_avg_ranks(x), _avg_ranks(y)), abs=1e-12)
+
+
+def test_pair_moments_far_from_zero(spark):
+    rnd = random.Random(2)
+    rows = [(1e9 + rnd.random(), 1e9 + (rnd.random() if k % 2 else 0.5), 0.1, (0.3 if k % 3 else None), float("nan") if k % 5 == 0 else rnd.random()) for k in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(7)
+    got = {(r.feature_1, r.feature_2): r.correlation for r in A.correlation_matrix(df).collect()}
+    def want(i, j):
+        both = [(r[i], r[j]) for r in rows if all(v is not None and v == v for v in (r[i], r[j]))]
+        x, y = zip(*both)
+        return _pearson([v - x[0] for v in x], [v - y[0] for v in y])
+    assert got["a", "b"] == pytest.approx(want(0, 1), abs=1e-7) and got["a", "e"] == pytest.approx(want(0, 4), abs=1e-7)
+    # constant columns have no correlation, also where only the pair's rows are constant
+    assert all(got[k] is None for k in got if "c" in k or "d" in k)
 
 
 def test_spearman_matches_ranks(ties):

@@ -158,3 +158,95 @@ def test_removal_combinations_have_no_default_limit(spark, monkeypatch):
     assert select.removal_combinations(None, data, names, names, "label").count() == 2 ** 11
     with pytest.raises(ValueError):
         select.removal_combinations(None, data, names, names, "label", max_candidates=10)
+
+
+def test_category_table_spans_partitions_and_is_saved(spark, tmpdir_path):
+    from pyspark.ml import PipelineModel
+    values = [f"k{k:05d}" for k in range(3000)] + ["ä", "Z", ""]
+    df = spark.createDataFrame([(v, None if k % 5 == 0 else f"g{k % 4}") for k, v in enumerate(values)], "s string, t string")
+    model = M.CategoryIndexer(inputCols=["s", "t"], outputCols=["i", "j"]).fit(df)
+    order = {v: k for k, v in enumerate(sorted(values, key=str.encode))}
+    rows = model.transform(df).collect()
+    assert {r.s: r.i for r in rows} == order and {(r.t, r.j) for r in rows} == {(None, -1), ("g0", 0), ("g1", 1), ("g2", 2), ("g3", 3)}
+    from pyspark.ml import Pipeline
+    fitted = Pipeline(stages=M.one_hot_stages(["t"])).fit(df)
+    fitted.write().overwrite().save(f"{tmpdir_path}/m")
+    test = spark.createDataFrame([("g1",), ("new",), (None,)], "t string")
+    again = PipelineModel.load(f"{tmpdir_path}/m")
+    assert [r["t__oh"].toArray().tolist() for r in again.transform(test).collect()] == [[0, 1, 0, 0], [0] * 4, [0] * 4]
+
+
+def test_long_dictionaries_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(M, "FEW_CATEGORIES", 1)
+    df = spark.createDataFrame([("b",), ("a",), (None,)], "s string")
+    model = M.CategoryIndexer(inputCols=["s"], outputCols=["i"], handleUnknown="last").fit(df)
+    assert {r.s: r.i for r in model.transform(df).collect()} == {"a": 0, "b": 1, None: 2}
+
+
+def _stage_frame(spark):
+    rnd = random.Random(4)
+    rows = []
+    for k in range(240):
+        x, g = rnd.random() + 0.1, rnd.choice("abc")
+        rows.append((k, x, rnd.random() + 0.1, g, float(x * {"a": 1, "b": 2, "c": 3}[g] > 1.0)))
+    return E.stratified_folds(spark.createDataFrame(rows, "id long, x double, z double, g string, y double"), "y", "id", k=3)
+
+
+def test_candidate_stage_is_saved_and_transforms_alike(spark, tmpdir_path, monkeypatch):
+    from tabsight.operators import candidates as CD
+    from tabsight.operators import select
+    # the score of a set is the number of its columns: everything offered is selected
+    monkeypatch.setattr(select, "_score", lambda builder, data, cols, label, fold_col, k: (float(len(cols)), 0.5, None))
+    df = _stage_frame(spark)
+    stage = CD.CandidateFeatureStage(None, ["x", "z"], ["g"], "y", n_features=12, corr_threshold=0.999, unary=["log", "freq"], binary=["/"],
+                                     group=["mean", "median"])
+    model = stage.fit(df)
+    assert model.selected_ and any(n.startswith("groupby") for n in model.selected_)
+    reg = model.registry_.collect()
+    assert [r.selected for r in reg] == sorted((r.selected for r in reg), reverse=True) and {r.greedy_std for r in reg if r.selected} == {0.5}
+    model.write().save(f"{tmpdir_path}/stage")
+    again = CD.CandidateFeatureModel.load(f"{tmpdir_path}/stage")
+    new = df.where("id % 3 = 0")  # group statistics stay those of the fit
+    first = sorted(map(str, model.transform(new).collect()))
+    assert again.selected_ == model.selected_ and sorted(map(str, again.transform(new).collect())) == first
+    means = {r.g: r.m for r in df.groupBy("g").agg(F.avg("x").alias("m")).collect()}
+    name = "groupby_then_mean(g,x)"
+    if name in model.selected_:
+        assert all(abs(r[name] - means[r.g]) < 1e-12 for r in model.transform(new).collect())
+    off = CD.CandidateFeatureStage(None, ["x"], ["g"], "y", enabled=False).fit(df)
+    assert off.transform(df).columns == df.columns
+
+
+def test_candidate_scores_equal_one_by_one(spark):
+    from tabsight.operators import assoc as A
+    from tabsight.operators import candidates as CD
+    df = _stage_frame(spark)
+    rows = CD.candidate_rows(["x", "z"], ["g"])
+    got = {r.column: r.score for r in CD.score_candidates(df, rows, "y", at_once=7).collect()}
+    wide = CD.apply_candidates(df, rows)
+    names = [r[0] for r in rows]
+    want = {r.feature: r.mi for r in A.mutual_info(wide, names, "y", discrete={n: False for n in names}).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_search_and_experiment(spark, tmpdir_path):
+    from tabsight.operators import tune as TN
+    from tabsight.plans.experiment import run_experiment
+    from tabsight.sources import io
+    import numpy as np
+    for name, space in TN.SPACES.items():
+        params = TN.draw(space, np.random.default_rng(1))
+        MD.classifier_stage(name.removesuffix("_wide"), **params)
+    df = E.stratified_folds(_labelled(spark, 120), "label", "id", k=3)
+    build = lambda p: MD.make_classifier("logreg", ["x"], ["s"], max_iter=20, **p)
+    trials, best, model = TN.search(build, "logreg", df, "label", n_iter=3, k=3)
+    rows = trials.collect()
+    assert len(rows) == 3 and [r.mean for r in rows] == sorted((r.mean for r in rows), reverse=True)
+    assert 0.01 <= best["C"] <= 8.0 and model.transform(df).count() == 120
+    with pytest.raises(ValueError):
+        TN.search(build, "nothing", df, "label")
+    scores, fitted = run_experiment(_labelled(spark, 120), "label", "id", ["x"], ["s"], params={"max_iter": 20}, k=3,
+                                    log_path=f"{tmpdir_path}/log", model_path=f"{tmpdir_path}/model")
+    assert len(scores.first().scores) == 3 and io.load_experiments(spark, f"{tmpdir_path}/log").count() == 1
+    io.save_predictions(fitted, df, "id", "label_out", f"{tmpdir_path}/pred")
+    assert io.load_model(f"{tmpdir_path}/model").transform(df).count() == 120

@@ -131,6 +131,64 @@ def test_grouped_quantiles_are_exact(spark):
         assert q == pytest.approx(list(np.quantile([x for h, x in rows if h == g and x is not None], probs)))
 
 
+def test_top_values_of_long_texts_and_ties(spark):
+    from tabsight.operators.freq import frequency_table, top_values
+    long = ["same beginning of thirty bytes " + t * 20 for t in "dbca"]
+    rows = [(x, x[:40], k % 2 == 0, None) for k, x in enumerate(long * 3 + [long[0]] + ["short", "short", "brief", "brief", "brief", "brief"])] + [(None,) * 4] * 9
+    df = spark.createDataFrame(rows, "s string, h string, b boolean, e int")
+    counts = {}
+    for c, name in enumerate(["s", "h", "b"]):
+        n = {}
+        for r in rows:
+            if r[c] is not None:
+                v = str(r[c]).lower() if name == "b" else r[c]
+                n[v] = n.get(v, 0) + 1
+        counts[name] = sorted(n.items(), key=lambda x: (-x[1], x[0]))
+    freq = frequency_table(df)
+    assert not any("digest" in f.name or len(f.name) > 12 for f in freq.schema.fields)
+    assert max(len(bytes(r.key)) for r in freq.where("key IS NOT NULL").collect()) <= 32
+    for k in (1, 2, 3, 10):
+        got = {}
+        for r in top_values(df, freq, k).orderBy("column_name", "rank").collect():
+            got.setdefault(r.column_name, []).append((r.value, r.n))
+        assert got == {c: v[:k] for c, v in counts.items()}
+
+
+def test_many_keys_are_joined(spark, monkeypatch):
+    from tabsight.operators import freq
+    rows = [("x" * 50 + str(k % 7),) for k in range(70)]
+    df = spark.createDataFrame(rows, "s string")
+    monkeypatch.setattr(freq, "FEW_KEYS", 0)
+    assert P.describe_categorical(df).first().top == "x" * 50 + "0"
+
+
+def test_no_text_in_exchanges(spark):
+    from tabsight.operators.freq import value_frequencies
+    df = spark.createDataFrame([("t" * 1000, 1.5, 2)], "s string, x double, n int")
+    plan = value_frequencies(df)._jdf.queryExecution().executedPlan().toString()
+    assert "md5" in plan and all("s#" not in line.split("hashpartitioning")[1] for line in plan.splitlines() if "hashpartitioning" in line)
+
+
+def test_column_summary_of_all_kinds(spark):
+    from tabsight.operators.plotdata import column_summary
+    rows = [(float(k), k % 3, "ab"[k % 2] if k % 4 else None, k % 2 == 0, None) for k in range(40)]
+    df = spark.createDataFrame(rows, "x double, n int, s string, b boolean, e double")
+    got = {r.column_name: r for r in column_summary(df, bins=4, top_categories=1).collect()}
+    assert list(got) == ["x", "n", "s", "b", "e"]
+    assert (got["x"].valid, got["x"]["min"], got["x"].q50, got["x"].bins) == (40, 0.0, 19.5, [10, 10, 10, 10])
+    assert (got["s"].missing, got["s"].n_unique, [(t.value, t["count"]) for t in got["s"].top]) == (10, 2, [("b", 20)])
+    assert (got["e"].valid, got["e"].mean, got["e"].bins) == (0, None, None) and got["b"].n_unique == 2
+    assert [r.column_name for r in column_summary(df, feature_type="categorical").collect()] == ["s"]
+
+
+def test_radix_selection_at_the_ends_of_the_range(spark):
+    from tabsight.operators.quantiles import quantiles
+    x = [float("-inf"), -1e300, -5e-324, 0.0, -0.0, 5e-324, 1.0, 1.0 + 2 ** -52, 1e300, float("inf")]
+    df = spark.createDataFrame([(v,) for v in x] + [(None,), (float("nan"),)], "x double")
+    for limit in (1, 4, 1000):
+        assert quantiles(df, ["x"], [k / 9 for k in range(1, 8)], limit)["x"] == pytest.approx(sorted(x)[1:8])
+
+
 def test_quasi_constant_shares(spark):
     rows = ([("x", 1.0, None, True)] * 995 + [("y", 2.0, None, False)] * 3 + [(None, None, 1, None)] * 2)
     df = spark.createDataFrame(rows, "s string, d double, n int, b boolean")
