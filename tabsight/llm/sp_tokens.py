@@ -18,7 +18,6 @@ result; other columns stay as they are.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +29,9 @@ from tabsight.llm.common import text_of
 
 SPACE = "▁"
 MULT = np.uint64(0x9E3779B97F4A7C15)
-#: Words encoded in one go, words whose ids a worker remembers, code points of one lattice and of one returned batch.
-RUN, REMEMBER, LATTICE, RETURNED = 400_000, 150_000, 200_000, 4_000_000
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Code points encoded in one go, words whose ids a worker remembers, code points of one lattice and of one returned batch.
+RUN, REMEMBER, LATTICE, RETURNED = 3_000_000, 250_000, 200_000, 4_000_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -43,6 +43,25 @@ def _hashes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _different(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each different stretch of ``codes``, the different stretch of each).
+
+    Stretches are told apart by hash; one that then differs from the first of its hash stands for itself.
+    """
+    power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(codes), MULT))), dtype=np.uint64)
+    back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(codes), INVERSE))), dtype=np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * back[:-1], dtype=np.uint64)))
+    end = start + size
+    _, first, which = np.unique((sums[end] - sums[start]) * power[end - 1], return_index=True, return_inverse=True)
+    other = first[which]
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    far = np.minimum(np.repeat(start[other], size) + at, len(codes) - 1)
+    same = np.logical_and.reduceat(codes[np.repeat(start, size) + at] == codes[far], np.cumsum(size) - size)
+    odd = np.flatnonzero(~same | (size != size[other]))
+    which[odd] = len(first) + np.arange(len(odd))
+    return np.concatenate((first, odd)), which
+
+
 class PieceModel:
     """Pieces of a model file as sorted arrays."""
 
@@ -65,7 +84,7 @@ class PieceModel:
         normal = [i for i in range(n) if types[i] in (1, 4)]
         texts = [m.pieces[i].piece for i in normal]
         self.longest = max(map(len, texts))
-        self.pairs = {t[k:k + 2] for t in texts for k in range(len(t) - 1)}
+        self.pairs = np.array(sorted({ord(t[k]) << 32 | ord(t[k + 1]) for t in texts for k in range(len(t) - 1)}), dtype=np.uint64)
         self.newline_cuts = not any("\n" in t for t in texts)
         # surfaces for decoding: a row of bytes for each id
         faces = [m.pieces[i].piece.replace(SPACE, " ").encode() if types[i] in (1, 4) else b"" for i in range(n)]
@@ -86,6 +105,9 @@ class PieceModel:
         self.keys, self.size, self.codes = h[order], size[order], codes[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
+        # most substrings are no piece: a table of the keys' mixed leading bits tells them at once
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.keys * MULT >> np.uint64(44)] = True
         self.ids = np.array(normal)[order]
         self.score = np.array([m.pieces[i].score for i in normal])[order].astype(np.float64)
         self.unk_score = self.score.min() - 10
@@ -119,8 +141,12 @@ class PieceModel:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places of hashes among the pieces, -1 where none."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, at, -1)
+        out = np.full(h.shape, -1)
+        ask = np.nonzero(self.maybe[h * MULT >> np.uint64(44)])
+        wanted = h[ask]
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        out[ask] = np.where(self.keys[at] == wanted, at, -1)
+        return out
 
     def admitted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Whether the merges of two pieces' joint text end in these two pieces.
@@ -149,8 +175,8 @@ class PieceModel:
             live = live[~done]
         return ok[back]
 
-    def _viterbi(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Ids of words of one length, rows of ``codes``."""
+    def _viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of one length, rows of ``codes``, one after the other, and how many each word has."""
         b, n = codes.shape
         h = _hashes(codes)
         none, unknown = -1, -2
@@ -204,11 +230,17 @@ class PieceModel:
         order = np.lexsort((ends, rows))
         rows, ends, got = rows[order], ends[order], got[order]
         ids = np.where(got >= 0, self.ids[np.maximum(got, 0)], -1)
-        out = np.split(ids, np.flatnonzero(rows[1:] != rows[:-1]) + 1)
-        for w in np.unique(rows[ids < 0]):
-            mine = rows == w
-            out[w] = np.concatenate([[x] if x >= 0 else self._spelled(chr(codes[w, e - 1])) for x, e in zip(ids[mine], ends[mine])]).astype(np.int64)
-        return out
+        if (ids < 0).any():
+            spelled = {k: self._spelled(chr(codes[rows[k], ends[k] - 1])) for k in np.flatnonzero(ids < 0).tolist()}
+            times = np.ones(len(ids), np.int64)
+            for k, x in spelled.items():
+                times[k] = len(x)
+            rows, flat = np.repeat(rows, times), np.repeat(ids, times)
+            at = np.cumsum(times) - times
+            for k, x in spelled.items():
+                flat[at[k]:at[k] + len(x)] = x
+            ids = flat
+        return ids, np.bincount(rows, minlength=b)
 
     def _spelled(self, char: str) -> list[int]:
         raw = [int(self.bytes[x]) for x in char.encode("utf-8", "surrogatepass")]
@@ -216,30 +248,41 @@ class PieceModel:
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of different words (with their space marks)."""
-        pieces: list[tuple[int, str]] = []  # the parts between cuts that no piece spans
-        for w, word in enumerate(words):
-            at = 0
-            for k in range(1, len(word)):
-                if word[k - 1:k + 1] not in self.pairs:
-                    pieces.append((w, word[at:k]))
-                    at = k
-            pieces.append((w, word[at:]))
-        different = {p: k for k, p in enumerate(dict.fromkeys(p for _, p in pieces))}
-        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(different)
-        by_size: dict[int, list[str]] = {}
-        for p in different:
-            by_size.setdefault(len(p), []).append(p)
-        for size, same in by_size.items():
-            rows = max(1, LATTICE // size)
-            for k in range(0, len(same), rows):
-                part = same[k:k + rows]
-                codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size)
-                for p, ids in zip(part, self._viterbi(codes)):
-                    found[different[p]] = ids
-        out: list[list[np.ndarray]] = [[] for _ in words]
-        for w, p in pieces:
-            out[w].append(found[different[p]])
-        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+        flat, count = self.encode_flat(words)
+        return np.split(flat, np.cumsum(count)[:-1]) if words else []
+
+    def encode_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each word has."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) - 1
+        # cut where no piece spans two characters, and between words
+        pair = codes[:-1].astype(np.uint64) << np.uint64(32) | codes[1:]
+        known = self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] == pair if len(self.pairs) else np.zeros(len(pair), bool)
+        cut = np.concatenate((~known, [True]))
+        cut[last] = True
+        end = np.flatnonzero(cut) + 1
+        start = np.concatenate(([0], end[:-1]))
+        size = end - start
+        first, which = _different(codes, start, size)
+        start, size_of = start[first], size[first]
+        at, n = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        found, used = [], 0
+        for length in np.unique(size_of).tolist():
+            mine = np.flatnonzero(size_of == length)
+            rows = max(1, LATTICE // length)
+            for k in range(0, len(mine), rows):
+                part = mine[k:k + rows]
+                got, count = self._viterbi(codes[start[part][:, None] + np.arange(length)])
+                at[part], n[part] = used + np.cumsum(count) - count, count
+                found.append(got)
+                used += len(got)
+        ids = np.concatenate(found)
+        # the parts of a word one after the other
+        times = n[which]
+        flat = ids[np.arange(times.sum()) + np.repeat(at[which] - (np.cumsum(times) - times), times)]
+        return flat, np.diff(np.cumsum(times)[np.searchsorted(end, last + 1)], prepend=0)
 
 
 class Tokenizer:
@@ -247,40 +290,80 @@ class Tokenizer:
 
     def __init__(self, model: PieceModel):
         self.m = model
-        self.cut = re.compile(" *[^ \n]+|\n| +" if model.newline_cuts else " *[^ ]+| +")
-        self.known: dict[str, np.ndarray] = {}
+        # word -> its number; the ids of word k are flat[begin[k]:begin[k] + size[k]]
+        self.known: dict[str, int] = {}
+        self.flat, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        held: list[list[str]] = []
+        held: list[str] = []
         size = 0
         for t in texts:
             t = t.replace(SPACE, " ")
-            held.append(self.cut.findall(" " + t if t and self.m.dummy else t))
-            size += len(held[-1])
+            held.append(" " + t if t and self.m.dummy else t)
+            size += len(t)
             if size > RUN:
                 out += self._run(held)
                 held, size = [], 0
         return out + self._run(held)
 
-    def _run(self, texts: list[list[str]]) -> list[np.ndarray]:
-        place: dict[str, int] = {}
-        at = np.fromiter((place.setdefault(w, len(place)) for words in texts for w in words), np.int64)
-        fresh = [w for w in place if w not in self.known]
-        if len(self.known) + len(fresh) > REMEMBER:
-            self.known = {w: self.known[w] for w in place if w in self.known}
-        self.known.update(zip(fresh, self.m.encode_words([w.replace(" ", SPACE) for w in fresh])))
-        ids = [self.known[w] for w in place]
-        if not ids:
+    def _words(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """All texts joined, the codes, where words start, and the words before each text's end.
+
+        A word is a run of other characters with the spaces before it; a line break, and spaces
+        before one or at the end, are words of their own.
+        """
+        whole = "".join(texts)
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        space = codes == 32
+        starts = space.copy()
+        starts[1:] &= ~space[:-1]
+        if self.m.newline_cuts:
+            line = codes == 10
+            starts |= line
+            starts[1:] |= line[:-1]
+        starts[np.concatenate(([0], ends[:-1]))[np.diff(ends, prepend=0) > 0]] = True
+        at = np.flatnonzero(starts)
+        return whole, codes, at, np.searchsorted(at, ends)
+
+    def _run(self, texts: list[str]) -> list[np.ndarray]:
+        if not any(texts):
             return [np.zeros(0, np.int32) for _ in texts]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, start = np.concatenate(ids).astype(np.int32), np.cumsum(size) - size
+        whole, codes, start, words = self._words(texts)
+        end = np.append(start[1:], len(codes))
+        first, at = _different(codes, start, end - start)
+        place = [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
+        number = np.fromiter((self.known.get(w, -1) for w in place), np.int64, len(place))
+        if (number < 0).sum() + len(self.known) > REMEMBER:
+            self._forget(number)
+            number = np.fromiter((self.known.get(w, -1) for w in place), np.int64, len(place))
+        self.again[number[number >= 0]] = True
+        fresh = [place[k] for k in np.flatnonzero(number < 0).tolist()]
+        flat, count = self.m.encode_flat([w.replace(" ", SPACE) for w in fresh])
+        number[number < 0] = len(self.known) + np.arange(len(fresh))
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(count) - count))
+        self.size = np.concatenate((self.size, count))
+        self.again = np.concatenate((self.again, np.zeros(len(fresh), bool)))
+        self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
+        size, begin, flat = self.size[number], self.begin[number], self.flat
         n = size[at]
         ends = np.cumsum(n)
-        stream = flat[np.arange(ends[-1]) + np.repeat(start[at] - (ends - n), n)]
-        words = np.cumsum([len(w) for w in texts])
-        cuts = np.concatenate(([0], ends))[words]
-        return np.split(stream, cuts[:-1])
+        stream = flat[np.arange(ends[-1]) + np.repeat(begin[at] - (ends - n), n)]
+        return np.split(stream, np.concatenate(([0], ends))[words][:-1])
+
+    def _forget(self, needed: np.ndarray) -> None:
+        """Keep the words of this run, and those that came again unless these are too many, too."""
+        keep = self.again if self.again.sum() < REMEMBER // 2 else np.zeros(len(self.again), bool)
+        keep = keep.copy()
+        keep[needed[needed >= 0]] = True
+        self.known = {w: k for k, w in enumerate(w for w, old in self.known.items() if keep[old])}
+        n, first = self.size[keep], self.begin[keep]
+        at = np.cumsum(n) - n
+        self.flat = self.flat[np.arange(n.sum()) + np.repeat(first - at, n)]
+        self.begin, self.size, self.again = at, n, np.zeros(len(n), bool)
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         out = []
