@@ -57,7 +57,8 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix-array dedup of all documents at 400 bytes."""
     left = suffix_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"), 400)
-    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+                       (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
