@@ -737,9 +737,10 @@ WITH base AS (SELECT CAST(d.n_chars AS DOUBLE) AS x, CAST(l.quality AS VARCHAR)
 r AS (SELECT min(x) AS mn, max(x) AS mx FROM base),
 c AS (SELECT target, least(CAST(floor((x - mn) / ((mx - mn) / 20)) AS INTEGER), 19) AS bin, count(*) AS n
       FROM base, r GROUP BY ALL)
-SELECT target, bin, round(mn + bin * ((mx - mn) / 20), 6) AS lower, n AS count,
-       round(n / (sum(n) OVER (PARTITION BY target) * ((mx - mn) / 20)), 9) AS density
-FROM c, r
+SELECT t.target, g.bin, round(mn + g.bin * ((mx - mn) / 20), 6) AS lower, coalesce(n, 0) AS count,
+       round(coalesce(n, 0) / (sum(n) OVER (PARTITION BY t.target) * ((mx - mn) / 20)), 9) AS density
+FROM (SELECT DISTINCT target FROM c) t CROSS JOIN (SELECT CAST(range AS INTEGER) AS bin FROM range(20)) g CROSS JOIN r
+LEFT JOIN c ON c.target = t.target AND c.bin = g.bin
 """)
 def q_hist_by_target(spark, sf):
     base = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id")
@@ -1376,3 +1377,118 @@ def q_experiment(spark, sf):
 def q_candidate_stage(spark, sf):
     stage = CD.CandidateFeatureStage(_builder("logreg", max_iter=100), MODEL_NUM, MODEL_CAT, "quality")
     return stage.fit(model_frame(spark, sf)).registry_
+
+
+# ============================================================================ A15 / A16 reports
+_DL_FEATURES = ["doc_id", "text", "lang", "source", "n_chars", "toxic"]
+_DL_NUMBERS = ["doc_id", "n_chars", "toxic"]
+
+
+def _sql_report(name: str, sql: str, item: str, numbers: list[str], texts: list[str] = ()) -> str:
+    """A report table in long form: a row for each value."""
+    cells = [f"SELECT '{name}' AS report, {item} AS item, '{m}' AS metric, round(CAST({m} AS DOUBLE), 6) AS number, CAST(NULL AS VARCHAR) AS text FROM ({sql})"
+             for m in numbers]
+    cells += [f"SELECT '{name}', {item}, '{m}', CAST(NULL AS DOUBLE), {m} FROM ({sql})" for m in texts]
+    return " UNION ALL ".join(cells or [f"SELECT '{name}' AS report, {item} AS item, 'listed' AS metric, 1.0 AS number, CAST(NULL AS VARCHAR) AS text FROM ({sql})"])
+
+
+_BASIC_SQL = " UNION ALL ".join([
+    _sql_report("overview", ORACLE_SQL["overview"], "column_name", ["is_target", "n_missing", "pct_missing", "n_unique", "pct_unique"], ["dtype", "logical_type"]),
+    _sql_report("duplicates", f"""SELECT CAST(sum(n - 1) AS BIGINT) AS n_duplicates, CAST(sum(n) AS BIGINT) AS n_rows, round(sum(n - 1) / sum(n) * 100, 2) AS pct_duplicates
+        FROM (SELECT count(*) AS n FROM {DOCS_LABELS_SQL} GROUP BY ALL)""".replace("GROUP BY ALL", "GROUP BY " + ", ".join(c for c, _, _ in DOCS_LABELS_COLS)),
+                "'all'", ["n_duplicates", "n_rows", "pct_duplicates"]),
+    _sql_report("missing", ORACLE_SQL["missing_summary"], "column_name", ["n_missing", "pct_missing"]),
+    _sql_report("numeric_summary", _sql_numeric(DOCS_LABELS_SQL, _DL_NUMBERS), "column_name", P.NUMERIC_STATS),
+    _sql_report("categorical_summary", ORACLE_SQL["describe_categorical_target"], "column_name", ["n_unique", "top_freq", "top_pct", "missing", "pct_missing"], ["top"]),
+    _sql_report("cardinality", " UNION ALL ".join(
+        f"SELECT column_name, n_unique AS nunique, missing AS n_missing, top AS top_value, top_freq FROM ({_sql_top(DOCS_LABELS_SQL, c)})" for c in ["text", "lang", "source"]),
+        "column_name", ["nunique", "n_missing", "top_freq"], ["top_value"]),
+    _sql_report("constant_columns", " UNION ALL ".join(f"SELECT '{c}' AS column_name FROM {DOCS_LABELS_SQL} HAVING count(DISTINCT {c}) <= 1" for c in _DL_FEATURES),
+                "column_name", []),
+    _sql_report("quasi_constant_columns", " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, round(max(n) / sum(n), 6) AS top_share FROM (SELECT {c}, count(*) AS n FROM {DOCS_LABELS_SQL} GROUP BY 1) HAVING max(n) / sum(n) >= 0.99"
+        for c in _DL_FEATURES), "column_name", ["top_share"]),
+    _sql_report("target_summary", ORACLE_SQL["target_summary"], "coalesce(value, 'NULL')", ["count", "ratio"]),
+])
+_DL_PEARSON = _sql_pearson(DOCS_LABELS_SQL, _DL_NUMBERS)
+_FULL_SQL = " UNION ALL ".join([
+    _BASIC_SQL,
+    _sql_report("low_variance_columns", " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, var_samp(CAST({c} AS DOUBLE)) AS variance FROM {DOCS_LABELS_SQL} HAVING var_samp(CAST({c} AS DOUBLE)) <= 0.01" for c in _DL_NUMBERS),
+        "column_name", ["variance"]),
+    _sql_report("correlation_matrix", _DL_PEARSON, "feature_1 || '|' || feature_2", ["correlation"]),
+    _sql_report("multicollinearity", f"""SELECT feature_1, feature_2, round(correlation, 4) AS correlation
+        FROM ({_sql_pearson(DOCS_LABELS_SQL, _DL_NUMBERS, full=False, digits=15)}) WHERE abs(correlation) >= 0.9""", "feature_1 || '|' || feature_2", ["correlation"]),
+    _sql_report("target_correlation", f"""SELECT feature_1 AS feature, correlation AS correlation_with_target
+        FROM ({_sql_pearson(DOCS_LABELS_SQL, _DL_NUMBERS + ['quality'])}) WHERE feature_2 = 'quality' AND feature_1 <> 'quality'""", "feature", ["correlation_with_target"]),
+])
+
+
+@register("basic_eda", _BASIC_SQL)
+def q_basic_eda(spark, sf):
+    from tabsight.plans.report import TableProfile, report_table
+    return report_table(TableProfile(docs_labels(spark, sf), "quality").run_basic_eda())
+
+
+@register("full_report", _FULL_SQL)
+def q_full_report(spark, sf):
+    from tabsight.plans.report import TableProfile, report_table
+    return report_table(TableProfile(docs_labels(spark, sf), "quality").full_report())
+
+
+# ============================================================================ G6 / G7 / G10 dispatch
+_LEVELS_SQL = f"SELECT CAST(lang AS VARCHAR) AS value, CAST(quality AS VARCHAR) AS target, count(*) AS count FROM {DOCS_LABELS_SQL} GROUP BY ALL"
+
+
+@register("target_distribution", f"""
+SELECT CAST(quality AS VARCHAR) AS value, count(*) AS count FROM {DOCS_LABELS_SQL} GROUP BY 1
+""")
+def q_target_distribution(spark, sf):
+    return G.target_distribution(docs_labels(spark, sf), "quality")
+
+
+@register("target_distribution_numeric", _sql_hist("orders", "o_totalprice", 30))
+def q_target_distribution_numeric(spark, sf):
+    return rounded(G.target_distribution(read_table(spark, sf, "orders"), "o_totalprice"))
+
+
+@register("feature_distribution", f"""
+SELECT value, target, count FROM ({_LEVELS_SQL}) WHERE value IS NOT NULL AND target IS NOT NULL
+""")
+def q_feature_distribution(spark, sf):
+    return G.feature_distribution(docs_labels(spark, sf), "lang", "quality")
+
+
+def _sql_view(view: str, sql: str, item: str, numbers: list[str]) -> str:
+    return _sql_report(view, sql, item, numbers)
+
+
+# every view of a pair: which ones apply follows from the roles of both columns
+@register("feature_views", " UNION ALL ".join([
+    _sql_view("quality|n_chars|numeric_categorical", _sql_box(DOCS_LABELS_SQL, "n_chars", "quality"), '"group"',
+              ["q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers", "n"]),
+    _sql_view("quality|lang|categorical_categorical", _LEVELS_SQL, "coalesce(value, 'NULL') || '|' || coalesce(target, 'NULL')", ["count"]),
+    _sql_view("l_extendedprice|l_quantity|numeric_numeric", "SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, regr_count(y, x) AS n "
+              "FROM (SELECT l_extendedprice AS y, l_quantity AS x FROM lineitem)", "'all'", ["slope", "intercept", "r2", "n"]),
+    _sql_view("l_extendedprice|l_returnflag|categorical_numeric", _sql_box("lineitem", "l_extendedprice", "l_returnflag"), '"group"',
+              ["q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers", "n"]),
+    _sql_view("l_extendedprice|l_linenumber|categorical_numeric", _sql_box("lineitem", "l_extendedprice", "l_linenumber"), '"group"',
+              ["q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers", "n"]),
+    _sql_view("l_extendedprice|l_linenumber|numeric_numeric", "SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, regr_count(y, x) AS n "
+              "FROM (SELECT l_extendedprice AS y, CAST(l_linenumber AS DOUBLE) AS x FROM lineitem)", "'all'", ["slope", "intercept", "r2", "n"]),
+]))
+def q_feature_views(spark, sf):
+    """Four columns against two targets; the scatter samples, whose order is free, are left to ``pair_sample``."""
+    from tabsight.plans.report import long_rows
+    parts = []
+    for df, target, cols in ((docs_labels(spark, sf), "quality", ["n_chars", "lang"]),
+                             (read_table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_returnflag", "l_linenumber"])):
+        for col in cols:
+            for view, data in G.feature_vs_target(df, col, target).items():
+                if not view.endswith("_points"):
+                    keys = [k for k in ("group", "value", "target") if k in data.columns]
+                    parts.append(long_rows(f"{target}|{col}|{view}", data.drop("column_name"), keys))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
