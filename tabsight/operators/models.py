@@ -13,8 +13,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
@@ -26,6 +24,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable, MLRead
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsight.operators.knn import knn_neighbours
 from tabsight.operators.prep import TableReader, TableWriter, build_preprocessor
 
 SEED = 42
@@ -77,62 +76,6 @@ class InverseStrengthLogisticRegression(Estimator, HasFeaturesCol, HasLabelCol,
 
 
 # ----------------------------------------------------------------------------- M9
-def _knn_block(k: int, p: int):
-    def run(key, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or t.empty:
-            return pd.DataFrame({"qid": [], "dist": [], "tid": [], "tlabel": []})
-        Q = np.stack(q["qv"].to_numpy()).astype(np.float64)
-        T = np.stack(t["tv"].to_numpy()).astype(np.float64)
-        kk = min(k, len(T))
-        out_q, out_d, out_t, out_l = [], [], [], []
-        tids = t["tid"].to_numpy()
-        tl = t["tlabel"].to_numpy()
-        # bound the (queries x train x dim) difference block held in memory
-        step = max(1, 20_000_000 // max(len(T) * T.shape[1], 1))
-        for s in range(0, len(Q), step):
-            block = Q[s:s + step]
-            diff = block[:, None, :] - T[None, :, :]
-            if p == 1:
-                d = np.abs(diff).sum(axis=2)
-            else:
-                d = np.sqrt((diff * diff).sum(axis=2))
-            # k smallest per query, ties broken by training id
-            order = np.lexsort((np.broadcast_to(tids, d.shape), d), axis=1)[:, :kk]
-            rows = np.arange(len(block))[:, None]
-            out_q.append(np.repeat(q["qid"].to_numpy()[s:s + step], kk))
-            out_d.append(d[rows, order].ravel())
-            out_t.append(tids[order].ravel())
-            out_l.append(tl[order].ravel())
-        return pd.DataFrame({"qid": np.concatenate(out_q), "dist": np.concatenate(out_d),
-                             "tid": np.concatenate(out_t), "tlabel": np.concatenate(out_l)})
-    return run
-
-
-def knn_neighbours(query: DataFrame, train: DataFrame, k: int, p: int = 2,
-                   block_rows: int = 20000) -> DataFrame:
-    """Exact k nearest training rows for every query row.
-
-    ``query``: (qid, qv array<double>); ``train``: (tid, tv array<double>, tlabel).
-    Queries and training rows are hashed into Bq x Bt blocks; each block pair is
-    one cogroup task that computes its distance matrix in bounded slices and
-    keeps only the k best per query, so no task ever holds more than one block
-    of each side and no pair list is materialised.  A final per-query rank keeps
-    the k best of the Bt partial lists.
-    """
-    nq = query.count()
-    nt = train.count()
-    bq = max(1, math.ceil(nq / block_rows))
-    bt = max(1, math.ceil(nt / block_rows))
-    qx = query.select("qid", "qv", F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int").alias("qb"),
-                      F.explode(F.sequence(F.lit(0), F.lit(bt - 1))).alias("tb"))
-    tx = train.select("tid", "tv", "tlabel", F.pmod(F.xxhash64("tid"), F.lit(bt)).cast("int").alias("tb"),
-                      F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
-    part = (qx.groupBy("qb", "tb").cogroup(tx.groupBy("qb", "tb"))
-              .applyInPandas(_knn_block(k, p), "qid long, dist double, tid long, tlabel double"))
-    w = Window.partitionBy("qid").orderBy("dist", "tid")
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 class KNNClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
     k = Param(Params._dummy(), "k", "neighbours", TypeConverters.toInt)
     p = Param(Params._dummy(), "p", "Minkowski power (1 or 2)", TypeConverters.toInt)

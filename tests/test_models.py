@@ -36,6 +36,31 @@ def test_knn_brute_force(spark):
         assert [tid for _, tid in sorted(got[qid])] == [tid for _, tid in d]
 
 
+@pytest.mark.parametrize("p", [1, 2])
+def test_knn_leaves_far_blocks_out(spark, p):
+    import numpy as np
+    from tabsight.operators.knn import PivotCells
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 4)) * 50
+    train = np.concatenate([c + rng.normal(size=(150, 4)) for c in centres] + [np.repeat(centres[:1], 300, axis=0)])  # and many equal rows
+    query = np.concatenate([train[::13], rng.normal(size=(20, 4)) * 50])
+    t = spark.createDataFrame([(k, v.tolist(), float(k % 2)) for k, v in enumerate(train)], "tid long, tv array<double>, tlabel double")
+    q = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(query)] + [(9999, None)], "qid long, qv array<double>")
+    cells = PivotCells(t, p, block_rows=40)
+    got = {}
+    for r in cells.neighbours(q, 7, block_rows=50).collect():
+        got.setdefault(r.qid, []).append((r.rank, r.dist, r.tid))
+    d = np.abs(query[:, None] - train[None]).sum(axis=2) if p == 1 else np.sqrt(((query[:, None] - train[None]) ** 2).sum(axis=2))
+    for k in range(len(query)):
+        order = np.lexsort((np.arange(len(train)), d[k]))[:7]
+        assert [x[2] for x in sorted(got[k])] == order.tolist()
+        assert [x[1] for x in sorted(got[k])] == pytest.approx(d[k, order].tolist(), abs=1e-12)
+    assert 9999 not in got and cells.compared < 0.35 * d.size
+    # fewer rows than neighbours
+    few = MD.knn_neighbours(q.limit(3), t.limit(2), 5, p)
+    assert few.count() == 6 and MD.knn_neighbours(q, t.limit(0), 5, p).count() == 0
+
+
 def test_imputers_scaler_and_unknown_categories(spark):
     train = spark.createDataFrame([(1.0, "a"), (None, "b"), (3.0, "b"), (10.0, "c")], "x double, s string")
     test = spark.createDataFrame([(None, "a"), (2.0, "zz"), (4.0, None)], "x double, s string")
