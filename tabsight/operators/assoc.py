@@ -326,7 +326,9 @@ def mutual_info(df: DataFrame, features: list[str], target: str,
 
     Discrete features use their values; continuous ones (``discrete[c] is False``)
     are cut at their ``bins``-quantiles first (binned MI).  Rows where the feature
-    or the target is NULL are left out for that feature.
+    or the target is NULL are left out for that feature.  The frame is read more than
+    once: continuous features that are sums over other rows should be saved first, as
+    their last bit may differ between scans.
     """
     discrete = discrete or {}
     y = F.col(f"`{target}`").cast("string")

@@ -18,6 +18,7 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -81,6 +82,14 @@ def log_loss(pred: DataFrame, label: str, probability: str = "probability") -> D
     return pred.agg((-F.avg(F.when(F.col(label).cast("double") == 1.0, F.log(p)).otherwise(F.log(1 - p)))).alias("log_loss"))
 
 
+def _prepared_folds(estimator, data: DataFrame, fold_col: str, k: int):
+    """(what is left to fit, the frame prepared for each fold): preprocessing is learned for all folds at once where it can be."""
+    stages = estimator.getStages() if isinstance(estimator, Pipeline) else []
+    if not stages or not hasattr(stages[0], "fit_folds"):
+        return estimator, [data] * k
+    return Pipeline(stages=stages[1:]), [m.transform(data) for m in stages[0].fit_folds(data, fold_col, k)]
+
+
 def _fold_score(estimator, data: DataFrame, label: str, fold_col: str, f: int,
                 scoring: str) -> float:
     train = data.where(F.col(fold_col) != f)
@@ -109,10 +118,11 @@ def cv_scores(estimator, data: DataFrame, label: str, fold_col: str = "fold",
     """(mean, population std, per-fold scores) of ``estimator`` over the folds.
 
     The folded frame is cached for the k fits (each fit makes several passes)
-    unless the caller already cached it.
+    unless the caller already cached it; what preprocessing learns comes from one pass for all folds.
     """
     with cached_frame(data) as rows, ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        scores = list(ex.map(lambda f: _fold_score(estimator, rows, label, fold_col, f, scoring), range(k)))
+        rest, frames = _prepared_folds(estimator, rows, fold_col, k)
+        scores = list(ex.map(lambda f: _fold_score(rest, frames[f], label, fold_col, f, scoring), range(k)))
     mean = sum(scores) / len(scores)
     std = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
     return mean, std, scores

@@ -238,7 +238,7 @@ def make_classifier(name: str, num_cols: list[str], cat_cols: list[str], label:
     else:
         pre = build_preprocessor(num_cols, cat_cols, encoding="ordinal", scale=False)
     weights = [BalancedWeights(labelCol=label)] if params.get("class_weight") == "balanced" else []
-    return Pipeline(stages=pre.getStages() + weights + [classifier_stage(name, label, id_col=id_col, **params)])
+    return Pipeline(stages=[pre] + weights + [classifier_stage(name, label, id_col=id_col, **params)])
 
 
 # ----------------------------------------------------------------------------- M16

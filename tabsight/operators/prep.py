@@ -21,7 +21,7 @@ import json
 
 import pandas as pd
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
@@ -91,19 +91,17 @@ def most_frequent_values(df: DataFrame, cols: list[str]) -> dict:
     best = counts.groupBy("column_name").agg(
         F.min_by("sv", F.struct((-F.col("n")).alias("negn"), F.col("dv"), F.col("sv"))).alias("sv"))
     found = {r.column_name: r.sv for r in best.collect()}  # one row per column
-    types = {f.name: f.dataType for f in df.schema.fields}
-    out = {}
-    for c in cols:
-        v = found.get(c)
-        if v is None:
-            out[c] = None
-        elif kinds[c] == "numeric":
-            out[c] = int(v) if types[c].typeName() in ("integer", "long", "short", "byte") else float(v)
-        elif kinds[c] == "boolean":
-            out[c] = v == "true"
-        else:
-            out[c] = v
-    return out
+    return {c: typed_value(found.get(c), df.schema[c].dataType) for c in cols}
+
+
+def typed_value(text: str | None, dt):
+    """A value's text as the Python value that a literal of the column takes."""
+    if text is None:
+        return None
+    kind = storage_kind(dt)
+    if kind == "numeric":
+        return int(text) if dt.typeName() in ("integer", "long", "short", "byte") else float(text)
+    return text == "true" if kind == "boolean" else text
 
 
 class ExactImputerModel(Model, HasInputCols, HasOutputCols, _HasState,
@@ -164,19 +162,23 @@ FEW_CATEGORIES = 50_000
 
 
 def category_table(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[int]]:
-    """(col int, value string, position long): the distinct non-null values of each column in order, and how many each has.
+    """(col int, value string, position long): the distinct non-null values of each column in order, and how many each has."""
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("col"), _c(c).cast("string").alias("value")) for k, c in enumerate(cols)])))
+    return numbered_categories(cells.where(F.col("value").isNotNull()).distinct(), len(cols))
+
+
+def numbered_categories(distinct: DataFrame, cols: int) -> tuple[DataFrame, list[int]]:
+    """``distinct`` (col, value) with the position of each value in its column, saved, and the size of each column.
 
-    The distinct values are range partitioned by (column, value) and saved; a partition
+    The values are range partitioned by (column, value) and saved; a partition
     numbers its own and adds the rows of earlier partitions, of which the driver learns one
     number per partition and column.
     """
-    spark = df.sparkSession
+    spark = distinct.sparkSession
     ensure_checkpoint_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("col"), _c(c).cast("string").alias("value")) for k, c in enumerate(cols)])))
-    ranged = (cells.where(F.col("value").isNotNull()).distinct().repartitionByRange(parts, "col", "value")
-              .withColumn("part", F.spark_partition_id()).checkpoint(eager=True))
-    sizes, before = [0] * len(cols), {}
+    ranged = distinct.repartitionByRange(parts, "col", "value").withColumn("part", F.spark_partition_id()).checkpoint(eager=True)
+    sizes, before = [0] * cols, {}
     for r in ranged.groupBy("part", "col").count().orderBy("part").collect():
         before.setdefault(r["part"], {})[r["col"]] = sizes[r["col"]]
         sizes[r["col"]] += r["count"]
@@ -305,43 +307,147 @@ def split_by_schema(df: DataFrame, exclude: list[str]) -> tuple[list[str], list[
     return num, cat
 
 
+class Preprocessor(Estimator):
+    """Median impute (+ population scale) for numbers; mode impute + one-hot / ordinal for categories; assembled into ``out_col``.
+
+    ``fit`` returns a ``PipelineModel``; ``fit_folds`` one for each fold left out, from statistics that are
+    gathered once for all folds.
+    """
+
+    def __init__(self, num_cols: list[str], cat_cols: list[str], encoding: str = "onehot", scale: bool = True, out_col: str = "features"):
+        super().__init__()
+        if encoding not in ("onehot", "ordinal", "none"):
+            raise ValueError("encoding must be 'onehot', 'ordinal' or 'none'")
+        self.num, self.cat, self.encoding, self.scale, self.out_col = list(num_cols), list(cat_cols), encoding, scale, out_col
+        self.num_imp, self.cat_imp = [f"{c}__imp" for c in num_cols], [f"{c}__imp" for c in cat_cols]
+
+    def _stages(self, median, scaler, mode, index) -> list:
+        """The stages in order, from those that learn."""
+        stages, assembled = [], []
+        if self.num:
+            stages.append(median)
+            assembled += self.num_imp
+            if self.scale:
+                stages.append(scaler)
+                assembled = [f"{c}__sc" for c in self.num]
+        if self.cat:
+            stages.append(mode)
+            if self.encoding != "none":
+                stages.append(index)
+            if self.encoding == "onehot":
+                stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in self.cat_imp], outputCols=[f"{c}__oh" for c in self.cat_imp],
+                                            dropLast=True, handleInvalid="keep"))
+                assembled += [f"{c}__oh" for c in self.cat_imp]
+            elif self.encoding == "ordinal":
+                assembled += [f"{c}__ord" for c in self.cat_imp]
+        return stages + [VectorAssembler(inputCols=assembled, outputCol=self.out_col, handleInvalid="keep")]
+
+    @property
+    def _index_cols(self) -> list[str]:
+        return [f"{c}__{'idx' if self.encoding == 'onehot' else 'ord'}" for c in self.cat_imp]
+
+    @property
+    def _unknown(self) -> str:
+        return "last" if self.encoding == "onehot" else "minus_one"
+
+    def getStages(self) -> list:
+        return self._stages(ExactImputer(inputCols=self.num, outputCols=self.num_imp, strategy="median"),
+                            PopulationScaler(inputCols=self.num_imp, outputCols=[f"{c}__sc" for c in self.num]),
+                            ExactImputer(inputCols=self.cat, outputCols=self.cat_imp, strategy="most_frequent"),
+                            CategoryIndexer(inputCols=self.cat_imp, outputCols=self._index_cols, handleUnknown=self._unknown))
+
+    def _fit(self, df: DataFrame):
+        return Pipeline(stages=self.getStages()).fit(df)
+
+    def fit_folds(self, df: DataFrame, fold_col: str, k: int) -> list:
+        """A fitted model for the rows outside each fold 0 .. k - 1, equal to ``fit`` on these rows.
+
+        Medians: the order statistics of all columns without each fold come from the same scans.  Means and
+        deviations: one aggregate by fold, of which all but one are put together.  Modes and categories: one count by
+        (column, value, fold); a value's count without a fold is its total less the fold's.
+        """
+        from tabsight.operators.quantiles import quantiles
+        fold, folds = _c(fold_col), range(k)
+        medians: list[dict] = [{} for _ in folds]
+        if self.num:
+            wide = df.select(*[F.when(fold != f, _c(c)).alias(f"c{i}_{f}") for i, c in enumerate(self.num) for f in folds])
+            found = quantiles(wide, wide.columns, [0.5])
+            medians = [{c: found[f"c{i}_{f}"][0] for i, c in enumerate(self.num)} for f in folds]
+        scales = self._fold_scales(df, fold, k, medians) if self.num and self.scale else [{}] * k
+        modes, tables, sizes = self._fold_categories(df, fold, k) if self.cat else ([{}] * k, [None] * k, [[]] * k)
+        models = []
+        for f in folds:
+            index = CategoryIndexerModel(tables[f], inputCols=self.cat_imp, outputCols=self._index_cols, sizes=sizes[f], handleUnknown=self._unknown) if self.cat else None
+            stages = self._stages(ExactImputerModel(inputCols=self.num, outputCols=self.num_imp, state=json.dumps(medians[f])),
+                                  PopulationScalerModel(inputCols=self.num_imp, outputCols=[f"{c}__sc" for c in self.num], state=json.dumps(scales[f])),
+                                  ExactImputerModel(inputCols=self.cat, outputCols=self.cat_imp, state=json.dumps(modes[f])), index)
+            fitted, frame = [], df.limit(0)
+            for stage in stages:
+                # the encoder reads the sizes from the columns' metadata: no job
+                stage = stage.fit(frame) if isinstance(stage, OneHotEncoder) else stage
+                fitted.append(stage)
+                frame = stage.transform(frame)
+            models.append(PipelineModel(fitted))
+        return models
+
+    def _fold_scales(self, df: DataFrame, fold, k: int, medians: list[dict]) -> list[dict]:
+        """Mean and population std of each imputed column without each fold."""
+        aggs = []
+        for i, c in enumerate(self.num):
+            x = _c(c).cast("double")
+            aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}"), (F.count(F.lit(1)) - F.count(x)).alias(f"z{i}")]
+        rows = {r["fold"]: r for r in df.groupBy(fold.alias("fold")).agg(*aggs).collect()}  # a row per fold
+        out = []
+        for f in range(k):
+            own = {}
+            for i, c in enumerate(self.num):
+                parts = [(r[f"n{i}"], r[f"m{i}"] or 0.0, r[f"v{i}"] or 0.0) for g, r in rows.items() if g != f and r[f"n{i}"]]
+                missing = sum(r[f"z{i}"] for g, r in rows.items() if g != f)
+                if missing and medians[f][c] is not None:
+                    parts.append((missing, float(medians[f][c]), 0.0))
+                n = sum(p[0] for p in parts)
+                mean = sum(p[0] * p[1] for p in parts) / n if n else None
+                own[f"{c}__imp"] = [mean, (sum(p[0] * (p[2] + (p[1] - mean) ** 2) for p in parts) / n) ** 0.5 if n else None]
+            out.append(own)
+        return out
+
+    def _fold_categories(self, df: DataFrame, fold, k: int) -> tuple[list[dict], list[DataFrame], list[list[int]]]:
+        """Mode, dictionary and its sizes without each fold."""
+        cols = len(self.cat)
+        kinds = {c: storage_kind(df.schema[c].dataType) for c in self.cat}
+        cells = [F.struct(F.lit(i).alias("col"), _c(c).cast("string").alias("value"),
+                          (_c(c).cast("double") if kinds[c] in ("numeric", "boolean") else F.lit(None).cast("double")).alias("number")) for i, c in enumerate(self.cat)]
+        counts = (df.select(fold.alias("fold"), F.inline(F.array(*cells))).where(F.col("value").isNotNull()).groupBy("col", "value", "number")
+                  .agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("fold") == f, 1)).alias(f"n{f}") for f in range(k)]))
+        ensure_checkpoint_dir(df.sparkSession)
+        counts = counts.checkpoint(eager=True)
+        rest = [F.col("n") - F.col(f"n{f}") for f in range(k)]
+        best = counts.groupBy("col").agg(*[F.min_by("value", F.when(r > 0, F.struct(-r, F.col("number"), F.col("value")))).alias(f"b{f}") for f, r in enumerate(rest)])
+        modes: list[dict] = [{c: None for c in self.cat} for _ in range(k)]
+        for row in best.collect():
+            for f in range(k):
+                c = self.cat[row["col"]]
+                modes[f][c] = typed_value(row[f"b{f}"], df.schema[c].dataType)
+        # one dictionary per fold and column, numbered together
+        kept = F.filter(F.array(*[F.when(r > 0, F.lit(f)) for f, r in enumerate(rest)]), lambda f: f.isNotNull())
+        distinct = counts.select(F.explode(kept).alias("f"), "col", "value").select((F.col("f") * cols + F.col("col")).cast("int").alias("col"), "value")
+        table, sizes = numbered_categories(distinct, k * cols)
+        own = [table.where((F.col("col") >= f * cols) & (F.col("col") < (f + 1) * cols)).withColumn("col", F.col("col") - f * cols) for f in range(k)]
+        return modes, own, [sizes[f * cols:(f + 1) * cols] for f in range(k)]
+
+
 def build_preprocessor(num_cols: list[str], cat_cols: list[str], encoding: str = "onehot",
-                       scale: bool = True, out_col: str = "features") -> Pipeline:
+                       scale: bool = True, out_col: str = "features") -> Preprocessor:
     """median impute (+ population scale) for numbers; mode impute + one-hot /
     ordinal for categories; assembled into ``out_col``."""
-    stages: list = []
-    assembled: list[str] = []
-    if num_cols:
-        imp = [f"{c}__imp" for c in num_cols]
-        stages.append(ExactImputer(inputCols=num_cols, outputCols=imp, strategy="median"))
-        if scale:
-            sc = [f"{c}__sc" for c in num_cols]
-            stages.append(PopulationScaler(inputCols=imp, outputCols=sc))
-            assembled += sc
-        else:
-            assembled += imp
-    if cat_cols:
-        imp = [f"{c}__imp" for c in cat_cols]
-        stages.append(ExactImputer(inputCols=cat_cols, outputCols=imp, strategy="most_frequent"))
-        if encoding == "onehot":
-            stages += one_hot_stages(imp)
-            assembled += [f"{c}__oh" for c in imp]
-        elif encoding == "ordinal":
-            stages.append(CategoryIndexer(inputCols=imp, outputCols=[f"{c}__ord" for c in imp]))
-            assembled += [f"{c}__ord" for c in imp]
-        elif encoding == "none":
-            pass
-        else:
-            raise ValueError("encoding must be 'onehot', 'ordinal' or 'none'")
-    stages.append(VectorAssembler(inputCols=assembled, outputCol=out_col, handleInvalid="keep"))
-    return Pipeline(stages=stages)
+    return Preprocessor(num_cols, cat_cols, encoding, scale, out_col)
 
 
-def mutual_info_preprocessor(num_cols, cat_cols) -> Pipeline:
+def mutual_info_preprocessor(num_cols, cat_cols) -> Preprocessor:
     """median + scale for numbers, mode + ordinal for categories."""
     return build_preprocessor(num_cols, cat_cols, encoding="ordinal", scale=True)
 
 
-def tree_preprocessor(num_cols, cat_cols) -> Pipeline:
+def tree_preprocessor(num_cols, cat_cols) -> Preprocessor:
     """median for numbers, mode + ordinal for categories (no scaling)."""
     return build_preprocessor(num_cols, cat_cols, encoding="ordinal", scale=False)

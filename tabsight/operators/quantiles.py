@@ -117,8 +117,8 @@ def _cells(data: DataFrame, brackets: list[_Bracket], binned: list[_Bins] = ())
     return [r for r in found if r["b"] < len(brackets)], bins
 
 
-def _read(data: DataFrame, brackets: list[_Bracket]) -> list[list[float]]:
-    """The value at each rank of small brackets, from one scan."""
+def _read(data: DataFrame, brackets: list[_Bracket]) -> dict[int, list[float | None]]:
+    """Bracket -> the value at each of its ranks, from one scan."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, u in _inside(batch, brackets):
@@ -129,7 +129,7 @@ def _read(data: DataFrame, brackets: list[_Bracket]) -> list[list[float]]:
     ranks = data.sparkSession.createDataFrame([(k, [r for r, _ in b.ranks]) for k, b in enumerate(brackets)], "b int, ranks array<int>")
     values = data.mapInArrow(read, "b int, x double").groupBy("b").agg(F.sort_array(F.collect_list("x")).alias("x"))
     at = F.transform("ranks", lambda r: F.get("x", r))
-    return [r["at"] for r in values.join(F.broadcast(ranks), "b").select("b", at.alias("at")).orderBy("b").collect()]
+    return {r["b"]: r["at"] for r in values.join(F.broadcast(ranks), "b").select("b", at.alias("at")).collect()}
 
 
 def _order_statistics(df: DataFrame, cols: list[str], wanted: dict[int, list[int]], ends: dict[int, tuple], limit: int,
@@ -139,12 +139,14 @@ def _order_statistics(df: DataFrame, cols: list[str], wanted: dict[int, list[int
     data = df.select(*[_number(c).alias(f"c{k}") for k, c in enumerate(cols)])
     few: list[_Bracket] = []
     todo: list[_Bracket] = []
+    seen: list[_Bracket] = []
 
     def add(col: int, lo: int, hi: int, n: int, ranks: list[tuple[int, int]]) -> None:
         if lo == hi:
             found.update({(col, original): from_bits(lo) for _, original in ranks})
         else:
             (few if n <= limit else todo).append(_Bracket(col, lo, hi, ranks))
+            seen.insert(0, (few if n <= limit else todo)[-1])  # the narrowest first
 
     for col, ranks in wanted.items():
         n, low, high = ends[col]
@@ -162,8 +164,13 @@ def _order_statistics(df: DataFrame, cols: list[str], wanted: dict[int, list[int
             inside = [(r - cell["before"], original) for r, original in b.ranks if cell["before"] <= r < cell["before"] + cell["n"]]
             add(b.col, cell["lo"] + (1 << 63), cell["hi"] + (1 << 63), cell["n"], inside)
     if few:
-        for b, values in zip(few, _read(data, few)):
-            found.update({(b.col, original): v for (_, original), v in zip(b.ranks, values)})
+        read = _read(data, few)
+        for k, b in enumerate(few):
+            found.update({(b.col, original): v for (_, original), v in zip(b.ranks, read.get(k, ())) if v is not None})
+    # sums of doubles can differ in the last bit from scan to scan: a value that slipped out of its bracket is taken as its end
+    for b in seen:
+        for _, original in b.ranks:
+            found.setdefault((b.col, original), from_bits(b.hi))
     return found, counts
 
 
