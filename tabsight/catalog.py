@@ -1217,7 +1217,8 @@ def lineitem_candidates() -> list[tuple]:
 
 _CANDIDATES_SQL = """
 WITH j AS (SELECT l_linestatus AS y, {columns} FROM lineitem),
-e AS (SELECT {edges} FROM j),
+s AS (SELECT {sorted} FROM j),
+e AS (SELECT {edges} FROM s),
 cells AS ({cells}),
 nx AS (SELECT "column", x, sum(n) AS nx FROM cells GROUP BY ALL),
 ny AS (SELECT "column", y, sum(n) AS ny FROM cells GROUP BY ALL),
@@ -1228,12 +1229,16 @@ FROM cells JOIN nx USING ("column", x) JOIN ny USING ("column", y) JOIN nt USING
 
 
 def _sql_candidates() -> str:
+    # not quantile_cont: its interpolation between two equal values can end beside them, on the other side of a bin edge
     rows = lineitem_candidates()
-    tenths = ", ".join(f"{i / 10}" for i in range(1, 10))
+    tenths, at = ", ".join(f"CAST({i / 10} AS DOUBLE)" for i in range(1, 10)), "(len(s{k}) - 1) * p"
+    low, high = (f"s{{k}}[CAST({fn}({at}) AS BIGINT) + 1]" for fn in ("floor", "ceil"))
+    edge = f"list_transform([{tenths}], lambda p: {low} + ({at} - floor({at})) * ({high} - {low})) AS e{{k}}"
     cells = [f"SELECT '{name}' AS \"column\", len(list_filter(list_distinct(e{k}), lambda v: v < c{k})) AS x, y, count(*) AS n "
              f"FROM j, e WHERE c{k} IS NOT NULL GROUP BY ALL" for k, (name, *_) in enumerate(rows)]
     return _CANDIDATES_SQL.format(columns=", ".join(f"CAST({_sql_candidate(op, inputs)} AS DOUBLE) AS c{k}" for k, (_, op, inputs, _) in enumerate(rows)),
-                                  edges=", ".join(f"quantile_cont(c{k}, [{tenths}]) AS e{k}" for k in range(len(rows))), cells=" UNION ALL ".join(cells))
+                                  sorted=", ".join(f"list_sort(list(c{k}) FILTER (WHERE c{k} IS NOT NULL)) AS s{k}" for k in range(len(rows))),
+                                  edges=", ".join(edge.format(k=k) for k in range(len(rows))), cells=" UNION ALL ".join(cells))
 
 
 @register("candidates", _sql_candidates())
