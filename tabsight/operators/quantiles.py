@@ -78,8 +78,8 @@ class _Bins:
         return np.minimum(np.floor((x - self.low) / ((self.high - self.low) / self.bins)).astype(np.int64), self.bins - 1)
 
 
-def _cells(data: DataFrame, brackets: list[_Bracket], binned: list[_Bins] = ()) -> tuple[list, dict[int, dict[int, int]]]:
-    """(b, cell, n, before, lo, hi) of the cells that hold a rank, and column -> bin -> count, from one scan."""
+def _cells(data: DataFrame, brackets: list[_Bracket], binned: list[_Bins] = (), every: bool = False) -> tuple[list, dict[int, dict[int, int]]]:
+    """(b, cell, n, before, lo, hi) of the cells that hold a rank (or of every one), and column -> bin -> count, from one scan."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(1 << BITS, dtype=np.int64) for _ in brackets] + [np.zeros(b.bins, dtype=np.int64) for b in binned]
         low = [np.full(len(t), ~np.uint64(0)) for t in total]
@@ -109,7 +109,7 @@ def _cells(data: DataFrame, brackets: list[_Bracket], binned: list[_Bins] = ())
     placed = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     ranks = data.sparkSession.createDataFrame([(k, [r for r, _ in b.ranks]) for k, b in enumerate(brackets)], "b int, ranks array<long>")
     found = (placed.join(F.broadcast(ranks), "b", "left")
-             .where("ranks IS NULL OR exists(ranks, r -> r >= before AND r < before + n)").select("b", "cell", "n", "before", "lo", "hi").collect())
+             .where(F.lit(every) | F.expr("ranks IS NULL OR exists(ranks, r -> r >= before AND r < before + n)")).select("b", "cell", "n", "before", "lo", "hi").collect())
     bins: dict[int, dict[int, int]] = {b.col: {} for b in binned}
     for r in found:
         if r["b"] >= len(brackets):
@@ -132,11 +132,10 @@ def _read(data: DataFrame, brackets: list[_Bracket]) -> dict[int, list[float | N
     return {r["b"]: r["at"] for r in values.join(F.broadcast(ranks), "b").select("b", at.alias("at")).collect()}
 
 
-def _order_statistics(df: DataFrame, cols: list[str], wanted: dict[int, list[int]], ends: dict[int, tuple], limit: int,
-                      bins: int = 0) -> tuple[dict[tuple[int, int], float], dict[int, dict[int, int]]]:
-    """(column, 0-based rank) -> value, and column -> bin -> count if ``bins``; ``ends``: count, least and largest value of each column."""
+def _order_statistics(data: DataFrame, start: list[tuple[int, int, int, int, list[tuple[int, int]]]], limit: int,
+                      binned: list[_Bins] = ()) -> tuple[dict[tuple[int, int], float], dict[int, dict[int, int]]]:
+    """(column, rank) -> value, and column -> bin -> count; ``start``: brackets as (column, lo, hi, rows, ranks)."""
     found: dict[tuple[int, int], float] = {}
-    data = df.select(*[_number(c).alias(f"c{k}") for k, c in enumerate(cols)])
     few: list[_Bracket] = []
     todo: list[_Bracket] = []
     seen: list[_Bracket] = []
@@ -148,11 +147,8 @@ def _order_statistics(df: DataFrame, cols: list[str], wanted: dict[int, list[int
             (few if n <= limit else todo).append(_Bracket(col, lo, hi, ranks))
             seen.insert(0, (few if n <= limit else todo)[-1])  # the narrowest first
 
-    for col, ranks in wanted.items():
-        n, low, high = ends[col]
-        lo, hi = (int(u) for u in ordered_bits(np.array([low, high])))
-        add(col, lo, hi, n, [(r, r) for r in sorted(set(ranks))])
-    binned = [_Bins(col, *ends[col][1:], bins) for col in wanted] if bins else []
+    for col, lo, hi, n, ranks in start:
+        add(col, lo, hi, n, ranks)
     counts: dict[int, dict[int, int]] = {}
     while todo or binned:
         brackets, todo[:] = list(todo), []
@@ -182,21 +178,49 @@ def summaries(df: DataFrame, cols: list[str], probs: list[float], limit: int = L
     """
     aggs = [f(_number(c)) for c in cols for f in (F.count, F.avg, F.stddev_samp, F.min, F.max)]
     row = df.agg(*aggs).first() if cols else []
-    ends = {k: (row[5 * k], row[5 * k + 3], row[5 * k + 4]) for k in range(len(cols))}
-    places = {k: [(n - 1) * float(p) for p in probs] for k, (n, _, _) in ends.items() if n}
-    at, counts = _order_statistics(df, cols, {k: [f(h) for h in hs for f in (floor, ceil)] for k, hs in places.items()}, ends, limit, bins)
+    ends = {k: (row[5 * k], row[5 * k + 3], row[5 * k + 4]) for k in range(len(cols)) if row[5 * k]}
+    places = {k: [(n - 1) * float(p) for p in probs] for k, (n, _, _) in ends.items()}
+    start = [(k, *(int(u) for u in ordered_bits(np.array(ends[k][1:]))), ends[k][0], [(r, r) for r in _ranks(hs)]) for k, hs in places.items()]
+    at, counts = _order_statistics(_numbers(df, cols), start, limit, [_Bins(k, *ends[k][1:], bins) for k in places] if bins else [])
     out = {}
     for k, c in enumerate(cols):
         n, mean, std, low, high = row[5 * k:5 * k + 5]
-        q = [at[k, floor(h)] + (h - floor(h)) * (at[k, ceil(h)] - at[k, floor(h)]) for h in places[k]] if n else [None] * len(probs)
+        q = [_between(at, k, h) for h in places[k]] if n else [None] * len(probs)
         out[c] = {"n": n, "mean": mean, "std": std, "min": low, "max": high, "q": q,
                   "bins": [counts[k].get(b, 0) for b in range(bins)] if n and bins else None}
     return out
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], limit: int = LIMIT) -> dict[str, list[float | None]]:
-    """Column -> its exact quantiles (None for a column without numbers)."""
-    return {c: s["q"] for c, s in summaries(df, cols, probs, limit).items()}
+    """Column -> its exact quantiles (None for a column without numbers); the first scan counts over all doubles."""
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    data, top = _numbers(df, cols), (1 << 64) - 1
+    cells: dict[int, list] = {}
+    for r in _cells(data, [_Bracket(k, 0, top, []) for k in range(len(cols))], every=True)[0]:
+        cells.setdefault(r["b"], []).append(r)
+    places, start = {}, []
+    for k, own in cells.items():
+        places[k] = [(sum(c["n"] for c in own) - 1) * float(p) for p in probs]
+        for c in own:
+            inside = [(r - c["before"], r) for r in _ranks(places[k]) if c["before"] <= r < c["before"] + c["n"]]
+            if inside:
+                start.append((k, c["lo"] + (1 << 63), c["hi"] + (1 << 63), c["n"], inside))
+    at, _ = _order_statistics(data, start, limit)
+    for k, hs in places.items():
+        out[cols[k]] = [_between(at, k, h) for h in hs]
+    return out
+
+
+def _numbers(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.select(*[_number(c).alias(f"c{k}") for k, c in enumerate(cols)])
+
+
+def _ranks(places: list[float]) -> list[int]:
+    return sorted({f(h) for h in places for f in (floor, ceil)})
+
+
+def _between(at: dict, k: int, h: float) -> float:
+    return at[k, floor(h)] + (h - floor(h)) * (at[k, ceil(h)] - at[k, floor(h)])
 
 
 def quantile_arrays(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact") -> DataFrame:
