@@ -6,13 +6,14 @@ every filter's maximum. A dense layer on these maxima sees which patterns a chun
 has and which it lacks (one that repeats itself has few); a document combines the
 maximum and the mean of its chunks' dense values into one probability.
 
-The network is trained on the driver from a bounded sample of labelled rows: about
-``max_docs`` rows chosen by a hash of their id, with at most ``train_chunks`` chunks
-spread evenly over each. Scoring reads every byte of every text.
+The network is trained on the driver from a bounded sample of labelled rows, each with
+its whole text: about ``max_docs`` rows in the order of a hash of their id, as far as their
+texts together have at most ``max_chunks`` chunks (a row that alone has more is passed
+over). Scoring reads every byte of every text.
 
 Defined results: null and empty texts are one chunk of zero bytes and get a score
 like any other; labels other than 0 and 1 are ignored; of repeated labels of one
-document the largest counts; without both classes in the sample every score is the
+document the largest counts, of repeated documents of one id the least text is fitted; without both classes in the sample every score is the
 smoothed share of label 1; an empty table gives an empty result.
 """
 
@@ -25,13 +26,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import text_of
+from tabsight.llm.common import saved, text_of
 
 CHUNK, STEP = 512, 448
 EMBED, BLOCK, FILTERS, DENSE = 8, 4, 32, 24
 #: Held-out documents: crc32 of the id modulo FOLDS equals HELD.
 FOLDS, HELD = 3, 1
-MAX_DOCS, TRAIN_CHUNKS, EPOCHS, RATE, SEED = 4000, 12, 20, 4e-3, 42
+MAX_DOCS, MAX_CHUNKS, EPOCHS, RATE, SEED = 4000, 40_000, 20, 4e-3, 42
+#: Documents and chunks of a training batch.
+BATCH, BATCH_CHUNKS = 64, 1500
 SLICE = 1024
 
 
@@ -40,16 +43,13 @@ def chunk_starts(n_bytes: int) -> np.ndarray:
     return np.arange(max(1, -(-(n_bytes - (CHUNK - STEP)) // STEP))) * STEP
 
 
-def chunks_of(text: str, most: int | None = None) -> np.ndarray:
-    """(chunks, CHUNK) bytes of a text, zero beyond its end; ``most``: only so many, evenly spread."""
+def chunks_of(text: str) -> np.ndarray:
+    """(chunks, CHUNK) bytes of a text, zero beyond its end."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     starts = chunk_starts(len(raw))
     padded = np.zeros(starts[-1] + CHUNK, np.uint8)
     padded[:len(raw)] = raw
-    view = np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::STEP]
-    if most and len(view) > most:
-        view = view[np.linspace(0, len(view) - 1, most).round().astype(int)]
-    return view
+    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::STEP]
 
 
 class ByteCNN:
@@ -137,24 +137,32 @@ class ByteCNN:
                 "dense": h.T @ du, "shift": du.sum(axis=0), "out": d @ f, "off": d.sum(keepdims=True)}
 
     def fit(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> "ByteCNN":
-        """Adam over batches of whole documents (their sampled chunks)."""
+        """Adam over batches of whole documents, of at most BATCH_CHUNKS chunks unless one document has more."""
         rng = np.random.default_rng(seed)
         m1 = {k: np.zeros(v.shape) for k, v in self.p.items()}
         m2 = {k: np.zeros(v.shape) for k, v in self.p.items()}
-        step, batch = 0, 64
-        total = epochs * -(-len(docs) // batch)
-        for _ in range(epochs):
-            order = rng.permutation(len(docs))
-            for at in range(0, len(docs), batch):
-                pick = order[at:at + batch]
-                n = np.array([len(docs[i]) for i in pick])
-                g = self._gradients(np.concatenate([docs[i] for i in pick]), np.cumsum(n) - n, labels[pick])
-                step += 1
-                now = rate * (1 - 0.9 * step / total)
-                for k, v in g.items():
-                    m1[k] += 0.1 * (v - m1[k])
-                    m2[k] += 0.01 * (v * v - m2[k])
-                    self.p[k] = (self.p[k] - now * (m1[k] / (1 - 0.9 ** step)) / (np.sqrt(m2[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+        sizes = np.array([len(d) for d in docs])
+
+        def batches() -> list[np.ndarray]:
+            order, out, held = rng.permutation(len(docs)), [], 0
+            first = 0
+            for at, i in enumerate(order):
+                if at > first and (at - first == BATCH or held + sizes[i] > BATCH_CHUNKS):
+                    out.append(order[first:at])
+                    first, held = at, 0
+                held += sizes[i]
+            return out + [order[first:]]
+
+        plan = [pick for _ in range(epochs) for pick in batches()]
+        total = len(plan)
+        for step, pick in enumerate(plan, 1):
+            n = sizes[pick]
+            g = self._gradients(np.concatenate([docs[i] for i in pick]), np.cumsum(n) - n, labels[pick])
+            now = rate * (1 - 0.9 * step / total)
+            for k, v in g.items():
+                m1[k] += 0.1 * (v - m1[k])
+                m2[k] += 0.01 * (v * v - m2[k])
+                self.p[k] = (self.p[k] - now * (m1[k] / (1 - 0.9 ** step)) / (np.sqrt(m2[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
         return self
 
 
@@ -162,27 +170,32 @@ def held_out(folds: int = FOLDS, held: int = HELD) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == held
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, train_chunks: int = TRAIN_CHUNKS,
+def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chunks: int = MAX_CHUNKS,
                   epochs: int = EPOCHS) -> ByteCNN:
-    """A network from about ``max_docs`` rows that carry a label and are not held out."""
+    """A network from about ``max_docs`` whole rows that carry a label and are not held out."""
+    spark = docs.sparkSession
     known = (labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.max("quality").cast("int").alias("quality")).filter(~held_out()))
     n = known.count()
     share = min(1.0, max_docs / max(1, n))
     # at most 2 * max_docs small rows, so they can go to every executor
-    picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * max_docs)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"],
-                                "x": [chunks_of(t, train_chunks).tobytes() for t in pdf["text"]]})
+    order = F.xxhash64("doc_id", F.lit("sample"))
+    picked = known.filter(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * max_docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = own.join(F.broadcast(picked), "doc_id").mapInPandas(cut, "doc_id long, quality int, x binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
+    texts = own.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    chunks = F.greatest(F.lit(1), F.ceil((F.octet_length("text") - (CHUNK - STEP)) / STEP))
+    texts = saved(texts.withColumns({"chunks": chunks.cast("long"), "order": order}), few=True)
+    used, chosen = 0, []
+    for r in texts.select("doc_id", "chunks", "order").orderBy("order").collect():  # small rows, at most 2 * max_docs
+        if used + r["chunks"] <= max_chunks:
+            used += r["chunks"]
+            chosen.append((r["doc_id"],))
+    rows = texts.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long")), "doc_id").select("doc_id", "quality", "text").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["quality"] for r in rows], float)
     if len(set(y)) < 2:
         return ByteCNN(prior=float((y.sum() + 1) / (len(y) + 2)))
-    return ByteCNN().fit([np.frombuffer(bytes(r["x"]), np.uint8).reshape(-1, CHUNK) for r in rows], y, epochs)
+    return ByteCNN().fit([chunks_of(r["text"]) for r in rows], y, epochs)
 
 
 def quality_score(spark, model: ByteCNN, text: str = "text") -> Column:

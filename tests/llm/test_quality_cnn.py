@@ -1,6 +1,8 @@
 import random
+import zlib
 
 import numpy as np
+import pytest
 
 from tabsight.llm.quality_cnn import CHUNK, STEP, ByteCNN, chunk_starts, chunks_of, keep_quality, score_documents
 
@@ -75,3 +77,40 @@ def test_edge_rows(spark, make_docs):
     assert len(score_documents(docs, labels).collect()) == 5
     assert score_documents(make_docs([]), labels).collect() == []
     assert keep_quality(docs, none).columns == docs.columns
+
+
+def test_forward_pass_equals_plain_loops():
+    from tabsight.llm.quality_cnn import BLOCK, CHUNK, EMBED, STEP
+    model = ByteCNN(seed=3)
+    for text in ("", "short", "ä long one " * 130):
+        raw, n = text.encode(), 1
+        while (n - 1) * STEP + CHUNK < len(raw):
+            n += 1
+        dense = []
+        for c in range(n):
+            part = raw[c * STEP:c * STEP + CHUNK].ljust(CHUNK, b"\0")
+            best = [-1e30] * len(model.p["bias"])
+            for at in range(0, CHUNK - BLOCK, BLOCK):
+                window = [float(v) for b in part[at:at + 2 * BLOCK] for v in model.p["emb"][b]]
+                for f in range(len(best)):
+                    best[f] = max(best[f], sum(w * float(k) for w, k in zip(window, model.p["conv"][:, f])))
+            pooled = [max(0.0, b + float(o)) for b, o in zip(best, model.p["bias"])]
+            dense.append([max(0.0, sum(p * float(w) for p, w in zip(pooled, model.p["dense"][:, d])) + float(model.p["shift"][d]))
+                          for d in range(len(model.p["shift"]))])
+        features = [max(x) for x in zip(*dense)] + [sum(x) / n for x in zip(*dense)]
+        z = sum(f * float(w) for f, w in zip(features, model.p["out"])) + float(model.p["off"][0])
+        assert model.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_training_takes_whole_texts_and_bounds_their_sum(spark, make_docs, monkeypatch):
+    import tabsight.llm.quality_cnn as q
+    seen = {}
+    monkeypatch.setattr(q.ByteCNN, "fit", lambda self, docs, y, epochs: seen.update(docs=docs, y=y) or self)
+    long = next(k for k in range(60, 99) if zlib.crc32(str(k).encode()) % 3 != 1)
+    docs = make_docs([(k, "w" * (900 * (k % 7) + 1)) for k in range(60)] + [(0, "a"), (0, "b")] + [(long, "z" * 100_000)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(99)], "doc_id long, quality int, toxic int")
+    q.train_quality(docs, labels)
+    assert max(len(d) for d in seen["docs"]) == 1 + -(-(100_000 - 512) // 448)
+    assert len(seen["docs"]) == sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(60)) + 1  # one of the three rows with id 0
+    q.train_quality(docs, labels, max_chunks=50)
+    assert 40 < sum(len(d) for d in seen["docs"]) <= 50 and len(seen["docs"]) == len(seen["y"])
