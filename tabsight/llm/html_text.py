@@ -18,6 +18,7 @@ empty result; other columns stay as they are.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -70,29 +71,48 @@ class Node:
         return None
 
 
-def _close(stack: list[Node], tags: frozenset[str], limit: frozenset[str]) -> None:
-    """Pop up to the outermost open element of ``tags`` above ``limit``."""
-    cut = None
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in limit:
-            break
-        if stack[k].tag in tags:
-            cut = k
-    if cut is not None:
-        del stack[cut:]
+class Stack(list):
+    """Open elements, and how many there are of each tag: what is not open need not be looked for."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.open: Counter[str] = Counter()
+
+    def push(self, node: Node) -> None:
+        self.append(node)
+        self.open[node.tag] += 1
+
+    def cut(self, k: int) -> None:
+        """Close the elements from place ``k`` on."""
+        for node in self[k:]:
+            self.open[node.tag] -= 1
+        del self[k:]
+
+    def close(self, tags: frozenset[str], limit: frozenset[str]) -> None:
+        """Close up to the outermost open element of ``tags`` above ``limit``."""
+        left = sum(self.open[t] for t in tags)
+        cut = None
+        for k in range(len(self) - 1, 0, -1):
+            if not left or self[k].tag in limit:
+                break
+            if self[k].tag in tags:
+                cut = k
+                left -= 1
+        if cut is not None:
+            self.cut(cut)
 
 
 def parse(html: str) -> Node:
     """The page's tree."""
     root = Node("#root")
-    stack, at, opened = [root], 0, {}
+    stack, at, opened = Stack(root), 0, {}
     for_p = frozenset(["p"])
     while True:
         m = TOKEN.search(html, at)
         text = html[at:m.start() if m else len(html)]
         if text:
             if stack[-1].tag == "head" and text.strip():
-                stack.pop()
+                stack.cut(len(stack) - 1)
             stack[-1].kids.append(unescape(text))
         if not m:
             return root
@@ -103,30 +123,31 @@ def parse(html: str) -> Node:
                 stack[-1].kids.append(Node("br"))
                 continue
             block = tag in BLOCK
+            if not stack.open[tag]:
+                if tag == "p" and not any(stack.open[t] for t in SCOPE):
+                    stack[-1].kids.append(Node("p"))
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 open_ = stack[k].tag
                 if open_ == tag:
-                    del stack[k:]
+                    stack.cut(k)
                     break
                 # an inline end tag stays within its block, others within their table cell
                 if open_ in BLOCK and not block or open_ in SCOPE and tag not in SCOPE and tag not in ("tr", "thead", "tbody", "tfoot"):
                     break
-            else:
-                if tag == "p":
-                    stack[-1].kids.append(Node("p"))
         elif m["tag"]:
             tag = m["tag"].lower()
             if tag in ("html", "body") and tag in opened:
                 continue
             opened[tag] = True
             if stack[-1].tag == "head" and tag not in IN_HEAD:
-                stack.pop()
+                stack.cut(len(stack) - 1)
             if tag in CLOSES_P:
-                _close(stack, for_p, SCOPE)
+                stack.close(for_p, SCOPE)
             if tag in IMPLIED:
-                _close(stack, *IMPLIED[tag])
+                stack.close(*IMPLIED[tag])
             if tag in HEADING and stack[-1].tag in HEADING:
-                stack.pop()
+                stack.cut(len(stack) - 1)
             node = Node(tag, m["attrs"])
             stack[-1].kids.append(node)
             if tag in RAW:
@@ -135,7 +156,7 @@ def parse(html: str) -> Node:
                 node.kids.append(unescape(body) if tag in ("textarea", "title") else body)
                 at = end.end() if end else len(html)
             elif tag not in VOID and not (m["attrs"].endswith("/") and tag in ("svg", "path", "circle", "rect", "use", "line", "g")):
-                stack.append(node)
+                stack.push(node)
 
 
 class Lines:

@@ -62,3 +62,12 @@ def test_edge_rows(spark):
     rows = extract_pages(df).collect()
     assert [r.text for r in rows] == ["", "", "a", "a", "a"]
     assert extract_pages(df.limit(0)).collect() == []
+
+
+def test_deep_and_unmatched_tags_take_linear_time():
+    import time
+    from tabsight.llm.html_text import parse
+    for page in ("<div>" * 100_000 + "x", "<div>" * 50_000 + "</b>" * 50_000, "<div><li>" * 40_000 + "</p>" * 40_000, "<b>" * 60_000 + "<p>" * 60_000):
+        t = time.process_time()
+        parse(page)
+        assert time.process_time() - t < 20
