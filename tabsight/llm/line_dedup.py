@@ -185,14 +185,14 @@ def deletions(docs: DataFrame, rare: int | None = None, shared: int = SHARED, mi
 
 
 def line_dedup(docs: DataFrame, rare: int | None = None, shared: int = SHARED, min_chars: int = MIN_CHARS, count: str | None = None) -> DataFrame:
-    """``docs`` with the deleted lines gone from ``text``; ``count`` names a column for their number."""
+    """``docs`` with the deleted lines gone from ``text``; ``count`` names a column for their number, in place of one of that name."""
     gone = saved(deletions(docs, rare, shared, min_chars), few=True).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("gone").alias("__gone"))
     keyed = docs.withColumns({"__d1": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__d2": F.xxhash64(text_of())})
     both = keyed.join(gone, (F.col("__d1") == F.col("__k1")) & (F.col("__d2") == F.col("__k2")), "left")
     parts = F.split(F.col("text"), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
-    cols = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    cols = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != count]
     if count:
         cols.append(F.coalesce(F.size("__gone"), F.lit(0)).alias(count))
     return both.select(*cols)

@@ -189,7 +189,7 @@ def simhash_dedup(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataF
     key = ("__null", "__id", "__text", "__row")
     long_id = F.col("doc_id").cast("long")
     keyed = docs.withColumns({"__null": long_id.isNull(), "__id": F.coalesce(long_id, F.lit(0)), "__text": F.xxhash64(text_of()),
-                              "__row": F.xxhash64(*[F.col(c) for c in docs.columns])})
+                              "__row": F.xxhash64(*[F.to_json(F.col(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes])})
     rows, rooted = _rooted_rows(keyed, shingle, max_bits, also=key)
     per_fp = rows.groupBy("fp").agg(F.min(F.struct(*key)).alias("k"))
     kept = saved(per_fp.join(rooted, "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.*"), few=True)

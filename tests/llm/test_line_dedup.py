@@ -115,3 +115,10 @@ def test_covers_alignment_with_every_earlier_document(make_docs):
         assert all(x in got[k] for x in b if x and x not in whole)
         n += len(gone)
     assert n > 200
+
+
+def test_a_column_with_the_counts_name_is_replaced(make_docs):
+    from pyspark.sql import functions as F
+    docs = make_docs(["same long line of forty characters or more, surely\nx", "same long line of forty characters or more, surely\ny"])
+    out = line_dedup(docs.withColumn("n_removed", F.lit("q")), count="n_removed")
+    assert out.columns.count("n_removed") == 1 and sorted(r.n_removed for r in out.collect()) == [0, 1]

@@ -105,3 +105,10 @@ def test_dedup_decides_by_row(make_docs):
     got = sorted(((r.doc_id, r.text) for r in simhash_dedup(make_docs(docs)).collect()), key=str)
     assert got == sorted([(None, a), (4, b), (1, c), (7, d)], key=str)
     assert simhash_dedup(make_docs([])).collect() == []
+
+
+def test_map_columns_are_carried(make_docs):
+    from pyspark.sql import functions as F
+    from tabsight.llm.simhash_trie import simhash_dedup
+    docs = make_docs(["a b c d e f", "a b c d e f", "quite another text it is"]).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    assert sorted(r.m["k"] for r in simhash_dedup(docs).collect()) == [0, 2]
