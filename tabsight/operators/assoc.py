@@ -5,7 +5,7 @@
   variance is zero.
 * Spearman: the ranks of every column, found together over range partitions
   (``ranks.rank_columns``) and brought back to the rows once, then the same moments.
-* Kendall tau-b: from the same ranks, see ``operators.kendall``.
+* Kendall tau-b: from cells of values, see ``operators.kendall``.
 * Crosstab: ``groupBy(rows).pivot(col, values)`` - the zero-filled matrix comes
   from the pivot, not from a cross join of row and column keys.
 * Mutual information: one contingency of (feature, value, y) for all discrete features;
@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.functions.types import check_col, is_corr_compatible, numeric_cols
+from tabsight.operators.cells import SMALL
 from tabsight.operators.gram import Moments, correlations, pair_moments
-from tabsight.operators.kendall import SMALL, kendall_tau_b
+from tabsight.operators.kendall import kendall_tau_b
 from tabsight.operators.quantiles import quantiles
 from tabsight.operators.ranks import rank_columns
 from tabsight.session import ensure_checkpoint_dir
@@ -172,13 +173,8 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], small: int = SMALL) -> DataFrame:
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    ranks, sides, sizes = _ranked(df, pairs, ties=True)
-    if ranks is None or not any(sizes):
-        return _named(df, pairs, None)
-    ranks = ranks.checkpoint(eager=True)  # read by the grid and by both bucket passes
-    structs = [F.struct(F.lit(k).alias("pair"), *[F.col(f"{c}{g}").alias(f"{c}{name}") for g, name in zip(s, "xy") for c in "rt"]) for k, s in enumerate(sides)]
-    rows = ranks.select(F.inline(F.array(*structs))).where(F.col("rx").isNotNull() & F.col("ry").isNotNull())
-    return _named(df, pairs, kendall_tau_b(rows, dict(enumerate(sizes)), small))
+    cols, places = _place(pairs)
+    return _named(df, pairs, kendall_tau_b(df, [_num(df, c) for c in cols], places, small))
 
 
 # ----------------------------------------------------------------------------- C5 - C7

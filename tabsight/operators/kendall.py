@@ -1,93 +1,146 @@
-"""Exact Kendall tau-b from ranks, without contingency cells and without pairing rows.
+"""Exact Kendall tau-b from value cells, without contingency cells and without pairing rows.
 
-Input: rows ``(pair, rx, ry, tx, ty)`` - for every row complete in a column pair, the average
-ranks of its two values and how many rows share each.  Tau-b needs the concordant count
-C = sum over rows of the rows strictly below-left (x' < x and y' < y).  Ties come from the
-counts:  D = n0 - n1 - n2 + n3 - C,  tau_b = (C - D) / sqrt((n0 - n1)(n0 - n2)).
+Tau-b needs the concordant count  C = sum over rows of the rows strictly below-left (x' < x and
+y' < y), and the pairs tied in x (n1), in y (n2) and in both (n3) among a column pair's n complete rows:
+D = n0 - n1 - n2 + n3 - C,  tau_b = (C - D) / sqrt((n0 - n1)(n0 - n2)).
 
-Ranks fall into buckets of ``size`` ranks: xb = floor(rx / size), yb alike, so no bucket
-bounds are joined to the rows and equal values share a bucket.  C is split in three:
+Only the order of values matters, so no ranks are found.  ``operators.cells`` cuts each column at bounds
+from a sample, which decide how even the cells are and nothing else: a value that is a bound has a closed
+cell of its own, the values between two bounds share an open one.  C is split in three:
 
-    rows in a lower xb and a lower yb         running sums over the pairs x buckets^2 grid
-  + rows in the same xb, x' < x and y' < y    one task per (pair, xb), a sum each
-  + rows in a lower xb, the same yb, y' < y   one task per (pair, yb), a sum each
+    rows in a lower x cell and a lower y cell          running sums over the grid of cells
+  + rows in the same open x cell, x' < x and y' < y    one task per (x, cell), a sum each
+  + rows in a lower x cell, the same open y cell, y' < y    one task per (y, cell), a sum each
 
-With ``size`` about ``max(SMALL, 4 sqrt(n))`` a bucket and the grid stay small beside the
-input.  A value that 2 * ``size`` rows or more share fills its bucket alone; no pair counts in
-it, so its rows stay out of that task, and a bucket never holds more than 3 * ``size`` rows.
-Rows equal in both columns (n3) are counted in their x bucket, else in their y
-bucket, else in the grid.
+The grid is counted before any shuffle.  A column's open cells serve all its pairs: its rows are sent once,
+as packed arrays with what the other sides need - their values, or their cells where the column is
+y.  A hot value, and a column of few values, is all closed cells, and none of its rows are sent for it.
+With about sqrt(n) / ``SPREAD`` cells a column, an open cell and the grid stay small beside the input.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL, BLOCK = 2048, 256
-
-
-def below_left(x: np.ndarray, y: np.ndarray) -> int:
-    """Number of (i, j) with x[j] < x[i] and y[j] < y[i]."""
-    # equal x in falling order of y: an earlier, smaller y then always has a smaller x
-    y = y[np.lexsort((-y, x))]
-    seen, total = np.zeros(0), 0
-    for s in range(0, len(y), BLOCK):
-        block = y[s:s + BLOCK]
-        total += int(np.searchsorted(seen, block, side="left").sum()) + int(np.triu(block[:, None] < block[None, :]).sum())
-        seen = np.sort(np.concatenate((seen, block)), kind="stable")
+from tabsight.operators.cells import SMALL, cell_codes, chunks, column_bounds, packed_rows, per_cell, sent_array
+
+#: A grid with more cells than this is counted by sorting.
+DENSE = 1 << 22
+COUNTS = "pair int, n long, c long, n1 long, n2 long, n3 long"
+
+
+def _below_left(u: np.ndarray, v: np.ndarray) -> int:
+    """``below_left`` of codes from 0; bit by bit over v, so v should be the one with fewer values."""
+    top = int(v.max()) + 1
+    # equal u in falling order of v: an earlier, smaller v then always has a smaller u
+    v = top - 1 - np.sort(u.astype(np.int64) * top + (top - 1 - v)) % top
+    bits = max(1, (top - 1).bit_length())
+    before = np.zeros((1 << bits) + 1, np.int64)
+    before[1:] = np.cumsum(np.bincount(v, minlength=1 << bits))
+    total, place = 0, np.arange(len(v))
+    for bit in range(bits - 1, -1, -1):
+        # rows with equal higher bits are together, in their first order: a set bit counts the clear ones before it
+        one = (v >> bit & 1).astype(bool)
+        ones = np.cumsum(one)
+        head = v >> (bit + 1) << (bit + 1)
+        start = before[head]
+        earlier = ones - one - np.where(start > 0, ones[start - 1], 0)
+        ahead = place - start - earlier  # clear bits before the row
+        total += int(ahead[one].sum())
+        if bit:
+            to = np.where(one, before[head + (1 << bit)] + earlier, start + ahead)
+            moved = np.empty_like(v)
+            moved[to] = v
+            v = moved
     return total
 
 
-def _equal_pairs(x: np.ndarray, y: np.ndarray) -> int:
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    start = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.zeros(0, dtype=np.int64)
-    n = np.diff(np.append(start, len(x)))
-    return int((n * (n - 1) // 2).sum())
-
-
-def _in_xbucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    x, y = pdf["rx"].to_numpy(), pdf["ry"].to_numpy()
-    return pd.DataFrame({"pair": pdf["pair"].iloc[:1], "c": [below_left(x, y)], "n3": [_equal_pairs(x, y)]})
-
+def _codes(x: np.ndarray) -> tuple[np.ndarray, int]:
+    found, code = np.unique(x, return_inverse=True)
+    return code, len(found)
 
-def _in_ybucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    own = pdf["x_alone"].to_numpy()
-    ties = _equal_pairs(pdf["rx"].to_numpy()[own], pdf["ry"].to_numpy()[own])
-    return pd.DataFrame({"pair": pdf["pair"].iloc[:1], "c": [below_left(pdf["xb"].to_numpy(), pdf["ry"].to_numpy())], "n3": [ties]})
 
+def below_left(x: np.ndarray, y: np.ndarray) -> int:
+    """Number of (i, j) with x[j] < x[i] and y[j] < y[i]."""
+    if len(x) < 2:
+        return 0
+    (u, m), (v, k) = _codes(x), _codes(y)
+    return _below_left(u, v) if k <= m else _below_left(v, u)
 
-def kendall_tau_b(rows: DataFrame, sizes: dict[int, int], small: int = SMALL) -> DataFrame:
-    """(pair, correlation) with Kendall tau-b for every pair; ``sizes``: pair -> its number of complete rows."""
-    spark = rows.sparkSession
-    table = [(p, n, float(max(small, int(4 * n ** 0.5)))) for p, n in sizes.items() if n]
-    facts = spark.createDataFrame(table, "pair int, n long, size double")  # one row per column pair
-    b = rows.join(F.broadcast(facts), "pair").select(
-        "pair", "rx", "ry", "tx", "ty", F.floor(F.col("rx") / F.col("size")).cast("int").alias("xb"), F.floor(F.col("ry") / F.col("size")).cast("int").alias("yb"),
-        (F.col("tx") >= 2 * F.col("size")).alias("x_alone"), (F.col("ty") >= 2 * F.col("size")).alias("y_alone"))
 
-    # grid term: two running sums over the buckets in use; the ties of x and y come along
-    tied = [F.sum((F.col(t) - 1) / 2.0).alias(name) for t, name in (("tx", "n1"), ("ty", "n2"))]
-    both = F.count(F.when(F.col("x_alone") & F.col("y_alone"), 1))
-    grid = b.groupBy("pair", "xb", "yb").agg(F.count(F.lit(1)).alias("t"), *tied, (both * (both - 1) / 2).alias("n3"))
-    dense = (grid.select("pair", "xb").distinct().join(grid.select("pair", "yb").distinct(), "pair")
-             .join(grid, ["pair", "xb", "yb"], "left").na.fill(0))
-    lower = Window.unboundedPreceding
-    p1 = dense.withColumn("p1", F.coalesce(F.sum("t").over(Window.partitionBy("pair", "yb").orderBy("xb").rowsBetween(lower, -1)), F.lit(0)))
-    g = p1.withColumn("g", F.coalesce(F.sum("p1").over(Window.partitionBy("pair", "xb").orderBy("yb").rowsBetween(lower, -1)), F.lit(0)))
-    far = g.groupBy("pair").agg(F.sum(F.col("t") * F.col("g").cast("double")).alias("c"), F.sum("n1").alias("n1"), F.sum("n2").alias("n2"), F.sum("n3").alias("n3"))
+def _tied(key: np.ndarray) -> int:
+    """Pairs of equal entries."""
+    _, n = np.unique(key, return_counts=True)
+    return int((n * (n - 1) // 2).sum())
 
-    schema = "pair int, c long, n3 long"
-    lx = b.where("NOT x_alone").select("pair", "xb", "rx", "ry").groupBy("pair", "xb").applyInPandas(_in_xbucket, schema)
-    ly = b.where("NOT y_alone").select("pair", "yb", "xb", "rx", "ry", "x_alone").groupBy("pair", "yb").applyInPandas(_in_ybucket, schema)
-    near = lx.unionByName(ly).groupBy("pair").agg(F.sum("c").alias("near"), F.sum("n3").alias("near3"))
 
-    t = far.join(near, "pair", "left").join(F.broadcast(facts), "pair").na.fill(0, ["near", "near3"])
+def _near(own: np.ndarray, other: np.ndarray, as_x: bool) -> tuple[int, int, int, int]:
+    """(c, n1, n2, n3) of an open cell; ``other``: values of y if the cell is one of x, else cells of x."""
+    there = ~np.isnan(other) if as_x else other >= 0
+    (u, m), (v, k) = _codes(own[there]), _codes(other[there])
+    if not len(u):
+        return 0, 0, 0, 0
+    c = _below_left(u, v) if k <= m else _below_left(v, u)
+    equal = u.astype(np.int64) * k + v
+    if as_x:
+        return c, _tied(u), 0, _tied(equal)
+    return c, 0, _tied(u), _tied(equal[other[there] % 2 == 1])  # an equal x is sure in a closed cell only
+
+
+def _far(cells: pd.DataFrame) -> pd.DataFrame:
+    """The grid's part of a pair: lower cells, and ties of closed ones."""
+    cx, cy = cells["x"].to_numpy(), cells["y"].to_numpy()
+    grid = np.zeros((int(cx.max()) + 1, int(cy.max()) + 1), np.int64)
+    grid[cx, cy] = cells["t"].to_numpy()
+    lower = np.zeros_like(grid)
+    lower[1:, 1:] = grid.cumsum(axis=0).cumsum(axis=1)[:-1, :-1]
+    ties = [int((t * (t - 1) // 2).sum()) for t in (grid.sum(axis=1)[1::2], grid.sum(axis=0)[1::2], grid[1::2, 1::2])]
+    return pd.DataFrame([(int(cells["pair"].iloc[0]), int(grid.sum()), int((grid * lower).sum()), *ties)], columns=["pair", "n", "c", "n1", "n2", "n3"])
+
+
+def kendall_tau_b(df: DataFrame, columns: list, pairs: list[tuple[int, int]], small: int = SMALL) -> DataFrame:
+    """(pair, correlation) with Kendall tau-b of the pairs of positions in ``columns`` over their complete rows; none for a pair without rows."""
+    base, n = packed_rows(df, columns)
+    bounds, few = column_bounds(base, n, len(columns), small)
+    # the side with fewer rows in open cells is x, so that its values need not be sent
+    pairs = [(b, a) if few[b] and not few[a] else (a, b) for a, b in pairs]
+    width = [2 * len(b) + 1 for b in bounds]
+    sides = {a: [(p, pairs[p][1] if pairs[p][0] == a else pairs[p][0], pairs[p][0] == a) for p in range(len(pairs)) if a in pairs[p]]
+             for a in sorted({c for p in pairs for c in p})}
+    k = len(columns)
+
+    def grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in chunks(batches, k):
+            code = cell_codes(x, bounds)
+            for p, (a, b) in enumerate(pairs):
+                there = (code[a] >= 0) & (code[b] >= 0)
+                key = code[a][there].astype(np.int64) * width[b] + code[b][there]
+                if width[a] * width[b] <= DENSE:
+                    t = np.bincount(key, minlength=1)
+                    key = np.flatnonzero(t)
+                    t = t[key]
+                else:
+                    key, t = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), p, np.int32)), pa.array((key // width[b]).astype(np.int32)),
+                                                  pa.array((key % width[b]).astype(np.int32)), pa.array(t.astype(np.int64))], ["pair", "x", "y", "t"])
+
+    def others(a: int, x: np.ndarray, code: list[np.ndarray], rows: np.ndarray) -> list[np.ndarray]:
+        return [x[rows, o] if as_x else sent_array(code[o][rows], width[o]) for _, o, as_x in sides[a]]
+
+    def near(key: tuple, arrays: list[np.ndarray]) -> pd.DataFrame:
+        found = [(p, 0, *_near(arrays[0], other, as_x)) for (p, _, as_x), other in zip(sides[key[0]], arrays[1:])]
+        return pd.DataFrame(found, columns=["pair", "n", "c", "n1", "n2", "n3"])
+
+    far = base.mapInArrow(grid, "pair int, x int, y int, t long").groupBy("pair", "x", "y").agg(F.sum("t").alias("t"))
+    parts = far.groupBy("pair").applyInPandas(_far, COUNTS).unionByName(per_cell(base, k, bounds, list(sides), others, near, COUNTS))
+    t = parts.groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "c", "n1", "n2", "n3")])
     n0 = F.col("n").cast("double") * (F.col("n") - 1) / 2
-    c, n1, n2 = F.col("c") + F.col("near"), F.col("n1"), F.col("n2")
-    s = 2 * c - (n0 - n1 - n2 + F.col("n3") + F.col("near3"))
-    den = F.sqrt(n0 - n1) * F.sqrt(n0 - n2)
-    return t.select("pair", (s / F.nullif(den, F.lit(0.0))).alias("correlation"))
+    s = 2 * F.col("c").cast("double") - (n0 - F.col("n1") - F.col("n2") + F.col("n3"))
+    den = F.sqrt(n0 - F.col("n1")) * F.sqrt(n0 - F.col("n2"))
+    return t.where("n > 0").select("pair", (s / F.nullif(den, F.lit(0.0))).alias("correlation"))
