@@ -323,13 +323,11 @@ class Preprocessor(Estimator):
 
     def _stages(self, median, scaler, mode, index) -> list:
         """The stages in order, from those that learn."""
-        stages, assembled = [], []
+        stages = []
         if self.num:
             stages.append(median)
-            assembled += self.num_imp
             if self.scale:
                 stages.append(scaler)
-                assembled = [f"{c}__sc" for c in self.num]
         if self.cat:
             stages.append(mode)
             if self.encoding != "none":
@@ -337,10 +335,13 @@ class Preprocessor(Estimator):
             if self.encoding == "onehot":
                 stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in self.cat_imp], outputCols=[f"{c}__oh" for c in self.cat_imp],
                                             dropLast=True, handleInvalid="keep"))
-                assembled += [f"{c}__oh" for c in self.cat_imp]
-            elif self.encoding == "ordinal":
-                assembled += [f"{c}__ord" for c in self.cat_imp]
-        return stages + [VectorAssembler(inputCols=assembled, outputCol=self.out_col, handleInvalid="keep")]
+        return stages + [self.assembler()]
+
+    def assembler(self) -> VectorAssembler:
+        """The last stage, from columns that the others have prepared."""
+        assembled = [f"{c}__sc" for c in self.num] if self.scale else list(self.num_imp)
+        assembled += {"onehot": [f"{c}__oh" for c in self.cat_imp], "ordinal": [f"{c}__ord" for c in self.cat_imp], "none": []}[self.encoding]
+        return VectorAssembler(inputCols=assembled, outputCol=self.out_col, handleInvalid="keep")
 
     @property
     def _index_cols(self) -> list[str]:
