@@ -133,8 +133,11 @@ class PivotCells:
                     d = distances(_vectors(b.column("qv"), dim), pivots, p)[:, cell]
                     least = np.maximum(np.maximum(d - hi, lo - d), 0.0) - _slack(d, scale)
                     i, j = np.nonzero(pick(least, b))
-                    taken = b.take(pa.array(i))
-                    yield pa.RecordBatch.from_arrays([taken.column("qid"), taken.column("qv"), pa.array(j.astype(np.int32))], ["qid", "qv", "block"])
+                    # a vector is repeated for each of its blocks: a batch at a time holds CELLS numbers, however many blocks are asked
+                    for t in range(0, len(i), max(1, CELLS // dim)):
+                        taken = b.take(pa.array(i[t:t + max(1, CELLS // dim)]))
+                        yield pa.RecordBatch.from_arrays([taken.column("qid"), taken.column("qv"), pa.array(j[t:t + taken.num_rows].astype(np.int32))],
+                                                         ["qid", "qv", "block"])
 
         return query.select("qid", "qv", *([extra] if extra else [])).mapInArrow(run, "qid long, qv array<double>, block int")
 
