@@ -20,7 +20,7 @@ def test_shared_folds_score_as_a_set_on_its_own(spark, name):
 
     def build(num, cat):
         return MD.make_classifier(name, num, cat, label="y", id_col="id")
-    with E.SharedFolds(build(["u", "v"], ["s"]), data, "fold", 3) as shared:
+    with E.SharedFolds(lambda: build(["u", "v"], ["s"]), data, "fold", 3) as shared:
         for num, cat in ((["v"], ["s"]), (["u", "v"], [])):
             assert E.cv_scores(build(num, cat), data, "y", k=3, shared=shared)[2] == pytest.approx(E.cv_scores(build(num, cat), data, "y", k=3)[2])
 
