@@ -10,7 +10,10 @@
 3. Only blocks whose lower bound is within that distance are compared with the query.
 
 The ring table has at most ``MOST_BLOCKS`` rows plus one per pivot, as blocks grow with
-the table; it goes to every task.  A task compares one block with one chunk of queries.
+the table; it goes to every task.  Blocks of near cells make up a bundle; a task compares
+one bundle with one chunk of queries, so a query's vector is sent once to each bundle in
+which it asks a block, and a row once to each chunk.  Bundles and chunks grow with the
+table, and so does what is sent, not with its square.  Rows beyond a query's bound leave no task.
 Distances are found in matrix form, and exactly for the rows that can be among the k.
 """
 
@@ -31,6 +34,8 @@ from tabsight.session import ensure_checkpoint_dir
 MOST_PIVOTS, MOST_BLOCKS, BLOCK_ROWS = 256, 200_000, 2048
 #: Numbers of one distance matrix; relative room for rounding in bounds.
 CELLS, ROOM = 4_000_000, 1e-7
+#: Blocks go to tasks in bundles: as many as BUNDLES, with at most MOST_ROWS rows; queries in at most CHUNKS chunks of at most MOST_ROWS.
+BUNDLES, CHUNKS, MOST_ROWS = 32, 16, 32_768
 FOUND = "qid long, dist double, tid long, tlabel double"
 
 
@@ -64,31 +69,68 @@ def _spread(points: np.ndarray, count: int, p: int) -> np.ndarray:
     return points[picked]
 
 
+def _pairs(Q: np.ndarray, T: np.ndarray, tid: np.ndarray, bound: np.ndarray, k: int, p: int, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of each query's best k rows that are not beyond its bound."""
+    kk, out = min(k, len(T)), []
+    for s in range(0, len(Q), max(1, CELLS // len(T))):
+        block = Q[s:s + max(1, CELLS // len(T))]
+        d = distances(block, T, p)
+        edge = np.minimum(np.partition(d, kk - 1, axis=1)[:, kk - 1], bound[s:s + len(block)])[:, None]
+        i, j = np.nonzero(d <= edge + 2 * _slack(edge, scale))
+        diff = block[i] - T[j]
+        out.append((s + i, j, np.abs(diff).sum(axis=1) if p == 1 else np.sqrt((diff * diff).sum(axis=1))))
+    i, j, exact = (np.concatenate(x) for x in zip(*out))
+    on = exact <= bound[i] * (1 + ROOM)
+    return _best(i[on], j[on], exact[on], tid, kk)
+
+
+def _best(i: np.ndarray, j: np.ndarray, exact: np.ndarray, tid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((tid[j], exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    start = np.flatnonzero(np.append(True, i[1:] != i[:-1])[:len(i)])
+    keep = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) < k
+    return i[keep], j[keep], exact[keep]
+
+
 def _nearest(k: int, p: int):
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return pd.DataFrame({"qid": [], "dist": [], "tid": [], "tlabel": []})
         Q, T = np.stack(q["qv"].to_numpy()).astype(np.float64), np.stack(t["tv"].to_numpy()).astype(np.float64)
-        qid, tid, label, kk, out = q["qid"].to_numpy(), t["tid"].to_numpy(), t["tlabel"].to_numpy(), min(k, len(T)), []
+        qid, tid, label, block, bound = q["qid"].to_numpy(), t["tid"].to_numpy(), t["tlabel"].to_numpy(), t["block"].to_numpy(), q["bound"].to_numpy(dtype=np.float64)
+        bound = np.where(np.isnan(bound), np.inf, bound)
         scale = float(np.sqrt((T * T).sum(axis=1)).max())
-        for s in range(0, len(Q), max(1, CELLS // len(T))):
-            block = Q[s:s + max(1, CELLS // len(T))]
-            d = distances(block, T, p)
-            edge = np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
-            i, j = np.nonzero(d <= edge + 2 * _slack(edge, scale))
-            diff = block[i] - T[j]
-            exact = np.abs(diff).sum(axis=1) if p == 1 else np.sqrt((diff * diff).sum(axis=1))
-            order = np.lexsort((tid[j], exact, i))
-            i, j, exact = i[order], j[order], exact[order]
-            start = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
-            keep = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) < kk
-            out.append(pd.DataFrame({"qid": qid[s + i[keep]], "dist": exact[keep], "tid": tid[j[keep]], "tlabel": label[j[keep]]}))
-        return pd.concat(out, ignore_index=True)
+        # queries by the block they ask
+        lens = np.fromiter((len(b) for b in q["blocks"]), np.int64, len(q))
+        who, asked = np.repeat(np.arange(len(q)), lens), np.concatenate(q["blocks"].to_numpy())
+        out = []
+        for b in np.unique(asked):
+            rows, own = np.flatnonzero(block == b), who[asked == b]
+            if len(rows):
+                i, j, exact = _pairs(Q[own], T[rows], tid[rows], bound[own], k, p, scale)
+                out.append((own[i], rows[j], exact))
+        i, j, exact = _best(*(np.concatenate(x) for x in zip(*out)), tid, k) if out else (np.zeros(0, int),) * 3
+        return pd.DataFrame({"qid": qid[i], "dist": exact, "tid": tid[j], "tlabel": label[j]})
     return lambda key, q, t: run(q, t)
 
 
+def _bundles(cell: np.ndarray, size: np.ndarray, pivots: np.ndarray, p: int, rows: int) -> np.ndarray:
+    """Bundle of each block: cells in a chain of nearest pivots, cut after about ``rows`` rows."""
+    left, at, place = np.ones(len(pivots), bool), 0, np.zeros(len(pivots), np.int64)
+    for k in range(len(pivots)):
+        place[at], left[at] = k, False
+        d = distances(pivots[at:at + 1], pivots, p)[0]
+        at = int(np.where(left, d, np.inf).argmin())
+    order = np.lexsort((np.arange(len(cell)), place[cell]))
+    out = np.empty(len(cell), np.int32)
+    out[order] = (np.cumsum(size[order]) - 1) // rows
+    return out
+
+
 class PivotCells:
-    """The training rows (tid, tv, tlabel) in blocks, with the ring of each block."""
+    """The training rows (tid, tv, tlabel) in blocks, with the ring and the bundle of each block."""
+
+    bundle: np.ndarray | None = None
 
     def __init__(self, train: DataFrame, p: int = 2, block_rows: int = BLOCK_ROWS, pivots: int | None = None):
         spark = train.sparkSession
@@ -117,12 +159,15 @@ class PivotCells:
         rings = self.rows.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi")).orderBy("cell", "part").collect()
         self.cell, self.part = (np.array([r[c] for r in rings]) for c in ("cell", "part"))
         self.size, self.lo, self.hi = (np.array([r[c] for r in rings]) for c in ("n", "lo", "hi"))
-        keys = spark.createDataFrame([(int(c), int(a), k) for k, (c, a) in enumerate(zip(self.cell, self.part))], "cell int, part int, block int")
-        self.rows = self.rows.join(F.broadcast(keys), ["cell", "part"]).select("tid", "tv", "tlabel", "block")
+        self.bundle = _bundles(self.cell, self.size, chosen, p, max(size, min(MOST_ROWS, ceil(self.n / BUNDLES))))
+        keys = spark.createDataFrame([(int(c), int(a), k, int(b)) for k, (c, a, b) in enumerate(zip(self.cell, self.part, self.bundle))],
+                                     "cell int, part int, block int, bundle int")
+        self.rows = self.rows.join(F.broadcast(keys), ["cell", "part"]).select("tid", "tv", "tlabel", "block", "bundle")
 
     def _ask(self, query: DataFrame, pick, extra: str = "") -> DataFrame:
-        """(qid, qv, block) of the blocks that ``pick(lower bounds, batch)`` marks for each query."""
+        """(qid, qv, bound, block, blocks) of the bundles with blocks that ``pick(lower bounds, batch)`` marks for each query."""
         dim, p, pivots, cell, lo, hi = self.dim, self.p, self.pivots, self.cell, self.lo, self.hi
+        bundle = np.arange(len(cell), dtype=np.int32) if self.bundle is None else self.bundle
         scale = float(np.sqrt((pivots * pivots).sum(axis=1)).max())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,20 +178,27 @@ class PivotCells:
                     d = distances(_vectors(b.column("qv"), dim), pivots, p)[:, cell]
                     least = np.maximum(np.maximum(d - hi, lo - d), 0.0) - _slack(d, scale)
                     i, j = np.nonzero(pick(least, b))
-                    # a vector is repeated for each of its blocks: a batch at a time holds CELLS numbers, however many blocks are asked
-                    for t in range(0, len(i), max(1, CELLS // dim)):
-                        taken = b.take(pa.array(i[t:t + max(1, CELLS // dim)]))
-                        yield pa.RecordBatch.from_arrays([taken.column("qid"), taken.column("qv"), pa.array(j[t:t + taken.num_rows].astype(np.int32))],
-                                                         ["qid", "qv", "block"])
-
-        return query.select("qid", "qv", *([extra] if extra else [])).mapInArrow(run, "qid long, qv array<double>, block int")
+                    order = np.lexsort((j, bundle[j], i))
+                    i, j = i[order], j[order].astype(np.int32)
+                    ends = np.append(np.flatnonzero((i[1:] != i[:-1]) | (bundle[j[1:]] != bundle[j[:-1]])) + 1, len(i)) if len(i) else np.zeros(0, np.int64)
+                    starts = np.append(0, ends)[:len(ends)]
+                    bound = b.column("bound") if "bound" in b.schema.names else pa.nulls(b.num_rows, pa.float64())
+                    # a vector is repeated for each of its bundles: a batch at a time holds CELLS numbers, however many are asked
+                    for t in range(0, len(ends), max(1, CELLS // dim)):
+                        first, last = starts[t:t + max(1, CELLS // dim)], ends[t:t + max(1, CELLS // dim)]
+                        rows = pa.array(i[first])
+                        blocks = pa.ListArray.from_arrays(pa.array(np.append(first, last[-1:]) - first[0], pa.int32()), pa.array(j[first[0]:last[-1]]))
+                        yield pa.RecordBatch.from_arrays([b.column("qid").take(rows), b.column("qv").take(rows), bound.take(rows), pa.array(bundle[j[first]]), blocks],
+                                                         ["qid", "qv", "bound", "block", "blocks"])
+
+        return query.select("qid", "qv", *([extra] if extra else [])).mapInArrow(run, "qid long, qv array<double>, bound double, block int, blocks array<int>")
 
     def _compared(self, asked: DataFrame, k: int, chunks: int) -> DataFrame:
-        """The k best rows of each asked block for each query."""
-        asked = asked.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))
-        needed = asked.select(F.col("block").alias("own"), F.col("chunk").alias("to")).distinct()
-        rows = self.rows.join(needed, F.col("block") == F.col("own")).select("tid", "tv", "tlabel", F.col("own").alias("block"), F.col("to").alias("chunk"))
-        return asked.groupBy("block", "chunk").cogroup(rows.groupBy("block", "chunk")).applyInPandas(_nearest(k, self.p), FOUND)
+        """The k best rows of each asked bundle for each query, none beyond its bound."""
+        asked = asked.withColumnRenamed("block", "bundle").withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))
+        needed = asked.select(F.col("bundle").alias("own"), F.col("chunk").alias("to")).distinct()
+        rows = self.rows.join(needed, F.col("bundle") == F.col("own")).select("tid", "tv", "tlabel", "block", "bundle", F.col("to").alias("chunk"))
+        return asked.groupBy("bundle", "chunk").cogroup(rows.groupBy("bundle", "chunk")).applyInPandas(_nearest(k, self.p), FOUND)
 
     def neighbours(self, query: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
         """(qid, dist, tid, tlabel, rank); ``self.compared`` is then the number of pairs that were compared in full."""
@@ -155,7 +207,8 @@ class PivotCells:
         if not self.n:
             return spark.createDataFrame([], FOUND + ", rank int")
         query = query.select(F.col("qid").cast("long"), F.col("qv").cast("array<double>")).where(F.col("qv").isNotNull()).checkpoint(eager=True)
-        chunks, size, need = max(1, ceil(query.count() / block_rows)), self.size, min(k, self.n)
+        asking, size, need = query.count(), self.size, min(k, self.n)
+        chunks = max(1, ceil(asking / max(block_rows, min(MOST_ROWS, ceil(asking / CHUNKS)))))
 
         def home(least: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
             order = np.argsort(least, axis=1, kind="stable")
@@ -172,8 +225,8 @@ class PivotCells:
         bounds = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == need).select("qid", F.col("dist").alias("bound")).checkpoint(eager=True)
         # all blocks within the bound, those of the first round included
         asked = self._ask(query.join(bounds, "qid"), near, "bound").checkpoint(eager=True)
-        counts = spark.createDataFrame([(k, int(n)) for k, n in enumerate(size)], "block int, n long")
-        self.compared = asked.groupBy("block").count().join(F.broadcast(counts), "block").agg(F.sum(F.col("count") * F.col("n"))).first()[0] or 0
+        counts = spark.createDataFrame([(b, int(n)) for b, n in enumerate(size)], "block int, n long")
+        self.compared = asked.select(F.explode("blocks").alias("block")).groupBy("block").count().join(F.broadcast(counts), "block").agg(F.sum(F.col("count") * F.col("n"))).first()[0] or 0
         found = self._compared(asked, k, chunks)
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
