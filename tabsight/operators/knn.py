@@ -35,7 +35,7 @@ MOST_PIVOTS, MOST_BLOCKS, BLOCK_ROWS = 256, 200_000, 2048
 #: Numbers of one distance matrix; relative room for rounding in bounds.
 CELLS, ROOM = 4_000_000, 1e-7
 #: Blocks go to tasks in bundles: as many as BUNDLES, with at most MOST_ROWS rows; queries in at most CHUNKS chunks of at most MOST_ROWS.
-BUNDLES, CHUNKS, MOST_ROWS = 32, 16, 32_768
+BUNDLES, CHUNKS, MOST_ROWS = 16, 8, 32_768
 FOUND = "qid long, dist double, tid long, tlabel double"
 
 
