@@ -4,7 +4,7 @@
   partitions: one scan, k x k numbers, each pair on its complete rows, NULL where a
   variance is zero.
 * Spearman: the ranks of every column, found together over range partitions
-  (``ranks.rank_columns``) and brought back to the rows once, then the same moments.
+  (``ranks.rank_columns``; columns of few values from their counts) and brought back to the rows once, then the same moments.
 * Kendall tau-b: from cells of values, see ``operators.kendall``.
 * Crosstab: ``groupBy(rows).pivot(col, values)`` - the zero-filled matrix comes
   from the pivot, not from a cross join of row and column keys.
@@ -29,7 +29,7 @@ from tabsight.operators.cells import SMALL
 from tabsight.operators.gram import Moments, correlations, pair_moments
 from tabsight.operators.kendall import kendall_tau_b
 from tabsight.operators.quantiles import quantiles
-from tabsight.operators.ranks import rank_columns
+from tabsight.operators.ranks import rank_columns, value_ranks
 from tabsight.session import ensure_checkpoint_dir
 
 PAIR_SCHEMA = "feature_1 string, feature_2 string, correlation double"
@@ -142,14 +142,19 @@ def _ranked(df: DataFrame, pairs: list[tuple[str, str]], ties: bool = False) ->
         return None, [], []
     n = Moments.unpacked(state["state"]).n
     groups, sides = _rank_groups(n, places)
-    structs = []
-    for g, (c, there) in enumerate(groups):
+    values = []
+    for c, there in groups:
         value = F.col(f"c{c}")
         for other in there:
             value = F.when(F.col(f"c{other}").isNotNull(), value)
-        structs.append(F.struct(F.lit(g).alias("g"), value.alias("x")))
-    long = base.select("id", F.inline(F.array(*structs))).where(F.col("x").isNotNull())
-    return rank_columns(long, len(groups), ties), sides, [int(n[p]) for p in places]
+        values.append(value)
+    wide = base.select("id", *[v.alias(f"x{g}") for g, v in enumerate(values)])
+    few = value_ranks(wide, len(groups))
+    many = [F.struct(F.lit(g).alias("g"), F.col(f"x{g}").alias("x")) for g in range(len(groups)) if g not in few]
+    none = F.lit(None).cast("struct<g: int, x: double>")
+    long = wide.select("id", F.inline(F.array(*(many or [none])))).where(F.col("x").isNotNull())
+    rows = int(sum(n[c, c] for c, _ in groups))
+    return rank_columns(long, len(groups), ties, rows, few, wide), sides, [int(n[p]) for p in places]
 
 
 def _named(df: DataFrame, pairs: list[tuple[str, str]], res: DataFrame | None) -> DataFrame:
