@@ -1488,8 +1488,9 @@ def q_feature_views(spark, sf):
     parts = []
     for df, target, cols in ((docs_labels(spark, sf), "quality", ["n_chars", "lang"]),
                              (read_table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_returnflag", "l_linenumber"])):
+        roles = G.column_roles(df, [target, *cols])  # the target's are found once
         for col in cols:
-            for view, data in G.feature_vs_target(df, col, target).items():
+            for view, data in G.feature_vs_target(df, col, target, roles[col], roles[target]).items():
                 if not view.endswith("_points"):
                     keys = [k for k in ("group", "value", "target") if k in data.columns]
                     parts.append(long_rows(f"{target}|{col}|{view}", data.drop("column_name"), keys))

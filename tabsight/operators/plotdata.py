@@ -3,8 +3,8 @@
 * histograms: equal-width bins over [min, max] (last bin closed); min/max come
   from a one-row aggregate attached by a broadcast of that row, empty bins are
   filled from ``sequence(0, bins-1)``;
-* box plots: per-group quartiles joined back to the rows (one row per group),
-  whiskers = extreme values inside 1.5 IQR, outlier counts;
+* box plots: per-group quartiles joined back to the counts of each group's values (one
+  scan), whiskers = extreme values inside 1.5 IQR, outlier counts;
 * densities by target level, Gaussian KDE on a grid (rows shared out to a fine grid
   first, so the sum is points x grid);
 * column summaries: moments, quantiles and bins from shared scans, top-k values from the
@@ -20,11 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsight.functions.stats import pct
-from tabsight.operators.quantiles import grouped_quantile_arrays
+from tabsight.operators.quantiles import counted_quantile_arrays, grouped_quantile_arrays
+from tabsight.session import ensure_checkpoint_dir
 from tabsight.functions.types import check_col, numeric_cols, storage_kind
 
 #: Cells that a density's rows are shared out to.
 KDE_CELLS = 2048
+#: Groups of a box plot whose quartiles are sent to every task; those of more are joined.
+FEW_GROUPS = 10_000
 HIST_SCHEMA = "column_name string, bin int, lower double, upper double, count bigint"
 
 
@@ -108,20 +111,26 @@ def boxplot_long(df: DataFrame, cols: list[str], by: str | None = None,
         # rows without a group level are not drawn
         long = long.where(F.col("group").isNotNull())
         keys.append("group")
-    q = (grouped_quantile_arrays(long, keys, "x", [0.25, 0.5, 0.75], "approx" if approx else "exact")
-             .select(*[F.col(k).alias(f"__{k}") for k in keys],
+    # everything but approximate quartiles follows from how often each value occurs, so the rows are read once
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = long.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    number = F.col("x") + F.lit(0.0)
+    q = (grouped_quantile_arrays(long, keys, "x", [0.25, 0.5, 0.75], "approx") if approx else
+         counted_quantile_arrays(counts.where(~F.isnan("x")).select(*keys, number.alias("x"), "n"), keys, "x", "n", [0.25, 0.5, 0.75]))
+    q = (q.select(*[F.col(k).alias(f"__{k}") for k in keys],
                      F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                     F.col("q")[2].alias("q3")))
+                     F.col("q")[2].alias("q3")).checkpoint(eager=True))
     lo = F.col("q1") - factor * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + factor * (F.col("q3") - F.col("q1"))
-    # quartile table: one row per (column, group); without groups one row per column, which every task gets
+    # quartile table: one row per (column, group), which every task gets unless there are very many groups
+    few = q.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
     cond = [F.col(k) == F.col(f"__{k}") for k in keys]
-    j = long.join(F.broadcast(q) if by is None else q, cond).select(*keys, "x", "q1", "median", "q3")
+    j = counts.join(F.broadcast(q) if few else q, cond).select(*keys, "x", "n", "q1", "median", "q3")
     return (j.groupBy(*keys, "q1", "median", "q3")
              .agg(F.min(F.when(F.col("x") >= lo, F.col("x"))).alias("whisker_low"),
                   F.max(F.when(F.col("x") <= hi, F.col("x"))).alias("whisker_high"),
-                  F.count(F.when((F.col("x") < lo) | (F.col("x") > hi), 1)).alias("n_outliers"),
-                  F.count(F.lit(1)).alias("n")))
+                  F.coalesce(F.sum(F.when((F.col("x") < lo) | (F.col("x") > hi), F.col("n"))), F.lit(0)).cast("long").alias("n_outliers"),
+                  F.sum("n").alias("n")))
 
 
 def boxplot(df: DataFrame, col: str, by: str | None = None, factor: float = 1.5) -> DataFrame:
