@@ -70,9 +70,13 @@ class InverseStrengthLogisticRegression(Estimator, HasFeaturesCol, HasLabelCol,
                                 elasticNetParam=self.getOrDefault(self.l1Ratio),
                                 maxIter=self.getOrDefault(self.maxIter), standardization=False,
                                 tol=self.getOrDefault(self.tol))
+        cols = [self.getLabelCol()]
         if self.isDefined(self.weightCol):
             lr = lr.setWeightCol(self.getWeightCol())
-        return lr.fit(df)
+            cols.append(self.getWeightCol())
+        # every task of the fit would carry the names of all slots, one for each category
+        features = F.col(self.getFeaturesCol()).alias(self.getFeaturesCol(), metadata={})
+        return lr.fit(df.select(features, *dict.fromkeys(cols)))
 
 
 # ----------------------------------------------------------------------------- M9
